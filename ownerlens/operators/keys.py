@@ -49,8 +49,8 @@ def global_rank(df: DataFrame, order: Column, name: str = "rank", slices: int =
     marks = [i / slices for i in range(1, slices)]
     keyed = df.withColumn("_order", order.cast("bigint"))
     cuts = keyed.agg(F.percentile_approx("_order", marks, 1000).alias("m")).scalar()
-    below = F.size(F.filter(F.coalesce(cuts, F.array().cast("array<bigint>")), lambda m: m < c("_order")))
-    sliced = keyed.withColumn("_slice", below)
+    below = F.size(F.filter("_cuts", lambda m: m < c("_order")))
+    sliced = keyed.withColumn("_cuts", cuts).withColumn("_slice", below).drop("_cuts")
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -112,9 +112,20 @@ def rule_details() -> dict[str, Column]:
     }
 
 
+CROSS_ROW_RULES = {"R1_SUB_THRESHOLD", "R12_CROSS_ENTITY"}
+
+
 def rule_hits(records: DataFrame, rule: str) -> DataFrame:
-    """Records one rule fires on, with its detail text."""
-    return with_context(records).withColumn("detail", rule_details()[rule]).filter(c("detail").isNotNull())
+    """Records one rule fires on, with its detail text.
+
+    Rules about a single row are a plain filter; only two need other rows.
+    """
+    if rule in CROSS_ROW_RULES:
+        rows = with_context(records)
+    else:
+        unknown = F.lit(None).cast("bigint")
+        rows = parsed(records).withColumns({"n_companies": unknown, "n_parked": unknown})
+    return rows.withColumn("detail", rule_details()[rule]).filter(c("detail").isNotNull())
 
 
 def annotate(records: DataFrame) -> DataFrame:
