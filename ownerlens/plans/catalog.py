@@ -1,5 +1,7 @@
 """All registered queries."""
-from ownerlens.plans import extract_queries, feed_queries, psc_queries, text_queries  # noqa: F401  (register on import)
+from ownerlens.plans import (  # noqa: F401  (register on import)
+    extract_queries, feed_queries, graph_queries, psc_queries, text_queries,
+)
 from ownerlens.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
