@@ -1,6 +1,7 @@
 """String expressions: Column in, Column out, nothing leaves the JVM."""
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -80,6 +81,37 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
+def _tie_points(ties_up: bool) -> list[float]:
+    """Smallest fractions that print as the next tenth.
+
+    A printed tenth is decided by the exact binary value; Java's formatter goes
+    by the shortest decimal instead and differs on values such as 45.05.
+    """
+    points = []
+    for k in range(10):
+        x = (2 * k + 1) / 20
+        while float(f"{x:.1f}") < (k + 1) / 10 - 0.05 and not (ties_up and x in (0.25, 0.75)):
+            x = math.nextafter(x, 1.0)
+        points.append(x)
+    return points
+
+
+def fixed1(value: Column, ties_up: bool = False) -> Column:
+    """A number with one decimal, rounded from its exact binary value."""
+    size = F.abs(value)
+    whole = F.floor(size)
+
+    def text(parts: Column) -> Column:
+        tenth = F.lit(0)
+        for point in _tie_points(ties_up):
+            tenth = tenth + F.when(parts["frac"] >= point, 1).otherwise(0)
+        digits = parts["whole"] * 10 + tenth
+        sign = F.when((value < 0) & (digits > 0), "-").otherwise("")
+        return F.concat(sign, F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("string"))
+
+    return F.when(value.isNotNull(), let(F.struct(whole.alias("whole"), (size - whole).alias("frac")), text))
+
+
 # ---------------------------------------------------------------- titles
 
 

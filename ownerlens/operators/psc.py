@@ -73,7 +73,7 @@ def secrecy_term() -> Column:
 
 
 def _fixed(value: Column) -> Column:
-    return F.format_string("%.1f", value)
+    return T.fixed1(value, ties_up=True)
 
 
 def rule_details() -> dict[str, Column]:

@@ -43,7 +43,7 @@ def alerts(articles: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     rows = articles.filter(level.isin("High", "Critical") | (c("importance") >= 75)).select(
         "seq", F.concat(level, F.lit(" Risk Alert: "), title).alias("title"),
         F.concat(F.lit("A "), level, F.lit(" risk event has been detected in article '"), title, F.lit("' (Importance: "),
-                 F.format_string("%.1f", c("importance")), F.lit("). Summary: "), c("executive")).alias("message"),
+                 T.fixed1(c("importance")), F.lit("). Summary: "), c("executive")).alias("message"),
         c("event_type").alias("alert_type"),
         F.when(level == "Critical", "Critical").when(level == "High", "Warning").otherwise("Info").alias("severity"),
     )
@@ -53,30 +53,20 @@ def alerts(articles: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     return rows.join(first, "seq", "left")
 
 
-def _lines(df: DataFrame, section: int, *parts: Column) -> DataFrame:
-    """One row per line of every item; ``seq`` orders the items."""
-    return df.select(F.lit(section).alias("section"), c("seq").cast("bigint").alias("item"),
-                     F.posexplode(F.array(*parts)).alias("part", "line"))
+def _line(section: int, part: int, text, item=None) -> Column:
+    """One report line; ``item`` orders the lines of a section (-1 is its heading)."""
+    item = F.lit(-1) if item is None else item
+    text = F.lit(text) if isinstance(text, str) else text
+    return F.struct(F.lit(section).alias("section"), item.cast("bigint").alias("item"), F.lit(part).alias("part"), text.alias("line"))
 
 
-def _fixed(anchor: DataFrame, section: int, item: int, *parts: Column | str) -> DataFrame:
-    cols = [F.lit(p) if isinstance(p, str) else p for p in parts]
-    one = anchor.sparkSession.range(1).select(F.posexplode(F.array(*cols)).alias("part", "line"))
-    return one.select(F.lit(section).alias("section"), F.lit(item).cast("bigint").alias("item"), "part", "line")
+def _lines(df: DataFrame, lines: list[Column]) -> DataFrame:
+    """All lines a row contributes, NULL ones left out: one pass over ``df``."""
+    return df.select(F.explode(F.array_compact(F.array(*lines))).alias("l")).select("l.*")
 
 
-def _none_line(rows: DataFrame, section: int, line: str) -> DataFrame:
-    """The placeholder of an empty section."""
-    n = rows.limit(1).agg(F.count(F.lit(1)).alias("n"))
-    return n.filter("n = 0").select(F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("part"),
-                                    F.lit(line).alias("line"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _figure(label: str, name: str) -> Column:
+    return F.concat(F.lit(f"- **{label}:** "), c(name).cast("string"))
 
 
 HEADINGS = [
@@ -92,47 +82,49 @@ def daily_report(articles: DataFrame, new_entities: DataFrame, trending: DataFra
     """The sectioned report over the articles of one window.
 
     ``articles`` carries title, text, source, url, category, risk_level,
-    importance, one_line and executive; ``trending`` is (type, name, n).
+    importance, one_line and executive; ``trending`` is (type, name, n) cut to a
+    few rows per type.  Headings, figures and empty-section notes come from one
+    aggregate row; everything else from one pass over the articles.
     """
     rows = sections(articles)
     count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     totals = rows.agg(
-        F.count(F.lit(1)).alias("total"), count(c("section") == "appointments").alias("appointments"),
-        count(c("section") == "company_changes").alias("changes"), count(c("section") == "procurement").alias("procurement"),
-        count(c("corruption")).alias("corruption"))
-    figure = lambda label, df, name: F.concat(F.lit(f"- **{label}:** "), df.select(name).scalar().cast("string"))
-    parts = [_fixed(
-        rows, 0, 0, "# Daily Ownership & Company Report", f"**Run time:** {edition}", "## Summary",
-        figure("Articles processed", totals, "total"), figure("New companies", new_entities, "new_companies"),
-        figure("New agencies", new_entities, "new_agencies"), figure("Appointments", totals, "appointments"),
-        figure("Company and board changes", totals, "changes"), figure("Procurement and tenders", totals, "procurement"),
-        figure("High risk and corruption alerts", totals, "corruption"))]
-    high = rows.filter("high_priority")
-    parts += [
-        _fixed(rows, 1, -1, "## High Priority Events"),
-        _none_line(high, 1, "*No high priority alerts triggered in this window.*"),
-        _lines(high, 1, F.concat(F.lit("### "), c("title")), F.concat(F.lit("- **Category:** "), F.coalesce("category", F.lit("Other"))),
-               F.concat(F.lit("- **Risk score:** "), F.format_string("%.1f (%s)", c("importance") * 0.8, c("risk_level"))),
-               F.concat(F.lit("- **Summary:** "), c("executive")), F.concat(F.lit("- **Source:** "), c("source"))),
+        F.count(F.lit(1)).alias("total"), count(c("high_priority")).alias("high"), count(c("corruption")).alias("corruption"),
+        *[count(c("section") == name).alias(name) for name in EVENT_SECTIONS],
+    ).withColumns({n: new_entities.select(n).scalar() for n in ("new_companies", "new_agencies")})
+    empty = lambda n: c(n) == 0
+    head = [
+        _line(0, 0, "# Daily Ownership & Company Report"), _line(0, 1, f"**Run time:** {edition}"), _line(0, 2, "## Summary"),
+        _line(0, 3, _figure("Articles processed", "total")), _line(0, 4, _figure("New companies", "new_companies")),
+        _line(0, 5, _figure("New agencies", "new_agencies")), _line(0, 6, _figure("Appointments", "appointments")),
+        _line(0, 7, _figure("Company and board changes", "company_changes")), _line(0, 8, _figure("Procurement and tenders", "procurement")),
+        _line(0, 9, _figure("High risk and corruption alerts", "corruption")),
+        _line(1, 0, "## High Priority Events"),
+        F.when(empty("high"), _line(1, 1, "*No high priority alerts triggered in this window.*")),
+        _line(7, 0, "## Corruption Risk Alerts"),
+        F.when(empty("corruption"), _line(7, 1, "*No corruption risk signals flagged.*")),
+        _line(8, 0, "## Trending Entities"), _line(9, 0, "## Sources"),
     ]
+    item = c("seq")
+    entry = F.concat(F.lit("- **"), c("title"), F.lit("** ("), c("source"), F.lit(") - *"), c("one_line"), F.lit("*"))
+    body = [F.when(c("high_priority"), _line(1, part, text, item)) for part, text in enumerate((
+        F.concat(F.lit("### "), c("title")), F.concat(F.lit("- **Category:** "), F.coalesce("category", F.lit("Other"))),
+        F.concat(F.lit("- **Risk score:** "), T.fixed1(c("importance") * 0.8), F.lit(" ("), c("risk_level"), F.lit(")")),
+        F.concat(F.lit("- **Summary:** "), c("executive")), F.concat(F.lit("- **Source:** "), c("source"))))]
     for i, (name, heading, none) in enumerate(HEADINGS, start=2):
-        inside = rows.filter(c("section") == name)
-        parts += [_fixed(rows, i, -1, heading), _none_line(inside, i, none),
-                  _lines(inside, i, F.concat(F.lit("- **"), c("title"), F.lit("** ("), c("source"), F.lit(") - *"), c("one_line"), F.lit("*")))]
-    risky = rows.filter("corruption")
-    parts += [
-        _fixed(rows, 7, -1, "## Corruption Risk Alerts"), _none_line(risky, 7, "*No corruption risk signals flagged.*"),
-        _lines(risky, 7, F.concat(F.lit("- **"), c("title"), F.lit("** ("), c("source"), F.lit(") - **Risk score: "),
-                                  F.format_string("%.1f", c("importance") * 0.85), F.lit("** - *"), c("executive"), F.lit("*"))),
-        _fixed(rows, 8, -1, "## Trending Entities"),
-        trending.select(
-            F.lit(8).alias("section"), F.xxhash64("type").alias("_h"), "type", "name", "n").select(
-            "section", F.when(c("type") == "company", 1).when(c("type") == "agency", 2).when(c("type") == "person", 3).otherwise(4).cast("bigint").alias("item"),
-            F.row_number().over(_by_type()).alias("part"), F.concat(F.lit("- "), c("type"), F.lit(": "), c("name"), F.lit(" ("), c("n").cast("string"), F.lit(")")).alias("line")),
-        _fixed(rows, 9, -1, "## Sources"),
-        _lines(rows, 9, F.concat(F.lit("- ["), c("source"), F.lit("]("), c("url"), F.lit(") - "), c("title"))),
+        head += [_line(i, 0, heading), F.when(empty(name), _line(i, 1, none))]
+        body.append(F.when(c("section") == name, _line(i, 0, entry, item)))
+    body += [
+        F.when(c("corruption"), _line(7, 0, F.concat(
+            F.lit("- **"), c("title"), F.lit("** ("), c("source"), F.lit(") - **Risk score: "),
+            T.fixed1(c("importance") * 0.85), F.lit("** - *"), c("executive"), F.lit("*")), item)),
+        _line(9, 0, F.concat(F.lit("- ["), c("source"), F.lit("]("), c("url"), F.lit(") - "), c("title")), item),
     ]
-    return _union(parts)
+    kind = F.when(c("type") == "company", 1).when(c("type") == "agency", 2).when(c("type") == "person", 3).otherwise(4)
+    popular = trending.select(
+        F.lit(8).alias("section"), kind.cast("bigint").alias("item"), F.row_number().over(_by_type()).alias("part"),
+        F.concat(F.lit("- "), c("type"), F.lit(": "), c("name"), F.lit(" ("), c("n").cast("string"), F.lit(")")).alias("line"))
+    return _lines(totals, head).unionByName(_lines(rows, body)).unionByName(popular)
 
 
 def _by_type():
@@ -149,53 +141,57 @@ def brief(records: DataFrame, generated: str, key_items: int = 8) -> DataFrame:
     """
     from ownerlens.operators.stats import run_counts
 
-    counts = run_counts(records)
-    figure = lambda label, name: F.concat(F.lit(f"- **{label}:** "), counts.select(name).scalar().cast("string"))
-    risky = c("risk_level").isin("High", "Critical")
-    high = records.filter(risky)
-    other = records.filter(~F.coalesce(risky, F.lit(False))).orderBy("seq").limit(key_items)
-    appointed = records.filter(c("event_type") == "Appointment")
-    bought = records.filter((c("event_type") == "Procurement") | F.coalesce(c("has_procurement"), F.lit(False)))
+    risky = F.coalesce(c("risk_level").isin("High", "Critical"), F.lit(False))
+    bought = F.coalesce((c("event_type") == "Procurement") | c("has_procurement"), F.lit(False))
+    appointed = F.coalesce(c("event_type") == "Appointment", F.lit(False))
+    counts = run_counts(records).withColumn("other", records.filter(~risky).limit(1).agg(F.count(F.lit(1))).scalar())
     item = lambda fallback, text: F.concat(
         F.lit("*   **"), F.coalesce(c("title"), F.lit(fallback)), F.lit("**: "), F.coalesce(T.non_empty(c("summary")), F.lit(text)))
-    changes = appointed.select("seq").unionAll(bought.select("seq"))
-    return _union([
-        _fixed(records, 0, 0, "# Daily Ownership & Company Brief", f"**Generated on:** {generated}", "## Summary Statistics",
-               figure("Total Articles Processed", "total"), figure("High Risk Signals", "high_risk"),
-               figure("Appointments Logged", "appointments"), figure("Procurement Awards", "procurement")),
-        _fixed(records, 1, -1, "### Key Developments"),
-        _none_line(other, 1, "*   *Routine market intelligence signals monitored across counterparties.*"),
-        _lines(other, 1, item("Corporate Event", "Key corporate update recorded.")),
-        _fixed(records, 2, -1, "### High Risk Alerts"),
-        _none_line(high, 2, "*   *No critical risk threshold breaches recorded in this run window.*"),
-        _lines(high, 2, item("Risk Alert", "Elevated risk indicator detected.")),
-        _fixed(records, 3, -1, "### Procurement & Board Changes"),
-        _none_line(changes, 3, "*   *No new public procurement or executive board changes logged in this window.*"),
-        _lines(appointed, 3, F.concat(F.lit("*   **Key Appointment**: "), F.coalesce("person", F.lit("Executive")), F.lit(" logged under "),
-                                      F.coalesce("organization", F.lit("Counterparty")), F.lit("."))),
-        _lines(bought, 4, F.concat(F.lit("*   **Procurement**: "), F.coalesce("title", F.lit("Contract Award")))),
-    ])
+    head = [
+        _line(0, 0, "# Daily Ownership & Company Brief"), _line(0, 1, f"**Generated on:** {generated}"), _line(0, 2, "## Summary Statistics"),
+        _line(0, 3, _figure("Total Articles Processed", "total")), _line(0, 4, _figure("High Risk Signals", "high_risk")),
+        _line(0, 5, _figure("Appointments Logged", "appointments")), _line(0, 6, _figure("Procurement Awards", "procurement")),
+        _line(1, 0, "### Key Developments"),
+        F.when(c("other") == 0, _line(1, 1, "*   *Routine market intelligence signals monitored across counterparties.*")),
+        _line(2, 0, "### High Risk Alerts"),
+        F.when(c("high_risk") == 0, _line(2, 1, "*   *No critical risk threshold breaches recorded in this run window.*")),
+        _line(3, 0, "### Procurement & Board Changes"),
+        F.when((c("appointments") == 0) & (c("procurement") == 0),
+               _line(3, 1, "*   *No new public procurement or executive board changes logged in this window.*")),
+    ]
+    seq = c("seq")
+    body = [
+        F.when(risky, _line(2, 0, item("Risk Alert", "Elevated risk indicator detected."), seq)),
+        F.when(appointed, _line(3, 0, F.concat(
+            F.lit("*   **Key Appointment**: "), F.coalesce("person", F.lit("Executive")), F.lit(" logged under "),
+            F.coalesce("organization", F.lit("Counterparty")), F.lit(".")), seq)),
+        F.when(bought, _line(4, 0, F.concat(F.lit("*   **Procurement**: "), F.coalesce("title", F.lit("Contract Award"))), seq)),
+    ]
+    key = records.filter(~risky).orderBy("seq").limit(key_items)
+    return (
+        _lines(counts, head)
+        .unionByName(_lines(key, [_line(1, 0, item("Corporate Event", "Key corporate update recorded."), seq)]))
+        .unionByName(_lines(records, body))
+    )
 
 
 def compliance_brief(register: DataFrame) -> DataFrame:
     """Portfolio figures and a block per record; undisclosed figures say so."""
-    totals = psc.summarise(register)
-    one = lambda name: totals.select(name).scalar()
-    percent = lambda v: F.coalesce(F.format_string("%.1f%%", v), F.lit("not disclosed"))
     or_text = lambda name, text: F.coalesce(T.non_empty(c(name)), F.lit(text))
-    mean = F.when(one("mean_stake").isNull(), "not disclosed").otherwise(percent(one("mean_stake")))
-    share = F.when(one("disclosure_rate").isNull(), "not disclosed").otherwise(
-        F.concat(F.round(one("disclosure_rate") * 100).cast("int").cast("string"), F.lit("%")))
-    demo = F.when(one("is_demo"), F.lit("> **NOT FOR COMPLIANCE USE.** Contains illustrative seed records.")).otherwise(F.lit(""))
-    head = _fixed(
-        register, 0, 0, "# Persons with Significant Control: Audit Brief", demo, "## Summary",
-        F.concat(F.lit("- **Control records:** "), one("total").cast("string")), F.concat(F.lit("- **Mean disclosed stake:** "), mean),
-        F.concat(F.lit("- **Held via a vehicle:** "), one("indirect").cast("string")),
-        F.concat(F.lit("- **With red flags:** "), one("flagged").cast("string"), F.lit(" ("), one("high_severity").cast("string"), F.lit(" high severity)")),
-        F.concat(F.lit("- **Citing a filing reference:** "), share))
+    undisclosed = F.lit("not disclosed")
+    mean = F.when(c("mean_stake").isNull(), undisclosed).otherwise(F.concat(T.fixed1(c("mean_stake"), ties_up=True), F.lit("%")))
+    share = F.when(c("disclosure_rate").isNull(), undisclosed).otherwise(
+        F.concat(F.round(c("disclosure_rate") * 100).cast("int").cast("string"), F.lit("%")))
+    head = _lines(psc.summarise(register), [
+        _line(0, 0, "# Persons with Significant Control: Audit Brief"),
+        F.when(c("is_demo"), _line(0, 1, "> **NOT FOR COMPLIANCE USE.** Contains illustrative seed records.")),
+        _line(0, 2, "## Summary"), _line(0, 3, _figure("Control records", "total")),
+        _line(0, 4, F.concat(F.lit("- **Mean disclosed stake:** "), mean)), _line(0, 5, _figure("Held via a vehicle", "indirect")),
+        _line(0, 6, F.concat(_figure("With red flags", "flagged"), F.lit(" ("), c("high_severity").cast("string"), F.lit(" high severity)"))),
+        _line(0, 7, F.concat(F.lit("- **Citing a filing reference:** "), share)),
+    ])
     titles = F.array_join(F.transform("flags", lambda f: f["title"]), ", ")
-    body = _lines(
-        psc.annotate(register), 1,
+    blocks = (
         F.concat(F.lit("### "), or_text("person_name", "Undisclosed holder"), F.lit(" — "), or_text("company", "Undisclosed company")),
         F.concat(F.lit("- **Stake:** "), or_text("percentage", "not disclosed"), F.lit(" (Direct: "), or_text("direct_pct", "N/A"),
                  F.lit(", Indirect: "), or_text("indirect_pct", "N/A"), F.lit(")")),
@@ -203,8 +199,9 @@ def compliance_brief(register: DataFrame) -> DataFrame:
         F.concat(F.lit("- **Nature of control:** "), or_text("nature_of_control", "not disclosed")),
         F.concat(F.lit("- **PEP status:** "), or_text("pep_status", "not disclosed")),
         F.concat(F.lit("- **Red flags:** "), F.coalesce(T.non_empty(titles), F.lit("Clean Disclosure"))),
-        F.concat(F.lit("- **Filing reference:** "), or_text("filing_ref", "not disclosed")))
-    return head.unionByName(body)
+        F.concat(F.lit("- **Filing reference:** "), or_text("filing_ref", "not disclosed")),
+    )
+    return head.unionByName(_lines(psc.annotate(register), [_line(1, i, text, c("seq")) for i, text in enumerate(blocks)]))
 
 
 def write_report(lines: DataFrame, path: str) -> None:

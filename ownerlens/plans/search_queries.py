@@ -9,7 +9,8 @@ from ownerlens.operators import extract as X, links as L, reports as P, search a
 from ownerlens.plans import sqltext as Q
 from ownerlens.plans.extract_queries import MENTIONS_SQL, mentions
 from ownerlens.plans.feed_queries import report_articles
-from ownerlens.plans.graph_queries import linked
+from ownerlens.plans.graph_queries import LINKED_SQL, linked
+from ownerlens.plans.psc_queries import COUNTS_SQL
 from ownerlens.plans.registry import query
 from ownerlens.plans.text_queries import FULL, IMPORTANCE_SQL, SUMMARY_SQL, full_text
 
@@ -146,7 +147,31 @@ def rep01(t):
     return P.sections(scored(t)).select("seq", "section", "high_priority", "corruption")
 
 
-@query("rep02_daily_report", None)
+_ENTRY = "concat('- **', title, '** (', source, ') - *', one_line, '*')"
+_HEAD_TEXT = {n: (h, none) for n, h, none in P.HEADINGS}
+_DAILY = f"""{LINKED_SQL}, {_SECTIONED}, day_v AS (SELECT * FROM sec_v WHERE seq IN (SELECT seq FROM win_v)),
+ tot_v AS (SELECT count(*) AS total, count(*) FILTER (high_priority) AS high, count(*) FILTER (corruption) AS corruption, {', '.join(f"count(*) FILTER (section = '{n}') AS {n}" for n in P.EVENT_SECTIONS)},
+   (SELECT count(DISTINCT entity_id) FILTER (type = 'company') FROM linked_v) AS new_companies, (SELECT count(DISTINCT entity_id) FILTER (type = 'agency') FROM linked_v) AS new_agencies FROM day_v),
+ n_v AS (SELECT type, name, count(*) AS n FROM linked_v GROUP BY 1, 2),
+ kw_v AS (SELECT 'keyword' AS type, name, count(*) AS n FROM (SELECT category AS name FROM day_v WHERE category IS NOT NULL UNION ALL SELECT concat(risk_level, ' Risk') FROM day_v) k GROUP BY 2 ORDER BY n DESC, name LIMIT 5),
+ top_v AS (SELECT * FROM (SELECT type, name, n, row_number() OVER (PARTITION BY type ORDER BY n DESC, name) AS r FROM (SELECT * FROM n_v UNION ALL SELECT * FROM kw_v) z) y WHERE r <= 5),
+ line_v(section, item, part, line) AS (
+  SELECT 0, -1, i, x FROM (SELECT unnest(['# Daily Ownership & Company Report', '**Run time:** 10:00 AM', '## Summary', concat('- **Articles processed:** ', total), concat('- **New companies:** ', new_companies),
+     concat('- **New agencies:** ', new_agencies), concat('- **Appointments:** ', appointments), concat('- **Company and board changes:** ', company_changes), concat('- **Procurement and tenders:** ', procurement),
+     concat('- **High risk and corruption alerts:** ', corruption)]) AS x, unnest(range(10)) AS i FROM tot_v)
+  UNION ALL SELECT * FROM (VALUES (1, -1, 0, '## High Priority Events'), (7, -1, 0, '## Corruption Risk Alerts'), (8, -1, 0, '## Trending Entities'), (9, -1, 0, '## Sources'),
+     {', '.join(f"({i}, -1, 0, {Q.lit(_HEAD_TEXT[n][0])})" for i, n in enumerate(P.EVENT_SECTIONS, 2))}) v
+  UNION ALL SELECT 1, -1, 1, '*No high priority alerts triggered in this window.*' FROM tot_v WHERE high = 0
+  UNION ALL SELECT 7, -1, 1, '*No corruption risk signals flagged.*' FROM tot_v WHERE corruption = 0
+  {' '.join(f"UNION ALL SELECT {i}, -1, 1, {Q.lit(_HEAD_TEXT[n][1])} FROM tot_v WHERE {n} = 0 UNION ALL SELECT {i}, seq, 0, {_ENTRY} FROM day_v WHERE section = '{n}'" for i, n in enumerate(P.EVENT_SECTIONS, 2))}
+  UNION ALL SELECT 1, seq, i, x FROM (SELECT seq, unnest(range(5)) AS i, unnest([concat('### ', title), concat('- **Category:** ', coalesce(category, 'Other')), concat('- **Risk score:** ', printf('%.1f', importance * 0.8), ' (', risk_level, ')'),
+     concat('- **Summary:** ', executive), concat('- **Source:** ', source)]) AS x FROM day_v WHERE high_priority)
+  UNION ALL SELECT 7, seq, 0, concat('- **', title, '** (', source, ') - **Risk score: ', printf('%.1f', importance * 0.85), '** - *', executive, '*') FROM day_v WHERE corruption
+  UNION ALL SELECT 8, CASE type WHEN 'company' THEN 1 WHEN 'agency' THEN 2 WHEN 'person' THEN 3 ELSE 4 END, r, concat('- ', type, ': ', name, ' (', n, ')') FROM top_v
+  UNION ALL SELECT 9, seq, 0, concat('- [', source, '](', url, ') - ', title) FROM day_v)"""
+
+
+@query("rep02_daily_report", f"WITH {_DAILY} SELECT section, item, part, line FROM line_v")
 def rep02(t):
     rows = scored(t, report_articles(t))
     ties = linked(t)
@@ -165,14 +190,14 @@ def run_records(t):
 _BRIEF = f"""{_SCORED}, rec_v AS (SELECT *, risk_level IN ('High', 'Critical') AS risky, event_type = 'Procurement' OR seq % 10 = 1 AS bought,
    concat('*   **', title, '**: ', CASE WHEN executive <> '' THEN executive ELSE '{{}}' END) AS item FROM art_v),
  oth_v AS (SELECT * FROM rec_v WHERE NOT risky ORDER BY seq LIMIT 8),
- fix_v AS (SELECT * FROM (VALUES (0, 0, 0, '# Daily Ownership & Company Brief'), (0, 0, 1, '**Generated on:** 2024-01-04 10:00:00'), (0, 0, 2, '## Summary Statistics'),
+ fix_v AS (SELECT * FROM (VALUES (0, -1, 0, '# Daily Ownership & Company Brief'), (0, -1, 1, '**Generated on:** 2024-01-04 10:00:00'), (0, -1, 2, '## Summary Statistics'),
    (1, -1, 0, '### Key Developments'), (2, -1, 0, '### High Risk Alerts'), (3, -1, 0, '### Procurement & Board Changes')) v(section, item, part, line)),
  num_v AS (SELECT count(*) AS total, count(*) FILTER (risky) AS high, count(*) FILTER (event_type = 'Appointment') AS app, count(*) FILTER (bought) AS proc FROM rec_v)"""
 
 
 @query("rep03_run_brief", f"""WITH {_BRIEF} SELECT * FROM fix_v
- UNION ALL SELECT 0, 0, 3, concat('- **Total Articles Processed:** ', total) FROM num_v UNION ALL SELECT 0, 0, 4, concat('- **High Risk Signals:** ', high) FROM num_v
- UNION ALL SELECT 0, 0, 5, concat('- **Appointments Logged:** ', app) FROM num_v UNION ALL SELECT 0, 0, 6, concat('- **Procurement Awards:** ', proc) FROM num_v
+ UNION ALL SELECT 0, -1, 3, concat('- **Total Articles Processed:** ', total) FROM num_v UNION ALL SELECT 0, -1, 4, concat('- **High Risk Signals:** ', high) FROM num_v
+ UNION ALL SELECT 0, -1, 5, concat('- **Appointments Logged:** ', app) FROM num_v UNION ALL SELECT 0, -1, 6, concat('- **Procurement Awards:** ', proc) FROM num_v
  UNION ALL SELECT 1, seq, 0, replace(item, '{{}}', 'Key corporate update recorded.') FROM oth_v
  UNION ALL SELECT 2, seq, 0, replace(item, '{{}}', 'Elevated risk indicator detected.') FROM rec_v WHERE risky
  UNION ALL SELECT 3, seq, 0, concat('*   **Key Appointment**: Executive logged under ', CASE WHEN seq % 2 = 0 THEN concat('Company ', CAST(seq % 50 AS STRING)) ELSE 'Counterparty' END, '.') FROM rec_v WHERE event_type = 'Appointment'
@@ -181,7 +206,22 @@ def rep03(t):
     return P.brief(run_records(t), "2024-01-04 10:00:00")
 
 
-@query("rep04_compliance_brief", None)
+_TITLES = "(SELECT string_agg(f.title, ', ' ORDER BY f.ord) FROM flag_v f WHERE f.seq = a.seq)"
+_MAYBE = "coalesce(nullif({}, ''), '{}')"
+_BLOCKS = ", ".join([
+    "concat('### ', person_name, ' — ', company)",
+    f"concat('- **Stake:** ', {_MAYBE.format('percentage', 'not disclosed')}, ' (Direct: ', {_MAYBE.format('direct_pct', 'N/A')}, ', Indirect: ', {_MAYBE.format('indirect_pct', 'N/A')}, ')')",
+    "concat('- **Vehicle:** ', CASE WHEN is_direct THEN 'Direct Ownership' ELSE vehicle END)",
+    f"concat('- **Nature of control:** ', {_MAYBE.format('nature_of_control', 'not disclosed')})", "concat('- **PEP status:** ', pep_status)",
+    f"concat('- **Red flags:** ', coalesce({_TITLES}, 'Clean Disclosure'))", f"concat('- **Filing reference:** ', {_MAYBE.format('filing_ref', 'not disclosed')})"])
+
+
+@query("rep04_compliance_brief", f"""WITH {COUNTS_SQL}, tot_v AS (SELECT count(*) AS total, avg(pct) AS mean, count(*) FILTER (NOT is_direct) AS indirect, count(*) FILTER (n_flags > 0) AS flagged,
+   count(*) FILTER (n_high > 0) AS high, count(*) FILTER (trim(filing_ref) <> '') / count(*) AS rate FROM ann_v)
+ SELECT 0 AS section, -1 AS item, i AS part, x AS line FROM (SELECT unnest(range(8)) AS i, unnest(['# Persons with Significant Control: Audit Brief', '> **NOT FOR COMPLIANCE USE.** Contains illustrative seed records.', '## Summary',
+   concat('- **Control records:** ', total), concat('- **Mean disclosed stake:** ', printf('%.1f', mean), '%'), concat('- **Held via a vehicle:** ', indirect),
+   concat('- **With red flags:** ', flagged, ' (', high, ' high severity)'), concat('- **Citing a filing reference:** ', CAST(round(rate * 100) AS INTEGER), '%')]) AS x FROM tot_v)
+ UNION ALL SELECT 1, seq, i, x FROM (SELECT seq, unnest(range(7)) AS i, unnest([{_BLOCKS}]) AS x FROM ann_v a)""")
 def rep04(t):
     return P.compliance_brief(t.psc_v)
 
