@@ -1,17 +1,21 @@
 """Entity resolution: exact name, alias, best fuzzy match, else a new entity."""
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from ownerlens.functions.similarity import TextIndex, ratio
+from ownerlens.functions.similarity import TextMatcher, ratio
 from ownerlens.operators.dedup import greedy_sweep
 from ownerlens.operators.keys import first_per_key, global_rank, top_per_key
 from ownerlens.session import materialise
 
 c = F.col
 LEAST = 0.80
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @F.pandas_udf(DoubleType())
@@ -90,7 +94,7 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     rest = materialise(rest.join(fuzzy, "mention_id", "left_anti"), "unresolved")
 
     items = rest.select(c("mention_id").alias("seq"), c("type").alias("group"), F.lower("name").alias("value"))
-    founders = greedy_sweep(items, lambda: TextIndex(LEAST, strict=True)).withColumnRenamed("seq", "mention_id")
+    founders = greedy_sweep(items, TextMatcher(LEAST, strict=True)).withColumnRenamed("seq", "mention_id")
     highest = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).scalar()
     new = materialise(
         global_rank(rest.join(founders, "mention_id", "left_semi"), c("mention_id"), "_n")
