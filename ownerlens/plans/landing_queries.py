@@ -15,27 +15,28 @@ from ownerlens.sources import feeds, jsonl
 from ownerlens.streaming import feed
 
 c = F.col
-_URL = "concat('https://src', CAST(doc_id % 7 AS STRING), '.example/', CAST(doc_id - doc_id % 2 AS STRING))"
+_URL = "concat('https://src', CAST(doc_id % 7 AS STRING), '.example/', CAST(doc_id AS STRING))"
 _TITLE = "concat('R&amp;D at A & B ', CAST(doc_id AS STRING))"
 
 
-def land_rss(t):
-    """RSS items of every document, as XML text."""
-    path = scratch_path(t.spark, "rss")
+def rss_bodies(t):
+    """One RSS response per pair of documents, holding both, with a repeated first item."""
     k = c("doc_id")
     item = F.struct(
         F.expr(_TITLE).alias("title"), F.expr(_URL).alias("link"),
         F.when(k % 5 != 0, "Mon, 01 Jan 2024 10:00:00 GMT").alias("pubDate"),
         F.when(k % 3 != 0, F.concat(F.lit("<b>x</b> &quot;"), F.left(F.translate("text", "\n", " "), F.lit(60)))).alias("description"),
         F.when(k % 4 != 0, F.struct(c("source").alias("_VALUE"), F.lit("https://p.example").alias("_url"))).alias("source"))
-    t.documents.select(F.to_xml(item, {"rowTag": "item"}).alias("value")).write.text(path)
-    return path
+    xml = F.to_xml(item, {"rowTag": "item"})
+    body = F.concat(F.lit("<rss><channel><title>feed</title>"), xml, xml, F.lit("</channel></rss>"))
+    return t.documents.select(k.alias("feed"), body.alias("body"))
 
 
-@query("src01_rss_items", f"""SELECT url, count(*) AS n, bool_and(title LIKE 'R&D at A & B %') AS decoded FROM (SELECT DISTINCT {_URL} AS url, 'R&D at A & B ' AS title FROM documents) d GROUP BY url""")
+@query("src01_rss_items", f"""SELECT {_URL} AS url, replace({_TITLE}, '&amp;', '&') AS title, CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'Google News' END AS source,
+  CASE WHEN doc_id % 5 <> 0 THEN 'Mon, 01 Jan 2024 10:00:00 GMT' ELSE '' END AS published_at_raw,
+  trim(CASE WHEN doc_id % 3 <> 0 THEN concat('<b>x</b> "', left(replace(text, chr(10), ' '), 60)) ELSE replace({_TITLE}, '&amp;', '&') END) AS raw_text FROM documents""")
 def src01(t):
-    rows = feeds.read_rss(t.spark, land_rss(t))
-    return rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.startswith("title", F.lit("R&D at A & B "))).alias("decoded"))
+    return feeds.articles_from_feeds(rss_bodies(t)).select("url", "title", "source", "published_at_raw", F.trim("raw_text").alias("raw_text"))
 
 
 _PAYLOAD_ROWS = {

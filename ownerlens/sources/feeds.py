@@ -78,19 +78,28 @@ def articles_from_items(items: DataFrame, order: str = "seq") -> DataFrame:
     return first_per_key(rows, ["url"], (order,))
 
 
-RSS_SCHEMA = "title string, link string, pubDate string, description string, source struct<_VALUE:string,_url:string>"
+RSS_SCHEMA = (
+    "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string,"
+    "source:struct<_VALUE:string,_url:string>>>>"
+)
+
+
+def articles_from_feeds(bodies: DataFrame) -> DataFrame:
+    """Articles of fetched RSS documents ``(feed, body)``: one row per response.
+
+    Arrival order is the feed, then the position in it.
+    """
+    parsed = bodies.select("feed", F.from_xml("body", RSS_SCHEMA).alias("rss"))
+    items = parsed.select("feed", F.posexplode("rss.channel.item").alias("pos", "item")).select(
+        F.struct("feed", "pos").alias("arrival"), "item.title", "item.link", "item.pubDate", "item.description",
+        c("item.source._VALUE").alias("source"))
+    return articles_from_items(items, "arrival")
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """RSS files of all topic queries; arrival is file, then position in it."""
-    raw = (
-        spark.read.format("xml").option("rowTag", "item").schema(RSS_SCHEMA).load(path)
-        .withColumn("_file", c("_metadata.file_path"))
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("source", c("source._VALUE"))
-        .withColumn("_arrival", F.struct("_file", "_pos"))
-    )
-    return articles_from_items(raw, "_arrival").drop("_arrival")
+    """Landed RSS files, one fetched response each; a response is small, so it is read whole."""
+    files = spark.read.option("wholetext", True).text(path)
+    return articles_from_feeds(files.select(c("_metadata.file_path").alias("feed"), c("value").alias("body")))
 
 
 def combine(parts: Sequence[DataFrame], pos: str = "pos") -> DataFrame:
