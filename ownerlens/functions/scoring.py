@@ -7,34 +7,47 @@ from ownerlens import vocab as V
 from ownerlens.functions import text as T
 
 
-def detect_language(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_count(low, F.lit(r"(?U)\b[a-z]+\b"))
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+# Every score has a form over text lower-cased already (``*_in``), so a chain of
+# scores lower-cases a text once; the plain form does it itself.
+
+
+def language_in(low: Column) -> Column:
+    words = F.regexp_count(low, F.lit(T.WORD_START + "[a-z]++" + T.WORD_END))
     english = F.regexp_count(low, F.lit(T.whole_words(V.ENGLISH_STOPWORDS)))
-    return (
-        F.when(words == 0, "unknown")
-        .when(english / F.nullif(words, F.lit(0)) > 0.10, "en")
-        .otherwise("other")
-    )
+    return T.let(F.struct(words.alias("n"), english.alias("en")), lambda x: (
+        F.when(x["n"] == 0, "unknown").when(x["en"] / F.nullif(x["n"], F.lit(0)) > 0.10, "en").otherwise("other")))
 
 
-def sentiment(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def detect_language(text: Column) -> Column:
+    return T.let(lowered(text), language_in)
+
+
+def sentiment_in(low: Column) -> Column:
     margin = T.count_substrings(low, V.POSITIVE_STEMS) - T.count_substrings(low, V.NEGATIVE_STEMS)
     return T.let(margin, lambda m: F.when(m > 1, "Positive").when(m < -1, "Negative").otherwise("Neutral"))
 
 
-def risk_level(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def sentiment(text: Column) -> Column:
+    return T.let(lowered(text), sentiment_in)
+
+
+def risk_in(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for tier in reversed(list(V.RISK_TIERS)):
         out = F.when(F.rlike(low, F.lit(T.whole_words(V.RISK_TIERS[tier], plural=True))), tier).otherwise(out)
     return F.coalesce(out, F.lit("Low"))
 
 
-def category(text: Column) -> Column:
+def risk_level(text: Column) -> Column:
+    return T.let(lowered(text), risk_in)
+
+
+def category_in(low: Column) -> Column:
     """Strict maximum of three vocabularies, else a person's title, else General."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     n = {name: T.count_substrings(low, words) for name, words in V.CATEGORY_WORDS.items()}
 
     def leader(n: Column) -> Column:
@@ -51,9 +64,16 @@ def category(text: Column) -> Column:
     )
 
 
+def category(text: Column) -> Column:
+    return T.let(lowered(text), category_in)
+
+
 def importance(text: Column, positions: Column, n_people: Column, n_orgs: Column, cat: Column) -> Column:
     """0–100 from government level, seniority, size of cast and event words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return T.let(lowered(text), lambda low: importance_in(low, positions, n_people, n_orgs, cat))
+
+
+def importance_in(low: Column, positions: Column, n_people: Column, n_orgs: Column, cat: Column) -> Column:
     senior = F.arrays_overlap(
         F.transform(positions, F.lower), F.array(*[F.lit(t.lower()) for t in V.SENIOR_TITLES])
     )
@@ -76,7 +96,7 @@ def sentences(text: Column) -> Column:
 
 
 _DATE_WORDS = (
-    r"(?iU)\b(?:(?:19|20)\d{2}|" + "|".join(V.MONTH_WORDS) + "|" + "|".join(V.DAY_WORDS) + r")\b"
+    T.WORD_START + r"(?:(?:19|20)\d{2}|" + T.any_of([w.lower() for w in V.MONTH_WORDS + V.DAY_WORDS]) + ")" + T.WORD_END
 )
 
 
@@ -84,7 +104,7 @@ def summaries(title: Column, text: Column) -> Column:
     """STRUCT of four extractive summaries."""
 
     def build(s: Column) -> Column:
-        dated = F.slice(F.filter(s, lambda x: F.rlike(x, F.lit(_DATE_WORDS))), 1, 3)
+        dated = F.slice(F.filter(s, lambda x: F.rlike(F.lower(x), F.lit(_DATE_WORDS))), 1, 3)
         chosen = T.let(dated, lambda d: F.when(F.size(d) > 0, d).otherwise(F.slice(s, 1, 3)))
         some = F.size(s) > 0
         return F.struct(
@@ -114,13 +134,19 @@ def off_topic(title: Column, summary: Column) -> Column:
     percentage; a scoreline corroborates sport, or stands with a result verb.
     """
     raw = F.concat_ws(" ", title, summary)
-    t = F.lower(F.replace(raw, F.lit("’"), F.lit("'")))
+    return T.let(F.lower(F.replace(raw, F.lit("’"), F.lit("'"))), off_topic_in)
+
+
+_SPORT, _FUN = T.whole_words(V.SPORT_TERMS), T.whole_words(V.ENTERTAINMENT_TERMS)
+
+
+def off_topic_in(t: Column) -> Column:
+    """:func:`off_topic` over normalised text."""
     owned = F.rlike(t, F.lit(T.whole_words(V.OWNERSHIP_STRONG_TERMS))) | (
         F.rlike(t, F.lit(T.whole_words(V.OWNERSHIP_WEAK_TERMS)))
         & F.rlike(t, F.lit("(?U)" + V.PERCENTAGE_PATTERN))
     )
-    sport_re, fun_re = T.whole_words(V.SPORT_TERMS), T.whole_words(V.ENTERTAINMENT_TERMS)
-    sport, fun = F.rlike(t, F.lit(sport_re)), F.rlike(t, F.lit(fun_re))
+    sport, fun = F.rlike(t, F.lit(_SPORT)), F.rlike(t, F.lit(_FUN))
     score = F.rlike(t, F.lit("(?U)" + V.SCORELINE_PATTERN))
     verb = F.rlike(t, F.lit(T.whole_words(V.RESULT_VERBS)))
 
@@ -131,7 +157,7 @@ def off_topic(title: Column, summary: Column) -> Column:
     reason = (
         F.when(
             sport,
-            F.struct(F.lit("sport").alias("topic"), F.array_sort(F.array_union(matched(sport_re), line)).alias("matched")),
+            F.struct(F.lit("sport").alias("topic"), F.array_sort(F.array_union(matched(_SPORT), line)).alias("matched")),
         )
         .when(
             score & verb,
@@ -140,9 +166,9 @@ def off_topic(title: Column, summary: Column) -> Column:
                 F.array(F.lit("result verb"), F.lit("scoreline")).alias("matched"),
             ),
         )
-        .when(fun, F.struct(F.lit("entertainment").alias("topic"), F.array_sort(matched(fun_re)).alias("matched")))
+        .when(fun, F.struct(F.lit("entertainment").alias("topic"), F.array_sort(matched(_FUN)).alias("matched")))
     )
-    return F.when(~F.coalesce(owned, F.lit(True)), reason)
+    return F.when(~owned, reason)
 
 
 def is_off_topic(title: Column, summary: Column | None = None) -> Column:
@@ -152,7 +178,10 @@ def is_off_topic(title: Column, summary: Column | None = None) -> Column:
 
 def topics(text: Column) -> Column:
     """Search topics whose terms occur in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return T.let(lowered(text), topics_in)
+
+
+def topics_in(low: Column) -> Column:
     tags = [
         F.when(F.rlike(low, F.lit(T.whole_words([w.lower() for w in words]))), name)
         for name, words in V.SEARCH_TOPICS.items()
@@ -162,10 +191,12 @@ def topics(text: Column) -> Column:
 
 def mentions_country(url: Column, title: Column, text: Column) -> Column:
     """The country gate: outlet domains, place and agency names, whole-word acronyms."""
-    u = F.lower(F.coalesce(url, F.lit("")))
-    t = F.lower(F.concat_ws("\n", title, text))
-    return (
-        T.has_any(u, V.COUNTRY_URL_MARKERS)
-        | T.has_any(t, V.COUNTRY_TEXT_MARKERS)
-        | F.rlike(t, F.lit(T.whole_words(V.COUNTRY_WHOLE_WORDS)))
-    )
+    def in_text(t: Column) -> Column:
+        whole = [F.contains(t, F.lit(w)) & F.rlike(t, F.lit(T.whole_words([w]))) for w in V.COUNTRY_WHOLE_WORDS]
+        out = T.has_any(t, V.COUNTRY_TEXT_MARKERS)
+        for hit in whole:
+            out = out | hit
+        return out
+
+    in_url = T.let(F.lower(F.coalesce(url, F.lit(""))), lambda u: T.has_any(u, V.COUNTRY_URL_MARKERS))
+    return in_url | T.let(F.lower(F.concat_ws("\n", title, text)), in_text)

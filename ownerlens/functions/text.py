@@ -19,14 +19,22 @@ def quote_regex(term: str) -> str:
 
 
 def any_of(terms: Iterable[str]) -> str:
-    """An alternation, longest term first so the most specific one is reported."""
-    ordered = sorted(dict.fromkeys(terms), key=lambda t: (-len(t), t))
-    return "(?:" + "|".join(quote_regex(t) for t in ordered) + ")"
+    """An alternation grouped by first letter, so a position is ruled out by one
+    comparison per letter; longest term first within a letter, so the most
+    specific one is reported."""
+    groups: dict[str, list[str]] = {}
+    for term in sorted(dict.fromkeys(terms), key=lambda t: (-len(t), t)):
+        groups.setdefault(term[0], []).append(quote_regex(term[1:]))
+    return "(?:" + "|".join(f"{quote_regex(k)}(?:{'|'.join(v)})" for k, v in groups.items()) + ")"
+
+
+# A word boundary that is Unicode on every Java version and cheap to test.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def whole_words(terms: Iterable[str], plural: bool = False) -> str:
-    """Unicode word-boundary alternation."""
-    return r"(?U)\b" + any_of(terms) + ("s?" if plural else "") + r"\b"
+    """Whole-word alternation; the terms start and end with word characters."""
+    return WORD_START + any_of(terms) + ("s?" if plural else "") + WORD_END
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -222,10 +230,17 @@ def strip_job_titles(name: Column) -> Column:
 
 def job_titles(text: Column) -> Column:
     """Titles mentioned in the text, in list order."""
-    low = F.lower(text)
-    return F.array_compact(
-        F.array(*[F.when(F.rlike(low, F.lit(whole_words([t.lower()], plural=True))), t) for t in V.JOB_TITLES])
-    )
+    return let(F.lower(text), job_titles_in)
+
+
+def job_titles_in(low: Column) -> Column:
+    """:func:`job_titles` over text that is lower-case already."""
+
+    def mentioned(title: str) -> Column:
+        name = title.lower()
+        return F.contains(low, F.lit(name)) & F.rlike(low, F.lit(whole_words([name], plural=True)))
+
+    return F.array_compact(F.array(*[F.when(mentioned(t), t) for t in V.JOB_TITLES]))
 
 
 # ---------------------------------------------------------------- page text
@@ -267,8 +282,10 @@ def _drop_elements(html: Column, names: Iterable[str]) -> Column:
 
 def clean_html(html: Column) -> Column:
     """Visible text, one phrase per line."""
-    t = _drop_elements(F.coalesce(html, F.lit("")), ("script", "style"))
-    t = decode_entities(F.regexp_replace(t, r"(?s)<!?/?[a-zA-Z][^>]*>", ""))
+    raw = F.coalesce(html, F.lit(""))
+    bare = F.regexp_replace(_drop_elements(raw, ("script", "style")), r"(?s)<!?/?[a-zA-Z][^>]*>", "")
+    t = F.when(F.contains(raw, F.lit("<")), bare).otherwise(raw)
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("&")), decode_entities(x)).otherwise(x))
     phrases = F.split(t, r"\r\n|\r|\n|  ")
     return F.array_join(F.filter(F.transform(phrases, strip), lambda p: p != ""), "\n")
 

@@ -235,10 +235,10 @@ _LOWF = f"lower({FULL})"
    CAST(sum(risk_score) AS BIGINT) AS total_risk FROM n WHERE words > 0 AND en / nullif(words, 0) > 0.10 GROUP BY 1, 2, 3""")
 def ext08_counts(t):
     """Flagship: gate, clean, score and count the whole article table."""
-    text = full_text()
-    english = t.articles_v.filter(S.detect_language(text) == "en")
-    scored = english.select(S.risk_level(text).alias("risk_level"), S.category(text).alias("category"),
-                            S.sentiment(text).alias("sentiment"), "risk_score")
+    rows = t.articles_v.select("risk_score", S.lowered(full_text()).alias("low"))
+    low = c("low")
+    scored = rows.filter(S.language_in(low) == "en").select(
+        S.risk_in(low).alias("risk_level"), S.category_in(low).alias("category"), S.sentiment_in(low).alias("sentiment"), "risk_score")
     return scored.groupBy("risk_level", "category", "sentiment").agg(
         F.count(F.lit(1)).alias("n"), F.sum("risk_score").alias("total_risk"))
 

@@ -148,7 +148,15 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        # A small table written as one row group reads as one task.  Text work is
+        # CPU-bound, so such a table is spread; a large one has many splits and
+        # is left alone.
+        if name in ("documents", "pages"):
+            cores = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+        return df
 
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]

@@ -122,13 +122,15 @@ def jn11(t):
 
 def scored(t, rows=None):
     """Articles with the fields the reports and alerts read."""
-    text = full_text()
-    rows = (rows if rows is not None else t.articles_v).withColumns({
-        "text": text, "risk_level": S.risk_level(text), "summaries": S.summaries(c("title"), c("raw_text"))})
-    rows = rows.withColumns({"one_line": c("summaries.one_line"), "executive": c("summaries.executive")}).drop("summaries")
-    return rows.withColumn("importance", S.importance(
-        c("text"), X.T.job_titles(c("text")), c("seq") % 7, c("seq") % 6, F.coalesce("category", F.lit("")))).withColumn(
-        "event_type", F.when(c("seq") % 12 == 3, "Appointment").when(c("seq") % 12 == 6, "Procurement").otherwise("Other"))
+    rows = (rows if rows is not None else t.articles_v).withColumn("text", full_text())
+    low = c("_low")
+    rows = rows.withColumn("_low", S.lowered(c("text"))).withColumns({
+        "risk_level": S.risk_in(low), "summaries": S.summaries(c("title"), c("raw_text")),
+        "importance": S.importance_in(low, X.T.job_titles_in(low), c("seq") % 7, c("seq") % 6, F.coalesce("category", F.lit("")))})
+    return rows.withColumns({
+        "one_line": c("summaries.one_line"), "executive": c("summaries.executive"),
+        "event_type": F.when(c("seq") % 12 == 3, "Appointment").when(c("seq") % 12 == 6, "Procurement").otherwise("Other"),
+    }).drop("summaries", "_low")
 
 
 _SCORED = f"""{SUMMARY_SQL}, full_v AS (SELECT *, lower({FULL}) AS low, {Q.fold(f'lower({FULL})')} AS folded FROM sum_v),

@@ -18,6 +18,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "own
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.logging.maxLines", "10")
         .getOrCreate()
     )
