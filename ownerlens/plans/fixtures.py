@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -149,13 +150,14 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
-        # A small table written as one row group reads as one task.  Text work is
-        # CPU-bound, so such a table is spread; a large one has many splits and
-        # is left alone.
+        # A small table written as one row group reads as one task, and the text
+        # work above it is CPU-bound: spread it, and keep filters from moving
+        # back below the exchange.  A large table has many splits and is left
+        # alone, with its filters and columns pushed into the scan.
         if name in ("documents", "pages"):
             cores = self.spark.sparkContext.defaultParallelism
             if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
+                df = df.repartition(cores).observe(f"rows-{name}-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
         return df
 
     def view(self, name: str) -> DataFrame:

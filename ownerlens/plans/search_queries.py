@@ -13,6 +13,7 @@ from ownerlens.plans.graph_queries import LINKED_SQL, linked
 from ownerlens.plans.psc_queries import COUNTS_SQL
 from ownerlens.plans.registry import query
 from ownerlens.plans.text_queries import FULL, IMPORTANCE_SQL, SUMMARY_SQL, full_text
+from ownerlens.session import materialise
 
 c = F.col
 WORD = "merger"
@@ -175,8 +176,9 @@ _DAILY = f"""{LINKED_SQL}, {_SECTIONED}, day_v AS (SELECT * FROM sec_v WHERE seq
 
 @query("rep02_daily_report", f"WITH {_DAILY} SELECT section, item, part, line FROM line_v")
 def rep02(t):
-    rows = scored(t, report_articles(t))
-    ties = linked(t)
+    # The window's articles and their entities are used several times: written once.
+    rows = materialise(scored(t, report_articles(t)), "report-articles")
+    ties = materialise(linked(t), "report-entities")
     words = L.trending_keywords(rows).select(F.lit("keyword").alias("type"), "name", "n")
     trending = L.trending(ties).select("type", "name", "n").unionAll(words)
     return P.daily_report(rows, L.new_entities(ties), trending, "10:00 AM")
