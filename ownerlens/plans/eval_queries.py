@@ -113,7 +113,18 @@ def ev01(t):
     return E.features(pairs(t)).filter(F.size("fabricated") > 0).select("seq")
 
 
-@query("ev05_feedback", None)
+_WHO = f"CASE WHEN seq % 6 = 3 THEN upper(concat(' ', {_H})) WHEN seq % 6 = 4 THEN 'Someone Else' ELSE {_H} END"
+_NOTES = """list_filter([CASE WHEN gold_category <> pred_category THEN concat('category should be ''', gold_category, ''', not ''', pred_category, '''') END,
+   CASE WHEN abs(gold_risk - pred_risk) > 20 THEN concat('risk_score of ', pred_risk, ' is more than 20 points from ', gold_risk) END,
+   CASE WHEN abs(seq % 101 - (seq * 3) % 101) > 20 THEN concat('importance_score of ', (seq * 3) % 101, ' is more than 20 points from ', seq % 101) END,
+   CASE WHEN f1_holdings < 1 THEN 'holdings do not match the gold record' END, CASE WHEN f1_organizations < 1 THEN 'organizations do not match the gold record' END,
+   CASE WHEN f1_people < 1 THEN 'people do not match the gold record' END, CASE WHEN leaked THEN 'a holder of control is filed under people too' END], lambda x: x IS NOT NULL)"""
+
+
+@query("ev05_feedback", f"""WITH {_SCORES} SELECT seq, score, CASE WHEN fabricated THEN concat('Percentages the article does not state: ', {_WHO}, ': percentage=', digits, '%')
+   WHEN publication THEN 'Publications listed as parties: The Guardian' WHEN pred_relevant AND topic IS NOT NULL THEN concat('Marked relevant but is ', topic, ' coverage')
+   WHEN gold_relevant <> pred_relevant THEN CASE WHEN pred_relevant THEN 'Should have been filtered out' ELSE 'Should have been published' END
+   WHEN NOT gold_relevant THEN 'Correctly not relevant' WHEN len({_NOTES}) = 0 THEN 'Correct' ELSE concat('Fix: ', array_to_string({_NOTES}, '; ')) END AS feedback FROM score_v""")
 def ev05(t):
     return E.feedback(pairs(t)).select("seq", "score", "feedback")
 

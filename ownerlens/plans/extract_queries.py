@@ -72,12 +72,31 @@ def ext01(t):
                        F.array_join("entities.positions", "|").alias("positions"))
 
 
-@query("ext02_relations", None)
+_ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_VERB = "CASE " + " ".join(f"WHEN regexp_matches(folded, '\\b{stem}') THEN '{stem}'" for stem in V.RELATION_STEMS) + " END"
+_RELATIONS = f"""
+ rstory_v AS (SELECT seq, {_TEXT_SQL} AS text FROM articles_v),
+ found_v AS (SELECT *, regexp_extract_all(text, {Q.lit(X.PERSON_PATTERN)}, 1) AS p0, regexp_extract_all(text, {Q.lit(X.ORGANISATION_PATTERN)}, 1) AS o0,
+   {Q.positions(Q.fold('lower(text)'))} AS pos, {Q.sentence_list('text')} AS sents FROM rstory_v),
+ uniq_v AS (SELECT seq, {_ORDERED.format('p0')} AS people, {_ORDERED.format('o0')} AS orgs, pos, sents FROM found_v),
+ snt_v AS (SELECT seq, people, orgs, pos, unnest(sents) AS sentence, unnest(range(len(sents))) AS sentence_no FROM uniq_v),
+ verb_v AS (SELECT *, {_VERB} AS verb FROM (SELECT *, {Q.fold('lower(sentence)')} AS folded FROM snt_v) f),
+ in_v AS (SELECT seq, sentence_no, verb, list_filter(people, lambda x: contains(sentence, x)) AS p, list_filter(orgs, lambda x: contains(sentence, x)) AS o,
+   list_filter(pos, lambda x: contains(sentence, x)) AS q FROM verb_v WHERE verb IS NOT NULL),
+ relation_v AS (SELECT seq, sentence_no, coalesce(o[1], 'Government') AS subject, 'appointed' AS predicate, coalesce(p[1], q[1], 'Unknown Person') AS object, 0.8::DOUBLE AS confidence FROM in_v WHERE verb IN ('appoint', 'hire')
+   UNION ALL SELECT seq, sentence_no, coalesce(p[1], 'Executive'), 'resigned from', coalesce(o[1], 'Company'), 0.85 FROM in_v WHERE verb IN ('resign', 'retire')
+   UNION ALL SELECT seq, sentence_no, o[1], 'acquired', o[2], 0.9 FROM in_v WHERE verb IN ('acquire', 'buy') AND len(o) > 1
+   UNION ALL SELECT seq, sentence_no, o[1], 'partnered with', o[2], 0.85 FROM in_v WHERE verb = 'partner' AND len(o) > 1
+   UNION ALL SELECT seq, sentence_no, coalesce(o[1], 'Regulatory Body'), CASE verb WHEN 'sue' THEN 'suing' ELSE 'investigating' END, coalesce(o[2], p[1], 'Company'), 0.75 FROM in_v WHERE verb IN ('investigate', 'sue'))"""
+
+
+@query("ext02_relations", f"WITH {_RELATIONS} SELECT seq, CAST(sentence_no AS INTEGER) AS sentence_no, subject, predicate, object, confidence FROM relation_v")
 def ext02(t):
     return X.relations(stories(t))
 
 
-@query("ext07_event_type", None)
+@query("ext07_event_type", f"""WITH {_RELATIONS}, one_v AS (SELECT seq, arg_min(predicate, sentence_no) AS p FROM relation_v GROUP BY seq)
+ SELECT a.seq, coalesce(upper(left(p, 1)) || substr(p, 2), 'Policy announcement') AS event_type FROM articles_v a LEFT JOIN one_v USING (seq)""")
 def ext07(t):
     rows = stories(t)
     return X.event_type(X.relations(rows), rows.select("seq")).select("seq", "event_type")
