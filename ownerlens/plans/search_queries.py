@@ -174,7 +174,7 @@ _DAILY = f"""{LINKED_SQL}, {_SECTIONED}, day_v AS (SELECT * FROM sec_v WHERE seq
   UNION ALL SELECT 9, seq, 0, concat('- [', source, '](', url, ') - ', title) FROM day_v)"""
 
 
-@query("rep02_daily_report", f"WITH {_DAILY} SELECT section, item, part, line FROM line_v")
+@query("rep02_daily_report", f"WITH {_DAILY} SELECT section, item, CAST(part AS INTEGER) AS part, line FROM line_v")
 def rep02(t):
     # The window's articles and their entities are used several times: written once.
     rows = materialise(scored(t, report_articles(t)), "report-articles")
@@ -222,10 +222,10 @@ _BLOCKS = ", ".join([
 
 @query("rep04_compliance_brief", f"""WITH {COUNTS_SQL}, tot_v AS (SELECT count(*) AS total, avg(pct) AS mean, count(*) FILTER (NOT is_direct) AS indirect, count(*) FILTER (n_flags > 0) AS flagged,
    count(*) FILTER (n_high > 0) AS high, count(*) FILTER (trim(filing_ref) <> '') / count(*) AS rate FROM ann_v)
- SELECT 0 AS section, -1 AS item, i AS part, x AS line FROM (SELECT unnest(range(8)) AS i, unnest(['# Persons with Significant Control: Audit Brief', '> **NOT FOR COMPLIANCE USE.** Contains illustrative seed records.', '## Summary',
+ SELECT 0 AS section, CAST(-1 AS BIGINT) AS item, CAST(i AS INTEGER) AS part, x AS line FROM (SELECT unnest(range(8)) AS i, unnest(['# Persons with Significant Control: Audit Brief', '> **NOT FOR COMPLIANCE USE.** Contains illustrative seed records.', '## Summary',
    concat('- **Control records:** ', total), concat('- **Mean disclosed stake:** ', printf('%.1f', mean), '%'), concat('- **Held via a vehicle:** ', indirect),
    concat('- **With red flags:** ', flagged, ' (', high, ' high severity)'), concat('- **Citing a filing reference:** ', CAST(round(rate * 100) AS INTEGER), '%')]) AS x FROM tot_v)
- UNION ALL SELECT 1, seq, i, x FROM (SELECT seq, unnest(range(7)) AS i, unnest([{_BLOCKS}]) AS x FROM ann_v a)""")
+ UNION ALL SELECT 1, seq, CAST(i AS INTEGER), x FROM (SELECT seq, unnest(range(7)) AS i, unnest([{_BLOCKS}]) AS x FROM ann_v a)""")
 def rep04(t):
     return P.compliance_brief(t.psc_v)
 

@@ -307,3 +307,48 @@ def test_title_dedup_keeps_the_riskiest(spark):
     rows = [(1, "Hill merger - Hill Post", 10), (2, "Hill merger", 90), (3, "HILL  MERGER!", 90), (4, "Other", 5)]
     got = stats.dedupe_by_title(spark.createDataFrame(rows, "seq bigint, title string, risk_score int")).orderBy("first_seq").collect()
     assert [(r["seq"], r["first_seq"]) for r in got] == [(2, 1), (4, 4)]
+
+
+def test_a_crowd_of_near_copies(spark):
+    rng = random.Random(9)
+    crowd = [f"Hill Bank acquires majority stake in Lagoon Group after court notice {i}" for i in range(120)]
+    rows = crowd + [" ".join(rng.sample(WORDS, 5)) + f" {i}" for i in range(80)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "seq bigint, title string")
+    low = [r.lower() for r in rows]
+    both = lambda a, b: overlap(a, b) >= 0.65 or SequenceMatcher(None, a, b).ratio() >= 0.70
+    assert sorted(r["seq"] for r in dedup.fuzzy_titles(df, chunk=16).collect()) == greedy(low, both)
+    assert sorted(r["seq"] for r in dedup.word_set_titles(df, first_width=4).collect()) == greedy(low, lambda a, b: overlap(a, b) >= 0.65)
+
+
+def test_a_hot_company_and_holder(spark):
+    rows = [holding(i, f"P{i}" if i % 3 else "Hot Holder", "Hot Company" if i % 2 else f"C{i}", pct="4.5%") for i in range(300)]
+    got = flags(spark, *rows)
+    assert all(("R1_SUB_THRESHOLD" in f) == bool(i % 2) for i, f in got.items())
+    assert all(("R12_CROSS_ENTITY" in f) == (i % 3 == 0) for i, f in got.items())
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([("=1", 'say "x"'), ("b", None)], "a string, b string")
+    registers.write_csv(df.coalesce(1), str(tmp_path / "csv"), ["a", "b"])
+    text = next((tmp_path / "csv").glob("*.csv")).read_bytes().decode()
+    assert text == '"a","b"\r\n"\'=1","say ""x"""\r\n"b",""\r\n'
+    from ownerlens.operators import reports
+
+    lines = spark.createDataFrame([(1, 5, 0, "c"), (0, -1, 1, "b"), (0, -1, 0, "a"), (1, 9, 0, "d")], "section int, item bigint, part int, line string")
+    reports.write_report(lines.repartition(3), str(tmp_path / "md"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*.txt"))) == "a\nb\nc\nd\n"
+
+
+def test_empty_run_is_told_from_an_outage(spark):
+    some = spark.createDataFrame([("u1",)], "url string")
+    none = some.limit(0)
+    texts = [[r["generated"] for r in registers.empty_run_record(a, b, "2024-01-01").collect()] for a, b in ((some, some), (none, some), (some, none))]
+    assert texts == [["No significant change."], ["No articles were fetched this cycle."], []]
+
+
+def test_report_window_falls_back(spark):
+    df = spark.sql("SELECT id AS seq, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS published_at FROM range(40)")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    assert stats.report_window(df, at("2024-01-02 00:00:00")).count() == 40
+    assert stats.report_window(df, at("2024-01-10 00:00:00")).count() == 25
