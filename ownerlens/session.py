@@ -26,22 +26,25 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "own
     return spark
 
 
-_fallback_folders: dict[str, str] = {}
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is
-    used, one per application, so that all later calls agree on it.
+    A session on one machine (tests, a laptop) that names none gets a temporary
+    folder, one per application. On a cluster a missing setting is an error:
+    executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _fallback_folders:
-        _fallback_folders[app] = tempfile.mkdtemp(prefix="ownerlens-")
-    return _fallback_folders[app]
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="ownerlens-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
