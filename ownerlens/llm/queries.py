@@ -4,9 +4,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ownerlens.llm import quality, shards, urls
+from ownerlens.llm import bpe, quality, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -58,6 +57,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, urls.labelled_pages(pages, _table(spark, folder, "labels")))
 
 
+@_query("op5_simhash_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.clusters(_table(spark, folder, "documents"))
+
+
 @_query("op9_sharding", f"""
 WITH r AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 9))::BIGINT AS h, strlen(coalesce(text, '')) + {shards.ROW_BYTES} AS n_bytes FROM documents),
 d AS (SELECT doc_id, h, n_bytes, d, sum(n_bytes) OVER (PARTITION BY d, h >> (36 - d)) AS b, count(*) OVER (PARTITION BY d, h >> (36 - d)) AS n
@@ -68,3 +73,9 @@ FROM d WHERE b <= {shards.LIMIT_BYTES} OR d = 36 QUALIFY row_number() OVER (PART
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Shard of every document."""
     return shards.shard(_table(spark, folder, "documents"))
+
+
+@_query("op10_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes decoded from them."""
+    return bpe.digests(_table(spark, folder, "documents"))
