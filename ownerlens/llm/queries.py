@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, quality, shards, simhash, urls
+from ownerlens.llm import bpe, langid, quality, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents"))
 
 
+@_query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    return langid.identify(_table(spark, folder, "documents"))
+
+
 @_query("op4_url_filters")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's url; labels reach a page by the document number in its path."""
