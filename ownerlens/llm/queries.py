@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, langid, quality, shards, simhash, urls
+from ownerlens.llm import bpe, chunks, langid, quality, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -69,6 +69,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.clusters(_table(spark, folder, "documents"))
 
 
+@_query("op6_substring_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of documents that an earlier document holds already."""
+    return chunks.repeated_passages(_table(spark, folder, "documents"))
+
+
 @_query("op9_sharding", f"""
 WITH r AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 9))::BIGINT AS h, strlen(coalesce(text, '')) + {shards.ROW_BYTES} AS n_bytes FROM documents),
 d AS (SELECT doc_id, h, n_bytes, d, sum(n_bytes) OVER (PARTITION BY d, h >> (36 - d)) AS b, count(*) OVER (PARTITION BY d, h >> (36 - d)) AS n
