@@ -184,16 +184,18 @@ def decode(tokens: DataFrame, codec: Codec | None = None, ids: str = "ids") -> D
     return tokens.select("doc_id", joined(F.col(ids)).alias("bytes"))
 
 
-def digests(docs: DataFrame, codec: Codec | None = None, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids and of the bytes decoded from them."""
+def digests(docs: DataFrame, codec: Codec | None = None, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the bytes decoded from them, and the ids if asked for."""
     codec = codec or Codec()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def both(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             ids = codec.encode(t)
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
+            rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
+        return pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", both(F.col(text)).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+    return docs.select("doc_id", both(F.col(text)).alias("r")).select("doc_id", *[f"r.{c}" for c in names])

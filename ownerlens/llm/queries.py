@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, chunks, langid, quality, shards, simhash, urls
+from ownerlens.llm import bpe, chunks, langid, leaks, quality, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -72,7 +72,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op6_substring_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of documents that an earlier document holds already."""
-    return chunks.repeated_passages(_table(spark, folder, "documents"))
+    return chunks.repeated_passages(_table(spark, folder, "documents")).drop("rid")
+
+
+@_query("op8_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark questions, verbatim or with other slot values."""
+    return leaks.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("rid")
 
 
 @_query("op9_sharding", f"""

@@ -61,13 +61,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed 64-bit number."""
+    """doc_id, fp (the fingerprint as a signed 64-bit number) and rid (a hash of the text) for every row."""
 
     @F.pandas_udf("bigint")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", prints(F.col(text)).alias("fp"))
+    return docs.select("doc_id", prints(F.col(text)).alias("fp"), F.xxhash64(text).alias("rid"))
 
 
 def _tries(fps: DataFrame) -> DataFrame:
@@ -139,14 +139,29 @@ def links(fps: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     return sorted_.mapInPandas(_join, "u bigint, v bigint")
 
 
-def clusters(docs: DataFrame, text: str = "text", max_node: int = MAX_NODE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable, for every row."""
+def labelled(docs: DataFrame, text: str = "text", max_node: int = MAX_NODE) -> DataFrame:
+    """doc_id, fp, rid, root (the component's key) and component_id for every row."""
     prints = materialise(with_fingerprints(docs, text), "fingerprints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     classes = components(links(groups.select("fp"), max_node))
     rooted = groups.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "fingerprint-roots")
     least = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("first").alias("component_id"))
-    labels = rooted.join(least, F.col("root") == F.col("_r")).select(F.col("fp").alias("_f"), "component_id")
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(labels, F.col("fp") == F.col("_f")).select("doc_id", hexed, "component_id")
+    labels = rooted.join(least, F.col("root") == F.col("_r")).select(F.col("fp").alias("_f"), "root", "component_id")
+    return prints.join(labels, F.col("fp") == F.col("_f")).select("doc_id", "fp", "rid", "root", "component_id")
+
+
+def clusters(docs: DataFrame, text: str = "text", max_node: int = MAX_NODE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable, for every row."""
+    return labelled(docs, text, max_node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of every component: the smallest id, then the smallest text hash; all columns kept."""
+    rows = labelled(docs, text).groupBy("root", "doc_id", "rid").count()
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "count")).alias("b"))
+    best = materialise(best.select(F.col("b.doc_id").alias("_i"), F.col("b.rid").alias("_r"), F.col("b.count").alias("_n")), "survivors")
+    on = docs["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text]) == F.col("_r"))
+    # Only rows that occur more than once have to be compared as wholes.
+    once = docs.join(best.filter("_n = 1"), on, "left_semi")
+    return once.unionByName(docs.join(best.filter("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", text]))

@@ -98,3 +98,6 @@ def test_clusters_on_edges(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got)) == sorted(map(key, want))
     assert simhash.clusters(docs.limit(0)).count() == 0
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(x) for x in {(cls[i], min((rows[j][0] is None, rows[j][0]) for j in nodes if cls[j] == cls[i])[1]) for i in nodes} for x in [x[1]])
