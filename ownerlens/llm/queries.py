@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, chunks, langid, leaks, quality, shards, simhash, urls
+from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, quality, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents"))
 
 
+@_query("op2_html_extraction")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.main_text(_table(spark, folder, "pages"))
+
+
 @_query("op3_language_id")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
@@ -75,6 +81,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.repeated_passages(_table(spark, folder, "documents")).drop("rid")
 
 
+@_query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits derived from it."""
+    return counting.count_edits(counting.sample_edits(_table(spark, folder, "documents")))
+
+
 @_query("op8_decontamination")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold benchmark questions, verbatim or with other slot values."""
