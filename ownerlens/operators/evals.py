@@ -172,7 +172,7 @@ def problems(gold: DataFrame) -> DataFrame:
 
     def each(items: Column, lead: str) -> Column:
         filled = F.coalesce(items, F.array().cast("array<string>"))
-        return F.transform(filled, lambda x: F.concat(F.lit(lead), x))
+        return F.transform(filled, lambda x: F.concat(F.lit(lead), F.coalesce(x, F.lit("(no name)"))))
 
     topic = S.off_topic(c("title"), c("summary"))
     whole = F.struct("people", "significant_control")

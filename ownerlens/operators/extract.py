@@ -57,12 +57,11 @@ def match_entities(articles: DataFrame, dictionary: DataFrame, text: Column, lim
 
 # Names as written: capitalised runs ending in an organisation word, capitalised
 # runs after a job title, and capitalised runs after a place preposition.
-_RUN = r"[A-Z][A-Za-z&'’-]*(?: (?:of |and |for |the )?[A-Z][A-Za-z&'’-]*){0,4}"
 ORGANISATION_WORDS = ["Limited", "Ltd", "Plc", "PLC", "Inc", "Corporation", "Holdings", "Group", "Bank", "Company",
                       "Commission", "Ministry", "Agency", "Authority", "Bureau", "Department", "Board", "Council"]
-ORGANISATION_PATTERN = rf"\b((?:[A-Z][A-Za-z&'-]* (?:of |and |for |the )?){{1,4}}(?:{'|'.join(ORGANISATION_WORDS)}))\b"
-PERSON_PATTERN = rf"\b(?:{'|'.join(sorted(V.JOB_TITLES, key=lambda t: (-len(t), t)))}) ([A-Z][a-z'-]+(?: [A-Z][a-z'-]+){{1,2}})\b"
-LOCATION_PATTERN = r"\b(?:in|at|near) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)\b"
+ORGANISATION_PATTERN = rf"\b((?:[A-Z][A-Za-z&'-]* (?:of |and |for |the )?)+(?:{'|'.join(ORGANISATION_WORDS)}))\b"
+PERSON_PATTERN = rf"\b(?:{'|'.join(sorted(V.JOB_TITLES, key=lambda t: (-len(t), t)))}) ([A-Z][a-z'-]+(?: [A-Z][a-z'-]+)+)\b"
+LOCATION_PATTERN = r"\b(?:in|at|near) ([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"
 
 
 def named_entities(text: Column) -> Column:

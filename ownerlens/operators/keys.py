@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ownerlens.session import materialise
+
 c = F.col
 
 
@@ -38,28 +40,21 @@ def latest_per_key(df: DataFrame, keys, order: str = "seq") -> DataFrame:
     return top_per_key(df, keys, [c(order).desc()], 1)
 
 
-def global_rank(df: DataFrame, order: Column, name: str = "rank", slices: int = 128) -> DataFrame:
-    """1-based position of every row by a distinct BIGINT ``order``, fully distributed.
+def global_rank(df: DataFrame, order: Column | Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based position of every row in a total ``order``, fully distributed.
 
-    Approximate quantiles cut the order into slices; the slice sizes give each
-    slice its offset (at most ``slices + 1`` rows, hence the broadcast); rows are
-    numbered inside their slice.  Exact whatever the quantile error, which only
-    affects how even the slices are.
+    The rows are sorted by range once and written with their place inside their
+    partition; each partition's offset follows from the sizes of those before it,
+    one row per partition.
     """
-    marks = [i / slices for i in range(1, slices)]
-    keyed = df.withColumn("_order", order.cast("bigint"))
-    cuts = keyed.agg(F.percentile_approx("_order", marks, 1000).alias("m")).scalar()
-    below = F.size(F.filter("_cuts", lambda m: m < c("_order")))
-    sliced = keyed.withColumn("_cuts", cuts).withColumn("_slice", below).drop("_cuts")
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_slice").orderBy("_order")
-    return (
-        sliced.join(F.broadcast(offsets), "_slice")
-        .withColumn(name, c("_offset") + F.row_number().over(inside))
-        .drop("_slice", "_order", "_offset")
-    )
+    keys = [order] if isinstance(order, Column) else list(order)
+    placed = df.orderBy(*keys).withColumns({
+        "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    rows = materialise(placed, "ranked")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(offsets, "_part").withColumn(name, c("_offset") + c("_at") + 1).drop("_part", "_at", "_offset")
 
 
 def known_anti_join(candidates: DataFrame, store: DataFrame, key: str) -> DataFrame:

@@ -57,7 +57,7 @@ def fuzzy_best(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """
     m = mentions.select("mention_id", "type", F.lower("name").alias("low"))
     k = known.select("entity_id", c("type").alias("known_type"), F.lower("name").alias("low")).distinct().withColumn(
-        "known_id", F.xxhash64("entity_id", "known_type", "low"))
+        "known_id", F.struct("entity_id", "known_type", "low"))
     counts = k.select(F.explode(_bigrams(c("low"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     left, right = _probe_rows(m, counts, "mention_id"), _probe_rows(k, counts, "known_id")
     ids = left.join(right, "gram").select("mention_id", "known_id").distinct()
@@ -80,7 +80,9 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     becoming a new entity.
     """
     named = mentions.select(c("seq").cast("bigint").alias("seq"), "type", F.trim("name").alias("name")).filter("name <> ''")
-    m = materialise(first_per_key(named, ["type", "name"]).withColumnRenamed("seq", "mention_id"), "mentions")
+    # An article may hold several names, so distinct mentions are numbered, in order of arrival.
+    firsts = first_per_key(named, ["type", "name"])
+    m = global_rank(firsts, [c("seq"), c("type"), c("name")], "mention_id").drop("seq")
     exact = m.join(entities.groupBy("type", "name").agg(F.min("entity_id").alias("entity_id")), ["type", "name"])
     exact = exact.select("mention_id", "entity_id", F.lit("exact").alias("stage"))
     rest = m.join(exact, "mention_id", "left_anti")

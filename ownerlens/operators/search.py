@@ -145,7 +145,7 @@ def related(articles: DataFrame, dictionary: DataFrame, focus: int, k: int = 5,
                       "_url": one.select("url").scalar(), "_category": one.select("category").scalar()})
         .filter(c("url") != c("_url"))
         .withColumn("score", hits(c("_words"), 1) + hits(c("_names"), 4)
-                    + F.when(c("category") == c("_category"), 1).otherwise(0))
+                    + F.when(c("category").eqNullSafe(c("_category")), 1).otherwise(0))
         .filter(c("score") >= least)
         .orderBy(c("score").desc(), "seq")
         .limit(k)

@@ -224,7 +224,7 @@ def ev03(t):
 def _drafts(t):
     corpus = t.articles_v.select("seq", "title", c("raw_text").alias("article_text"), F.when(c("seq") % 9 != 0, c("url")).otherwise("").alias("url"), "source")
     gold = t.gold_pred_v.select("seq").join(t.articles_v, "seq").select("url", "title")
-    archive = t.articles_v.filter("seq % 2 = 0").select("seq", "url", "category", "risk_score", F.left("raw_text", F.lit(20)).alias("summary"))
+    archive = t.articles_v.filter("seq % 2 = 0").select("seq", "url", "category", "risk_score", c("raw_text").alias("summary"))
     return E.drafts(corpus, gold, archive)
 
 

@@ -12,11 +12,11 @@ from ownerlens.plans.text_queries import FURNITURE_SQL, FULL, IMPORTANCE_SQL, SU
 
 c = F.col
 
-_HAY = "lower(concat(title, ' ', left(raw_text, 200)))"
+_HAY = "lower(concat(title, ' ', raw_text))"
 
 
 def mentions(t, limit=10):
-    hay = F.concat_ws(" ", c("title"), F.left(c("raw_text"), F.lit(200)))
+    hay = F.concat_ws(" ", c("title"), c("raw_text"))
     return X.match_entities(t.articles_v, t.dictionary_v, hay, limit)
 
 
@@ -54,19 +54,19 @@ def stories(t):
 
 
 def _sql_find(pattern):
-    return f"list_distinct(regexp_extract_all(text, {Q.lit(pattern)}, 1))"
+    return f"list_distinct(regexp_extract_all({Q.fold('text')}, {Q.lit(pattern)}, 1))"
 
 
 _STORY = f"""
  story_v AS (SELECT * REPLACE (category AS category), {_TEXT_SQL} AS text FROM articles_v),
  ent_v AS (SELECT *, {_sql_find(X.PERSON_PATTERN)} AS people, {_sql_find(X.ORGANISATION_PATTERN)} AS orgs,
-   {_sql_find(X.LOCATION_PATTERN)} AS places, {Q.positions(Q.fold('lower(text)'))} AS pos FROM story_v WHERE lang = 'en')"""
+   {_sql_find(X.LOCATION_PATTERN)} AS places, {Q.positions(Q.fold('lower(text)'))} AS pos FROM story_v)"""
 
 
 @query("ext01_named_entities", f"""WITH {_STORY} SELECT seq, array_to_string(list_sort(people), '|') AS people, array_to_string(list_sort(orgs), '|') AS organizations,
   array_to_string(list_sort(places), '|') AS locations, array_to_string(pos, '|') AS positions FROM ent_v""")
 def ext01(t):
-    rows = stories(t).filter("lang = 'en'")
+    rows = stories(t)
     show = lambda n: F.array_join(F.array_sort(c(f"entities.{n}")), "|").alias(n)
     return rows.select("seq", show("people"), show("organizations"), show("locations"),
                        F.array_join("entities.positions", "|").alias("positions"))
@@ -233,7 +233,7 @@ _STORY_SCORES = f"""{_STORY}, low_v AS (SELECT *, lower(text) AS low, {Q.fold('l
   CAST(floor(importance * 0.8) AS INTEGER) AS risk_score, risk_level, CAST(len(people) AS INTEGER) AS n_people, CAST(len(orgs) AS INTEGER) AS n_orgs,
   {Q.has_any('low', ['tender', 'procurement', 'contract'])} AS has_procurement FROM topic_v""")
 def ext03(t):
-    rows = stories(t).filter("lang = 'en'")
+    rows = stories(t)
     e = rows.select("seq", X.fallback_extraction(c("title"), c("text"), c("entities")).alias("e"))
     return e.select("seq", "e.relevant", "e.category", "e.event_type", "e.risk_score", "e.risk_level", F.size("e.people").alias("n_people"),
                     F.size("e.organizations").alias("n_orgs"), c("e.procurement").isNotNull().alias("has_procurement"))
@@ -241,7 +241,7 @@ def ext03(t):
 
 @query("ext08_enrich", f"""WITH {_STORY_SCORES} SELECT seq, {Q.sentiment('low')} AS sentiment, risk_level, category, importance FROM imp_v""")
 def ext08(t):
-    rows = t.articles_v.filter("lang = 'en'").withColumn("raw_text", story_text())
+    rows = t.articles_v.withColumn("raw_text", story_text())
     return X.enrich(rows, english_only=False).select("seq", "sentiment", "risk_level", "category", "importance")
 
 

@@ -57,14 +57,14 @@ def win04(t):
 
 
 @query("win05_alert_ranking", """SELECT seq, risk_score, CASE WHEN risk_score >= 75 THEN 'Critical' ELSE 'Warning' END AS severity
-  FROM articles_v WHERE risk_score >= 50 ORDER BY risk_score >= 75 DESC, risk_score DESC, seq LIMIT 50""")
+  FROM articles_v WHERE risk_score >= 50 ORDER BY risk_score >= 75 DESC, risk_score DESC, seq""")
 def win05(t):
-    return stats.ranked_alerts(gates.feed_alerts(t.articles_v)).limit(50).select("seq", "risk_score", "severity")
+    return stats.ranked_alerts(gates.feed_alerts(t.articles_v)).select("seq", "risk_score", "severity")
 
 
-@query("win07_feed_by_risk", "SELECT seq, risk_score FROM articles_v ORDER BY risk_score DESC, seq LIMIT 100")
+@query("win07_feed_by_risk", "SELECT seq, risk_score FROM articles_v ORDER BY risk_score DESC, seq")
 def win07(t):
-    return stats.by_risk(t.articles_v).limit(100).select("seq", "risk_score")
+    return stats.by_risk(t.articles_v).select("seq", "risk_score")
 
 
 _WINDOW = """ (SELECT count(*) FROM articles_v WHERE published_at >= {ts} - INTERVAL 24 HOURS) """
@@ -257,10 +257,10 @@ def snk02(t):
     return R.migrate(old, V.REGISTER_COLUMNS["procurement"])
 
 
-@query("snk03_published_feed", f"""WITH {Q.off_topic_ctes('articles_v', 'seq', 'title', "left(raw_text, 200)")}
+@query("snk03_published_feed", f"""WITH {Q.off_topic_ctes('articles_v', 'seq', 'title', "raw_text")}
  SELECT seq FROM topic_v WHERE seq % 5 <> 0 AND topic IS NULL ORDER BY seq DESC LIMIT 60""")
 def snk03(t):
-    rows = t.articles_v.withColumns({"status": F.when(c("seq") % 5 == 0, "Filtered").otherwise("Unread"), "summary": F.left(c("raw_text"), F.lit(200))})
+    rows = t.articles_v.withColumns({"status": F.when(c("seq") % 5 == 0, "Filtered").otherwise("Unread"), "summary": c("raw_text")})
     return R.published_feed(rows).select("seq")
 
 

@@ -2,9 +2,8 @@
 from __future__ import annotations
 
 import re
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -50,7 +49,7 @@ SELECT seq,
        CASE WHEN k % 3 = 0 THEN 'Increased Control' ELSE 'Disclosed' END AS change_type,
        CASE WHEN k % 10 = 0 THEN 'Yes - exposed' ELSE 'No' END AS pep_status,
        CASE WHEN k % 2 = 0 THEN concat('REF/', CAST(k AS STRING)) ELSE '' END AS filing_ref,
-       concat('2024-', lpad(CAST(1 + k % 12 AS STRING), 2, '0'), '-01') AS disclosed_on,
+       concat('2024-', lpad(CAST(1 + k % 12 AS STRING), 2, '0'), '-01') AS date,
        CASE WHEN k % 97 = 0 THEN 'seed' ELSE 'extracted' END AS source
 FROM (SELECT seq, k, CASE WHEN k % 19 < 3 THEN 35 + k % 15 WHEN k % 19 < 11 THEN (k * 31) % 250 ELSE (k * 7919) % 1000 END AS p
       FROM (SELECT c_custkey AS seq,
@@ -71,7 +70,7 @@ VIEWS["procurement_v"] = """
 SELECT o_orderkey AS seq, concat('Agency ', CAST(o_custkey % 25 AS STRING)) AS agency,
        concat('Company ', CAST(o_orderkey % 150 AS STRING)) AS contractor,
        o_totalprice AS amount, o_orderdate AS awarded_at
-FROM {orders} WHERE o_orderkey % 50 = 0
+FROM {orders}
 """
 
 VIEWS["gold_pred_v"] = """
@@ -149,16 +148,7 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def base(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
-        # A small table written as one row group reads as one task, and the text
-        # work above it is CPU-bound: spread it, and keep filters from moving
-        # back below the exchange.  A large table has many splits and is left
-        # alone, with its filters and columns pushed into the scan.
-        if name in ("documents", "pages"):
-            cores = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores).observe(f"rows-{name}-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
-        return df
+        return self.spark.read.parquet(self.path(name))
 
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]

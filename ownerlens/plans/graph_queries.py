@@ -61,26 +61,19 @@ def gr02(t):
     return graph(t)[1]
 
 
-# Only companies as vertices, so that edges to anything else are invalid.
-_VALID = """few_v AS (SELECT * FROM node_v WHERE type <> 'agency'),
- ok_v AS (SELECT * FROM edge_v WHERE src IN (SELECT id FROM few_v) AND dst IN (SELECT id FROM few_v)),
+_VALID = """ok_v AS (SELECT * FROM edge_v WHERE src IN (SELECT id FROM node_v) AND dst IN (SELECT id FROM node_v)),
  deg_v AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ok_v UNION ALL SELECT dst FROM ok_v) e GROUP BY id)"""
 
 
-def _few(t):
-    nodes, edge_rows = graph(t)
-    return nodes.filter("type <> 'agency'"), edge_rows
-
-
-@query("gr03_degree", f"""WITH {GRAPH_SQL}, {_VALID} SELECT id, coalesce(degree, 0) AS degree, 12 + least(coalesce(degree, 0) * 3, 16) AS size FROM few_v LEFT JOIN deg_v USING (id)""")
+@query("gr03_degree", f"""WITH {GRAPH_SQL}, {_VALID} SELECT id, coalesce(degree, 0) AS degree, 12 + least(coalesce(degree, 0) * 3, 16) AS size FROM node_v LEFT JOIN deg_v USING (id)""")
 def gr03(t):
-    nodes, edge_rows = _few(t)
+    nodes, edge_rows = graph(t)
     return G.degrees(edge_rows, nodes).select("id", "degree", "size")
 
 
-@query("agg13_degree_histogram", f"""WITH {GRAPH_SQL}, {_VALID} SELECT coalesce(degree, 0) AS degree, count(*) AS n FROM few_v LEFT JOIN deg_v USING (id) GROUP BY 1""")
+@query("agg13_degree_histogram", f"""WITH {GRAPH_SQL}, {_VALID} SELECT coalesce(degree, 0) AS degree, count(*) AS n FROM node_v LEFT JOIN deg_v USING (id) GROUP BY 1""")
 def agg13(t):
-    nodes, edge_rows = _few(t)
+    nodes, edge_rows = graph(t)
     return G.degrees(edge_rows, nodes).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -89,7 +82,7 @@ def agg13(t):
 def jn13(t):
     from ownerlens.functions import text as T
 
-    nodes, edge_rows = _few(t)
+    nodes, edge_rows = graph(t)
     ok = G.valid_edges(edge_rows, nodes)
     near = G.neighbours(ok, T.node_id(F.lit("Company 7")))
     return ok.select(F.lit("edge").alias("kind"), "id").unionAll(near.select(F.lit("neighbour").alias("kind"), "id"))

@@ -25,7 +25,7 @@ def rss_bodies(t):
     item = F.struct(
         F.expr(_TITLE).alias("title"), F.expr(_URL).alias("link"),
         F.when(k % 5 != 0, "Mon, 01 Jan 2024 10:00:00 GMT").alias("pubDate"),
-        F.when(k % 3 != 0, F.concat(F.lit("<b>x</b> &quot;"), F.left(F.translate("text", "\n", " "), F.lit(60)))).alias("description"),
+        F.when(k % 3 != 0, F.concat(F.lit("<b>x</b> &quot;"), F.translate("text", "\n", " "))).alias("description"),
         F.when(k % 4 != 0, F.struct(c("source").alias("_VALUE"), F.lit("https://p.example").alias("_url"))).alias("source"))
     xml = F.to_xml(item, {"rowTag": "item"})
     body = F.concat(F.lit("<rss><channel><title>feed</title>"), xml, xml, F.lit("</channel></rss>"))
@@ -34,7 +34,7 @@ def rss_bodies(t):
 
 @query("src01_rss_items", f"""SELECT {_URL} AS url, replace({_TITLE}, '&amp;', '&') AS title, CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'Google News' END AS source,
   CASE WHEN doc_id % 5 <> 0 THEN 'Mon, 01 Jan 2024 10:00:00 GMT' ELSE '' END AS published_at_raw,
-  trim(CASE WHEN doc_id % 3 <> 0 THEN concat('<b>x</b> "', left(replace(text, chr(10), ' '), 60)) ELSE replace({_TITLE}, '&amp;', '&') END) AS raw_text FROM documents""")
+  trim(CASE WHEN doc_id % 3 <> 0 THEN concat('<b>x</b> "', replace(text, chr(10), ' ')) ELSE replace({_TITLE}, '&amp;', '&') END) AS raw_text FROM documents""")
 def src01(t):
     return feeds.articles_from_feeds(rss_bodies(t)).select("url", "title", "source", "published_at_raw", F.trim("raw_text").alias("raw_text"))
 
@@ -42,23 +42,23 @@ def src01(t):
 _PAYLOAD_ROWS = {
     "newsapi": lambda k: F.struct(F.array(F.struct(
         F.expr(_TITLE).alias("title"), F.expr(_URL).alias("url"), F.struct(F.when(k % 4 != 0, c("source")).alias("name")).alias("source"),
-        F.lit("2024-01-01T10:00:00Z").alias("publishedAt"), F.when(k % 3 == 0, "").otherwise(F.left("text", F.lit(50))).alias("content"),
+        F.lit("2024-01-01T10:00:00Z").alias("publishedAt"), F.when(k % 3 == 0, "").otherwise(c("text")).alias("content"),
         F.when(k % 6 != 0, "summary").alias("description"))).alias("articles")),
     "guardian": lambda k: F.struct(F.struct(F.array(F.struct(
         F.expr(_TITLE).alias("webTitle"), F.expr(_URL).alias("webUrl"), F.lit("2024-01-01T10:00:00Z").alias("webPublicationDate"),
-        F.struct(F.when(k % 3 != 0, F.left("text", F.lit(50))).alias("bodyText")).alias("fields"))).alias("results")).alias("response")),
+        F.struct(F.when(k % 3 != 0, c("text")).alias("bodyText")).alias("fields"))).alias("results")).alias("response")),
     "newsdata": lambda k: F.struct(F.array(F.struct(
         F.expr(_TITLE).alias("title"), F.expr(_URL).alias("link"), F.when(k % 4 != 0, c("source")).alias("source_id"),
-        F.lit("2024-01-01 10:00:00").alias("pubDate"), F.when(k % 3 == 0, "").otherwise(F.left("text", F.lit(50))).alias("content"),
+        F.lit("2024-01-01 10:00:00").alias("pubDate"), F.when(k % 3 == 0, "").otherwise(c("text")).alias("content"),
         F.when(k % 6 != 0, "summary").alias("description"))).alias("results")),
 }
 _PAYLOAD_ROWS["gnews"] = _PAYLOAD_ROWS["newsapi"]
 _DESC = "CASE WHEN doc_id % 6 <> 0 THEN 'summary' ELSE {} END"
 _PAYLOAD_SQL = {
-    "newsapi": ("CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'NewsAPI' END", f"CASE WHEN doc_id % 3 <> 0 THEN left(text, 50) ELSE {_DESC.format(Q.lit(''))} END"),
-    "gnews": ("CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'GNews' END", f"CASE WHEN doc_id % 3 <> 0 THEN left(text, 50) ELSE {_DESC.format(Q.lit(''))} END"),
-    "guardian": ("'The Guardian'", f"CASE WHEN doc_id % 3 <> 0 THEN left(text, 50) ELSE {_TITLE} END"),
-    "newsdata": ("CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'NewsData' END", f"CASE WHEN doc_id % 3 <> 0 THEN left(text, 50) ELSE {_DESC.format(_TITLE)} END"),
+    "newsapi": ("CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'NewsAPI' END", f"CASE WHEN doc_id % 3 <> 0 THEN text ELSE {_DESC.format(Q.lit(''))} END"),
+    "gnews": ("CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'GNews' END", f"CASE WHEN doc_id % 3 <> 0 THEN text ELSE {_DESC.format(Q.lit(''))} END"),
+    "guardian": ("'The Guardian'", f"CASE WHEN doc_id % 3 <> 0 THEN text ELSE {_TITLE} END"),
+    "newsdata": ("CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'NewsData' END", f"CASE WHEN doc_id % 3 <> 0 THEN text ELSE {_DESC.format(_TITLE)} END"),
 }
 
 for _name, _provider in {"src02_newsapi": "newsapi", "src03_gnews": "gnews", "src04_guardian": "guardian", "src05_newsdata": "newsdata"}.items():
@@ -73,11 +73,11 @@ for _name, _provider in {"src02_newsapi": "newsapi", "src03_gnews": "gnews", "sr
 
 
 @query("src08_jsonl", """SELECT count(*) FILTER (doc_id % 11 <> 3) AS valid, count(*) FILTER (doc_id % 11 = 3) AS invalid, CAST(count(*) * 3 AS BIGINT) AS max_line,
-  CAST(sum(CASE WHEN doc_id % 11 <> 3 THEN length(left(text, 40)) ELSE 0 END) AS BIGINT) AS chars FROM documents""")
+  CAST(sum(CASE WHEN doc_id % 11 <> 3 THEN length(text) ELSE 0 END) AS BIGINT) AS chars FROM documents""")
 def src08(t):
     """A file with comments, blank lines and broken lines between the records."""
     path = scratch_path(t.spark, "corpus")
-    record = F.to_json(F.struct(F.left("text", F.lit(40)).alias("article_text"), F.lit("t").alias("title")))
+    record = F.to_json(F.struct(c("text").alias("article_text"), F.lit("t").alias("title")))
     line = F.when(c("doc_id") % 11 == 3, '{"title": ').otherwise(record)
     body = F.concat(F.lit("// note\n"), line, F.lit("\n  "))
     t.documents.select(body.alias("value")).write.text(path)

@@ -124,9 +124,9 @@ def flt10(t):
     return psc.search_register(t.psc_v, " Mauritius ").select("seq")
 
 
-@query("win06_register_ranking", f"WITH {COUNTS_SQL} SELECT seq, n_high, n_flags FROM ann_v ORDER BY n_high DESC, n_flags DESC, seq LIMIT 100")
+@query("win06_register_ranking", f"WITH {COUNTS_SQL} SELECT seq, n_high, n_flags FROM ann_v ORDER BY n_high DESC, n_flags DESC, seq")
 def win06(t):
-    return psc.ranked_register(psc.annotate(t.psc_v)).limit(100).select(
+    return psc.ranked_register(psc.annotate(t.psc_v)).select(
         "seq", c("n_high").cast("bigint").alias("n_high"), c("n_flags").cast("bigint").alias("n_flags"))
 
 

@@ -93,17 +93,17 @@ def srh05(t):
     return R.batch_keyword(t.articles_v, queries, text, 5).withColumn("rank", c("rank").cast("bigint"))
 
 
-_RELATED = f"""txt_v AS (SELECT seq, url, category, lower(concat(title, ' ', left(raw_text, 200))) AS txt FROM articles_v),
+_RELATED = f"""txt_v AS (SELECT seq, url, category, lower(concat(title, ' ', raw_text)) AS txt FROM articles_v),
  one_v AS (SELECT * FROM txt_v WHERE seq = 3),
  tok_v AS (SELECT list_filter(list_distinct(string_split_regex(txt, '[^a-z0-9'']+')), lambda w: length(w) > 3 AND w NOT IN {Q.inlist(V.RELATED_STOPWORDS)}) AS toks, url, category FROM one_v),
  nm_v AS (SELECT coalesce(list(lower(name)), []) AS names FROM mention_v WHERE seq = 3),
  sc_v AS (SELECT a.seq, len(list_filter(t.toks, lambda w: contains(a.txt, w))) + 4 * len(list_filter(n.names, lambda w: contains(a.txt, w)))
-    + CASE WHEN a.category = t.category THEN 1 ELSE 0 END AS score FROM txt_v a, tok_v t, nm_v n WHERE a.url <> t.url)"""
+    + CASE WHEN a.category IS NOT DISTINCT FROM t.category THEN 1 ELSE 0 END AS score FROM txt_v a, tok_v t, nm_v n WHERE a.url <> t.url)"""
 
 
 @query("jn10_related_articles", f"WITH {MENTIONS_SQL}, {_RELATED} SELECT seq, CAST(score AS INTEGER) AS score FROM sc_v WHERE score >= 3 ORDER BY score DESC, seq LIMIT 5")
 def jn10(t):
-    rows = t.articles_v.withColumn("summary", F.left("raw_text", F.lit(200)))
+    rows = t.articles_v.withColumn("summary", c("raw_text"))
     return R.related(rows, t.dictionary_v, 3)
 
 
@@ -111,10 +111,10 @@ def jn10(t):
  p AS (SELECT 1 AS part, seq AS pos, 'PSC register' AS kind, concat(person_name, ' → ', company) AS label, concat(CASE WHEN nature_of_control = '' THEN 'nature not disclosed' ELSE nature_of_control END, CASE WHEN percentage <> '' THEN concat(' · ', percentage) ELSE '' END) AS note
    FROM psc_v WHERE contains(lower(concat_ws(' ', person_name, company, vehicle)), 'the') ORDER BY seq LIMIT 8),
  a AS (SELECT 2 AS part, 0 AS pos, 'Coverage' AS kind, concat(count(*), ' articles mention this') AS label, concat(count(*) FILTER (risk_score >= 50), ' scored at elevated risk or above') AS note
-   FROM articles_v WHERE contains(lower(concat_ws(' ', title, left(raw_text, 200))), 'the'))
+   FROM articles_v WHERE contains(lower(concat_ws(' ', title, raw_text)), 'the'))
  SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM a) u ORDER BY part, pos LIMIT 8""")
 def jn11(t):
-    rows = t.articles_v.withColumn("summary", F.left("raw_text", F.lit(200)))
+    rows = t.articles_v.withColumn("summary", c("raw_text"))
     return R.trace(rows, t.dictionary_v, t.psc_v, "The")
 
 

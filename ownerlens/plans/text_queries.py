@@ -232,9 +232,9 @@ def fn18(t):
 
 
 @query("fn19_news_listing", """SELECT seq AS id, title, source, url, category, risk_score,
-  CASE WHEN coalesce(risk_score, 0) >= 50 THEN 'High' ELSE 'Low' END AS risk_level, left(raw_text, 80) AS summary FROM articles_v""")
+  CASE WHEN coalesce(risk_score, 0) >= 50 THEN 'High' ELSE 'Low' END AS risk_level, raw_text AS summary FROM articles_v""")
 def fn19(t):
-    return gates.news_listing(t.articles_v.withColumn("summary", F.left(c("raw_text"), F.lit(80))))
+    return gates.news_listing(t.articles_v.withColumn("summary", c("raw_text")))
 
 
 @query("fn20_node_id", "SELECT seq, left(md5(lower(trim(person_name))), 12) AS id FROM psc_v")
@@ -242,16 +242,16 @@ def fn20(t):
     return t.psc_v.select("seq", T.node_id(c("person_name")).alias("id"))
 
 
-_SLUG_IN = "concat(substr(text, 1, 60), ' & ', source)"
+_SLUG_IN = "concat(text, ' & ', source)"
 _SLUG = (f"regexp_replace(regexp_replace(replace(strip_accents(lower({Q.squeeze(_SLUG_IN)})), '&', ' and '), "
          "'[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 
 
 @query("fn21_slug", f"""SELECT doc_id, lower({Q.squeeze(_SLUG_IN)}) AS name_key, {_SLUG} AS slug,
-  {_SLUG} <> '' AND {_SLUG} = {_SLUG.replace('60', '59')} AS matches_shorter FROM documents""")
+  {_SLUG} <> '' AND {_SLUG} = {_SLUG.replace('concat(text,', 'concat(substr(text, 1, length(text) - 1),')} AS matches_shorter FROM documents""")
 def fn21(t):
-    name = F.concat(F.substring(c("text"), 1, 60), F.lit(" & "), c("source"))
-    shorter = F.concat(F.substring(c("text"), 1, 59), F.lit(" & "), c("source"))
+    name = F.concat(c("text"), F.lit(" & "), c("source"))
+    shorter = F.concat(F.substring(c("text"), F.lit(1), F.length("text") - 1), F.lit(" & "), c("source"))
     return t.documents.select(
         "doc_id", T.name_key(name).alias("name_key"), T.slugify(name).alias("slug"),
         T.matches_slug(name, T.slugify(shorter)).alias("matches_shorter"),
@@ -277,21 +277,21 @@ def fn22(t):
     return _with_suffix(t).select("seq", T.title_key(c("title")).alias("key"))
 
 
-_FEED_SUMMARY = "concat(left(raw_text, 120), ' AT&amp;T &quot;x&quot; ... [+', CAST(1 + seq % 5 AS STRING), ' chars] ')"
+_FEED_SUMMARY = "concat(raw_text, ' AT&amp;T &quot;x&quot; ... [+', CAST(1 + seq % 5 AS STRING), ' chars] ')"
 
 
 @query("fn23_clean_summary", f"""SELECT seq, {Q.strip(_entities_sql(f"regexp_replace({_FEED_SUMMARY}, '(?i){Q.WS}*[[][+][0-9]+{Q.WS}*chars?[]]{Q.WS}*$', '…')"))} AS summary FROM articles_v""")
 def fn23(t):
-    raw = F.concat(F.left(c("raw_text"), F.lit(120)), F.lit(" AT&amp;T &quot;x&quot; ... [+"),
+    raw = F.concat(c("raw_text"), F.lit(" AT&amp;T &quot;x&quot; ... [+"),
                    (1 + c("seq") % 5).cast("string"), F.lit(" chars] "))
     return t.articles_v.select("seq", T.clean_summary(raw).alias("summary"))
 
 
 @query("fn24_normalise_article", f"""SELECT seq, coalesce(nullif(source, ''), 'Unknown') AS source, coalesce(nullif(url, ''), '#') AS url,
   coalesce(nullif(category, ''), 'Other') AS category, risk_score, {Q.case_floor('risk_score', V.RISK_FLOORS, 'Low')} AS risk_level,
-  'Neutral' AS sentiment, CASE WHEN {Q.strip('left(raw_text, 80)')} <> '' THEN {Q.strip('left(raw_text, 80)')} ELSE 'No summary available.' END AS summary FROM articles_v""")
+  'Neutral' AS sentiment, CASE WHEN {Q.strip('raw_text')} <> '' THEN {Q.strip('raw_text')} ELSE 'No summary available.' END AS summary FROM articles_v""")
 def fn24(t):
-    raw = t.articles_v.withColumn("summary", F.left(c("raw_text"), F.lit(80)))
+    raw = t.articles_v.withColumn("summary", c("raw_text"))
     return gates.normalise_articles(raw).select(
         "seq", "source", "url", "category", "risk_score", "risk_level", "sentiment", "summary")
 
@@ -365,12 +365,12 @@ def flt04(t):
     return reason.select("seq", "r.topic", F.array_join("r.matched", "|").alias("matched"))
 
 
-@query("flt05_relevance_gate", f"""WITH {Q.off_topic_ctes('articles_v', 'seq, category, risk_score', 'title', "left(raw_text, 200)")}
+@query("flt05_relevance_gate", f"""WITH {Q.off_topic_ctes('articles_v', 'seq, category, risk_score', 'title', "raw_text")}
  SELECT seq, CASE WHEN seq % 4 = 0 OR topic IS NOT NULL THEN 'Filtered' ELSE 'Unread' END AS status,
    CASE WHEN seq % 4 = 0 OR topic IS NOT NULL THEN 'Non-Relevant' ELSE coalesce(category, 'Other') END AS category,
    CASE WHEN seq % 4 = 0 OR topic IS NOT NULL THEN 0 ELSE risk_score END AS risk_score FROM topic_v""")
 def flt05(t):
-    rows = t.articles_v.withColumn("relevant", c("seq") % 4 != 0).withColumn("summary", F.left(c("raw_text"), F.lit(200)))
+    rows = t.articles_v.withColumn("relevant", c("seq") % 4 != 0).withColumn("summary", c("raw_text"))
     return gates.relevance_gate(rows).select("seq", "status", "category", "risk_score")
 
 

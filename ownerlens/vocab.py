@@ -233,7 +233,7 @@ REGISTER_COLUMNS = {
     "daily_reports": ["date", "total_articles", "high_risk", "appointments", "procurement",
                       "generated", "archive_file", "content"],
 }
-PSC_IDENTITY = ["person_name", "company", "nature_of_control", "percentage", "disclosed_on"]
+PSC_IDENTITY = ["person_name", "company", "nature_of_control", "percentage", "date"]
 
 # Named character references decoded in page text.
 HTML_ENTITIES = [

@@ -117,7 +117,7 @@ def test_fuzzy_best_equals_brute_force(spark):
 
 def test_global_rank_counts_every_row(spark):
     df = spark.range(0, 5000, 7).repartition(5).withColumn("seq", c("id") * c("id"))
-    ranks = [r["rank"] for r in global_rank(df, c("seq"), slices=16).orderBy("seq").collect()]
+    ranks = [r["rank"] for r in global_rank(df, c("seq")).orderBy("seq").collect()]
     assert ranks == list(range(1, len(ranks) + 1))
     assert global_rank(df.limit(0), c("seq")).count() == 0
 
