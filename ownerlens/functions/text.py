@@ -1,10 +1,12 @@
 """String expressions: Column in, Column out, nothing leaves the JVM."""
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -252,27 +254,31 @@ def clean_summary(text: Column) -> Column:
     return strip(decode_entities(t))
 
 
+_REFERENCE = r"&(?:#[xX]?[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named_references() -> Column:
+    """Every named character reference of HTML5 and what it stands for, folded to one literal."""
+    names = {n[:-1]: text for n, text in html5.items() if n.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
 def decode_entities(text: Column) -> Column:
-    """Named and decimal/hex character references; ``&amp;`` last, so nothing is decoded twice."""
-    out = text
-    for name, char in V.HTML_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    parts = F.split(out, r"(?=&#[xX]?[0-9a-fA-F]{1,6};)")
+    """Named and decimal/hex character references; each is decoded once."""
+    parts = F.split(text, f"(?={_REFERENCE})")
 
     def one(piece: Column) -> Column:
         hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
         deci = F.regexp_extract(piece, r"^&#([0-9]{1,6});", 1)
+        name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]{1,31});", 1)
         code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).cast("bigint")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(
-            F.coalesce(valid, F.lit(False)),
-            F.concat(char, F.regexp_replace(piece, r"^&#[xX]?[0-9a-fA-F]{1,6};", "")),
-        ).otherwise(piece)
-
-    numeric = F.array_join(F.transform(parts, one), "")
-    out = F.when(F.contains(out, F.lit("&#")), numeric).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+        char = F.when(F.coalesce(valid, F.lit(False)), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.when(name != "", F.try_element_at(_named_references(), name)).otherwise(char)
+        return F.when(char.isNotNull(), F.concat(char, F.regexp_replace(piece, f"^{_REFERENCE}", ""))).otherwise(piece)
+
+    decoded = F.array_join(F.transform(parts, one), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def _drop_elements(html: Column, names: Iterable[str]) -> Column:

@@ -263,10 +263,15 @@ def _or(col: Column, default: str) -> Column:
     return F.coalesce(T.non_empty(col), F.lit(default))
 
 
+def _seen(ex: DataFrame) -> Column:
+    """When the article appeared, as the registers store it."""
+    return c("published_at") if "published_at" in ex.columns else F.lit(None).cast("string")
+
+
 def organisations(ex: DataFrame) -> DataFrame:
-    rows = ex.select("seq", "title", "extraction", F.posexplode("extraction.organizations").alias("pos", "o"))
+    rows = ex.select("seq", "title", _seen(ex).alias("seen_at"), "extraction", F.posexplode("extraction.organizations").alias("pos", "o"))
     return rows.select(
-        "seq", "pos", "title", c("o.name").alias("name"), F.coalesce(c("o.type"), F.lit("company")).alias("type"),
+        "seq", "pos", "title", "seen_at", c("o.name").alias("name"), F.coalesce(c("o.type"), F.lit("company")).alias("type"),
         F.coalesce(c("extraction.risk_level"), F.lit("Low")).alias("risk_level"),
         F.coalesce(c("extraction.event_type"), F.lit("Directive")).alias("event_type"),
     ).filter(~T.is_publication_or_furniture(c("name")))
@@ -274,19 +279,19 @@ def organisations(ex: DataFrame) -> DataFrame:
 
 def company_rows(ex: DataFrame) -> DataFrame:
     return organisations(ex).filter("type = 'company'").select(
-        "seq", "pos", c("name").alias("company"), F.lit("General").alias("industry"), "risk_level")
+        "seq", "pos", c("name").alias("company"), "seen_at", F.lit("General").alias("industry"), "risk_level")
 
 
 def agency_rows(ex: DataFrame) -> DataFrame:
     return organisations(ex).filter("type = 'agency'").select(
-        "seq", "pos", c("name").alias("agency"), c("event_type").alias("event"), c("title").alias("article"))
+        "seq", "pos", c("name").alias("agency"), c("event_type").alias("event"), c("title").alias("article"), c("seen_at").alias("date"))
 
 
 def people_rows(ex: DataFrame) -> DataFrame:
-    rows = ex.select("seq", F.posexplode("extraction.people").alias("pos", "p"))
+    rows = ex.select("seq", _seen(ex).alias("date"), F.posexplode("extraction.people").alias("pos", "p"))
     return rows.select(
         "seq", "pos", c("p.name").alias("name"), F.coalesce("p.position", F.lit("Director")).alias("position"),
-        F.coalesce("p.organization", F.lit("N/A")).alias("organization"), F.coalesce("p.event", F.lit("appointment")).alias("event"))
+        F.coalesce("p.organization", F.lit("N/A")).alias("organization"), F.coalesce("p.event", F.lit("appointment")).alias("event"), "date")
 
 
 def procurement_rows(ex: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     fuzzy = materialise(fuzzy_best(rest, known).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage")), "fuzzy")
     rest = materialise(rest.join(fuzzy, "mention_id", "left_anti"), "unresolved")
 
-    items = rest.select(c("mention_id").alias("seq"), c("type").alias("group"), F.lower("name").alias("value"))
+    items = rest.select(c("type").alias("group"), c("mention_id").alias("seq"), F.lower("name").alias("value"))
     founders = greedy_sweep(items, TextMatcher(LEAST, strict=True)).withColumnRenamed("seq", "mention_id")
     highest = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).scalar()
     new = materialise(

@@ -114,17 +114,3 @@ def combine(parts: Sequence[DataFrame], pos: str = "pos") -> DataFrame:
 
 def dated(articles: DataFrame) -> DataFrame:
     return articles.withColumn("published_at", parse_feed_date(c("published_at_raw")))
-
-
-def search_queries(spark: SparkSession, query: str | None = None) -> DataFrame:
-    """The site-scoped search strings, one per topic (or the one asked for)."""
-    from ownerlens import vocab as V
-
-    def clause(words):
-        return " OR ".join(f'"{w}"' if " " in w else w for w in words)
-
-    if query:
-        rows = [("custom", f"{query} ({V.SITE_FILTER})")]
-    else:
-        rows = [(name, f"({clause(words)}) ({V.SITE_FILTER})") for name, words in V.SEARCH_TOPICS.items()]
-    return spark.createDataFrame(rows, "topic string, query string")

@@ -127,12 +127,7 @@ PAGE_FURNITURE = [
 ]
 
 # --- search topics ----------------------------------------------------------
-SITE_FILTER = (
-    "site:gov.ng OR site:com.ng OR site:premiumtimesng.com OR site:punchng.com "
-    "OR site:guardian.ng OR site:vanguardngr.com OR site:thecable.ng "
-    "OR site:leadership.ng OR site:thisdaylive.com OR site:businessday.ng "
-    "OR site:nairametrics.com OR site:proshare.co"
-)
+
 SEARCH_TOPICS = {
     "beneficial_ownership": [
         "persons with significant control", "person with significant control",
@@ -234,14 +229,3 @@ REGISTER_COLUMNS = {
                       "generated", "archive_file", "content"],
 }
 PSC_IDENTITY = ["person_name", "company", "nature_of_control", "percentage", "date"]
-
-# Named character references decoded in page text.
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&pound;", "£"),
-    ("&euro;", "€"), ("&cent;", "¢"), ("&deg;", "°"), ("&eacute;", "é"), ("&egrave;", "è"),
-    ("&agrave;", "à"), ("&ccedil;", "ç"), ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"),
-    ("&ntilde;", "ñ"), ("&szlig;", "ß"), ("&times;", "×"),
-]

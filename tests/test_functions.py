@@ -142,3 +142,8 @@ def test_one_decimal_follows_the_binary_value(value):
 def test_csv_guard(value):
     rows = [("=1+1",), ("@x",), ("plain",), (None,), ("\tx",)]
     assert value(T.csv_guard(c("x")), rows, "x string") == ["'=1+1", "'@x", "plain", "", "'\tx"]
+
+
+def test_all_named_references(value):
+    rows = [("&aacute;&Eacute; &euml;&igrave;&#233;&#xE9;",), ("&amp;lt; &nosuch; &lt;b&gt; a & b &copy",), (None,), ("&NotEqualTilde;&fjlig;",)]
+    assert value(T.decode_entities(F.col("x")), rows, "x string") == ["áÉ ëìéé", "&lt; &nosuch; <b> a & b &copy", None, "≂̸fj"]
