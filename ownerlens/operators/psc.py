@@ -88,11 +88,11 @@ def rule_details() -> dict[str, Column]:
         "R1_SUB_THRESHOLD": F.when(
             parked() & (c("n_parked") >= 2),
             F.concat(c("n_parked").cast("string"), F.lit(
-                " holders in this company sit between 3.5% and 5%, just under the disclosure threshold."))),
+                V.DETAIL_PARKED))),
         "R3_VOTING_MISMATCH": F.when(
             gap >= V.VOTING_GAP_POINTS,
             F.concat(F.lit("Voting rights of "), _fixed(c("voting")), F.lit("% against an equity interest of "),
-                     _fixed(_equity()), F.lit("%: a "), _fixed(gap), F.lit(" point gap."))),
+                     _fixed(_equity()), F.lit("% — a "), _fixed(gap), F.lit(V.DETAIL_GAP))),
         "R7_SECRECY_VEHICLE": F.when(
             term.isNotNull(), F.concat(F.lit("Control is held through an entity connected to "), term, F.lit("."))),
         "R4_NOMINEE": F.when(T.has_any(papers, V.NOMINEE_MARKERS), F.lit(

@@ -160,10 +160,11 @@ def trace(articles: DataFrame, dictionary: DataFrame, register: DataFrame, text:
     if len(q) < 3:
         return None
     needle = F.lit(q)
+    risk = F.coalesce(T.non_empty(c("risk")), F.lit("Low")) if "risk" in dictionary.columns else F.lit("Low")
     known = dictionary.filter(F.contains(F.lower("name"), needle)).orderBy("entity_seq").limit(entities).select(
         F.lit(0).alias("part"), c("entity_seq").cast("bigint").alias("pos"),
         F.when(c("type") == "psc", "Beneficial owner").otherwise(c("type")).alias("kind"), c("name").alias("label"),
-        F.lit("tracked entity").alias("note"))
+        F.concat(F.lit("tracked in the knowledge graph · risk "), risk).alias("note"))
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(c(n), F.lit("")) for n in ("person_name", "company", "vehicle")]))
     party = lambda n: F.coalesce(T.non_empty(c(n)), F.lit("Undisclosed"))
     held = register.filter(F.contains(hay, needle)).orderBy("seq").limit(rows).select(

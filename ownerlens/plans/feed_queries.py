@@ -228,13 +228,13 @@ def agg20(t):
 # ------------------------------------------------------------------ sources, sinks
 
 
-@query("src06_combine_sources", """SELECT seq AS arrival, seq, title, CASE WHEN seq % 3 = 0 THEN 'feed' WHEN seq % 3 = 1 THEN 'api' ELSE 'archive' END AS origin FROM articles_v""")
+@query("src06_combine_sources", """SELECT CAST(seq % 3 AS INTEGER) AS source_rank, seq AS arrival_pos, seq, title, CASE WHEN seq % 3 = 0 THEN 'feed' WHEN seq % 3 = 1 THEN 'api' ELSE 'archive' END AS origin FROM articles_v""")
 def src06(t):
     from ownerlens.sources import feeds
 
     parts = [t.articles_v.filter(c("seq") % 3 == i).select("seq", "title", F.lit(n).alias("origin"))
              for i, n in enumerate(("feed", "api", "archive"))]
-    return feeds.combine(parts, pos="seq").withColumn("arrival", c("seq")).select("arrival", "seq", "title", "origin")
+    return feeds.combine(parts, pos="seq").select("source_rank", "arrival_pos", "seq", "title", "origin")
 
 
 @query("set01_union", "SELECT seq, title, url, CASE WHEN seq % 2 = 0 THEN lang END AS lang FROM articles_v")
@@ -251,10 +251,13 @@ def src07(t):
     return R.migrate(t.articles_v.withColumn("id", c("seq")), V.REGISTER_COLUMNS["articles"]).select("id", "title", "category", "engine")
 
 
-@query("snk02_schema_migration", """SELECT agency, contractor, CAST(CAST(floor(amount) AS BIGINT) AS STRING) AS amount, '' AS project, '' AS source FROM procurement_v""")
+@query("snk02_schema_migration", """SELECT agency, contractor, CAST(CAST(floor(amount) AS BIGINT) AS STRING) AS amount, '' AS project, '' AS source,
+  'project:added source:added seq:removed' AS changes FROM procurement_v""")
 def snk02(t):
     old = t.procurement_v.select(c("contractor").alias(" contractor "), c("amount").cast("bigint").alias("amount"), "agency", "seq")
-    return R.migrate(old, V.REGISTER_COLUMNS["procurement"])
+    target = V.REGISTER_COLUMNS["procurement"]
+    changes = " ".join(f"{name}:{what}" for name, what in R.column_changes(old.columns, target).items())
+    return R.migrate(old, target).withColumn("changes", F.lit(changes))
 
 
 @query("snk03_published_feed", f"""WITH {Q.off_topic_ctes('articles_v', 'seq', 'title', "raw_text")}

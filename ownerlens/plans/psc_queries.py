@@ -26,9 +26,9 @@ CONTEXT_SQL = f"""
    LEFT JOIN many_v m USING (person_key) LEFT JOIN crowd_v k USING (company_key))"""
 RULES = {
     "R1_SUB_THRESHOLD": (f"{_PARKED} AND n_parked >= 2",
-        "concat(CAST(n_parked AS STRING), ' holders in this company sit between 3.5% and 5%, just under the disclosure threshold.')"),
+        f"concat(CAST(n_parked AS STRING), {Q.lit(V.DETAIL_PARKED)})"),
     "R3_VOTING_MISMATCH": ("voting - equity >= 20",
-        "concat('Voting rights of ', printf('%.1f', voting), '% against an equity interest of ', printf('%.1f', equity), '%: a ', printf('%.1f', voting - equity), ' point gap.')"),
+        f"concat('Voting rights of ', printf('%.1f', voting), '% against an equity interest of ', printf('%.1f', equity), '% — a ', printf('%.1f', voting - equity), {Q.lit(V.DETAIL_GAP)})"),
     "R7_SECRECY_VEHICLE": ("term IS NOT NULL", "concat('Control is held through an entity connected to ', term, '.')"),
     "R9_PEP": ("starts_with(lower(pep_status), 'yes')", "'The holder is recorded as politically exposed.'"),
     "R4_NOMINEE": (Q.has_any(_PAPERS, V.NOMINEE_MARKERS), "'A nominee, trustee or custodian appears in the control chain.'"),

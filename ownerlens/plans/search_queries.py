@@ -107,7 +107,7 @@ def jn10(t):
     return R.related(rows, t.dictionary_v, 3)
 
 
-@query("jn11_entity_trace", """WITH e AS (SELECT 0 AS part, entity_seq AS pos, type AS kind, name AS label, 'tracked entity' AS note FROM dictionary_v WHERE contains(lower(name), 'the') ORDER BY entity_seq LIMIT 4),
+@query("jn11_entity_trace", """WITH e AS (SELECT 0 AS part, entity_seq AS pos, type AS kind, name AS label, concat('tracked in the knowledge graph · risk ', CASE WHEN type = 'company' THEN 'High' ELSE 'Low' END) AS note FROM dictionary_v WHERE contains(lower(name), 'the') ORDER BY entity_seq LIMIT 4),
  p AS (SELECT 1 AS part, seq AS pos, 'PSC register' AS kind, concat(person_name, ' → ', company) AS label, concat(CASE WHEN nature_of_control = '' THEN 'nature not disclosed' ELSE nature_of_control END, CASE WHEN percentage <> '' THEN concat(' · ', percentage) ELSE '' END) AS note
    FROM psc_v WHERE contains(lower(concat_ws(' ', person_name, company, vehicle)), 'the') ORDER BY seq LIMIT 8),
  a AS (SELECT 2 AS part, 0 AS pos, 'Coverage' AS kind, concat(count(*), ' articles mention this') AS label, concat(count(*) FILTER (risk_score >= 50), ' scored at elevated risk or above') AS note
@@ -115,7 +115,7 @@ def jn10(t):
  SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM a) u ORDER BY part, pos LIMIT 8""")
 def jn11(t):
     rows = t.articles_v.withColumn("summary", c("raw_text"))
-    return R.trace(rows, t.dictionary_v, t.psc_v, "The")
+    return R.trace(rows, t.dictionary_v.withColumn("risk", F.when(c("type") == "company", "High")), t.psc_v, "The")
 
 
 # ------------------------------------------------------------------ reports

@@ -229,3 +229,7 @@ REGISTER_COLUMNS = {
                       "generated", "archive_file", "content"],
 }
 PSC_IDENTITY = ["person_name", "company", "nature_of_control", "percentage", "date"]
+
+# Fixed sentences of the flags' details.
+DETAIL_PARKED = " holders in this company sit between 3.5% and 5%, just under the CAMA 2020 s.868 disclosure threshold."
+DETAIL_GAP = " point gap, meaning control materially exceeds ownership."

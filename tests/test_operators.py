@@ -176,8 +176,8 @@ def test_company_snapshot_merges(spark):
 
 
 def test_migration_by_name(spark):
-    plan = registers.migration_plan(["a", " c ", "old"], ["a", "b", "c"])
-    assert plan == {"needs_migration": True, "added": ["b"], "removed": ["old"]}
+    assert registers.column_changes(["a", " c ", "old", " "], ["a", "b", "c"]) == {"b": "added", "old": "removed"}
+    assert registers.column_changes(["c", " a"], ["a", "c"]) == {}
     df = registers.migrate(spark.createDataFrame([("1", "2", None)], "a string, c string, old string"), ["a", "b", "c"])
     assert tuple(df.first()) == ("1", "", "2")
     assert registers.migrate(df, ["a", "b", "c"]).exceptAll(df).isEmpty()
