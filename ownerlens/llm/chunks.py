@@ -62,11 +62,15 @@ def _least_around(h: np.ndarray, r: int) -> np.ndarray:
     return (h < low[:n]) & (h <= low[r + 1 : r + 1 + n])
 
 
+def _word_starts(data: np.ndarray) -> np.ndarray:
+    space = _SPACE[data]
+    return np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Chunk boundaries, from the first word's start to the end; each but the last is a word start."""
     n = len(data)
-    space = _SPACE[data]
-    words = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    words = _word_starts(data)
     if not len(words):
         return np.zeros(0, np.int64)
     found, margin = [], RADIUS + 15
@@ -85,18 +89,19 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (doc_id, rid, seq, start, stop, words, digest) of all chunks; offsets are bytes, rid a hash of the row's text."""
+    """Rows (doc_id, rid, first, n, digest) of all chunks: n words from word number ``first`` on; rid is a hash of the row's text."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "rid", "seq", "start", "stop", "words", "digest"]
-        held: list[list[np.ndarray | list]] = []
+        held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate([np.asarray(h[k]) for h in held]) for k in range(2, 7)]
-            ids = pa.array([h[0] for h in held for _ in range(len(h[2]))], pa.int64())
-            rids = np.concatenate([np.full(len(h[2]), h[1]) for h in held])
-            return pa.RecordBatch.from_arrays([ids, pa.array(rids, pa.int64()), *[pa.array(c.astype(np.int32)) for c in cols[:4]], pa.array(cols[4].astype(np.uint64).view(np.int64))], names)
+            sizes = [len(h[2]) for h in held]
+            ids = pa.array([h[0] for h in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            rids = np.repeat(np.array([h[1] for h in held], np.int64), sizes)
+            first, n, digest = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
+            columns = [ids, pa.array(rids), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "first", "n", "digest"])
 
         for batch in batches:
             for doc_id, rid, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -108,11 +113,10 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
                 if not len(at):
                     continue
                 a, b = at[:-1].tolist(), at[1:].tolist()
-                space = _SPACE[data]
-                starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-                words = np.diff(np.searchsorted(starts, at))
+                starts = _word_starts(data)
+                words = np.searchsorted(starts, at)
                 digests = np.array([xxhash.xxh3_64_intdigest(raw[x:y].rstrip()) for x, y in zip(a, b)], np.uint64)
-                held.append([doc_id, rid, np.arange(len(a)), a, b, words, digests])
+                held.append((doc_id, rid, words[:-1], np.diff(words), digests))
                 size += len(a)
                 if size >= BATCH:
                     yield flush()
@@ -121,37 +125,43 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
             yield flush()
 
     rows = docs.select("doc_id", F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
-    return rows.mapInArrow(split, "doc_id bigint, rid bigint, seq int, start int, stop int, words int, digest bigint")
+    return rows.mapInArrow(split, "doc_id bigint, rid bigint, first int, n int, digest bigint")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, rid, start, stop, n_words, first_doc_id): passages already in a document with a smaller id.
+    """(doc_id, rid, first_word, n_words, first_doc_id): passages already in a document with a smaller id.
 
-    ``first_doc_id`` is the smallest id that holds a chunk of the passage.
+    Words are numbered from 0 in their document; ``first_doc_id`` is the smallest id
+    that holds a chunk of the passage.
     """
     pieces = chunked(docs, text)
-    seen = pieces.groupBy(F.col("digest").alias("_d")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"))
-    seen = seen.filter((F.col("first") < F.col("last")) | ((F.col("nameless") > 0) & F.col("first").isNotNull())).select("_d", "first")
-    again = pieces.join(seen, F.col("digest") == F.col("_d")).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
-    again = again.select("doc_id", "rid", "seq", "start", "stop", "words", "first").distinct()
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "rid").orderBy("seq"))
-    runs = again.withColumn("run", run).groupBy("doc_id", "rid", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
-    return runs.filter(F.col("n_words") >= min_words).select("doc_id", "rid", "start", "stop", "n_words", "first_doc_id")
+    nameless = F.max(F.col("doc_id").isNull())
+    seen = pieces.groupBy(F.col("digest").alias("_d")).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), nameless.alias("nameless"))
+    seen = seen.filter((F.col("holder") < F.col("last")) | (F.col("nameless") & F.col("holder").isNotNull())).select("_d", "holder")
+    again = pieces.join(seen, F.col("digest") == F.col("_d")).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("holder")))
+    # Chunks are adjacent where one ends at the word at which the next begins; equal rows bring a chunk more than once.
+    document = Window.partitionBy("doc_id", "rid").orderBy("first")
+    end = F.col("first") + F.col("n")
+    before = F.max(end).over(document.rowsBetween(Window.unboundedPreceding, -1))
+    again = again.select("doc_id", "rid", "first", end.alias("end"), "holder", F.coalesce(F.col("first") > before, F.lit(True)).cast("int").alias("new"))
+    runs = again.withColumn("run", F.sum("new").over(document.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "rid", "run").agg(
+        F.min("first").alias("first_word"), (F.max("end") - F.min("first")).alias("n_words"), F.min("holder").alias("first_doc_id"))
+    return runs.filter(F.col("n_words") >= min_words).select("doc_id", "rid", "first_word", "n_words", "first_doc_id")
 
 
 def remove(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the passages taken out of their texts; documents left without a word go, the rest keep all columns."""
-    spans = passages.groupBy(F.col("doc_id").alias("_i"), F.col("rid").alias("_r")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_s"))
+    spans = passages.groupBy(F.col("doc_id").alias("_i"), F.col("rid").alias("_r")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_s"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(texts, spans):
             raw, at, kept = t.encode("utf-8"), 0, []
+            starts = np.append(_word_starts(np.frombuffer(raw, np.uint8)), len(raw))
             for x in s:
-                kept.append(raw[at : x["start"]])
-                at = x["stop"]
+                kept.append(raw[at : starts[x["first_word"]]])
+                at = starts[x["first_word"] + x["n_words"]]
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8").rstrip())
         return pd.Series(out, dtype=object)
 
