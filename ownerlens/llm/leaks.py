@@ -50,53 +50,72 @@ _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|€|£|\$)?")
 _MEASURE = re.compile(r"[-+]?\d[\d.,]*([a-zµ]+)")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%€£$]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
+_NAME = xxhash.xxh3_64_intdigest("<name>")
 
 
-def token(word: str, initial: bool) -> tuple[str, str | None]:
-    """Template token of a word and, for a placeholder, the slot's value."""
-    core = _EDGE.sub("", word)
+def _kind(word: str) -> tuple[str, str, bool]:
+    """Lower-cased core of a word, its placeholder ('' if none) and whether the core is capitalised."""
+    if word.isalpha():
+        core = word
+    elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+        core = word[:-1]
+    else:
+        core = _EDGE.sub("", word)
     low = core.lower()
-    if _NUMBER.fullmatch(low):
-        return "<num>", low
-    if (m := _MEASURE.fullmatch(low)) and m[1] in UNITS:
-        return "<measure>", low
+    if not core.isalpha():
+        if _NUMBER.fullmatch(low):
+            return low, "<num>", False
+        if (m := _MEASURE.fullmatch(low)) and m[1] in UNITS:
+            return low, "<measure>", False
     if low in UNITS and len(low) > 1:
-        return "<unit>", low
-    if not initial and core[:1].isupper():
-        return "<name>", low
-    return low, None
+        return low, "<unit>", False
+    return low, "", core[:1].isupper()
+
+
+def token(word: str, initial: bool) -> tuple[str, str | None]:
+    """Template token of a word and, for a placeholder, the slot's value."""
+    low, kind, capital = _kind(word)
+    if kind:
+        return kind, low
+    return ("<name>", low) if capital and not initial else (low, None)
 
 
 class Canonical:
     """Texts to template tokens, by number; per word and position in the sentence it is worked out once."""
 
-    def __init__(self):
-        self._start()
+    #: Flags of a word: a placeholder at the start of a sentence, inside one, and whether it ends one.
+    FIRST, INSIDE, ENDS = 1, 2, 4
 
-    def _start(self) -> None:
+    def __init__(self):
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
-        self.table: np.ndarray | None = None
+        self.size = 1 << 12
+        self.first, self.inside = np.zeros(self.size, np.uint64), np.zeros(self.size, np.uint64)
+        self.flags = np.zeros(self.size, np.uint8)
 
     def _add(self, word: str) -> int:
-        (a, va), (b, vb) = token(word, True), token(word, False)
-        self.rows.append((xxhash.xxh3_64_intdigest(a), xxhash.xxh3_64_intdigest(b), va is not None, vb is not None, word[-1] in ".!?:;" or word.rstrip("\"')”»")[-1:] in (".", "!", "?")))
-        self.ids[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        i = self.ids[word] = len(self.ids)
+        if i == self.size:
+            self.size *= 2
+            self.first, self.inside, self.flags = (np.resize(x, self.size) for x in (self.first, self.inside, self.flags))
+        low, kind, capital = _kind(word)
+        h = xxhash.xxh3_64_intdigest(kind or low)
+        self.first[i], self.inside[i] = h, _NAME if capital else h
+        ends = word[-1] in ".!?:;" or word.rstrip("\"')”»")[-1:] in (".", "!", "?")
+        self.flags[i] = (self.FIRST | self.INSIDE if kind else self.INSIDE if capital else 0) | (self.ENDS if ends else 0)
+        return i
 
     def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Words, token hashes, whether each is a placeholder, whether each begins a sentence."""
         words = text.split()
         if len(self.ids) > MEMO:
-            self._start()
-        get, before = self.ids.get, len(self.rows)
-        at = [i if (i := get(w)) is not None else self._add(w) for w in words]
-        if self.table is None or len(self.rows) > before:
-            fresh = np.array([(a, b, x, y, z) for a, b, x, y, z in self.rows[before if self.table is not None else 0 :]], np.uint64).reshape(-1, 5)
-            self.table = fresh if self.table is None or before == 0 else np.concatenate((self.table[:before], fresh))
-        t = self.table[np.array(at, np.int64)]
-        initial = np.concatenate(([True], t[:-1, 4] > 0)) if len(at) else np.zeros(0, bool)
-        return words, np.where(initial, t[:, 0], t[:, 1]), np.where(initial, t[:, 2], t[:, 3]) > 0, initial
+            self.ids.clear()
+        get, add = self.ids.get, self._add
+        at = np.array([i if (i := get(w)) is not None else add(w) for w in words], np.int64)
+        flags = self.flags[at]
+        initial = np.ones(len(at), bool)
+        initial[1:] = flags[:-1] & self.ENDS
+        slot = (flags & np.where(initial, self.FIRST, self.INSIDE).astype(np.uint8)) > 0
+        return words, np.where(initial, self.first[at], self.inside[at]), slot, initial
 
 
 def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
