@@ -35,24 +35,68 @@ def anchored_dictionary(dictionary: DataFrame) -> DataFrame:
     return names.join(rarest.select("entity_seq", "gram"), "entity_seq")
 
 
+#: Names up to which a string matcher travels with the tasks (a few tens of MB at most).
+MATCHER_NAMES = 50_000
+
+
+def find_keys(articles: DataFrame, hay: Column, keys: DataFrame, limit: int | None = None) -> DataFrame | None:
+    """``(seq, id)`` of the keys contained in each text, the first ``limit`` by id; None where the keys are too many.
+
+    ``keys(id, key)`` holds each non-empty key once.  Up to ``MATCHER_NAMES`` of them
+    every task gets one matcher that finds all keys in one pass over a text, so
+    texts are neither cut up nor shuffled.
+    """
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return None
+    held = [(r["key"], r["id"]) for r in keys.select("key", "id").limit(MATCHER_NAMES + 1).collect()]
+    if len(held) > MATCHER_NAMES:
+        return None
+
+    def match(batches):
+        import ahocorasick
+        import numpy as np
+        import pandas as pd
+
+        found = ahocorasick.Automaton()
+        for key, number in held:
+            found.add_word(key, number)
+        if held:
+            found.make_automaton()
+        for rows in batches:
+            hits = [sorted({n for _, n in found.iter(t)})[:limit] if held and t else [] for t in rows["hay"]]
+            yield pd.DataFrame({"seq": np.repeat(rows["seq"].to_numpy(), [len(h) for h in hits]), "id": np.array([n for h in hits for n in h], np.int64)})
+
+    return articles.select(c("seq").cast("bigint").alias("seq"), hay.alias("hay")).mapInPandas(match, "seq bigint, id bigint")
+
+
 def match_entities(articles: DataFrame, dictionary: DataFrame, text: Column, limit: int | None = 10) -> DataFrame:
     """Known names contained in each article's text, the first ``limit`` in dictionary order.
 
-    A name contained in the text brings all its grams with it, so an equi-join
-    on one gram of the name finds every match; taking the name's rarest gram
-    keeps candidates few.  Containment is then verified.
+    A dictionary within ``MATCHER_NAMES`` is matched in one pass.  Beyond it, a name
+    contained in the text brings all its grams with it, so an equi-join on one gram
+    of the name finds every match; taking the name's rarest gram keeps candidates
+    few.  Containment is then verified.
     """
+    names = dictionary.select("entity_seq", F.trim("name").alias("name"), "type", F.lower(F.trim("name")).alias("key"))
+    names = first_per_key(names.filter(F.length("key") >= GRAM), ["key"], ("entity_seq",))
+    hits = find_keys(articles, F.lower(text), names.select(c("entity_seq").cast("bigint").alias("id"), "key"), limit)
+    if hits is not None:
+        return hits.join(names.drop("key"), c("id") == c("entity_seq")).select("seq", "entity_seq", "name", "type")
+    found = match_by_grams(articles, dictionary, text)
+    return found if limit is None else top_per_key(found, ["seq"], [c("entity_seq")], limit)
+
+
+def match_by_grams(articles: DataFrame, dictionary: DataFrame, text: Column) -> DataFrame:
+    """All known names in each text by a join on each name's rarest gram, then verified."""
     hay = articles.select("seq", F.lower(text).alias("hay"))
-    known = anchored_dictionary(dictionary)
     pairs = (
         hay.select("seq", F.explode(_grams(c("hay"))).alias("gram"))
-        .join(known, "gram")
+        .join(anchored_dictionary(dictionary), "gram")
         .select("seq", "entity_seq", "name", "type", "key")
     )
-    found = pairs.join(hay, "seq").filter(F.contains(c("hay"), c("key"))).drop("hay", "key")
-    if limit is None:
-        return found
-    return top_per_key(found, ["seq"], [c("entity_seq")], limit)
+    return pairs.join(hay, "seq").filter(F.contains(c("hay"), c("key"))).drop("hay", "key")
 
 
 # Names as written: capitalised runs ending in an organisation word, capitalised

@@ -15,9 +15,9 @@ c = F.col
 _HAY = "lower(concat(title, ' ', raw_text))"
 
 
-def mentions(t, limit=10):
+def mentions(t, limit=10, rows=None):
     hay = F.concat_ws(" ", c("title"), c("raw_text"))
-    return X.match_entities(t.articles_v, t.dictionary_v, hay, limit)
+    return X.match_entities(t.articles_v if rows is None else rows, t.dictionary_v, hay, limit)
 
 
 MENTIONS_SQL = f"""

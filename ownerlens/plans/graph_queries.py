@@ -152,7 +152,8 @@ LINKED_SQL = f"""{MENTIONS_SQL}, win_v AS ({REPORT_WINDOW_SQL}),
 
 
 def linked(t):
-    return L.entities_of(report_articles(t), L.event_bridge(mentions(t)), t.dictionary_v)
+    rows = report_articles(t)  # the window first: mentions are looked for in its articles only
+    return L.entities_of(rows, L.event_bridge(mentions(t, rows=rows)), t.dictionary_v)
 
 
 @query("jn07_entities_of_articles", f"WITH {LINKED_SQL} SELECT event_id, entity_id, type, name FROM linked_v")

@@ -215,12 +215,30 @@ def test_relations(spark):
     assert got == [("Hill Bank", "appointed", "Ada Obi"), ("Musa Bello", "resigned from", "Hill Bank"), ("Hill Bank", "acquired", "Lagoon Group")]
 
 
-def test_entity_matching_finds_substrings(spark):
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_entity_matching_finds_substrings(spark, monkeypatch, most):
+    """With a matcher in every task, and by joins where the names are too many for it."""
+    monkeypatch.setattr(extract, "MATCHER_NAMES", most)
     arts = spark.createDataFrame([(1, "xhill bankx and LAGOON"), (2, "abc")], "seq bigint, t string")
     names = spark.createDataFrame([(7, "Hill Bank", "company"), (8, "hill bank", "company"), (9, "abc", "person"), (5, " Lagoon ", "person")], "entity_seq bigint, name string, type string")
     assert [(r["seq"], r["entity_seq"]) for r in extract.match_entities(arts, names, c("t")).orderBy("seq", "entity_seq").collect()] == [(1, 5), (1, 7)]
 
 
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_batch_search_equals_a_plain_scan(spark, monkeypatch, most):
+    monkeypatch.setattr(extract, "MATCHER_NAMES", most)
+    rnd = random.Random(6)
+    texts = [(i, "".join(rnd.choices("abcé ", k=rnd.randint(0, 60))), f"2024-01-{rnd.randint(1, 28):02d}") for i in range(80)]
+    asked = [(i, "".join(rnd.choices("abcÉ", k=rnd.randint(0, 6)))) for i in range(60)]
+    arts = spark.createDataFrame([*texts, (90, None, "2024-01-01")], "seq bigint, t string, published_at string")
+    got = {(r["query_id"], r["seq"], r["rank"]) for r in search.batch_keyword(arts, spark.createDataFrame(asked, "query_id bigint, query string"), c("t"), 3).collect()}
+    want = set()
+    for q, words in asked:
+        hits = sorted((t for t in texts if words and words.lower() in t[1].lower()), key=lambda t: (-int(t[2][-2:]), t[0]))
+        want |= {(q, t[0], k + 1) for k, t in enumerate(hits[:3])}
+    assert got == want
+
+
 def test_employment_state(spark):
     rows = [(1, "Ada", "Hill", "appointed"), (2, "Ada", "Hill", "resigned from"), (3, "Ada", "Bank", "appointed"), (4, "Ada", "Hill", "appointed"), (5, "Eke", "Hill", "appointed")]
     df = spark.createDataFrame(rows, "seq bigint, person string, company string, predicate string")
