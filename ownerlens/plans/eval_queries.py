@@ -155,11 +155,11 @@ def win12(t):
 
 def programs(t):
     """The same examples answered by two programs, with their split."""
-    rows = pairs(t)
     splits = E.split(t.gold_pred_v.select("seq"), c("seq"))
-    weaker = rows.withColumn("pred", c("pred").withField("category", F.lit("Other")))
-    both = E.score(rows).select("seq", "score", F.lit("candidate").alias("program")).unionAll(
-        E.score(weaker).select("seq", "score", F.lit("incumbent").alias("program")))
+    answer = lambda name, pred: F.struct(F.lit(name).alias("program"), pred.alias("pred"))
+    answers = F.array(answer("candidate", c("pred")), answer("incumbent", c("pred").withField("category", F.lit("Other"))))
+    rows = pairs(t).withColumn("answer", F.explode(answers)).withColumns({"program": c("answer.program"), "pred": c("answer.pred")})
+    both = E.score(rows).select("seq", "score", "program")
     return both.join(splits, "seq")
 
 
