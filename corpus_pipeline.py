@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages out of all but the first document that holds them; ``n_chars`` follows the text."""
-    left = chunks.remove(docs, chunks.repeated_passages(docs))
+    left = chunks.remove(docs, materialise(chunks.repeated_passages(docs), "passages"))
     return left.select("doc_id", "text", "lang", "source", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).alias("n_chars"))
 
 

@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
+
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Pre-tokens remembered per task; the memo starts anew when full.
-MEMO = 200_000
+MEMO = 100_000
 #: Candidate displacements tried at once while the hash is built.
 TRIES = 512
 
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, codec: Codec | None = None, text: str = "text") -> D
     def ids(texts: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(codec.encode(t), "<u4").astype(np.int32) for t in texts], dtype=object)
 
-    return docs.select("doc_id", ids(F.col(text)).alias("ids"))
+    return bounded(docs).select("doc_id", ids(F.col(text)).alias("ids"))
 
 
 def decode(tokens: DataFrame, codec: Codec | None = None, ids: str = "ids") -> DataFrame:
@@ -198,4 +200,4 @@ def digests(docs: DataFrame, codec: Codec | None = None, text: str = "text", wit
             rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
         return pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", both(F.col(text)).alias("r")).select("doc_id", *[f"r.{c}" for c in names])
+    return bounded(docs).select("doc_id", both(F.col(text)).alias("r")).select("doc_id", *[f"r.{c}" for c in names])

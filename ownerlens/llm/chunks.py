@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
+
 RADIUS = 12
 LONGEST = 512
 MIN_WORDS = 20
@@ -124,7 +126,7 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield flush()
 
-    rows = docs.select("doc_id", F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
+    rows = bounded(docs).select("doc_id", F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
     return rows.mapInArrow(split, "doc_id bigint, rid bigint, first int, n int, digest bigint")
 
 
@@ -151,7 +153,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_
 
 def remove(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the passages taken out of their texts; documents left without a word go, the rest keep all columns."""
-    spans = passages.groupBy(F.col("doc_id").alias("_i"), F.col("rid").alias("_r")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_s"))
+    spans = passages.groupBy(F.col("doc_id").alias("_span_doc"), F.col("rid").alias("_span_rid")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_spans"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -165,7 +167,8 @@ def remove(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFram
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8").rstrip())
         return pd.Series(out, dtype=object)
 
-    met = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text]) == F.col("_r")), "left")
-    cut = met.filter("_s IS NOT NULL").withColumn("_t", without(docs[text], F.col("_s")))
-    cut = cut.filter(F.col("_t").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col("_t").alias(c) if c == text else docs[c] for c in docs.columns])
-    return met.filter("_s IS NULL").select(*[docs[c] for c in docs.columns]).unionByName(cut)
+    met = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_span_doc")) & (F.xxhash64(docs[text]) == F.col("_span_rid")), "left")
+    # Marked so that the filter on the result does not make Spark run the function twice.
+    cut = met.filter("_spans IS NOT NULL").withColumn("_left", without.asNondeterministic()(docs[text], F.col("_spans")))
+    cut = cut.filter(F.col("_left").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col("_left").alias(c) if c == text else docs[c] for c in docs.columns])
+    return met.filter("_spans IS NULL").select(*[docs[c] for c in docs.columns]).unionByName(cut)

@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
+
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Pre-tokens per leaf when a tree is built; a leaf that outgrows LARGE of these has the tree built anew.
@@ -29,7 +31,7 @@ LEAF = 64
 LARGE = 16
 #: How far past its own end the pattern may look.
 AHEAD = 2
-MEMO = 200_000
+MEMO = 100_000
 
 
 class Lengths:
@@ -193,7 +195,7 @@ def count_edits(docs: DataFrame, lengths: Lengths | None = None) -> DataFrame:
             rows.append((before, tree.tokens[1], sum(map(len, tree.words)), tree.encoded))
         return pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"])
 
-    return docs.select("doc_id", count("text", "edits").alias("r")).select("doc_id", "r.*")
+    return bounded(docs).select("doc_id", count("text", "edits").alias("r")).select("doc_id", "r.*")
 
 
 def sample_edits(docs: DataFrame, n: int = 3) -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -260,4 +262,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     def text(pages: pd.Series) -> pd.Series:
         return pd.Series([extract(p) for p in pages], dtype=object)
 
-    return pages.select("page_id", "url", text("html").alias("text")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+    return bounded(pages).select("page_id", "url", text("html").alias("text")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
+
 UNKNOWN = "und"
 #: Labelled rows per language that train the classifiers.
 SAMPLE = 400
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
-#: Bytes whose n-grams are scored at once.
-SLICE = 1 << 20
+#: Bytes whose n-grams are scored at once, in a model of eight bits.
+SLICE = 1 << 16
 #: Languages up to which every split of the languages is a bit; beyond it, random splits.
 EXHAUSTIVE = 6
 BITS_PER_LANGUAGE = 4
@@ -118,7 +120,7 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """Up to ``per_language`` rows of every language, those whose ids hash lowest; texts move only for them."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_k", F.xxhash64("doc_id"))
+    known = bounded(docs).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_k", F.xxhash64("doc_id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_k"))
     lowest = known.select("lang", "_k").withColumn("_r", rank).filter(F.col("_r") <= per_language)
     cut = lowest.groupBy(F.col("lang").alias("_l")).agg(F.max("_k").alias("_c"))
@@ -176,7 +178,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         return pd.DataFrame({"lang_pred": names[np.where(known, best, len(model.languages))], "score": np.where(known, score, 0.0), "ambiguous": tied | ~known})
 
-    return docs.select(*keep, label(F.col("text")).alias("_r")).select(*keep, "_r.lang_pred", "_r.score", "_r.ambiguous")
+    # Marked so that a filter on the result does not make Spark run the function twice.
+    return bounded(docs).select(*keep, label.asNondeterministic()(F.col("text")).alias("_r")).select(*keep, "_r.lang_pred", "_r.score", "_r.ambiguous")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
 from ownerlens.session import materialise
 
 WINDOW = 5
@@ -40,7 +41,7 @@ LITERALS = 3
 #: Bits of the filter; two probes per window.
 FILTER_BITS = 1 << 24
 #: Words remembered per task; the memo starts anew when full.
-MEMO = 200_000
+MEMO = 100_000
 
 UNITS = frozenset("""mm cm m km in ft mi mg g kg t oz lb lbs ml cl l ms s sec secs min mins h hr hrs kb mb gb tb hz khz mhz ghz w kw mw kwh v a pa bar
 inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ton tons
@@ -200,7 +201,7 @@ def document_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, text:
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "rid", "size", "at", "hash", "values"])
 
-    rows = docs.select("doc_id", F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
+    rows = bounded(docs).select("doc_id", F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
     return rows.mapInArrow(split, "doc_id bigint, rid bigint, size int, at int, hash bigint, values array<string>")
 
 
@@ -233,5 +234,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
 
 def clean(docs: DataFrame, leaks: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
-    bad = leaks.select(F.col("doc_id").alias("_i"), F.col("rid").alias("_r")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text]) == F.col("_r")), "left_anti")
+    bad = leaks.select(F.col("doc_id").alias("_leak_doc"), F.col("rid").alias("_leak_rid")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_leak_doc")) & (F.xxhash64(docs[text]) == F.col("_leak_rid")), "left_anti")

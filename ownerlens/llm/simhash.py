@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ownerlens.llm.batches import bounded
 from ownerlens.llm.components import components
 from ownerlens.llm.trie import connect
 from ownerlens.session import materialise
@@ -67,7 +68,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", prints(F.col(text)).alias("fp"), F.xxhash64(text).alias("rid"))
+    return bounded(docs).select("doc_id", prints(F.col(text)).alias("fp"), F.xxhash64(text).alias("rid"))
 
 
 def _tries(fps: DataFrame) -> DataFrame:
@@ -160,8 +161,8 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one row of every component: the smallest id, then the smallest text hash; all columns kept."""
     rows = labelled(docs, text).groupBy("root", "doc_id", "rid").count()
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "count")).alias("b"))
-    best = materialise(best.select(F.col("b.doc_id").alias("_i"), F.col("b.rid").alias("_r"), F.col("b.count").alias("_n")), "survivors")
-    on = docs["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text]) == F.col("_r"))
+    best = materialise(best.select(F.col("b.doc_id").alias("_kept_doc"), F.col("b.rid").alias("_kept_rid"), F.col("b.count").alias("_kept_rows")), "survivors")
+    on = docs["doc_id"].eqNullSafe(F.col("_kept_doc")) & (F.xxhash64(docs[text]) == F.col("_kept_rid"))
     # Only rows that occur more than once have to be compared as wholes.
-    once = docs.join(best.filter("_n = 1"), on, "left_semi")
-    return once.unionByName(docs.join(best.filter("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", text]))
+    once = docs.join(best.filter("_kept_rows = 1"), on, "left_semi")
+    return once.unionByName(docs.join(best.filter("_kept_rows > 1"), on, "left_semi").dropDuplicates(["doc_id", text]))
