@@ -6,7 +6,7 @@ are decoded to the codeword of least logistic loss, each bit weighted by how wel
 separated the training rows; a near tie is flagged as ambiguous.
 
 Training counts n-grams per language over a bounded sample: the ``SAMPLE`` labelled
-rows per language whose ids hash lowest. Only text and language enter. The model is
+rows per language whose ids hash lowest, of at most ``LANGUAGES`` languages. Only text and language enter. The model is
 ``BUCKETS`` x bits numbers, independent of the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from ownerlens.llm.batches import bounded
 
 UNKNOWN = "und"
-#: Labelled rows per language that train the classifiers.
+#: Labelled rows per language that train the classifiers, and languages that are learned, those with most rows.
 SAMPLE = 400
+LANGUAGES = 256
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 #: Bytes whose n-grams are scored at once, in a model of eight bits.
@@ -124,7 +125,9 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_k"))
     lowest = known.select("lang", "_k").withColumn("_r", rank).filter(F.col("_r") <= per_language)
     cut = lowest.groupBy(F.col("lang").alias("_l")).agg(F.max("_k").alias("_c"))
-    # Ids repeat, so the rows under the cut are ranked once more.
+    often = known.groupBy(F.col("lang").alias("_l")).count().orderBy(F.desc("count"), "_l").limit(LANGUAGES)
+    # At most LANGUAGES short rows, so texts need not be shuffled for them. Ids repeat, so what passes is ranked once more.
+    cut = F.broadcast(cut.join(often, "_l").select("_l", "_c").limit(LANGUAGES))
     rows = known.join(cut, (F.col("lang") == F.col("_l")) & (F.col("_k") <= F.col("_c"))).select("lang", "text", "_k")
     return rows.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("lang", "text")
 
