@@ -7,7 +7,8 @@ chunks are never shorter than the radius. Stretches without a cut are cut every
 ``LONGEST`` bytes. A chunk whose digest occurs in a document with a smaller id is a
 repeat; a run of adjacent repeats of at least ``MIN_WORDS`` words is a repeated
 passage. A passage of over 50 words keeps at least that much between its first and
-last cut; chance matches and single shared lines stay below it.
+last cut (31 words or more in 5,801 passages of 51 words drawn from the documents);
+chance matches and shared lines of a sentence or two stay below it.
 
 Digests are counted by partial aggregates with one row per digest and joined back,
 so a passage in a third of all documents is one key on one side of a join that can
@@ -33,7 +34,7 @@ from ownerlens.llm.batches import bounded
 
 RADIUS = 12
 LONGEST = 512
-MIN_WORDS = 20
+MIN_WORDS = 28
 #: Bytes hashed at once.
 SLICE = 1 << 20
 #: Chunks per record batch that a task returns.
