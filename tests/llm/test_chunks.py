@@ -79,3 +79,39 @@ def test_edges(spark):
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4, 5, 6]
     assert chunks.repeated_passages(docs.limit(0)).count() == 0 and chunks.remove(docs.limit(0), found).count() == 0
+
+
+def plain_repeats(rows, m=chunks.MIN_WORDS):
+    """Word numbers of each document inside m words that a document with a smaller id holds in a row."""
+    grams = {i: [tuple(t.split()[a : a + m]) for a in range(len(t.split()) - m + 1)] for i, t in rows}
+    out = {}
+    for i in grams:
+        before = {g for j in grams if j < i for g in grams[j]}
+        if at := {a + k for a, g in enumerate(grams[i]) if g in before for k in range(m)}:
+            out[i] = at
+    return out
+
+
+def spans(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    return out
+
+
+def test_exact_spans_of_any_kind_of_word(spark):
+    """Short words, numbers and one word repeated have few cuts or none; spans reach to where the texts differ."""
+    rnd = random.Random(5)
+    kinds = [lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(1, 2))), lambda: str(rnd.randint(0, 99)), lambda: "la"]
+    rows = []
+    for i in range(60):
+        passage = " ".join(kinds[i % 3]() for _ in range(rnd.randint(51, 58)))
+        rows += [(2 * i, f"{words(rnd, 20)} {passage} {words(rnd, 20)}"), (2 * i + 1, f"{words(rnd, 20)}\n{passage}\n{words(rnd, 20)}")]
+        short = " ".join(kinds[i % 2]() for _ in range(50))
+        rows += [(1000 + 2 * i, f"{words(rnd, 20)} {short} {words(rnd, 20)}"), (1001 + 2 * i, f"{words(rnd, 20)} {short} {words(rnd, 20)}")]
+    want = plain_repeats(rows)
+    assert len(want) >= 60 and max(want) < 1000
+    found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert spans(found) == want
+    left = {r["doc_id"]: r["text"].split() for r in chunks.remove(spark.createDataFrame(rows, "doc_id bigint, text string"), found).collect()}
+    assert all(left[i] == [w for k, w in enumerate(t.split()) if k not in want.get(i, ())] for i, t in rows)
