@@ -115,3 +115,11 @@ def test_exact_spans_of_any_kind_of_word(spark):
     assert spans(found) == want
     left = {r["doc_id"]: r["text"].split() for r in chunks.remove(spark.createDataFrame(rows, "doc_id bigint, text string"), found).collect()}
     assert all(left[i] == [w for k, w in enumerate(t.split()) if k not in want.get(i, ())] for i, t in rows)
+
+
+def test_lines_side_by_side_are_no_passage_unless_one_document_holds_both(spark):
+    rnd = random.Random(6)
+    a, b = words(rnd, 40), words(rnd, 40)
+    rows = [(1, f"{words(rnd, 30)} {a} {words(rnd, 30)}"), (2, f"{b} {words(rnd, 30)}"), (3, f"{words(rnd, 9)} {a} {b} {words(rnd, 9)}"), (4, f"{words(rnd, 5)} {a} {b}")]
+    found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert spans(found) == {4: set(range(5, 85))} and {r["first_doc_id"] for r in found.collect()} == {3}
