@@ -8,15 +8,19 @@ template, equal benchmark slots must hold equal values; a document is contaminat
 when consistent alignments cover ``COVERAGE`` of a template's windows, so a question
 with other numbers or names is caught and a chance mixture of them is not.
 
-Items with one template are one class, named by its smallest item id, so variants
-of a question do not multiply the pairs. Document windows are tested against a
+Items with one template and one pattern of equal slots are one class, named by its
+smallest item id, so variants of a question do not multiply the pairs and none is
+bound by another's chance equalities. Document windows are tested against a
 fixed-size Bloom filter of the benchmark's hashes inside the task; only those that
 pass are joined. The filter's size does not depend on either table; false positives
 fall out in the join.
 
 Defined cases: null and empty texts, on either side, have no windows and match
 nothing; an item shorter than a window is one window of its own length; windows with
-fewer literals than ``LITERALS`` (or all their tokens, if shorter) are not used;
+fewer literals than ``LITERALS`` (or all their tokens, if shorter) count like others
+but are compared in plain form: lower-cased words with names as words or, if numbers
+and units leave too few literals even so, all words as they are. Items with names
+are also compared as a whole in plain form, so that copies in other case are found;
 repeated rows are reported once per id; a null id is reported as null; an empty
 table gives an empty result; extra columns are ignored, and kept by ``clean``.
 """
@@ -90,23 +94,24 @@ class Canonical:
     def __init__(self):
         self.ids: dict[str, int] = {}
         self.size = 1 << 12
-        self.first, self.inside = np.zeros(self.size, np.uint64), np.zeros(self.size, np.uint64)
+        self.first, self.inside, self.lower = (np.zeros(self.size, np.uint64) for _ in range(3))
         self.flags = np.zeros(self.size, np.uint8)
 
     def _add(self, word: str) -> int:
         i = self.ids[word] = len(self.ids)
         if i == self.size:
             self.size *= 2
-            self.first, self.inside, self.flags = (np.resize(x, self.size) for x in (self.first, self.inside, self.flags))
+            self.first, self.inside, self.lower, self.flags = (np.resize(x, self.size) for x in (self.first, self.inside, self.lower, self.flags))
         low, kind, capital = _kind(word)
         h = xxhash.xxh3_64_intdigest(kind or low)
         self.first[i], self.inside[i] = h, _NAME if capital else h
+        self.lower[i] = xxhash.xxh3_64_intdigest(low) if kind else h
         ends = word[-1] in ".!?:;" or word.rstrip("\"')”»")[-1:] in (".", "!", "?")
         self.flags[i] = (self.FIRST | self.INSIDE if kind else self.INSIDE if capital else 0) | (self.ENDS if ends else 0)
         return i
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, token hashes, whether each is a placeholder, whether each begins a sentence."""
+    def forms(self, text: str) -> tuple[list[str], np.ndarray, tuple, tuple, np.ndarray]:
+        """Words, whether each begins a sentence, (token hashes, whether a placeholder) with names and without, word hashes."""
         words = text.split()
         if len(self.ids) > MEMO:
             self.ids.clear()
@@ -116,11 +121,17 @@ class Canonical:
         initial = np.ones(len(at), bool)
         initial[1:] = flags[:-1] & self.ENDS
         slot = (flags & np.where(initial, self.FIRST, self.INSIDE).astype(np.uint8)) > 0
-        return words, np.where(initial, self.first[at], self.inside[at]), slot, initial
+        first = self.first[at]
+        return words, initial, (np.where(initial, first, self.inside[at]), slot), (first, (flags & self.FIRST) > 0), self.lower[at]
+
+    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, token hashes, whether each is a placeholder, whether each begins a sentence."""
+        words, initial, (hashes, slot), _, _ = self.forms(text)
+        return words, hashes, slot, initial
 
 
 def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the usable windows of ``size`` tokens."""
+    """Start and hash of the windows of ``size`` tokens with enough literals."""
     n = len(hashes) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -133,15 +144,25 @@ def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray
     return use, h[use]
 
 
+def plain_windows(plain: tuple[np.ndarray, np.ndarray], lower: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` words, names as words; numbers and units too where few literals are left."""
+    h = windows(lower, np.zeros(len(lower), bool), size)[1]
+    at, rich = windows(*plain, size)
+    h[at] = rich
+    return h
+
+
 def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(FILTER_BITS - 1)
     return (h >> np.uint64(8)) & mask, (h >> np.uint64(36)) & mask
 
 
 def item_windows(benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """(item, n, size, pos, hash, groups): windows of each template class; ``groups`` numbers the slots' values.
+    """(item, n, size, pos, hash, groups): windows of each class; ``groups`` numbers the slots' values.
 
-    Slots of one class share a group where its smallest item has equal values there.
+    Slots of one class share a group where all its items have equal values there. An
+    item with names has a second key, with all windows in plain form; both bear the
+    name of the template class.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,32 +170,46 @@ def item_windows(benchmark: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             rows = []
             for item, t in zip(batch["item_id"], batch["text"]):
-                words, hashes, slot, initial = canon(t or "")
+                words, initial, (hashes, slot), plain, lower = canon.forms(t or "")
                 if not words:
                     continue
                 size = min(WINDOW, len(words))
                 at, h = windows(hashes, slot, size)
+                exact = plain_windows(plain, lower, size)
+                n = len(exact)
                 values = [token(w, i)[1] for w, i in zip(words, initial)]
+                unnamed = [v if p else None for v, p in zip(values, plain[1].tolist())]
                 group = {v: g for g, v in enumerate(dict.fromkeys(v for v in values if v is not None))}
-                key = xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
                 found = [(a, x, values[a : a + size]) for a, x in zip(at.tolist(), h.view(np.int64).tolist())]
+                poor = np.setdiff1d(np.arange(n), at)
+                pattern = [group[v] for v in values if v is not None]
                 inside, v = token(words[0], False)
                 if found and found[0][0] == 0 and v is not None and values[0] is None:
                     # In a document the first word may stand inside a sentence, where it is a name.
                     other, mark = hashes[:size].copy(), slot[:size].copy()
                     other[0], mark[0] = xxhash.xxh3_64_intdigest(inside), True
-                    group.setdefault(v, len(group))
+                    pattern.append(group.setdefault(v, len(group)))
                     found += [(0, x, [v, *values[1:size]]) for x in windows(other, mark, size)[1].view(np.int64).tolist()]
-                for a, x, own in found:
-                    own = [v for v in own if v is not None]
-                    rows.append((item, key, len(at), size, a, x, [group[v] for v in own], own))
-            yield pd.DataFrame(rows, columns=["item", "key", "n", "size", "pos", "hash", "groups", "own"])
+                whole = [(a, x, unnamed[a : a + size]) for a, x in enumerate(exact.view(np.int64).tolist())]
+                found += [whole[a] for a in poor]
+                number = lambda kind, *parts: xxhash.xxh3_64_intdigest(kind + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)) - 2**63
+                root = number(b"t", hashes, np.array(pattern, np.int64), exact[poor])
+                keyed = [(root, found)]
+                if (h != exact[at]).any():
+                    keyed.append((number(b"p", exact, np.array([group[v] for v in unnamed if v is not None], np.int64)), whole))
+                for key, windows_ in keyed:
+                    for a, x, own in windows_:
+                        own = [v for v in own if v is not None]
+                        rows.append((item, root, key, n, size, a, x, [group[v] for v in own], own))
+            yield pd.DataFrame(rows, columns=["item", "root", "key", "n", "size", "pos", "hash", "groups", "own"])
 
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col(text).alias("text"))
-    found = rows.mapInPandas(split, "item bigint, key bigint, n int, size int, pos int, hash bigint, groups array<int>, own array<string>")
+    found = rows.mapInPandas(split, "item bigint, root bigint, key bigint, n int, size int, pos int, hash bigint, groups array<int>, own array<string>")
+    found = materialise(found, "all-item-windows")
     kept = found.groupBy(F.col("key").alias("_k")).agg(F.min("item").alias("_i"))
-    mine = found.join(kept, (F.col("key") == F.col("_k")) & F.col("item").eqNullSafe(F.col("_i")))
-    return mine.dropDuplicates(["key", "hash", "pos"]).select("item", "key", "n", "size", "pos", "hash", "groups", "own")
+    names = found.groupBy(F.col("root").alias("_r")).agg(F.min("item").alias("name"))
+    mine = found.join(kept, (F.col("key") == F.col("_k")) & F.col("item").eqNullSafe(F.col("_i"))).join(names, F.col("root") == F.col("_r"))
+    return mine.dropDuplicates(["key", "hash", "pos"]).select(F.col("name").alias("item"), "key", "n", "size", "pos", "hash", "groups", "own")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, text: str = "text") -> DataFrame:
@@ -189,14 +224,18 @@ def document_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, text:
                 t = value.as_py()
                 if not t:
                     continue
-                words, hashes, slot, initial = canon(t)
+                words, initial, named, plain, lower = canon.forms(t)
                 for size in sizes:
-                    at, h = windows(hashes, slot, size)
+                    h = plain_windows(plain, lower, size)
+                    at, x = windows(*named, size)
+                    other = x != h[at]
+                    # Windows with names go in both forms.
+                    at, h, whole = np.concatenate((np.arange(len(h)), at[other])), np.concatenate((h, x[other])), len(h)
                     p, q = _probes(h)
                     near = (bits[p >> np.uint64(3)] >> (p & np.uint64(7)) & 1) & (bits[q >> np.uint64(3)] >> (q & np.uint64(7)) & 1)
                     for k in np.flatnonzero(near):
                         a = int(at[k])
-                        values = [v for i in range(a, a + size) if (v := token(words[i], bool(initial[i]))[1]) is not None]
+                        values = [v for i in range(a, a + size) if (v := token(words[i], bool(k < whole or initial[i]))[1]) is not None]
                         for column, x in zip(rows, (doc_id, rid, size, a, int(h[k : k + 1].view(np.int64)[0]), values)):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "rid", "size", "at", "hash", "values"])
@@ -208,7 +247,8 @@ def document_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, text:
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, rid, item_id, coverage, verbatim) for every document and template class it holds.
 
-    ``verbatim`` tells whether the slots have the values of the class's smallest item.
+    ``verbatim`` tells whether the slots have the values of the class's smallest item
+    or, with an item's names as words, those of the smallest item with these names.
     """
     items = materialise(item_windows(benchmark), "item-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
@@ -229,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     whole = pairs.join(broken, on, "left_anti").groupBy("doc_id", "rid", "key").agg(
         F.min("item").alias("item_id"), F.first("n").alias("n"), F.count_distinct("pos").alias("k"), F.count_distinct(F.when(F.col("same"), F.col("pos"))).alias("v"))
     enough = whole.filter(F.col("k") >= COVERAGE * F.col("n"))
-    return enough.select("doc_id", "rid", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("coverage"), (F.col("v") == F.col("k")).alias("verbatim"))
+    return enough.groupBy("doc_id", "rid", "item_id").agg(F.max(F.round(F.col("k") / F.col("n"), 6)).alias("coverage"), F.max(F.col("v") == F.col("k")).alias("verbatim"))
 
 
 def clean(docs: DataFrame, leaks: DataFrame, text: str = "text") -> DataFrame:

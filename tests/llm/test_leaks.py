@@ -79,3 +79,16 @@ def test_empty_tables(spark, found):
     docs, bench, _ = found
     assert leaks.contaminated(docs.limit(0), bench).count() == 0
     assert leaks.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def reported(spark, items, texts):
+    rnd = random.Random(3)
+    docs = [(i, f"{filler(rnd, 30)} {t} {filler(rnd, 30)}") for i, t in enumerate(texts)]
+    got = leaks.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    return {(r["doc_id"], r["item_id"]): r["coverage"] for r in got.collect()}
+
+
+def test_variants_are_not_bound_by_each_others_equal_values(spark):
+    items = [(1, "A boy has 5 apples and 5 pears in a basket and eats one."), (2, "A boy has 3 apples and 7 pears in a basket and eats one.")]
+    got = reported(spark, items, [items[0][1], items[1][1], items[1][1].replace("3", "8")])
+    assert got == {(0, 1): 1.0, (0, 2): 1.0, (1, 2): 1.0, (2, 2): 1.0}
