@@ -92,3 +92,15 @@ def test_variants_are_not_bound_by_each_others_equal_values(spark):
     items = [(1, "A boy has 5 apples and 5 pears in a basket and eats one."), (2, "A boy has 3 apples and 7 pears in a basket and eats one.")]
     got = reported(spark, items, [items[0][1], items[1][1], items[1][1].replace("3", "8")])
     assert got == {(0, 1): 1.0, (0, 2): 1.0, (1, 2): 1.0, (2, 2): 1.0}
+
+
+def test_items_poor_in_literals_are_found_verbatim(spark):
+    items = [(1, "WHAT IS THE CAPITAL OF THE OLD KINGDOM"), (2, "Call Anna Berg Carl Dahl Emma Falk"), (3, "12 * 7 ="), (4, "15 * 3 ="),
+             (5, "When did Anna Berg and Carl Dahl sail to Emma Falk in Oslo with the mail")]
+    texts = [items[0][1], items[0][1].lower(), items[1][1], items[1][1].lower(), items[2][1], items[3][1], items[4][1].lower(), items[4][1].upper(), "13 * 7 =", "Call Gina Holm Ivan Juhl Karl Lind"]
+    assert reported(spark, items, texts) == {(0, 1): 1.0, (1, 1): 1.0, (2, 2): 1.0, (3, 2): 1.0, (4, 3): 1.0, (5, 4): 1.0, (6, 5): 1.0, (7, 5): 1.0}
+
+
+def test_coverage_is_over_the_whole_item(spark):
+    items = [(1, "Anna Berg Carl Dahl Emma Falk Gina Holm Ivan Juhl went to the old mill")]
+    assert reported(spark, items, ["went to the old mill", items[0][1]]) == {(1, 1): 1.0}
