@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, quality, shards, simhash, urls
+from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, manifest, quality, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -109,3 +109,44 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes decoded from them."""
     return bpe.digests(_table(spark, folder, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes: each byte is folded in, then eight shifts follow it."""
+    byte = "('0x' || substr(hex(encode({t})), 2 * p - 1, 2))::BIGINT".format(t=text)
+    steps = f"flatten([[{byte}, -1, -1, -1, -1, -1, -1, -1, -1] for p in range(1, strlen({text}) + 1)])"
+    fold = "lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), {fold}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+@_query("op13_merkle_manifest", f"""
+WITH RECURSIVE
+d AS (SELECT *, CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t2 FROM documents),
+leaf AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf('t2')} AS tampered FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS size FROM leaf),
+node(lvl, source, idx, size, h) AS (SELECT 0, source, idx, size, leaf FROM ranked UNION ALL
+  SELECT lvl + 1, source, idx // 3, (max(size) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE size > 1 GROUP BY lvl, source, idx // 3),
+sub AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS size FROM node WHERE size = 1),
+top(lvl, idx, size, h) AS (SELECT 0, idx, size, h FROM sub UNION ALL
+  SELECT lvl + 1, idx // 3, (max(size) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE size > 1 GROUP BY lvl, idx // 3),
+low AS (SELECT r.source, r.idx AS leaf_idx, n.lvl, coalesce(string_agg(n.h, '' ORDER BY n.idx) FILTER (n.idx < r.idx // (3 ** n.lvl)::BIGINT), '') AS l,
+          coalesce(string_agg(n.h, '' ORDER BY n.idx) FILTER (n.idx > r.idx // (3 ** n.lvl)::BIGINT), '') AS r
+        FROM ranked r JOIN node n ON r.source IS NOT DISTINCT FROM n.source AND n.size > 1 AND n.idx // 3 = r.idx // (3 ** (n.lvl + 1))::BIGINT GROUP BY 1, 2, 3),
+high AS (SELECT s.source, t.lvl, coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx < s.idx // (3 ** t.lvl)::BIGINT), '') AS l,
+           coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx > s.idx // (3 ** t.lvl)::BIGINT), '') AS r
+         FROM sub s JOIN top t ON t.size > 1 AND t.idx // 3 = s.idx // (3 ** (t.lvl + 1))::BIGINT GROUP BY 1, 2),
+step AS (SELECT source, leaf_idx, lvl, l, r FROM low UNION ALL
+  SELECT k.source, k.idx, 1000 + lvl, l, r FROM ranked k JOIN high ON k.source IS NOT DISTINCT FROM high.source),
+path AS (SELECT source, leaf_idx, list([l, r] ORDER BY lvl) AS p FROM step GROUP BY 1, 2),
+full_ AS (SELECT k.*, coalesce(p, []) AS p FROM ranked k LEFT JOIN path ON k.source IS NOT DISTINCT FROM path.source AND k.idx = leaf_idx),
+fold AS (SELECT *, list_reduce(list_prepend([tampered, ''], p), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''])[1] AS folded_root FROM full_)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(coalesce(list_aggregate(flatten(p), 'string_agg', ''), '')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM fold JOIN sub ON fold.source IS NOT DISTINCT FROM sub.source JOIN top ON top.size = 1""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document."""
+    return manifest.manifest(_table(spark, folder, "documents"))
