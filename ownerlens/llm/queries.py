@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, manifest, quality, shards, simhash, urls
+from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, manifest, quality, shards, simhash, spelling, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -124,6 +124,26 @@ def _leaf(text: str) -> str:
     return f"sha256({' || '.join(fields)})"
 
 
+@_query("op12_spelling_variants", rf"""
+WITH RECURSIVE
+runs AS (SELECT doc_id, run FROM documents, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) u(run)),
+sums AS (SELECT run, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs WHERE length(run) >= {spelling.MIN_LENGTH}),
+cut AS (SELECT CASE WHEN h % {spelling.GARBLE} = 0 THEN left(run, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM sums),
+w AS (SELECT word, count(*) AS n FROM cut WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY 1 HAVING count(*) >= {spelling.MIN_COUNT}),
+del AS (SELECT word, i, left(word, i - 1) || substring(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) u(i)),
+near AS (SELECT a.word, b.word AS other FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT del.word, w.word FROM del JOIN w ON del.rest = w.word UNION SELECT w.word, del.word FROM del JOIN w ON del.rest = w.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS form, max(w.n) AS form_n FROM near JOIN w ON w.word = other GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.form_n >= {spelling.RATIO} * w.n THEN form END AS form,
+             CASE WHEN best.form_n >= {spelling.RATIO} * w.n THEN form_n END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+chain(word, root) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM f JOIN chain ON chain.word = f.word JOIN f e ON e.word = chain.root AND e.form IS NULL""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with its common form and its neighbours."""
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 @_query("op13_merkle_manifest", f"""
 WITH RECURSIVE
 d AS (SELECT *, CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t2 FROM documents),
