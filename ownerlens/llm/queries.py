@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, manifest, quality, shards, simhash, spelling, urls
+from ownerlens.llm import bpe, chunks, counting, extraction, langid, leaks, manifest, quality, repeats, shards, simhash, spelling, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -124,6 +124,24 @@ def _leaf(text: str) -> str:
     return f"sha256({' || '.join(fields)})"
 
 
+@_query("op11_suffix_array_dedup", f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, substr(x, 2 * s - 1, {2 * repeats.LENGTH}) AS g FROM d, unnest(range(1, strlen(x) // 2 - {repeats.LENGTH - 2})) u(s)),
+again AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+turn AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {repeats.LENGTH}, true)::INT AS new FROM again),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM turn),
+span AS (SELECT doc_id, min(s) AS a, max(s) + {repeats.LENGTH} AS z FROM run GROUP BY doc_id, k),
+gap AS (SELECT span.doc_id, a, z, substr(x, 2 * lag(z, 1, 1) OVER o - 1, 2 * (a - lag(z, 1, 1) OVER o)) AS piece, max(z) OVER (PARTITION BY doc_id) AS last
+        FROM span JOIN d USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+left_ AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone, string_agg(piece, '' ORDER BY a) AS head, max(last) AS last FROM gap GROUP BY 1)
+SELECT d.doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN x ELSE head || substr(x, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN left_ ON d.doc_id = left_.doc_id""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that stand in strings met earlier, and the digest of the rest."""
+    return repeats.digests(_table(spark, folder, "documents"))
+
+
 @_query("op12_spelling_variants", rf"""
 WITH RECURSIVE
 runs AS (SELECT doc_id, run FROM documents, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) u(run)),
