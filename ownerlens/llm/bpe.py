@@ -3,7 +3,7 @@
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is itself
 a vocabulary entry is resolved by one probe and one comparison. Tier two merges the
 others: a heap of candidate pairs over linked bytes, lowest rank first, leftmost on
-ties. Each task keeps a bounded memo of pre-tokens it has resolved.
+ties. Each worker keeps a bounded memo of pre-tokens it has resolved.
 
 The hash and the vocabulary travel with the task; their size is the vocabulary's.
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,10 @@ from ownerlens.llm.batches import bounded
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Pre-tokens remembered per task; the memo starts anew when full.
-MEMO = 100_000
+#: Pre-tokens remembered per worker; the memo starts anew when full.
+MEMO = 400_000
+#: Characters of text resolved together, and ids decoded together.
+GROUP = 1 << 18
 #: Candidate displacements tried at once while the hash is built.
 TRIES = 512
 
@@ -97,6 +100,29 @@ class PerfectHash:
         return self.key_at[(h1 + self.d[bucket] * h2 + self.e[bucket]) % self.n]
 
 
+class _Tables:
+    """What a worker derives from a vocabulary, once for all its tasks."""
+
+    def __init__(self, tokens: list[bytes]):
+        ids = {t: k for k, t in enumerate(tokens)}
+        self.byte = [ids.get(bytes([b]), -1) for b in range(256)]
+        #: Entry that two entries make together, by the first's number << 32 | the second's.
+        self.pairs: dict[int, int] = {}
+        for t, k in ids.items():
+            for cut in range(1, len(t)):
+                if (a := ids.get(t[:cut])) is not None and (z := ids.get(t[cut:])) is not None:
+                    self.pairs[a << 32 | z] = k
+        #: All entries one after another, and where each begins.
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.memo: dict[str, bytes] = {}
+
+
+#: By a digest of the vocabulary; a worker meets one or two.
+_tables: dict[bytes, _Tables] = {}
+
+
 class Codec:
     """Encoder and decoder over one vocabulary."""
 
@@ -104,64 +130,97 @@ class Codec:
         self.tokens = read_ranks(path)
         self.hash = PerfectHash(self.tokens)
         self.pattern = pattern
-        self._split = self._ranks = None
-        self._memo: dict[str, bytes] = {}
+        self.name = hashlib.sha256(pattern.encode() + b"\0" + b"".join(b"%d:%b" % (len(t), t) for t in self.tokens)).digest()
+        self._split = None
 
     def __getstate__(self):
-        return {"tokens": self.tokens, "hash": self.hash, "pattern": self.pattern, "_split": None, "_ranks": None, "_memo": {}}
+        return {**self.__dict__, "_split": None}
+
+    @property
+    def tables(self) -> _Tables:
+        if self.name not in _tables:
+            _tables[self.name] = _Tables(self.tokens)
+        return _tables[self.name]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ranks of a piece that is no entry: heap of pairs over linked bytes."""
-        if self._ranks is None:
-            self._ranks = {t: r for r, t in enumerate(self.tokens)}
-        rank, n = self._ranks.get, len(piece)
-        end = list(range(1, n + 1))  # end of the token that starts here
-        back = list(range(-1, n))  # start of the token before the one that starts here
-        m = n + 1
-        heap = [(r * m + i) * m + i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        """Numbers of the entries of a piece that is none: heap of pairs over linked bytes."""
+        tables = self.tables
+        pair, ids, n = tables.pairs.get, [tables.byte[b] for b in piece], len(piece)
+        if -1 in ids:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # What the pair that starts at each place makes; -1 if nothing, or if the place has been merged away.
+        makes = [pair(a << 32 | z, -1) for a, z in zip(ids, ids[1:])]
+        makes.append(-1)
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(makes) if r >= 0]
         heapq.heapify(heap)
         push, pop = heapq.heappush, heapq.heappop
         while heap:
-            x, j = divmod(pop(heap), m)
-            i = x % m
-            mid = end[i]
-            if mid == 0 or mid >= n or end[mid] != j:
-                continue  # one of the two tokens has been merged meanwhile
-            end[i], end[mid] = j, 0
-            if j < n:
-                back[j] = i
-                if (r := rank(piece[i : end[j]])) is not None:
-                    push(heap, (r * m + i) * m + end[j])
-            if (p := back[i]) >= 0 and (r := rank(piece[p:j])) is not None:
-                push(heap, (r * m + p) * m + j)
+            x = pop(heap)
+            r, i = x >> bits, x & mask
+            if makes[i] != r:
+                continue  # one of the two has been merged meanwhile
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], makes[j] = r, -1
+            if k < n:
+                before[k] = i
+                made = makes[i] = pair(r << 32 | ids[k], -1)
+                if made >= 0:
+                    push(heap, made << bits | i)
+            else:
+                makes[i] = -1
+            if (p := before[i]) >= 0:
+                made = makes[p] = pair(ids[p] << 32 | r, -1)
+                if made >= 0:
+                    push(heap, made << bits | p)
         out, i = [], 0
         while i < n:
-            out.append(rank(piece[i : end[i]]))
-            i = end[i]
+            out.append(ids[i])
+            i = after[i]
         return out
 
-    def _resolve(self, words: list[str]) -> None:
+    def _resolve(self, words: Iterable[str], memo: dict[str, bytes]) -> None:
+        words = list(words)
         pieces = [w.encode("utf-8") for w in words]
+        tokens, merge = self.tokens, self.merge
         for word, piece, k in zip(words, pieces, self.hash.find(pieces).tolist()):
-            ids = [k] if self.tokens[k] == piece else self.merge(piece)
-            self._memo[word] = np.array(ids, "<u4").tobytes()
+            memo[word] = k.to_bytes(4, "little") if tokens[k] == piece else pack("<%dI" % len(ids := merge(piece)), *ids)
 
-    def encode(self, text: str | None) -> bytes:
-        """Token ids as little-endian unsigned 32-bit numbers."""
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its token ids as little-endian unsigned 32-bit numbers; texts are taken a group at a time."""
         if self._split is None:
             self._split = regex.compile(self.pattern, regex.V1)
-        if not text:
-            return b""
-        words = self._split.findall(text)
-        memo = self._memo
-        if len(memo) > MEMO:
-            memo.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            self._resolve(new)
-        return b"".join(map(memo.__getitem__, words))
+        memo, split = self.tables.memo, self._split.findall
+        first = 0
+        while first < len(texts):
+            split_, size = [], 0
+            while first < len(texts) and (not split_ or size < GROUP):
+                split_.append(split(texts[first]) if texts[first] else [])
+                size += len(texts[first] or "")
+                first += 1
+            new = set().union(*split_)
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+            self._resolve(new.difference(memo), memo)
+            for words in split_:
+                yield b"".join(map(memo.__getitem__, words))
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Bytes of the entries, gathered from one array, a slice of ids at a time."""
+        tables, numbers, out = self.tables, np.frombuffer(ids, "<u4"), []
+        for s in range(0, len(numbers), GROUP):
+            part = numbers[s : s + GROUP]
+            sizes = tables.sizes[part]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(tables.starts[part] - ends + sizes, sizes)
+            out.append(tables.flat[at].tobytes())
+        return b"".join(out)
 
 
 def encode(docs: DataFrame, codec: Codec | None = None, text: str = "text") -> DataFrame:
@@ -170,7 +229,7 @@ def encode(docs: DataFrame, codec: Codec | None = None, text: str = "text") -> D
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(codec.encode(t), "<u4").astype(np.int32) for t in texts], dtype=object)
+        return pd.Series([np.frombuffer(ids, "<u4").astype(np.int32) for ids in codec.encode_all(list(texts))], dtype=object)
 
     return bounded(docs).select("doc_id", ids(F.col(text)).alias("ids"))
 
@@ -194,8 +253,7 @@ def digests(docs: DataFrame, codec: Codec | None = None, text: str = "text", wit
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def both(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in texts:
-            ids = codec.encode(t)
+        for ids in codec.encode_all(list(texts)):
             row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
             rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
         return pd.DataFrame(rows, columns=names)
