@@ -5,14 +5,15 @@ n-grams, tells the languages whose bit is set from the others. A text's bit marg
 are decoded to the codeword of least logistic loss, each bit weighted by how well it
 separated the training rows; a near tie is flagged as ambiguous.
 
-Training counts n-grams per language over a bounded sample: the ``SAMPLE`` labelled
-rows per language whose ids hash lowest, of at most ``LANGUAGES`` languages. Only text and language enter. The model is
-``BUCKETS`` x bits numbers, independent of the corpus.
+Training counts n-grams per language over a bounded sample: of every language the
+labelled rows whose hash of id and text is below its share of ``SAMPLE`` rows. Only
+text and language enter the model, which is ``BUCKETS`` x bits numbers; bits grow
+with the logarithm of the number of languages, all of which are learned.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 ambiguous; with no labelled row everything is ``und``; with one language every text
-with a letter gets it; rows without a language train nothing; repeated rows are
-predicted each; an empty table gives an empty result; extra columns are ignored.
+with a letter gets it; rows without a language train nothing; equal rows train
+once and are predicted each; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -22,19 +23,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ownerlens.llm.batches import bounded
+from ownerlens.session import materialise
 
 UNKNOWN = "und"
-#: Labelled rows per language that train the classifiers, and languages that are learned, those with most rows.
+#: Labelled rows per language that train the classifiers, about.
 SAMPLE = 400
-LANGUAGES = 256
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 #: Bytes whose n-grams are scored at once, in a model of eight bits.
 SLICE = 1 << 16
+#: Languages whose counts a task holds at once, and numbers a task decodes at once.
+HELD = 256
+DECODED = 1 << 22
 #: Languages up to which every split of the languages is a bit; beyond it, random splits.
 EXHAUSTIVE = 6
 BITS_PER_LANGUAGE = 4
@@ -104,7 +108,11 @@ class Model:
         if len(self.languages) == 1:
             n = len(margins)
             return np.zeros(n, np.int64), np.ones(n), np.zeros(n, bool)
-        loss = (np.logaddexp(0, -margins[:, None, :] * self.code[None] * 4) * self.trust).sum(axis=2) / self.trust.sum()
+        loss = np.empty((len(margins), len(self.languages)))
+        step = max(1, DECODED // self.code.size)
+        for s in range(0, len(margins), step):
+            part = margins[s : s + step, None, :]
+            loss[s : s + step] = (np.logaddexp(0, -part * self.code[None] * 4) * self.trust).sum(axis=2) / self.trust.sum()
         best = loss.argmin(axis=1)
         two = np.partition(loss, 1, axis=1)
         share = np.exp(-8 * (loss - two[:, :1]))
@@ -120,23 +128,27 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """Up to ``per_language`` rows of every language, those whose ids hash lowest; texts move only for them."""
-    known = bounded(docs).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_k", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_k"))
-    lowest = known.select("lang", "_k").withColumn("_r", rank).filter(F.col("_r") <= per_language)
-    cut = lowest.groupBy(F.col("lang").alias("_l")).agg(F.max("_k").alias("_c"))
-    often = known.groupBy(F.col("lang").alias("_l")).count().orderBy(F.desc("count"), "_l").limit(LANGUAGES)
-    # At most LANGUAGES short rows, so texts need not be shuffled for them. Ids repeat, so what passes is ranked once more.
-    cut = F.broadcast(cut.join(often, "_l").select("_l", "_c").limit(LANGUAGES))
-    rows = known.join(cut, (F.col("lang") == F.col("_l")) & (F.col("_k") <= F.col("_c"))).select("lang", "text", "_k")
-    return rows.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("lang", "text")
+    """(lang, text): about ``per_language`` different rows of every language, those whose hash is below its share."""
+    known = bounded(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    share = known.groupBy(F.col("lang").alias("_l")).agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("_s"))
+    key = F.xxhash64("doc_id", "text")
+    # Hashes are uniform, so a share of their range is that share of the rows and no language is sorted or collected.
+    rows = known.join(share, F.col("lang") == F.col("_l")).filter(key / F.lit(2.0**64) + 0.5 <= F.col("_s"))
+    return rows.select("lang", "text", key.alias("_k")).dropDuplicates(["lang", "_k"]).select("lang", "text")
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
-    """Fit the bit classifiers on a bounded sample of ``docs`` (doc_id, text, lang)."""
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(lang, bucket, n) over the n-grams of (lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, have in sums.items():
+                at = np.flatnonzero(have)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": have[at]})
+            sums.clear()
+
         for batch in batches:
             data, starts, ends, _ = _buffers(batch.column(1))
             for lang, a, b in zip(batch.column(0).to_pylist(), starts, ends):
@@ -144,24 +156,79 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
                 for n in GRAMS:
                     if b - a >= n:
                         have += np.bincount(grams(_LOWER[data[a:b]], n), minlength=BUCKETS)
-        for lang, have in sums.items():
-            at = np.flatnonzero(have)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": have[at]})
-
-    counted = training_rows(docs, per_language).mapInArrow(count, "lang string, bucket int, n bigint")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
-    table = np.zeros((len(languages), BUCKETS))
-    table[[languages.index(x) for x in rows["lang"]], rows["bucket"]] = rows["n"]
+                if len(sums) >= HELD:
+                    yield from flush()
+        yield from flush()
+
+    return rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
+    """Fit the bit classifiers on a bounded sample of ``docs`` (doc_id, text, lang).
+
+    What reaches the driver is a number per language and bit, and per bucket and bit;
+    bits grow with the logarithm of the languages.
+    """
+    counted = materialise(gram_counts(training_rows(docs, per_language)), "gram-counts")
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.ones(1))
-    code = codewords(len(languages))
-    share = (table + SMOOTHING) / (table.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    weights, trust = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1])
-    for b in range(code.shape[1]):
-        odds = np.log(share[code[:, b] > 0].mean(axis=0)) - np.log(share[code[:, b] < 0].mean(axis=0))
-        weights[:, b] = odds
-        trust[b] = max(1e-3, min((code[k, b] * (share[k] * odds).sum()) for k in range(len(languages))))
+    code, number = codewords(len(languages)), {x: k for k, x in enumerate(languages)}
+    bits = code.shape[1]
+    # Share of a bucket in a language: (n + SMOOTHING) / scale.
+    scale = np.array([totals[x] for x in languages]) + SMOOTHING * BUCKETS
+    set_, least = (code > 0).astype(float), SMOOTHING / scale
+    members = np.stack((set_.sum(axis=0), len(languages) - set_.sum(axis=0)))
+    floor = np.stack((least @ set_, least @ (1 - set_)))
+
+    def numbered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        lang = rows["lang"].map(number).to_numpy(np.int64)
+        return lang, rows["n"].to_numpy() / scale[lang]
+
+    def odds(sums: np.ndarray) -> np.ndarray:
+        """Log odds of a bucket (last axis bits) from its shares summed over languages with the bit and without."""
+        mean = (sums + floor[:, None]) / members[:, None]
+        return np.log(mean[0]) - np.log(mean[1])
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place: dict[int, int] = {}
+        sums = np.zeros((2, 1024, bits))
+        for rows in batches:
+            lang, share = numbered(rows)
+            for s in range(0, len(rows), SLICE // bits + 1):
+                part = slice(s, s + SLICE // bits + 1)
+                at = np.array([place.setdefault(x, len(place)) for x in rows["bucket"].to_numpy()[part].tolist()])
+                while len(place) > sums.shape[1]:
+                    sums = np.concatenate((sums, np.zeros_like(sums)), axis=1)
+                np.add.at(sums[0], at, share[part, None] * set_[lang[part]])
+                np.add.at(sums[1], at, share[part, None] * (1 - set_[lang[part]]))
+        if place:
+            found = odds(sums[:, : len(place)]).astype("<f4")
+            yield pd.DataFrame({"bucket": list(place), "weights": [w.tobytes() for w in found]})
+
+    weights = np.tile(odds(np.zeros((2, 1, bits))).astype(np.float32), (BUCKETS, 1))
+    for r in counted.repartition("bucket").mapInPandas(weigh, "bucket int, weights binary").collect():
+        weights[r["bucket"]] = np.frombuffer(r["weights"], "<f4")
+    everywhere = weights.sum(axis=0, dtype=np.float64)
+
+    def separate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(languages), bits))
+        for rows in batches:
+            lang, share = numbered(rows)
+            buckets = rows["bucket"].to_numpy()
+            for s in range(0, len(rows), SLICE // bits + 1):
+                part = slice(s, s + SLICE // bits + 1)
+                np.add.at(sums, lang[part], share[part, None] * weights[buckets[part]])
+        met = np.flatnonzero(sums.any(axis=1))
+        yield pd.DataFrame({"lang": [languages[k] for k in met], "mean": [sums[k].tolist() for k in met]})
+
+    met = counted.repartition("lang").mapInPandas(separate, "lang string, mean array<double>").select(
+        "lang", F.posexplode("mean").alias("bit", "x")).groupBy("lang", "bit").agg(F.sum("x").alias("x"))
+    mean = np.outer(least, everywhere)
+    for r in met.toLocalIterator():
+        mean[number[r["lang"]], r["bit"]] += r["x"]
+    trust = np.maximum(1e-3, (code * mean).min(axis=0))
     return Model(languages, code, weights, trust)
 
 
@@ -182,7 +249,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         return pd.DataFrame({"lang_pred": names[np.where(known, best, len(model.languages))], "score": np.where(known, score, 0.0), "ambiguous": tied | ~known})
 
     # Marked so that a filter on the result does not make Spark run the function twice.
-    return bounded(docs).select(*keep, label.asNondeterministic()(F.col("text")).alias("_r")).select(*keep, "_r.lang_pred", "_r.score", "_r.ambiguous")
+    labels = bounded(docs).select(F.struct(*keep).alias("k"), label.asNondeterministic()(F.col("text")).alias("r"))
+    return labels.select("k.*", "r.lang_pred", "r.score", "r.ambiguous")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -275,4 +275,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
 def clean(docs: DataFrame, leaks: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
     bad = leaks.select(F.col("doc_id").alias("_leak_doc"), F.col("rid").alias("_leak_rid")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_leak_doc")) & (F.xxhash64(docs[text]) == F.col("_leak_rid")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak_doc"]) & (F.xxhash64(docs[text]) == bad["_leak_rid"]), "left_anti")

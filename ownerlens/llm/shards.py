@@ -86,6 +86,7 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write whole documents, one folder per shard; ids must be unique."""
-    where = shard(docs, limit).select("doc_id", "shard")
-    docs.join(where, "doc_id").repartition("shard").write.partitionBy("shard").mode("errorifexists").parquet(path)
+    """Write whole documents, one folder per shard; ids must be unique. A column ``shard`` of theirs gives way to the shard's bits."""
+    where = shard(docs, limit).select(F.col("doc_id").alias("_id"), "shard")
+    met = docs.join(where, docs["doc_id"].eqNullSafe(where["_id"])).select(*[docs[c] for c in docs.columns if c != "shard"], where["shard"])
+    met.repartition("shard").write.partitionBy("shard").mode("errorifexists").parquet(path)

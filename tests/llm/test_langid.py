@@ -68,11 +68,51 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(single).collect()} <= {"xa", "und"}
 
 
-def test_sample_is_bounded(spark):
-    rows = [(5, "the of and", "xa")] * 50 + corpus(90)
+def test_sample_is_a_share_of_different_rows(spark):
+    rows = [(5, "the of and", "xa")] * 50 + corpus(900)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    counts = {r["lang"]: r["count"] for r in langid.training_rows(docs, 10).groupBy("lang").count().collect()}
-    assert counts == {"xa": 10, "xb": 10, "xc": 10}
+    counts = {r["lang"]: r["count"] for r in langid.training_rows(docs, 100).groupBy("lang").count().collect()}
+    assert counts.keys() == WORDS.keys() and all(60 <= n <= 140 for n in counts.values())
+    assert langid.training_rows(docs, 10**6).count() == 901
+
+
+def test_training_and_decoding_equal_plain_loops(spark, monkeypatch):
+    langs = {f"l{k}": ["".join(random.Random(100 * k + j).choices("abcdefgh", k=4)) for j in range(6)] for k in range(9)}
+    rows = corpus(180, langs=langs)
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 10**6)
+    names = sorted(langs)
+    table = np.zeros((9, langid.BUCKETS))
+    for _, t, x in rows:
+        data = np.frombuffer(t.lower().encode(), np.uint8).astype(np.uint32)
+        for n in langid.GRAMS:
+            np.add.at(table[names.index(x)], langid.grams(data, n), 1)
+    share = (table + langid.SMOOTHING) / (table.sum(axis=1, keepdims=True) + langid.SMOOTHING * langid.BUCKETS)
+    assert model.languages == names
+    for b in range(model.code.shape[1]):
+        with_, without = [k for k in range(9) if model.code[k, b] > 0], [k for k in range(9) if model.code[k, b] < 0]
+        odds = np.log(share[with_].mean(axis=0)) - np.log(share[without].mean(axis=0))
+        assert np.allclose(model.weights[:, b], odds, atol=1e-5)
+        assert np.isclose(model.trust[b], max(1e-3, min(model.code[k, b] * (share[k] * odds).sum() for k in range(9))), atol=1e-6)
+    margins = np.random.default_rng(1).normal(size=(25, model.code.shape[1]))
+    want = []
+    for m in margins:
+        loss = [sum(w * np.log1p(np.exp(-4 * x * c)) for w, x, c in zip(model.trust, m, code)) / model.trust.sum() for code in model.code]
+        two = sorted(loss)[:2]
+        want.append((int(np.argmin(loss)), 1 / sum(np.exp(-8 * (x - two[0])) for x in loss), two[1] - two[0] < langid.TIE))
+    for step in (langid.DECODED, 1):
+        monkeypatch.setattr(langid, "DECODED", step)
+        best, score, tied = model.decode(margins)
+        assert best.tolist() == [w[0] for w in want] and np.allclose(score, [w[1] for w in want]) and tied.tolist() == [w[2] for w in want]
+
+
+def test_more_languages_than_a_task_holds_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 3)
+    langs = {f"l{k}": ["".join(random.Random(100 * k + j).choices("abcdefgh", k=4)) for j in range(6)] for k in range(12)}
+    docs = spark.createDataFrame(corpus(360, langs=langs), "doc_id bigint, text string, lang string")
+    for name in ("_l", "_c", "_k", "_r", "_s", "k", "r", "score", "lang_pred", "bucket", "n"):
+        docs = docs.withColumn(name, docs["text"])
+    got = langid.identify(docs).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 12}" or sorted(langs)[r["doc_id"] % 12] == r["lang_pred"] for r in got if r["held_out"]]) > 0.9
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
