@@ -8,8 +8,8 @@ sorts or collects the corpus:
    is the anchor. Equal strings have equal anchors at equal places, so only strings
    with an anchor that occurs twice can be repeats. Anchors are counted by partial
    aggregates and joined back, one row per anchor on the one side.
-2. A stretch of text around such an anchor holds all strings that have it. Equal
-   stretches are one row from then on, with their first place in the corpus.
+2. A stretch of text around such an anchor holds all strings that have it. Stretches
+   that are equal (by two hashes of 64 bits) go on as one, at their first place.
 3. Anchors are dealt into buckets, and a bucket's stretches into shards. One task a
    shard builds its transform (``bwt.transform``); one task a bucket merges the
    shards' transforms by interleave refinement until rows have ``LENGTH`` bytes in
@@ -28,6 +28,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,16 @@ _BYTE = np.random.default_rng(30).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+#: Powers of the base, and of its inverse, for every place of a slice.
+_POWERS, _INVERSE = _powers(_BASE, SLICE + (1 << 15)), _powers(pow(_BASE, -1, 2**64), SLICE + (1 << 15))
+
+
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """64-bit hash of the ``size`` bytes that start at each place, put together from hashes of 1, 2, 4 ... bytes."""
     whole, done, part, width = None, 0, _BYTE[data], 1
@@ -77,8 +88,8 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return whole
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, n, off): n strings from ``first`` on have the anchor ``off`` bytes after ``first``."""
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, n, off, whole): n strings from ``first`` on have the anchor ``off`` bytes after ``first``; ``whole`` hashes them all."""
     found = []
     for s in range(0, max(0, len(data) - length + 1), SLICE):
         piece = data[s : s + SLICE + length - 1]
@@ -89,11 +100,13 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
             low, size = np.minimum(low[:-size], low[size:]), 2 * size
         low = np.minimum(low[: n - w + 1], low[w - size : w - size + n - w + 1]) & np.uint64(0xFFFFFFFF)
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        at = low[first].astype(np.int64)
-        found.append((h[at].view(np.int64), s + first, np.diff(np.append(first, len(low))), at - first))
+        at, count = low[first].astype(np.int64), np.diff(np.append(first, len(low)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * _POWERS[: len(piece)], dtype=np.uint64)))
+        whole = (sums[first + count + length - 1] - sums[first]) * _INVERSE[first]
+        whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(_BASE) + count.astype(np.uint64)
+        found.append((h[at].view(np.int64), s + first, count, at - first, whole.view(np.int64)))
     if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -111,8 +124,12 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["_doc"]) & (a["tid"] == b["_tid"])
 
 
-def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_doc, _tid, no, marks): documents with anchors that occur twice, numbered in order; a mark packs first, n and off."""
+def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """(_doc, _tid, no, marks, lone, crowd): documents with anchors that occur twice, numbered in order.
+
+    A mark packs first, n and off of an anchor's strings. ``lone`` are those marks
+    whose stretch stands here first, ``crowd`` those of anchors with over ``hot`` stretches.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +138,9 @@ def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
             def flush() -> pa.RecordBatch:
                 which = np.concatenate([np.full(len(f[1]), f[0]) for f in held])
-                h, first, n, off = (np.concatenate([f[k] for f in held]) for k in (1, 2, 3, 4))
-                columns = [pa.array(h), batch.column(0).take(pa.array(which)), pa.array(tid[which]), pa.array(first << 32 | n << 16 | off)]
-                return pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tid", "mark"])
+                h, first, n, off, whole = (np.concatenate([f[k] for f in held]) for k in range(1, 6))
+                columns = [pa.array(h), batch.column(0).take(pa.array(which)), pa.array(tid[which]), pa.array(first << 32 | n << 16 | off), pa.array(whole)]
+                return pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tid", "mark", "whole"])
 
             count = 0
             for k in range(batch.num_rows):
@@ -136,29 +153,39 @@ def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
             if held:
                 yield flush()
 
-    found = rows.mapInArrow(find, "anchor bigint, doc_id bigint, tid int, mark bigint")
+    found = rows.mapInArrow(find, "anchor bigint, doc_id bigint, tid int, mark bigint, whole bigint")
     often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
-    met = found.join(often, F.col("anchor") == F.col("_a"), "left_semi")
-    grouped = met.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).agg(F.sort_array(F.collect_set("mark")).alias("marks"))
-    return global_rank(grouped, [F.col("_doc").asc_nulls_last(), F.col("_tid").asc()], "no")
-
-
-def stretches(met: DataFrame, stride: int, length: int) -> DataFrame:
-    """(seg, off, at): the text of every marked anchor's strings; ``at`` is its place in the whole corpus."""
+    met = materialise(found.join(often, F.col("anchor") == F.col("_a"), "left_semi"), "marks")
+    # One row per stretch, at its first place. Grouped by a mix of both hashes so that equal stretches meet on the map side first.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "mark")
+    lone = met.groupBy(F.col("anchor").bitwiseXOR(F.col("whole")).alias("x"), F.col("whole").alias("y")).agg(F.min(place).alias("p"))
+    lone = materialise(lone.select(F.col("x").bitwiseXOR(F.col("y")).alias("anchor"), F.col("p.doc_id").alias("doc_id"), F.col("p.tid").alias("tid"), F.col("p.mark").alias("mark")), "stretches")
+    crowded = lone.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("_a", F.lit(True).alias("crowd"))
+    split = lone.join(crowded, F.col("anchor") == F.col("_a"), "left")
+    document = [F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")]
+    own = split.groupBy(*document).agg(F.collect_set(F.when(F.col("crowd").isNull(), F.col("mark"))).alias("lone"), F.collect_set(F.when(F.col("crowd"), F.col("mark"))).alias("crowd"))
+    grouped = met.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
+    none = F.array().cast("array<bigint>")
+    both = grouped.join(own, _same(grouped, own), "left").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "marks", F.coalesce("lone", none).alias("lone"), F.coalesce("crowd", none).alias("crowd"))
+    return global_rank(both, [F.col("_doc").asc_nulls_last(), F.col("_tid").asc()], "no")
+
+
+def stretches(met: DataFrame, which: str, stride: int, length: int) -> DataFrame:
+    """(seg, off, at): the text of the strings of every mark in the column ``which``; ``at`` is its place in the whole corpus."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             no, data, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
             for k in range(batch.num_rows):
                 packed = lists[k].values.to_numpy()
-                text = data[k].as_buffer().to_pybytes()
+                text = data[k].as_buffer().to_pybytes() if len(packed) else b""
                 first, n, off = packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
                 for s in range(0, len(packed), BATCH):
                     part = slice(s, s + BATCH)
                     segs = [text[a:b] for a, b in zip(first[part].tolist(), (first + n + length - 1)[part].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(off[part].astype(np.int32)), pa.array(no[k] * stride + first[part])], ["seg", "off", "at"])
 
-    return met.select("no", "data", "marks").mapInArrow(cut, "seg binary, off int, at bigint")
+    return met.select("no", "data", which).mapInArrow(cut, "seg binary, off int, at bigint")
 
 
 def by_core(segs: DataFrame, span: int, length: int) -> DataFrame:
@@ -173,26 +200,25 @@ def by_core(segs: DataFrame, span: int, length: int) -> DataFrame:
     return cut.select("key", F.substr("seg", F.col("low") + 1, F.col("size")).alias("seg"), (F.col("off") - F.col("low")).cast("int").alias("off"), (F.col("at") + F.col("low")).alias("at"))
 
 
-def distinct(keyed: DataFrame) -> DataFrame:
-    """Equal stretches as one row, at their first place."""
-    return keyed.groupBy("key", "off", "seg").agg(F.min("at").alias("at"))
+def _bucketed(keyed: DataFrame, base: int, buckets: int) -> DataFrame:
+    bucket, shard = F.pmod(F.xxhash64("key"), F.lit(buckets)) + base, F.pmod(F.hash("seg"), F.lit(SHARDS))
+    return keyed.select(bucket.cast("int").alias("bucket"), shard.cast("int").alias("shard"), "seg", "at")
 
 
-def dealt(segs: DataFrame, buckets: int, spans: tuple[int, ...], length: int, hot: int) -> DataFrame:
-    """(bucket, shard, seg, at): stretches in buckets of bounded size."""
-    out, base, rest = None, 0, segs
+def split_crowds(segs: DataFrame, base: int, spans: tuple[int, ...], length: int, hot: int, bucket: int) -> DataFrame:
+    """Buckets of the strings of crowded anchors, dealt by longer and longer cores; equal pieces are one row, at their first place."""
+    out = []
     for span in spans:
-        uniq = distinct(by_core(rest, span, length))
-        last = span == spans[-1]
-        # The place is asked for so that this reads the same shuffled rows as the branches below.
-        crowded = uniq.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("a")).filter((F.col("c") > hot) & (F.col("a") >= 0)).select("_k")
-        cold = uniq if last else uniq.join(crowded, F.col("key") == F.col("_k"), "left_anti")
-        cold = cold.select((F.lit(base) + F.pmod(F.xxhash64(F.lit(span), "key"), F.lit(buckets))).cast("int").alias("bucket"), F.pmod(F.hash("seg"), F.lit(SHARDS)).cast("int").alias("shard"), "seg", "at")
-        out = cold if out is None else out.unionByName(cold)
-        if not last:
-            rest = uniq.join(crowded, F.col("key") == F.col("_k"), "left_semi").select("seg", "off", "at")
-        base, buckets = base + buckets, buckets * 2
-    return out
+        pieces = by_core(segs, span, length).groupBy("key", "off", "seg").agg(F.min("at").alias("at"))
+        pieces = materialise(pieces, f"cores-{span}")
+        buckets = max(1, -(-(pieces.agg(F.sum(F.length("seg"))).first()[0] or 0) // bucket))
+        if span == spans[-1]:
+            out.append(_bucketed(pieces, base, buckets))
+            break
+        crowded = pieces.groupBy(F.col("key").alias("_k")).count().filter(F.col("count") > hot).select("_k")
+        out.append(_bucketed(pieces.join(crowded, F.col("key") == F.col("_k"), "left_anti"), base, buckets))
+        segs, base = pieces.join(crowded, F.col("key") == F.col("_k"), "left_semi").select("seg", "off", "at"), base + buckets
+    return reduce(DataFrame.unionByName, out)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -274,25 +300,29 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     if not 1 <= gram <= length < 1 << 15:
         raise ValueError("anchors are no longer than the strings")
     rows = _rows(docs, text)
-    found = marks(rows, length, gram)
+    found = marks(rows, length, gram, hot)
     stride = (rows.agg(F.max(F.length("data"))).first()[0] or 0) + 1
-    total = found.agg(F.sum(F.size("marks"))).first()[0] or 0
+    lone, crowd = found.agg(F.sum(F.size("lone")), F.sum(F.size("crowd"))).first()
+    # A stretch has about this many bytes.
+    buckets = max(1, -(-(lone or 0) * (3 * length - gram) // (2 * bucket)))
     met = rows.join(found, _same(rows, found))
-    segs = stretches(met, stride, length)
-    parts = dealt(segs, max(1, -(-total * (2 * length - gram) // (2 * bucket))), (length - gram + 1, *spans), length, hot)
+    parts = _bucketed(by_core(stretches(met, "lone", stride, length), length - gram + 1, length), 0, buckets)
+    if crowd:
+        few = found.filter(F.size("crowd") > 0)
+        parts = parts.unionByName(split_crowds(stretches(rows.join(few, _same(rows, few)), "crowd", stride, length), buckets, spans, length, hot, bucket))
     runs = kept(transforms(parts), length).select(F.floor(F.col("at") / stride).alias("_no"), (F.col("at") % stride).cast("int").alias("start"), "n")
     runs = runs.groupBy("_no").agg(F.collect_list(F.struct("start", "n")).alias("keep"))
     plan = found.join(runs, F.col("no") == F.col("_no"), "left").select("_doc", "_tid", "marks", "keep")
 
     @F.pandas_udf("kept binary, spans array<struct<start: int, size: int>>")
     def cut(data: pd.Series, packed: pd.Series, keep: pd.Series) -> pd.DataFrame:
-        out = [without(d, np.asarray(p, np.int64), [] if k is None else list(k), length) for d, p, k in zip(data, packed, keep)]
+        out = [(None, []) if p is None else without(d, np.asarray(p, np.int64), [] if k is None else list(k), length) for d, p, k in zip(data, packed, keep)]
         return pd.DataFrame({"kept": [o[0] for o in out], "spans": [o[1] for o in out]})
 
+    # Texts without a mark stay in the JVM.
     whole = rows.join(plan, _same(rows, plan), "left")
-    marked = whole.filter("marks IS NOT NULL").select("doc_id", "data", cut.asNondeterministic()("data", "marks", "keep").alias("r"))
-    plain = whole.filter("marks IS NULL").select("doc_id", F.length("data").cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start: int, size: int>>").alias("spans"), F.col("data").alias("kept"))
-    return marked.select("doc_id", F.length("data").cast("bigint").alias("n_bytes"), "r.spans", "r.kept").unionByName(plain)
+    whole = whole.select("doc_id", "data", cut.asNondeterministic()(F.when(F.col("marks").isNotNull(), F.col("data")), "marks", "keep").alias("r"))
+    return whole.select("doc_id", F.length("data").cast("bigint").alias("n_bytes"), "r.spans", F.coalesce("r.kept", "data").alias("kept"))
 
 
 def digests(docs: DataFrame, text: str = "text", **options) -> DataFrame:
