@@ -101,3 +101,71 @@ def test_clusters_on_edges(spark):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(x) for x in {(cls[i], min((rows[j][0] is None, rows[j][0]) for j in nodes if cls[j] == cls[i])[1]) for i in nodes} for x in [x[1]])
+
+
+def gram_set(text):
+    w = (text or "").lower().split()
+    k = min(5, len(w))
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def alike(a, b):
+    a, b = gram_set(a), gram_set(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rnd, words, rate):
+    out = []
+    for w in words:
+        x = rnd.random()
+        out += [] if x < rate / 3 else [w, "added"] if x < 2 * rate / 3 else ["other"] if x < rate else [w]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("equal", [1, 2])
+def test_tries_with_several_equal_blocks_link_like_brute_force(spark, equal):
+    scheme = simhash.Scheme(budget=6, equal=equal)
+    keys = sorted(set(near_keys(9, 240)))
+    signed = [k - 2**64 if k >= 2**63 else k for k in keys]
+    got = simhash.links(spark.createDataFrame([(k,) for k in signed], "fp bigint"), scheme=scheme).collect()
+    pairs = [(signed[i], signed[j]) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (keys[i] ^ keys[j]).bit_count() <= 6]
+    assert plain_classes([(r["u"], r["v"]) for r in got], signed) == plain_classes(pairs, signed)
+    for depth, pieces in scheme.tries + simhash.WIDE.tries:
+        x = np.array(keys, np.uint64)
+        assert (simhash.turn_back(simhash.turn(x, pieces), pieces) == x).all() and sum(w for _, w in pieces) == 64
+
+
+def test_near_copies_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(400)]
+    texts = []
+    for k in range(70):
+        words = rnd.choices(vocabulary, k=rnd.choice([60, 150, 400]))
+        texts.append(" ".join(words))
+        # Families around an original, some of them too far from it.
+        texts += [edited(rnd, words, rnd.choice([0.005, 0.01, 0.02, 0.1])) for _ in range(rnd.choice([0, 1, 3, 12]))]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    near = [(i, j) for i, a in rows for j, b in rows if i < j and a != b and alike(a, b)]
+    caught = sum(1 for i, j in near if not (i in kept and j in kept)) / len(near)
+    assert len(near) > 100 and caught >= 0.9
+    # What goes is like a member of its group; what is like nothing stays.
+    partner = {i for p in near for i in p}
+    assert all(i in partner or texts.index(texts[i]) != i for i in set(range(len(rows))) - kept)
+    group = {r["doc_id"]: r["group"] for r in simhash.near_groups(docs).collect()}
+    by = {}
+    for i, g in group.items():
+        by.setdefault(g, []).append(i)
+    assert all(any(all(alike(texts[i], texts[c]) for i in g) for c in g) for g in by.values())
+
+
+def test_documents_without_words_and_clashing_columns(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE two"), (6, "one two three"), (None, "one two"), (4, "one two"), (7, "two one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name in ("_kept_doc", "_kept_rid", "rid", "root", "fp", "group", "n", "grams", "centre", "_n", "_r", "_h", "_t"):
+        docs = docs.withColumn(name, docs["text"])
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 4, 6, 7]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
