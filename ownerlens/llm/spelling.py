@@ -11,7 +11,8 @@ of its words.
 Nodes are hashes of prefixes. Nodes with one way on that end no word and start no
 state are passed over: an edge bears the letters between two nodes that are kept, so
 levels follow branchings and not letters. A node has at most one edge per letter, so
-many words at one node do not multiply. Pairs are held against the words themselves,
+many words at one node do not multiply, and edges tell the next letters and the least
+and most letters of what lies below, so states without hope are never written. Pairs are held against the words themselves,
 so equal hashes of two prefixes add nothing. Words are counted by partial aggregates
 before any shuffle; levels are written to the shared folder.
 
@@ -34,6 +35,8 @@ MIN_COUNT = 2
 RATIO = 10
 #: Runs whose check sum this divides lose a letter; 0 leaves all runs as they are.
 GARBLE = 31
+#: Letters a node knows of what follows it.
+AHEAD = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,36 +71,56 @@ def _node(way: Column, t: Column, depth: Column) -> Column:
     return F.xxhash64(way, F.substr(t, F.lit(1), depth))
 
 
+def _ahead(t: Column, depth: Column) -> Column:
+    """The next letters after ``depth``, filled up with full stops beyond the end."""
+    return F.rpad(F.substr(t, depth + 1, F.lit(AHEAD)), AHEAD, ".")
+
+
 def edge_table(readings: DataFrame) -> DataFrame:
-    """(node, child, label, end): edges between kept nodes; ``end`` tells whether a word ends at the child."""
+    """(node, child, label, ahead, lo, hi): edges between kept nodes, and what follows the child.
+
+    ``ahead`` lists the next letters of the words below the child, between commas;
+    ``lo`` and ``hi`` are the least and most letters these words still have.
+    """
     depths = F.explode(F.sequence(_half(F.col("size") - 1), F.col("size")))
     steps = readings.select("way", "t", "size", depths.alias("depth"))
-    steps = steps.withColumns({"node": _node(F.col("way"), F.col("t"), F.col("depth")), "next": F.substr("t", F.col("depth") + 1, F.lit(1))})
+    steps = steps.withColumn("node", _node(F.col("way"), F.col("t"), F.col("depth")))
+    next_, left = F.substr("t", F.col("depth") + 1, F.lit(1)), F.col("size") - F.col("depth")
     kept = steps.groupBy(F.col("node").alias("_n")).agg(
-        F.min("next").alias("a"), F.max("next").alias("z"), F.max((F.col("depth") == F.col("size")) | (F.col("depth") == _half(F.col("size")))).alias("stop"))
-    kept = kept.filter((F.col("a") != F.col("z")) | F.col("stop")).select("_n")
+        F.min(next_).alias("a"), F.max(next_).alias("z"), F.max((left == 0) | (F.col("depth") == _half(F.col("size")))).alias("stop"),
+        F.min(left).alias("lo"), F.max(left).alias("hi"), F.collect_set(_ahead(F.col("t"), F.col("depth"))).alias("ahead"))
+    kept = kept.filter((F.col("a") != F.col("z")) | F.col("stop")).select("_n", "lo", "hi", F.concat(F.lit(","), F.array_join("ahead", ","), F.lit(",")).alias("ahead"))
+    kept = materialise(kept, "trie-nodes")
     chain = steps.join(kept, F.col("node") == F.col("_n"), "left_semi").groupBy("way", "t", "size").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("at"))
     pairs = F.arrays_zip(F.slice("at", F.lit(1), F.size("at") - 1).alias("a"), F.slice("at", F.lit(2), F.size("at")).alias("b"))
     pairs = chain.filter(F.size("at") > 1).select("t", "size", F.explode(pairs).alias("e")).select("t", "size", "e.a", "e.b")
     label = F.substr("t", F.col("a.depth") + 1, F.col("b.depth") - F.col("a.depth"))
-    edges = pairs.select(F.col("a.node").alias("node"), F.col("b.node").alias("child"), label.alias("label"), (F.col("b.depth") == F.col("size")).alias("end"))
-    return edges.groupBy("node", "child", "label").agg(F.max("end").alias("end"))
+    edges = pairs.select(F.col("a.node").alias("node"), F.col("b.node").alias("child"), label.alias("label")).distinct()
+    return edges.join(kept, F.col("child") == F.col("_n")).drop("_n")
 
 
 def _moves() -> Column:
-    """States (pos, edits) that follow from a state and an edge: the label read as it is, or with one edit in or before it."""
+    """States (pos, edits) that follow from a state and an edge: the label read as it is, or with one edit in or before it; null where none does."""
     t, pos, label = F.col("t"), F.col("pos"), F.col("label")
     size = F.length(label)
 
     def piece(k: int) -> Column:
         return F.substr(t, pos + 1, size + k)
 
+    def hopeful(at: Column, edits: Column) -> Column:
+        """Whether a word below the child can still be met."""
+        left, free = F.col("size") - at, 1 - edits
+        fits = (left >= F.col("lo") - free) & (left <= F.col("hi") + free)
+        reads = F.contains(F.col("ahead"), F.concat(F.lit(","), _ahead(t, at), F.lit(",")))
+        return fits & F.when(edits == 1, reads).otherwise(F.col("hi") > 0)
+
     def edited(k: int) -> Column:
         near = (F.length(piece(k)) == size + k) & (F.levenshtein(piece(k), label, 1) == 1)
-        return F.when((F.col("edits") == 0) & near, F.struct((pos + size + k).alias("pos"), F.lit(1).alias("edits")))
+        at = pos + size + k
+        return F.when((F.col("edits") == 0) & hopeful(at, F.lit(1)) & near, F.struct(at.alias("pos"), F.lit(1).alias("edits")))
 
-    same = F.when(piece(0) == label, F.struct((pos + size).alias("pos"), F.col("edits").alias("edits")))
-    return F.filter(F.array(same, edited(0), edited(-1), edited(1)), lambda m: m.isNotNull())
+    same = F.when((piece(0) == label) & hopeful(pos + size, F.col("edits")), F.struct((pos + size).alias("pos"), F.col("edits").alias("edits")))
+    return F.array(same, edited(0), edited(-1), edited(1))
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
@@ -109,11 +132,12 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     met = []
     while True:
         steps = states.withColumnRenamed("node", "_n").join(edges, F.col("_n") == F.col("node"))
-        steps = steps.select("way", "t", "size", F.concat("read", "label").alias("read"), F.col("child").alias("node"), "end", F.explode(_moves()).alias("m"))
-        steps = steps.select("way", "t", "size", "read", "node", "end", "m.pos", "m.edits")
-        done = F.col("end") & (F.col("edits") == 1) & (F.col("pos") == F.col("size"))
-        on = (F.col("edits") == 0) | (F.col("pos") < F.col("size"))
-        level = materialise(steps.filter(done | on), "trie-level")
+        steps = steps.select("way", "t", "size", F.concat("read", "label").alias("read"), F.col("child").alias("node"), F.explode(_moves()).alias("m"))
+        steps = steps.filter("m IS NOT NULL").select("way", "t", "size", "read", "node", "m.pos", "m.edits")
+        # An edited state without letters left is hopeful only where a word ends.
+        done = (F.col("edits") == 1) & (F.col("pos") == F.col("size"))
+        on = ~done
+        level = materialise(steps, "trie-level")
         met.append(level.filter(done).select("way", "t", "read"))
         states = level.filter(on).select("way", "t", "size", "pos", "node", "edits", "read")
         if states.isEmpty():
