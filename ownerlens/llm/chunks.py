@@ -37,70 +37,28 @@ from pyspark.sql import functions as F
 from ownerlens.llm.batches import bounded
 from ownerlens.session import materialise
 
-RADIUS = 12
-LONGEST = 512
 MIN_WORDS = 51
 #: Words of an anchor, at least the gear hash's 16.
 ANCHOR = 26
-#: Bytes hashed at once.
-SLICE = 1 << 20
 #: Rows per record batch that a task returns.
 BATCH = 1 << 16
 
-_GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """Gear hash over the 16 bytes that end at each position (fewer at the start)."""
-    return _rolled(_GEAR[data])
-
-
 def _rolled(h: np.ndarray) -> np.ndarray:
+    """Gear hash over the 16 values that end at each place (fewer at the start), in the place of the values."""
     for step in (1, 2, 4, 8):
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
     return h
 
 
-def _least_around(h: np.ndarray, r: int) -> np.ndarray:
-    """Whether each value is below all r values before it and not above the r after it."""
-    top = np.full(r, 2**32, np.uint64)
-    x = np.concatenate((top, h.astype(np.uint64), top))
-    low, size = x, 1
-    while 2 * size <= r:
-        low, size = np.minimum(low[:-size], low[size:]), 2 * size
-    low = np.minimum(low[: len(x) - r + 1], low[r - size : r - size + len(x) - r + 1])  # least of r values from each position
-    n = len(h)
-    return (h < low[:n]) & (h <= low[r + 1 : r + 1 + n])
-
-
 def _word_starts(data: np.ndarray) -> np.ndarray:
     space = _SPACE[data]
     return np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Chunk boundaries, from the first word's start to the end; each but the last is a word start."""
-    n = len(data)
-    words = _word_starts(data)
-    if not len(words):
-        return np.zeros(0, np.int64)
-    found, margin = [], RADIUS + 15
-    for s in range(0, n, SLICE):
-        a, b = max(0, s - margin), min(n, s + SLICE + RADIUS)
-        at = np.flatnonzero(_least_around(gear(data[a:b]), RADIUS)) + a
-        found.append(at[(at >= s) & (at < s + SLICE)])
-    at = np.searchsorted(words, np.concatenate(found) + 1)
-    out = np.unique(np.concatenate((words[:1], words[at[at < len(words)]], [n])))
-    gaps = np.flatnonzero(np.diff(out) > LONGEST)
-    if len(gaps):
-        extra = np.concatenate([np.arange(out[g] + LONGEST, out[g + 1], LONGEST) for g in gaps])
-        at = np.searchsorted(words, extra)
-        out = np.unique(np.concatenate((out, words[at[at < len(words)]])))
-    return out
-
-
 _B = np.uint64(0x9E3779B97F4A7C1B)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 2**64))
 
@@ -150,7 +108,7 @@ def _windows(docs: DataFrame, size: int, chosen) -> DataFrame:
         def flush() -> pa.RecordBatch:
             sizes = [len(h[2]) for h in held]
             ids = pa.array([h[0] for h in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
-            rids = np.repeat(np.array([h[1] for h in held], np.int64), sizes)
+            rids = np.repeat(np.array([h[1] for h in held], np.int32), sizes)
             first, digest = (np.concatenate([h[k] for h in held]) for k in (2, 3))
             columns = [ids, pa.array(rids), pa.array(first.astype(np.int32)), pa.array(digest.view(np.int64))]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "first", "digest"])
@@ -171,7 +129,7 @@ def _windows(docs: DataFrame, size: int, chosen) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(split, "doc_id bigint, rid bigint, first int, digest bigint")
+    return docs.mapInArrow(split, "doc_id bigint, rid int, first int, digest bigint")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -198,9 +156,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_
         np.add.at(steps, np.minimum(marks + 1, n), -1)
         return np.flatnonzero(np.cumsum(steps[:n]))
 
-    rows = bounded(docs).select("doc_id", F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
-    marked = materialise(_windows(rows, ANCHOR, lambda words, _: anchors(words, min_words)), "anchors")
-    marks = marked.join(_shared(marked), F.col("digest") == F.col("_d"), "left_semi").groupBy(F.col("doc_id").alias("_m"), F.col("rid").alias("_r")).agg(F.collect_set("first").alias("marks"))
+    rows = bounded(docs).select("doc_id", F.hash(text).alias("rid"), F.col(text).alias("text"))
+    # Found twice rather than written: hashing is cheaper than the disk they would take.
+    marked = _windows(rows, ANCHOR, lambda words, _: anchors(words, min_words))
+    often = marked.groupBy(F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_d")
+    marks = marked.join(often, F.col("digest") == F.col("_d"), "left_semi").groupBy(F.col("doc_id").alias("_m"), F.col("rid").alias("_r")).agg(F.collect_set("first").alias("marks"))
     met = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("_m")) & (rows["rid"] == F.col("_r"))).select("doc_id", "rid", "text", "marks")
     found = materialise(_windows(met, min_words, around), "passage-windows")
     again = found.join(_shared(found), F.col("digest") == F.col("_d")).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("holder")))
@@ -228,8 +188,9 @@ def remove(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFram
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8").rstrip())
         return pd.Series(out, dtype=object)
 
-    met = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_span_doc")) & (F.xxhash64(docs[text]) == F.col("_span_rid")), "left")
+    met = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_span_doc"]) & (F.hash(docs[text]) == spans["_span_rid"]), "left")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("d")
     # Marked so that the filter on the result does not make Spark run the function twice.
-    cut = met.filter("_spans IS NOT NULL").withColumn("_left", without.asNondeterministic()(docs[text], F.col("_spans")))
-    cut = cut.filter(F.col("_left").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col("_left").alias(c) if c == text else docs[c] for c in docs.columns])
-    return met.filter("_spans IS NULL").select(*[docs[c] for c in docs.columns]).unionByName(cut)
+    cut = met.filter(spans["_spans"].isNotNull()).select(whole, without.asNondeterministic()(docs[text], spans["_spans"]).alias("left"))
+    cut = cut.filter(F.col("left").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col("left").alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns])
+    return met.filter(spans["_spans"].isNull()).select(*[docs[c] for c in docs.columns]).unionByName(cut)

@@ -1,8 +1,8 @@
-"""Chunking: gear hash and cuts against plain loops; passages caught, clean texts left alone."""
+"""Anchors and exact passages against plain loops; passages caught, clean texts left alone."""
 import random
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ownerlens.llm import chunks
 
@@ -11,37 +11,15 @@ def words(rnd, n):
     return " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(n))
 
 
-def plain_cuts(raw):
-    n = len(raw)
-    h = []
-    for i in range(n):
-        h.append(sum(int(chunks._GEAR[raw[i - k]]) << k for k in range(16) if i - k >= 0) % 2**32)
-    starts = [i for i in range(n) if not raw[i : i + 1].isspace() and (i == 0 or raw[i - 1 : i].isspace())]
-    if not starts:
-        return []
-    r = chunks.RADIUS
-    marks = [i for i in range(n) if all(h[i] < x for x in h[max(0, i - r) : i]) and all(h[i] <= x for x in h[i + 1 : i + 1 + r])]
-    out = sorted({starts[0], n} | {min(s for s in starts if s > i) for i in marks if starts[-1] > i})
-    extra = {min((s for s in starts if s >= p), default=None) for a, b in zip(out, out[1:]) for p in range(a + chunks.LONGEST, b, chunks.LONGEST)}
-    return sorted(set(out) | (extra - {None}))
-
-
-@pytest.mark.parametrize("size", [chunks.SLICE, 64])
-def test_cuts_equal_a_plain_loop(monkeypatch, size):
-    monkeypatch.setattr(chunks, "SLICE", size)
+@pytest.mark.parametrize("size", [51, 60])
+def test_anchors_are_the_least_runs_by_gear_hash(size):
     rnd = random.Random(1)
-    texts = ["", " ", "a", " a ", "x" * 50, "of " * 700, "ñandú été über " * 30, *[words(rnd, rnd.randint(1, 150)) for _ in range(25)]]
-    for t in texts:
-        raw = t.encode()
-        assert chunks.cuts(np.frombuffer(raw, np.uint8)).tolist() == plain_cuts(raw)
-
-
-def test_insertions_leave_other_chunks_alone():
-    rnd = random.Random(2)
-    a = words(rnd, 400)
-    b = a[:900] + " something else " + a[900:]
-    parts = lambda t: {t.encode()[x:y].rstrip() for c in [chunks.cuts(np.frombuffer(t.encode(), np.uint8))] for x, y in zip(c, c[1:])}
-    assert len(parts(a) - parts(b)) <= 5
+    for text in ["la " * 90, "", "one two", words(rnd, 50), words(rnd, 51), *[words(rnd, rnd.randint(60, 200)) for _ in range(8)]]:
+        hashes = chunks.word_hashes(text.encode())
+        n = len(hashes)
+        gear = [sum((int(hashes[i - k]) & 0xFFFFFFFF) << k for k in range(16)) % 2**32 for i in range(chunks.ANCHOR - 1, n)]
+        want = {min(range(s, s + size - chunks.ANCHOR + 1), key=lambda i: (gear[i], -i)) for s in range(n - size + 1)}
+        assert chunks.anchors(hashes, size).tolist() == sorted(want)
 
 
 def test_passages_of_over_fifty_words_are_always_caught(spark):
@@ -123,3 +101,14 @@ def test_lines_side_by_side_are_no_passage_unless_one_document_holds_both(spark)
     rows = [(1, f"{words(rnd, 30)} {a} {words(rnd, 30)}"), (2, f"{b} {words(rnd, 30)}"), (3, f"{words(rnd, 9)} {a} {b} {words(rnd, 9)}"), (4, f"{words(rnd, 5)} {a} {b}")]
     found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert spans(found) == {4: set(range(5, 85))} and {r["first_doc_id"] for r in found.collect()} == {3}
+
+
+def test_clashing_columns_are_kept(spark):
+    rnd = random.Random(7)
+    p = words(rnd, 60)
+    docs = spark.createDataFrame([(1, p), (2, f"{words(rnd, 9)} {p}"), (3, p)], "doc_id bigint, text string")
+    names = ("_span_doc", "_span_rid", "_spans", "_left", "left", "d", "rid", "first", "digest", "_d", "_m", "_r", "marks", "holder")
+    docs = docs.withColumns({n: F.lit("x") for n in names})
+    left = chunks.remove(docs, chunks.repeated_passages(docs))
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], len(r["text"].split()), r["_spans"], r["left"]) for r in left.collect()) == [(1, 60, "x", "x"), (2, 9, "x", "x")]

@@ -104,3 +104,13 @@ def test_items_poor_in_literals_are_found_verbatim(spark):
 def test_coverage_is_over_the_whole_item(spark):
     items = [(1, "Anna Berg Carl Dahl Emma Falk Gina Holm Ivan Juhl went to the old mill")]
     assert reported(spark, items, ["went to the old mill", items[0][1]]) == {(1, 1): 1.0}
+
+
+def test_clean_keeps_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "what is the sum of all the numbers in this long list"), (2, "clean words only")], "doc_id bigint, text string")
+    docs = docs.withColumns({n: F.lit("x") for n in ("_leak_doc", "_leak_rid", "rid", "hash", "key", "item", "_h", "_s", "n", "pos", "at")})
+    benchmark = spark.createDataFrame([(7, "What is the sum of all the numbers in this long list", 1)], "item_id bigint, text string, hash int")
+    left = leaks.clean(docs, leaks.contaminated(docs, benchmark))
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]

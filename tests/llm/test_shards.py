@@ -54,3 +54,10 @@ def test_files(spark, tmp_path):
     shards.write_shards(docs, str(tmp_path / "out"), 1_000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and {"text", "lang", "shard"} <= set(back.columns) and back.select("shard").distinct().count() >= 7
+
+
+def test_files_with_a_column_named_shard(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "t" * 50, "x", "y") for i in range(100)], "doc_id bigint, text string, shard string, _id string")
+    shards.write_shards(docs, str(tmp_path / "out"), 1_000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 100 and "x" not in {str(r["shard"]) for r in back.select("shard").distinct().collect()} and {r["_id"] for r in back.select("_id").collect()} == {"y"}
