@@ -18,7 +18,7 @@ import numpy as np
 #: Keys up to which numbers are found through a table.
 TABLE = 1 << 22
 #: Combinations of k symbols beyond which those of 2 k are not tried, and most symbols taken at once.
-MANY = 1 << 14
+MANY = 40_000
 LONGEST = 16
 
 

@@ -44,16 +44,15 @@ from ownerlens.session import materialise
 LENGTH = 100
 GRAM = 30
 #: Bytes of text in a bucket, about, and shards it is dealt into.
-BUCKET = 1 << 19
+BUCKET = 1 << 16
 SHARDS = 2
 #: Stretches an anchor may have before it is split, and distances a core spans then.
 HOT = 2048
 SPANS = (8, 1)
 #: Rows per record batch that a task returns, and bytes of text hashed at once.
 BATCH = 1 << 14
-SLICE = 1 << 20
+SLICE = 1 << 15
 
-_BYTE = np.random.default_rng(30).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -67,47 +66,70 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS, _INVERSE = _powers(_BASE, SLICE + (1 << 15)), _powers(pow(_BASE, -1, 2**64), SLICE + (1 << 15))
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of the ``size`` bytes that start at each place, put together from hashes of 1, 2, 4 ... bytes."""
-    whole, done, part, width = None, 0, _BYTE[data], 1
-    while True:
-        if size & width:
-            if whole is None:
-                whole, done = part, width
-            else:
-                n = len(data) - done - width + 1
-                whole = whole[:n] * np.uint64(pow(_BASE, width, 2**64)) + part[done : done + n]
-                done += width
-        if done == size:
-            break
-        n = len(data) - 2 * width + 1
-        part = part[:n] * np.uint64(pow(_BASE, width, 2**64)) + part[width : width + n]
-        width *= 2
+def _mixed(h: np.ndarray) -> np.ndarray:
     for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
-        whole = (whole ^ (whole >> np.uint64(shift))) * np.uint64(factor)
-    return whole
-
-
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, n, off, whole): n strings from ``first`` on have the anchor ``off`` bytes after ``first``; ``whole`` hashes them all."""
-    found = []
-    for s in range(0, max(0, len(data) - length + 1), SLICE):
-        piece = data[s : s + SLICE + length - 1]
-        h = gram_hashes(piece, gram)
-        n, w = len(h), length - gram + 1
-        low, size = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), 1
-        while 2 * size <= w:
-            low, size = np.minimum(low[:-size], low[size:]), 2 * size
-        low = np.minimum(low[: n - w + 1], low[w - size : w - size + n - w + 1]) & np.uint64(0xFFFFFFFF)
-        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        at, count = low[first].astype(np.int64), np.diff(np.append(first, len(low)))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * _POWERS[: len(piece)], dtype=np.uint64)))
-        whole = (sums[first + count + length - 1] - sums[first]) * _INVERSE[first]
-        whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(_BASE) + count.astype(np.uint64)
-        found.append((h[at].view(np.int64), s + first, count, at - first, whole.view(np.int64)))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(c) for c in zip(*found))
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, hash, first, n, off, whole): n strings from ``first`` on have the anchor ``off`` bytes after ``first``.
+
+    ``data`` holds texts one after another, up to ``ends``; ``whole`` hashes all bytes of the strings.
+    """
+    n = len(data) - length + 1
+    if n < 1:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)])))
+    h = _mixed((sums[gram:] - sums[:-gram]) * _INVERSE[: len(data) - gram + 1])
+    w = length - gram + 1
+    low, size = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * size <= w:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    low = np.minimum(low[:n], low[w - size : w - size + n]) & np.uint64(0xFFFFFFFF)
+    # Strings that reach into the next text are none.
+    use = np.ones(n + 1, bool)
+    use[n] = False
+    for e in ends[:-1].tolist():
+        use[max(0, e - length + 1) : min(e, n)] = False
+    new = use[:n].copy()
+    new[1:] &= (low[1:] != low[:-1]) | ~use[: n - 1]
+    first = np.flatnonzero(new)
+    # A run of strings ends where the next begins, or where none is.
+    stops = np.flatnonzero(new | ~use[:n])
+    count = np.append(stops, n)[np.searchsorted(stops, first, "right")] - first
+    at = low[first].astype(np.int64)
+    whole = (sums[first + count + length - 1] - sums[first]) * _INVERSE[first]
+    whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(_BASE) + count.astype(np.uint64)
+    text = np.searchsorted(ends, first, "right")
+    starts = np.concatenate(([0], ends[:-1]))
+    return text, h[at].view(np.int64), first - starts[text], count, at - first, whole.view(np.int64)
+
+
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE`` bytes; a longer text is a range of its own."""
+    a, held = 0, 0
+    for b, size in enumerate(sizes):
+        if held and held + size > SLICE:
+            yield a, b
+            a, held = b, 0
+        held += size
+    if held or a < len(sizes):
+        yield a, len(sizes)
+
+
+def all_anchors(texts: list[np.ndarray], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``anchors`` of texts, a group of short ones or a slice of a long one at a time."""
+    for a, b in _groups([len(t) for t in texts]):
+        size = sum(len(t) for t in texts[a:b])
+        if b - a == 1 and size > SLICE:
+            for s in range(0, max(0, size - length + 1), SLICE):
+                piece = texts[a][s : s + SLICE + length - 1]
+                text, h, first, *rest = anchors(piece, np.array([len(piece)]), length, gram)
+                yield text + a, h, first + s, *rest
+        else:
+            text, *rest = anchors(np.concatenate(texts[a:b]), np.cumsum([len(t) for t in texts[a:b]]), length, gram)
+            yield text + a, *rest
 
 
 def _bytes(column: pa.Array, k: int) -> np.ndarray:
@@ -133,25 +155,10 @@ def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tid, data = batch.column(1).to_numpy(), batch.column(2)
-            held: list[tuple] = []
-
-            def flush() -> pa.RecordBatch:
-                which = np.concatenate([np.full(len(f[1]), f[0]) for f in held])
-                h, first, n, off, whole = (np.concatenate([f[k] for f in held]) for k in range(1, 6))
-                columns = [pa.array(h), batch.column(0).take(pa.array(which)), pa.array(tid[which]), pa.array(first << 32 | n << 16 | off), pa.array(whole)]
-                return pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tid", "mark", "whole"])
-
-            count = 0
-            for k in range(batch.num_rows):
-                if len((found := anchors(_bytes(data, k), length, gram))[0]):
-                    held.append((k, *found))
-                    count += len(found[0])
-                if count >= BATCH:
-                    yield flush()
-                    held, count = [], 0
-            if held:
-                yield flush()
+            tid = batch.column(1).to_numpy()
+            for text, h, first, n, off, whole in all_anchors([_bytes(batch.column(2), k) for k in range(batch.num_rows)], length, gram):
+                columns = [pa.array(h), batch.column(0).take(pa.array(text)), pa.array(tid[text]), pa.array(first << 32 | n << 16 | off), pa.array(whole)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tid", "mark", "whole"])
 
     found = rows.mapInArrow(find, "anchor bigint, doc_id bigint, tid int, mark bigint, whole bigint")
     often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
