@@ -36,15 +36,16 @@ RATIO = 10
 #: Runs whose check sum this divides lose a letter; 0 leaves all runs as they are.
 GARBLE = 31
 #: Letters a node knows of what follows it.
-AHEAD = 3
+AHEAD = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(docs: DataFrame, text: str = "text", garble: int = GARBLE, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n): words of ``min_length`` letters or more that occur ``min_count`` times or more."""
     # Greedy, so each match is a maximal run; shorter runs give no word.
-    runs = F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(rf"[a-zÀ-ÿ]{{{min_length},}}"), 0)
+    runs = F.regexp_extract_all(F.col(text), F.lit(rf"[A-Za-zÀ-ÿ]{{{min_length},}}"), 0)
     found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    found = found.select("id", F.translate("run", UPPER, LOWER).alias("run"))
     word = F.col("run")
     if garble:
         found = found.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run")))
