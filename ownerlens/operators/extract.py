@@ -13,90 +13,53 @@ c = F.col
 
 # ------------------------------------------------------------- mentions
 
-GRAM = 4
-_GRAMS = rf"(?s)(?=(.{{{GRAM}}}))"
-
-
-def _grams(text: Column) -> Column:
-    """Distinct overlapping character grams, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(_GRAMS), F.lit(1)))
-
-
-def anchored_dictionary(dictionary: DataFrame) -> DataFrame:
-    """Known names (four characters or more, first spelling wins), each with the
-    gram of it that fewest other names share."""
-    names = dictionary.select(
-        "entity_seq", F.trim("name").alias("name"), "type", F.lower(F.trim("name")).alias("key")
-    ).filter(F.length("key") >= GRAM)
-    names = first_per_key(names, ["key"], ("entity_seq",))
-    grams = names.select("entity_seq", F.explode(_grams(c("key"))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = top_per_key(grams.join(shared, "gram"), ["entity_seq"], [c("n"), c("gram")], 1)
-    return names.join(rarest.select("entity_seq", "gram"), "entity_seq")
-
-
-#: Names up to which a string matcher travels with the tasks (a few tens of MB at most).
-MATCHER_NAMES = 50_000
-
-
-def find_keys(articles: DataFrame, hay: Column, keys: DataFrame, limit: int | None = None) -> DataFrame | None:
-    """``(seq, id)`` of the keys contained in each text, the first ``limit`` by id; None where the keys are too many.
-
-    ``keys(id, key)`` holds each non-empty key once.  Up to ``MATCHER_NAMES`` of them
-    every task gets one matcher that finds all keys in one pass over a text, so
-    texts are neither cut up nor shuffled.
+#: Fewest letters of a name that is looked for.
+LEAST_NAME = 4
+#: Leading characters that join a key with the places of a text, and characters known of every place.
+ANCHOR = 7
+WINDOW = 32
+#: Characters of a piece of text whose places are listed together.
+PIECE = 4096
+
+
+def contained_keys(articles: DataFrame, hay: Column, keys: DataFrame) -> DataFrame:
+    """``(seq, id)`` of the keys contained in each text; ``keys(id, key)`` holds each non-empty key once.
+
+    Every place of a text is a row of the next ``WINDOW`` characters, joined with the
+    keys on their first ``ANCHOR`` characters; what follows is compared in the
+    same row, so texts are not shuffled and only keys beyond ``WINDOW`` are looked up
+    in their text again.  Spark broadcasts the keys as long as they are small by its
+    own size check.
     """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return None
-    held = [(r["key"], r["id"]) for r in keys.select("key", "id").limit(MATCHER_NAMES + 1).collect()]
-    if len(held) > MATCHER_NAMES:
-        return None
-
-    def match(batches):
-        import ahocorasick
-        import numpy as np
-        import pandas as pd
-
-        found = ahocorasick.Automaton()
-        for key, number in held:
-            found.add_word(key, number)
-        if held:
-            found.make_automaton()
-        for rows in batches:
-            hits = [sorted({n for _, n in found.iter(t)})[:limit] if held and t else [] for t in rows["hay"]]
-            yield pd.DataFrame({"seq": np.repeat(rows["seq"].to_numpy(), [len(h) for h in hits]), "id": np.array([n for h in hits for n in h], np.int64)})
-
-    return articles.select(c("seq").cast("bigint").alias("seq"), hay.alias("hay")).mapInPandas(match, "seq bigint, id bigint")
+    keys = keys.select("id", "key", F.left("key", F.lit(ANCHOR)).alias("anchor"))
+    # At most ANCHOR numbers, and the length of the longest key.
+    sizes = sorted(r[0] for r in keys.select(F.length("anchor")).distinct().collect())
+    longest = keys.agg(F.max(F.length("key"))).first()[0] or 0
+    texts = articles.select(c("seq").cast("bigint").alias("seq"), hay.alias("hay")).filter(c("hay") != "")
+    # Long texts go in pieces that overlap by a window, so no row grows with its text.
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("hay") - 1) / PIECE).cast("int")), lambda k: F.substr("hay", k * PIECE + 1, F.lit(PIECE + WINDOW - 1)))
+    places = texts.select("seq", F.explode(pieces).alias("piece")).select(
+        "seq", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(rf"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1)))).alias("window"))
+    if not sizes:
+        return places.select("seq", F.lit(0).cast("bigint").alias("id")).limit(0)
+    starts = F.array(*[F.left("window", F.lit(n)) for n in sizes])
+    places = places.select("seq", "window", (F.explode(starts) if len(sizes) > 1 else starts[0]).alias("start"))
+    met = places.join(keys, c("start") == c("anchor")).filter(F.startswith(c("window"), F.left("key", F.lit(WINDOW))))
+    found = met.filter(F.length("key") <= WINDOW).select("seq", "id").distinct()
+    if longest <= WINDOW:
+        return found
+    long = met.filter(F.length("key") > WINDOW).select("seq", "id", "key").distinct()
+    return found.unionByName(long.join(texts, "seq").filter(F.contains("hay", "key")).select("seq", "id"))
 
 
 def match_entities(articles: DataFrame, dictionary: DataFrame, text: Column, limit: int | None = 10) -> DataFrame:
-    """Known names contained in each article's text, the first ``limit`` in dictionary order.
-
-    A dictionary within ``MATCHER_NAMES`` is matched in one pass.  Beyond it, a name
-    contained in the text brings all its grams with it, so an equi-join on one gram
-    of the name finds every match; taking the name's rarest gram keeps candidates
-    few.  Containment is then verified.
-    """
-    names = dictionary.select("entity_seq", F.trim("name").alias("name"), "type", F.lower(F.trim("name")).alias("key"))
-    names = first_per_key(names.filter(F.length("key") >= GRAM), ["key"], ("entity_seq",))
-    hits = find_keys(articles, F.lower(text), names.select(c("entity_seq").cast("bigint").alias("id"), "key"), limit)
-    if hits is not None:
-        return hits.join(names.drop("key"), c("id") == c("entity_seq")).select("seq", "entity_seq", "name", "type")
-    found = match_by_grams(articles, dictionary, text)
-    return found if limit is None else top_per_key(found, ["seq"], [c("entity_seq")], limit)
-
-
-def match_by_grams(articles: DataFrame, dictionary: DataFrame, text: Column) -> DataFrame:
-    """All known names in each text by a join on each name's rarest gram, then verified."""
-    hay = articles.select("seq", F.lower(text).alias("hay"))
-    pairs = (
-        hay.select("seq", F.explode(_grams(c("hay"))).alias("gram"))
-        .join(anchored_dictionary(dictionary), "gram")
-        .select("seq", "entity_seq", "name", "type", "key")
-    )
-    return pairs.join(hay, "seq").filter(F.contains(c("hay"), c("key"))).drop("hay", "key")
+    """Known names (four characters or more, first spelling wins) contained in each article's text, the first ``limit`` in dictionary order."""
+    names = dictionary.select(c("entity_seq").cast("bigint").alias("entity_seq"), F.trim("name").alias("name"), "type", F.lower(F.trim("name")).alias("key"))
+    names = first_per_key(names.filter(F.length("key") >= LEAST_NAME), ["key"], ("entity_seq",))
+    hits = contained_keys(articles, F.lower(text), names.select(c("entity_seq").alias("id"), "key"))
+    if limit is not None:
+        hits = top_per_key(hits, ["seq"], [c("id")], limit)
+    return hits.join(names.drop("key"), c("id") == c("entity_seq")).select("seq", "entity_seq", "name", "type")
 
 
 # Names as written: capitalised runs ending in an organisation word, capitalised

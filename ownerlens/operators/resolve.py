@@ -30,40 +30,45 @@ def _bigrams(name):
         g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
 
 
+def _band(size):
+    """Lengths in steps of a half: close names are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1.5)) + 1e-9).cast("int")
+
+
 def _probe_rows(names: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """The rarest bigrams of each name that a close match cannot avoid.
+    """The rarest bigrams of each name that a close match cannot avoid, with its type and band of length.
 
     More than 0.8 similarity of lengths a and b leaves over 0.4(a+b) matched
     characters in at most 0.2(a+b)+1 runs, hence more than 0.2(a+b)-1 shared
     bigrams; b is at least two thirds of a.  All but that many of a name's
     bigrams, rarest first, must contain a shared one.
     """
-    pairs = names.select(key, "low", F.explode(_bigrams(c("low"))).alias("gram"))
-    ordered = pairs.join(counts, "gram", "left").groupBy(key).agg(
-        F.first("low").alias("low"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("o"))
+    pairs = names.select(key, "low", "type", F.explode(_bigrams(c("low"))).alias("gram"))
+    ordered = pairs.join(counts, ["type", "gram"], "left").groupBy(key).agg(
+        F.first("low").alias("low"), F.first("type").alias("type"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("o"))
     size = F.length("low")
     needed = F.greatest(F.lit(1), F.floor(size / 3.0 - 1.0 + 1e-9).cast("int") + 1)
     keep = F.greatest(F.lit(1), F.size("o") - needed + 1)
-    return ordered.select(key, F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(key, c("x.gram").alias("gram"))
+    return ordered.select(key, "type", _band(size).alias("band"), F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(key, "type", "band", c("x.gram").alias("gram"))
 
 
 def fuzzy_best(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """Best known entity above 0.8 per mention; ties go to the lowest id.
 
     ``mentions(mention_id, type, name)``, ``known(entity_id, type, name)`` with one
-    row per name or alias.  Candidates come from an equi-join on rare bigrams
-    (or equal lower-case names); lengths and shared bigrams are checked before
-    the exact similarity is computed.
+    row per name or alias.  Candidates come from an equi-join on type, band of length and
+    rare bigrams (or type and equal lower-case names); lengths and shared bigrams are
+    checked before the exact similarity is computed.
     """
     m = mentions.select("mention_id", "type", F.lower("name").alias("low"))
-    k = known.select("entity_id", c("type").alias("known_type"), F.lower("name").alias("low")).distinct().withColumn(
-        "known_id", F.struct("entity_id", "known_type", "low"))
-    counts = k.select(F.explode(_bigrams(c("low"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    k = known.select("entity_id", "type", F.lower("name").alias("low")).distinct().withColumn("known_id", F.struct("entity_id", "type", "low"))
+    counts = k.select("type", F.explode(_bigrams(c("low"))).alias("gram")).groupBy("type", "gram").agg(F.count(F.lit(1)).alias("n"))
     left, right = _probe_rows(m, counts, "mention_id"), _probe_rows(k, counts, "known_id")
-    ids = left.join(right, "gram").select("mention_id", "known_id").distinct()
-    same = m.join(k.select("known_id", c("low").alias("klow")), c("low") == c("klow")).select("mention_id", "known_id")
+    left = left.withColumn("band", F.explode(F.array(c("band") - 1, c("band"), c("band") + 1)))
+    ids = left.join(right, ["type", "band", "gram"]).select("mention_id", "known_id")
+    same = m.join(k.select("known_id", "type", c("low").alias("klow")), (m["type"] == k["type"]) & (c("low") == c("klow"))).select("mention_id", "known_id")
     pairs = ids.unionAll(same).distinct()
-    pairs = pairs.join(m, "mention_id").join(k.withColumnRenamed("low", "klow"), "known_id").filter(c("type") == c("known_type"))
+    pairs = pairs.join(m.select("mention_id", "low"), "mention_id").select("mention_id", "low", c("known_id.entity_id").alias("entity_id"), c("known_id.low").alias("klow"))
     a, b = F.length("low"), F.length("klow")
     shared = F.size(F.array_intersect(_bigrams(c("low")), _bigrams(c("klow"))))
     pairs = pairs.filter((2.0 * F.least(a, b) > LEAST * (a + b)) & ((shared > 0.2 * (a + b) - 1.0 - 1e-9) | (c("low") == c("klow"))))

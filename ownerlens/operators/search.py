@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ownerlens import vocab as V
 from ownerlens.functions import text as T
-from ownerlens.operators.extract import GRAM, find_keys, match_by_grams, match_entities
+from ownerlens.operators.extract import contained_keys, match_entities
 from ownerlens.operators.keys import top_per_key
 
 c = F.col
@@ -98,30 +98,17 @@ def concept(articles: DataFrame, text: str) -> DataFrame:
 def batch_keyword(articles: DataFrame, queries: DataFrame, text: Column, limit: int = 20) -> DataFrame:
     """Top articles of every query in a table ``(query_id, query)``, most recent first.
 
-    Distinct queries are found in one pass over each text (``extract.find_keys``);
-    where they are too many for that, by an equi-join on characters.  The per-query
-    cut is applied map-side, so a query matching a third of all articles stays cheap.
+    Distinct queries are joined with the places of the texts (``extract.contained_keys``).
+    The per-query cut is applied map-side, so a query matching a third of all articles
+    stays cheap.
     """
     asked = queries.select(F.lower("query").alias("key"), "query_id").filter(F.length("key") > 0)
     keys = asked.groupBy("key").agg(F.min("query_id").cast("bigint").alias("id"))
-    found = find_keys(articles, F.lower(text), keys)
-    hits = _by_grams(articles, keys, text) if found is None else found
+    hits = contained_keys(articles, F.lower(text), keys).join(articles.select("seq", "published_at"), "seq")
+    # Cut once per distinct query, so equal queries do not multiply the hits.
+    best = top_per_key(hits, ["id"], [c("published_at").desc_nulls_last(), c("seq")], limit, "rank")
     ids = asked.join(keys, "key").select("query_id", "id")
-    hits = hits.join(ids, "id").join(articles.select("seq", "published_at"), "seq")
-    return top_per_key(hits, ["query_id"], [c("published_at").desc_nulls_last(), c("seq")], limit, "rank").select(
-        "query_id", "seq", "rank")
-
-
-def _by_grams(articles: DataFrame, keys: DataFrame, text: Column) -> DataFrame:
-    """``(seq, id)`` of contained keys by joins on characters: long keys through their rarest gram, short ones whole."""
-    long = keys.filter(F.length("key") >= GRAM).select(c("id").alias("entity_seq"), c("key").alias("name"), F.lit("query").alias("type"))
-    long_hits = match_by_grams(articles, long, text).select("seq", c("entity_seq").alias("id"))
-    short = keys.filter(F.length("key") < GRAM)
-    hay = F.lower(text)
-    pieces = articles.select("seq", F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(hay, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM)
-    ])))).alias("key"))
-    return long_hits.unionByName(pieces.join(short, "key").select("seq", "id"))
+    return best.join(ids, "id").select("query_id", "seq", "rank")
 
 
 # ------------------------------------------------------------- around one article or term
