@@ -18,8 +18,9 @@ LEAST_NAME = 4
 #: Leading characters that join a key with the places of a text, and characters known of every place.
 ANCHOR = 7
 WINDOW = 32
-#: Characters of a piece of text whose places are listed together.
-PIECE = 4096
+#: Characters of a piece of text, and of a strip of it whose places are listed together.
+PIECE = 16384
+STRIP = 128
 
 
 def contained_keys(articles: DataFrame, hay: Column, keys: DataFrame) -> DataFrame:
@@ -33,13 +34,17 @@ def contained_keys(articles: DataFrame, hay: Column, keys: DataFrame) -> DataFra
     """
     keys = keys.select("id", "key", F.left("key", F.lit(ANCHOR)).alias("anchor"))
     # At most ANCHOR numbers, and the length of the longest key.
-    sizes = sorted(r[0] for r in keys.select(F.length("anchor")).distinct().collect())
-    longest = keys.agg(F.max(F.length("key"))).first()[0] or 0
+    known = keys.agg(F.sort_array(F.collect_set(F.length("anchor"))).alias("sizes"), F.max(F.length("key")).alias("longest")).first()
+    sizes, longest = known["sizes"], known["longest"] or 0
     texts = articles.select(c("seq").cast("bigint").alias("seq"), hay.alias("hay")).filter(c("hay") != "")
-    # Long texts go in pieces that overlap by a window, so no row grows with its text.
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("hay") - 1) / PIECE).cast("int")), lambda k: F.substr("hay", k * PIECE + 1, F.lit(PIECE + WINDOW - 1)))
-    places = texts.select("seq", F.explode(pieces).alias("piece")).select(
-        "seq", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(rf"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1)))).alias("window"))
+    # Pieces and strips overlap by a window: no row grows with its text, and a place is found in a few characters' reach.
+    cut = texts
+    for name, size in (("piece", PIECE), ("strip", STRIP)):
+        of = cut.columns[-1]
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(of) - 1) / size).cast("int")), lambda k: F.substr(of, k * size + 1, F.lit(size + WINDOW - 1)))
+        cut = cut.select("seq", F.explode(parts).alias(name))
+    at = F.explode(F.sequence(F.lit(1), F.least(F.length("strip"), F.lit(STRIP))))
+    places = cut.select("seq", "strip", at.alias("at")).select("seq", F.substr("strip", c("at"), F.lit(WINDOW)).alias("window"))
     if not sizes:
         return places.select("seq", F.lit(0).cast("bigint").alias("id")).limit(0)
     starts = F.array(*[F.left("window", F.lit(n)) for n in sizes])

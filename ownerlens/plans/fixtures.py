@@ -83,11 +83,11 @@ SELECT l.doc_id AS seq, l.quality = 1 AS gold_relevant,
 FROM {labels} l
 """
 
-# Entity dictionary: every capitalised long word; its number tells document, place and length of where it is met first.
+# Entity dictionary: every capitalised long word, numbered by the document it is met in first and its place among that document's new ones.
 VIEWS["dictionary_v"] = """
-SELECT entity_seq, name, CASE WHEN entity_seq % 3 = 0 THEN 'person' WHEN entity_seq % 3 = 1 THEN 'company' ELSE 'agency' END AS type
-FROM (SELECT min((doc_id * 262144 + instr(text, name)) * 1024 + length(name)) AS entity_seq, name
-  FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '([A-Z][a-z]{{6,}})', 1)) AS name FROM {documents}) n GROUP BY name) m
+SELECT doc * 1048576 + r AS entity_seq, name, CASE (doc + r) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'company' ELSE 'agency' END AS type
+FROM (SELECT doc, name, row_number() OVER (PARTITION BY doc ORDER BY name) AS r
+  FROM (SELECT min(doc_id) AS doc, name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]{{6,}})', 1)) AS name FROM {documents}) n GROUP BY name) m) k
 """
 
 # Entity names as they come out of extraction: outlets, furniture, agencies, plain names.

@@ -215,20 +215,22 @@ def test_relations(spark):
     assert got == [("Hill Bank", "appointed", "Ada Obi"), ("Musa Bello", "resigned from", "Hill Bank"), ("Hill Bank", "acquired", "Lagoon Group")]
 
 
-@pytest.mark.parametrize("window,piece", [(32, 4096), (8, 5)])
+@pytest.mark.parametrize("window,piece", [(32, 16384), (8, 5)])
 def test_entity_matching_finds_substrings(spark, monkeypatch, window, piece):
     """Inside one piece of text and across its borders; keys within a window and beyond it."""
     monkeypatch.setattr(extract, "WINDOW", window)
     monkeypatch.setattr(extract, "PIECE", piece)
+    monkeypatch.setattr(extract, "STRIP", min(piece, 128))
     arts = spark.createDataFrame([(1, "xhill bankx and LAGOON"), (2, "abc")], "seq bigint, t string")
     names = spark.createDataFrame([(7, "Hill Bank", "company"), (8, "hill bank", "company"), (9, "abc", "person"), (5, " Lagoon ", "person")], "entity_seq bigint, name string, type string")
     assert [(r["seq"], r["entity_seq"]) for r in extract.match_entities(arts, names, c("t")).orderBy("seq", "entity_seq").collect()] == [(1, 5), (1, 7)]
 
 
-@pytest.mark.parametrize("window,piece", [(32, 4096), (7, 9)])
+@pytest.mark.parametrize("window,piece", [(32, 16384), (7, 9)])
 def test_batch_search_equals_a_plain_scan(spark, monkeypatch, window, piece):
     monkeypatch.setattr(extract, "WINDOW", window)
     monkeypatch.setattr(extract, "PIECE", piece)
+    monkeypatch.setattr(extract, "STRIP", min(piece, 128))
     rnd = random.Random(6)
     texts = [(i, "".join(rnd.choices("abcé ", k=rnd.randint(0, 60))), f"2024-01-{rnd.randint(1, 28):02d}") for i in range(80)]
     asked = [(i, "".join(rnd.choices("abcÉ", k=rnd.randint(0, 6)))) for i in range(60)] + [(60 + i, texts[i][1][i : i + 8 + i]) for i in range(20)]
