@@ -111,6 +111,97 @@ def batch_keyword(articles: DataFrame, queries: DataFrame, text: Column, limit:
     return best.join(ids, "id").select("query_id", "seq", "rank")
 
 
+#: Queries and vectors multiplied at once.
+BLOCK = 2048
+
+
+def _dealt(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """``rows`` with the number of their block, and how many blocks of about ``BLOCK`` rows there are."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks
+
+
+def _nearest(limit: int):
+    """The ``limit`` nearest vectors of every query in one pair of blocks, with all that tie with the last."""
+    import numpy as np
+    import pandas as pd
+
+    def unit(column) -> tuple[np.ndarray, np.ndarray]:
+        matrix = np.array(column.tolist(), np.float64)
+        norm = np.sqrt((matrix * matrix).sum(axis=1))
+        # A vector without direction is near to nothing.
+        return np.divide(matrix, norm[:, None], out=np.full_like(matrix, np.nan), where=norm[:, None] > 0), norm > 0
+
+    def multiply(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "seq": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        if not len(queries) or not len(vectors):
+            return none
+        (q, some), (v, use) = unit(queries["embedding"]), unit(vectors["embedding"])
+        q, v = q[some], v[use]
+        ids, seqs = queries["query_id"].to_numpy(np.int64)[some], vectors["seq"].to_numpy(np.int64)[use]
+        if not len(q) or not len(v):
+            return none
+        distance = np.round(1.0 - q @ v.T, 9) + 0.0
+        last = np.partition(distance, min(limit, len(v)) - 1, axis=1)[:, min(limit, len(v)) - 1]
+        i, j = np.nonzero(distance <= last[:, None])
+        return pd.DataFrame({"query_id": ids[i], "seq": seqs[j], "distance": distance[i, j]})
+
+    return multiply
+
+
+def batch_vector(vectors: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Nearest vectors ``(query_id, seq, distance, rank)`` of every row of ``queries(query_id, embedding)``.
+
+    Both sides are dealt into blocks, and each pair of blocks is one matrix product in a
+    task, which keeps ``limit`` rows per query; one cut per query merges them.  Neither
+    side passes the driver.  Distances are rounded to nine digits, ties go by ``seq``;
+    vectors without direction, on either side, are left out.
+    """
+    v, v_blocks = _dealt(vectors.filter(c("embedding").isNotNull()).select("seq", "embedding"), "seq", "v")
+    q, q_blocks = _dealt(queries.filter(c("embedding").isNotNull()).select("query_id", "embedding"), "query_id", "q")
+    v = v.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    q = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+    near = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInPandas(_nearest(limit), "query_id bigint, seq bigint, distance double")
+    return top_per_key(near, ["query_id"], [c("distance"), c("seq")], limit, "rank").select("query_id", "seq", "distance", "rank")
+
+
+def batch_hybrid(articles: DataFrame, vectors: DataFrame, queries: DataFrame, text: Column, limit: int = 20) -> DataFrame:
+    """Keyword and vector search of every row of ``queries(query_id, query, embedding)``, fused by reciprocal ranks.
+
+    A query without text, or without an embedding, is ranked by the other half alone.
+    """
+    words = batch_keyword(articles, queries.filter(T.non_empty(c("query")).isNotNull()).select("query_id", "query"), text, 2 * limit)
+    near = batch_vector(vectors, queries, 2 * limit)
+    both = words.select("query_id", "seq", "rank").unionByName(near.select("query_id", "seq", "rank"))
+    fused = both.groupBy("query_id", "seq").agg(F.sum(1.0 / (c("rank") - 1 + RRF_K)).alias("score"))
+    # Sums of the same two terms in either order differ in their last digits.
+    return top_per_key(fused.withColumn("score", F.round("score", 12)), ["query_id"], [c("score").desc(), c("seq")], limit, "rank")
+
+
+def batch_concept(articles: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Concept search ``(query_id, seq, score, rank)`` of every row of ``queries(query_id, query)``.
+
+    Words of all queries are looked up in titles and summaries at once; a word counts as
+    often as the query has it, three in a title, else one in the summary, and a level of
+    risk two where the article has that level.
+    """
+    levels = [level.lower() for level in V.RISK_LEVELS]
+    words = F.filter(F.split(F.lower("query"), "[^a-z0-9']+"), lambda w: F.length(w) > 2)
+    tokens = queries.select("query_id", F.explode(words).alias("token")).filter("token <> 'risk'")
+    tokens = tokens.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    is_level = c("token").isin(levels)
+    terms = tokens.filter(~is_level)
+    keys = terms.select(c("token").alias("key")).distinct().withColumn("id", F.xxhash64("key"))
+    in_title = contained_keys(articles, F.lower("title"), keys).withColumn("weight", F.lit(3))
+    in_summary = contained_keys(articles, F.lower("summary"), keys).withColumn("weight", F.lit(1))
+    weights = in_title.unionByName(in_summary).groupBy("seq", "id").agg(F.max("weight").alias("weight"))
+    by_word = weights.join(terms.withColumn("id", F.xxhash64("token")), "id").select("query_id", "seq", (c("weight") * c("times")).alias("score"))
+    held = articles.select(c("seq").cast("bigint").alias("seq"), F.lower("risk_level").alias("token"))
+    by_level = held.join(tokens.filter(is_level), "token").select("query_id", "seq", (2 * c("times")).alias("score"))
+    scored = by_word.unionByName(by_level).groupBy("query_id", "seq").agg(F.sum("score").alias("score"))
+    return top_per_key(scored, ["query_id"], [c("score").desc(), c("seq")], limit, "rank")
+
+
 # ------------------------------------------------------------- around one article or term
 
 

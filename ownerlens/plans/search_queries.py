@@ -93,6 +93,52 @@ def srh05(t):
     return R.batch_keyword(t.articles_v, queries, text, 5).withColumn("rank", c("rank").cast("bigint"))
 
 
+_NEAREST = """near_v AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, round(1.0 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0),
+ vec_v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, seq) AS rank FROM near_v)"""
+
+
+@query("srh05_batch_vector", f"WITH {_NEAREST} SELECT query_id, seq, round(distance, 6) AS distance, rank FROM vec_v WHERE rank <= 10")
+def srh05_vector(t):
+    rows = vectors(t)
+    asked = rows.filter("seq % 50 = 0").select(c("seq").alias("query_id"), "embedding")
+    return R.batch_vector(rows, asked, 10).select("query_id", "seq", F.round("distance", 6).alias("distance"), c("rank").cast("bigint").alias("rank"))
+
+
+# Queries with words and a vector, some with one of them only.
+_ASKED = """ask_v AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 150 = 50 THEN '' ELSE concat(CASE vec_id % 4 WHEN 0 THEN 'merger' WHEN 1 THEN 'Board' WHEN 2 THEN 'fraud' ELSE 'stake in' END) END AS query,
+  CASE WHEN vec_id % 150 <> 100 THEN embedding END AS embedding FROM embeddings WHERE vec_id % 50 = 0)"""
+
+
+@query("srh05_batch_hybrid", f"""WITH {_ASKED}, hay_v AS (SELECT seq, published_at, lower(concat(title, ' ', raw_text)) AS hay FROM articles_v),
+ word_v AS (SELECT query_id, seq, row_number() OVER (PARTITION BY query_id ORDER BY published_at DESC, seq) AS rank FROM ask_v JOIN hay_v ON query <> '' AND contains(hay, lower(query))),
+ near_v AS (SELECT a.query_id, e.vec_id AS seq, round(1.0 - list_cosine_similarity(e.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS distance FROM embeddings e JOIN ask_v a ON a.embedding IS NOT NULL),
+ vec_v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, seq) AS rank FROM near_v),
+ all_v AS (SELECT query_id, seq, rank FROM word_v WHERE rank <= 20 UNION ALL SELECT query_id, seq, rank FROM vec_v WHERE rank <= 20),
+ sum_v AS (SELECT query_id, seq, round(sum(1.0::DOUBLE / (rank - 1 + 60)), 12) AS score FROM all_v GROUP BY 1, 2)
+ SELECT query_id, seq, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sum_v QUALIFY rank <= 10""")
+def srh05_hybrid(t):
+    k = c("vec_id")
+    word = F.when(k % 150 == 50, "").when(k % 4 == 0, "merger").when(k % 4 == 1, "Board").when(k % 4 == 2, "fraud").otherwise("stake in")
+    asked = t.embeddings.filter("vec_id % 50 = 0").select(k.alias("query_id"), word.alias("query"), F.when(k % 150 != 100, c("embedding")).alias("embedding"))
+    hits = R.batch_hybrid(t.articles_v, vectors(t), asked, F.concat_ws(" ", c("title"), c("raw_text")), 10)
+    return hits.select("query_id", "seq", F.round("score", 9).alias("score"), c("rank").cast("bigint").alias("rank"))
+
+
+@query("srh05_batch_concept", f"""WITH d_v AS (SELECT entity_seq AS query_id, lower(concat(name, CASE type WHEN 'person' THEN ' company risk' WHEN 'company' THEN ' High merger, of high' ELSE ' notice notice' END)) AS q FROM dictionary_v WHERE type <> 'agency' OR length(name) > 8),
+ tok_v AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(string_split_regex(q, '[^a-z0-9'']+')) AS token FROM d_v) x WHERE length(token) > 2 AND token <> 'risk' GROUP BY 1, 2),
+ art_v AS (SELECT seq, lower(title) AS low_title, lower(raw_text) AS low_text, lower({_LEVEL}) AS level FROM articles_v),
+ one_v AS MATERIALIZED (SELECT seq, token, CASE WHEN contains(low_title, token) THEN 3 ELSE 1 END AS w FROM (SELECT DISTINCT token FROM tok_v WHERE token NOT IN {Q.inlist([x.lower() for x in V.RISK_LEVELS])}) k
+   JOIN art_v ON contains(low_title, token) OR contains(low_text, token) UNION ALL SELECT seq, level, 2 FROM art_v),
+ hit_v AS (SELECT query_id, seq, sum(w * times)::BIGINT AS score FROM tok_v JOIN one_v ON one_v.token = tok_v.token GROUP BY 1, 2)
+ SELECT query_id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM hit_v QUALIFY rank <= 5""")
+def srh05_concept(t):
+    d = t.dictionary_v.filter("type <> 'agency' OR length(name) > 8")
+    more = F.when(c("type") == "person", " company risk").when(c("type") == "company", " High merger, of high").otherwise(" notice notice")
+    asked = d.select(c("entity_seq").alias("query_id"), F.concat("name", more).alias("query"))
+    return R.batch_concept(_with_levels(t), asked, 5).select("query_id", "seq", "score", c("rank").cast("bigint").alias("rank"))
+
+
 _RELATED = f"""txt_v AS (SELECT seq, url, category, lower(concat(title, ' ', raw_text)) AS txt FROM articles_v),
  one_v AS (SELECT * FROM txt_v WHERE seq = 3),
  tok_v AS (SELECT list_filter(list_distinct(string_split_regex(txt, '[^a-z0-9'']+')), lambda w: length(w) > 3 AND w NOT IN {Q.inlist(V.RELATED_STOPWORDS)}) AS toks, url, category FROM one_v),
