@@ -313,21 +313,75 @@ def procurement_rows(ex: DataFrame) -> DataFrame:
         F.coalesce(c(p + "amount"), F.lit("N/A")).alias("amount"), F.coalesce(c(p + "project"), c("title")).alias("project"), "source")
 
 
+def _holding_fields(h: Column, as_of: str) -> dict[str, Column]:
+    """Register columns of a disclosed holding; NULL and '' both take the default."""
+    return {
+        "person_name": _or(h["name"], ""), "company": _or(h["organization"], ""), "nature_of_control": _or(h["nature_of_control"], ""),
+        "board_role": _or(h["board_role"], ""), "percentage": _or(h["percentage"], ""), "direct_pct": _or(h["direct_percentage"], ""),
+        "indirect_pct": _or(h["indirect_percentage"], ""), "voting_pct": _or(h["voting_rights_percentage"], ""),
+        "share_band": H.share_band(h["percentage"]), "vehicle": _or(h["intermediate_entities"], "Direct Holding"),
+        "pep_status": _or(h["pep_status"], "Not assessed"), "risk_level": _or(h["risk_level"], "Standard"),
+        "filing_ref": _or(h["regulatory_filing_ref"], ""), "verification_status": F.lit("Extracted from news reporting"),
+        "change_type": _or(h["change_type"], "disclosed"), "previous_holder": _or(h["previous_holder"], ""),
+        "date": F.lit(as_of[:10]), "source": F.lit("extracted"),
+    }
+
+
 def holding_rows(ex: DataFrame, as_of: str) -> DataFrame:
-    """Register rows of every disclosed holding; NULL and '' both take the default."""
+    """Register rows of every disclosed holding."""
     rows = ex.select("seq", F.posexplode("extraction.significant_control").alias("pos", "h"))
-    h = lambda name: c(f"h.{name}")
-    return rows.select(
-        "seq", "pos", _or(h("name"), "").alias("person_name"), _or(h("organization"), "").alias("company"),
-        _or(h("nature_of_control"), "").alias("nature_of_control"), _or(h("board_role"), "").alias("board_role"),
-        _or(h("percentage"), "").alias("percentage"), _or(h("direct_percentage"), "").alias("direct_pct"),
-        _or(h("indirect_percentage"), "").alias("indirect_pct"), _or(h("voting_rights_percentage"), "").alias("voting_pct"),
-        H.share_band(h("percentage")).alias("share_band"), _or(h("intermediate_entities"), "Direct Holding").alias("vehicle"),
-        _or(h("pep_status"), "Not assessed").alias("pep_status"), _or(h("risk_level"), "Standard").alias("risk_level"),
-        _or(h("regulatory_filing_ref"), "").alias("filing_ref"), F.lit("Extracted from news reporting").alias("verification_status"),
-        _or(h("change_type"), "disclosed").alias("change_type"), _or(h("previous_holder"), "").alias("previous_holder"),
-        F.lit(as_of[:10]).alias("date"), F.lit("extracted").alias("source"),
-    )
+    return rows.select("seq", "pos", *[value.alias(name) for name, value in _holding_fields(c("h"), as_of).items()])
+
+
+#: Registers that one extraction fans out to.
+REGISTERS = ("companies", "agencies", "people", "procurement", "significant_control")
+
+
+def fan_out(ex: DataFrame, as_of: str) -> DataFrame:
+    """``(register, seq, pos, fields)``: the rows of all registers in one pass over the extractions.
+
+    Each extraction becomes one array of tagged rows, exploded once; ``fields`` maps a
+    register's column names to text.  ``register_rows`` reads one register back.
+    """
+    e, title = c("extraction"), c("title")
+    seen = _seen(ex).cast("string")
+    text = lambda col: col.cast("string")
+
+    def row(register: str, pos: Column, fields: dict[str, Column]) -> Column:
+        pairs = [x for name, value in fields.items() for x in (F.lit(name), text(value))]
+        return F.struct(F.lit(register).alias("register"), pos.cast("int").alias("pos"), F.create_map(*pairs).alias("fields"))
+
+    def organisation(o: Column, pos: Column) -> Column:
+        kind = F.coalesce(o["type"], F.lit("company"))
+        company = row("companies", pos, {"company": o["name"], "seen_at": seen, "industry": F.lit("General"), "risk_level": F.coalesce(e["risk_level"], F.lit("Low"))})
+        agency = row("agencies", pos, {"agency": o["name"], "event": F.coalesce(e["event_type"], F.lit("Directive")), "article": title, "date": seen})
+        return F.when(~T.is_publication_or_furniture(o["name"]), F.when(kind == "company", company).when(kind == "agency", agency))
+
+    def person(p: Column, pos: Column) -> Column:
+        return row("people", pos, {"name": p["name"], "position": F.coalesce(p["position"], F.lit("Director")), "organization": F.coalesce(p["organization"], F.lit("N/A")),
+                                   "event": F.coalesce(p["event"], F.lit("appointment")), "date": seen})
+
+    def holding(h: Column, pos: Column) -> Column:
+        return row("significant_control", pos, _holding_fields(h, as_of))
+
+    p = e["procurement"]
+    bought = F.when(T.non_empty(p["agency"]).isNotNull(), F.array(row("procurement", F.lit(0), {
+        "agency": p["agency"], "contractor": F.coalesce(p["contractor"], F.lit("TBD")), "amount": F.coalesce(p["amount"], F.lit("N/A")),
+        "project": F.coalesce(p["project"], title), "source": c("source")})))
+    rows = [F.transform(e["organizations"], organisation), F.transform(e["people"], person), bought, F.transform(e["significant_control"], holding)]
+    none = F.array().cast("array<struct<register: string, pos: int, fields: map<string, string>>>")
+    rows = [F.coalesce(r, none) for r in rows]
+    return ex.select(c("seq"), F.explode(F.concat(*rows)).alias("r")).filter("r IS NOT NULL").select("r.register", "seq", "r.pos", "r.fields")
+
+
+def register_rows(fanned: DataFrame, register: str, *columns: str) -> DataFrame:
+    """One register of a fan-out, with its columns; on a table partitioned by register only that part is read."""
+    return fanned.filter(c("register") == register).select("seq", "pos", *[c("fields")[name].alias(name) for name in columns])
+
+
+def write_fan_out(fanned: DataFrame, path: str) -> None:
+    """All registers of a run in one write, a folder each."""
+    fanned.write.mode("overwrite").partitionBy("register").parquet(path)
 
 
 # ------------------------------------------------------------- enrichment
@@ -349,15 +403,17 @@ def enrich(articles: DataFrame, text: str = "raw_text", english_only: bool = Tru
         low, c("entities.positions"), F.size("entities.people"), F.size("entities.organizations"), c("category"))).drop("_low")
 
 
-def hashed_embedding(rows: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
-    """L2-normalised hashed term counts of the whole text as ARRAY<FLOAT>.
+def hashed_embedding(rows: DataFrame, key: str, text: str = "text", dims: int = 64) -> DataFrame:
+    """``(key, embedding)``: L2-normalised hashed term counts of the whole text as ARRAY<DOUBLE>.
 
-    Stands in for a trained encoder; ``mapInPandas`` is the way to plug one in.
+    A word falls into the bucket its MD5 digest names.  Counts are partial aggregates per
+    key and bucket, so no text travels; a text without words is all zeros.  Stands in for
+    a trained encoder; ``mapInPandas`` is the way to plug one in.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = rows.withColumn("_words", F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
-    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(words)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(tf)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    terms = rows.select(c(key).alias("key"), F.explode_outer(words).alias("word"))
+    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dims
+    counts = terms.groupBy("key", bucket.alias("bucket")).agg(F.count("word").cast("double").alias("n"))
+    held = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.when(c("bucket").isNotNull(), F.struct("bucket", "n")))).alias("held"), F.sqrt(F.sum(c("n") * c("n"))).alias("norm"))
+    value = lambda i: F.coalesce(F.element_at("held", i) / F.nullif(c("norm"), F.lit(0.0)), F.lit(0.0))
+    return held.select(c("key").alias(key), F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")), value).alias("embedding"))

@@ -105,12 +105,11 @@ def feed_filter(articles: DataFrame, category: str = "", risk: str = "", text: s
 
 
 def funnel(articles: DataFrame, as_of, distinct: DataFrame | None = None) -> DataFrame:
-    """How many rows survive each gate, in one pass over the articles."""
-    live = ~T.is_navigation_stub(c("title"), c("source"))
-    local = live & S.mentions_country(c("url"), c("title"), c("raw_text"))
-    dated = local & c("published_at").isNotNull()
-    fresh = dated & (c("published_at") >= as_ntz(as_of) - F.make_dt_interval(hours=F.lit(V.FRESHNESS_HOURS)))
-    flags = articles.select(live.alias("live"), local.alias("local"), dated.alias("dated"), fresh.alias("fresh"))
+    """How many rows survive each gate, in one pass over the articles.
+
+    ``distinct`` holds the distinct stories among the fresh ones, where these were looked for.
+    """
+    flags = gate_flags(articles, as_of)
     counts = flags.agg(
         F.count(F.lit(1)).alias("raw"), F.count_if(~c("live")).alias("stubs"),
         F.count_if(c("local")).alias("country"), F.count_if(c("local") & ~c("dated")).alias("undated"),
@@ -119,3 +118,12 @@ def funnel(articles: DataFrame, as_of, distinct: DataFrame | None = None) -> Dat
     if distinct is None:
         return counts
     return counts.withColumn("distinct_stories", distinct.agg(F.count(F.lit(1))).scalar())
+
+
+def gate_flags(articles: DataFrame, as_of) -> DataFrame:
+    """``(seq, live, local, dated, fresh)``: which gates each article passes, each after the one before."""
+    live = ~T.is_navigation_stub(c("title"), c("source"))
+    local = live & S.mentions_country(c("url"), c("title"), c("raw_text"))
+    dated = local & c("published_at").isNotNull()
+    fresh = dated & (c("published_at") >= as_ntz(as_of) - F.make_dt_interval(hours=F.lit(V.FRESHNESS_HOURS)))
+    return articles.select("seq", live.alias("live"), local.alias("local"), dated.alias("dated"), F.coalesce(fresh, F.lit(False)).alias("fresh"))

@@ -167,20 +167,12 @@ def fn29(t):
  UNION ALL SELECT 'procurement', seq, concat('Agency ', CAST(seq % 25 AS STRING)), concat('TBD, N/A, ', title) FROM articles_v WHERE seq % 20 = 1
  UNION ALL SELECT 'significant_control', seq, person_name, share_band FROM hold_v""")
 def ext06(t):
-    ex = extractions(t)
-
-    def rows(name, df, a, b):
-        return df.select(F.lit(name).alias("register"), "seq", a.alias("a"), b.alias("b"))
-
-    out = rows("companies", X.company_rows(ex), c("company"), c("risk_level"))
-    for part in (
-        rows("agencies", X.agency_rows(ex), c("agency"), c("event")),
-        rows("people", X.people_rows(ex), c("name"), F.concat_ws(", ", "position", "organization", "event")),
-        rows("procurement", X.procurement_rows(ex), c("agency"), F.concat_ws(", ", "contractor", "amount", "project")),
-        rows("significant_control", X.holding_rows(ex, "2024-01-04"), c("person_name"), c("share_band")),
-    ):
-        out = out.unionByName(part)
-    return out
+    f = c("fields")
+    a = {"companies": f["company"], "agencies": f["agency"], "people": f["name"], "procurement": f["agency"], "significant_control": f["person_name"]}
+    b = {"companies": f["risk_level"], "agencies": f["event"], "people": F.concat_ws(", ", f["position"], f["organization"], f["event"]),
+         "procurement": F.concat_ws(", ", f["contractor"], f["amount"], f["project"]), "significant_control": f["share_band"]}
+    pick = lambda values: F.coalesce(*[F.when(c("register") == name, value) for name, value in values.items()])
+    return X.fan_out(extractions(t), "2024-01-04").select("register", "seq", pick(a).alias("a"), pick(b).alias("b"))
 
 
 _REPLY = """CASE seq % 6 WHEN 0 THEN concat('Here it is: ```json {"relevant": true, "category": "Legal", "risk_score": ', CAST(seq % 100 AS STRING), '} ``` done')
@@ -262,6 +254,10 @@ def ext08_counts(t):
         F.count(F.lit(1)).alias("n"), F.sum("risk_score").alias("total_risk"))
 
 
-@query("ext09_embedding", None)
+@query("ext09_embedding", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
+ n AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),
+ s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1),
+ v AS (SELECT d.doc_id, i, coalesce(n.n / s.norm, 0) AS x FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS i) r LEFT JOIN n ON n.doc_id = d.doc_id AND n.bucket = i LEFT JOIN s ON s.doc_id = d.doc_id)
+ SELECT doc_id, CAST(i AS INTEGER) AS i, round(x, 9) AS x FROM v""")
 def ext09(t):
-    return X.hashed_embedding(t.documents.select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dims"), "embedding")
+    return X.hashed_embedding(t.documents, "doc_id").select("doc_id", F.posexplode("embedding").alias("i", "x")).select("doc_id", "i", F.round("x", 9).alias("x"))

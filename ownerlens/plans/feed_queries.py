@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from ownerlens import vocab as V
 from ownerlens.functions import scoring as S
-from ownerlens.operators import gates, registers as R, stats
+from ownerlens.operators import dedup, gates, registers as R, stats
 from ownerlens.operators.keys import first_per_key, known_anti_join, new_by_key, top_per_key
 from ownerlens.plans import sqltext as Q
+from ownerlens.plans.greedy import WORD_CLOSE, WORD_ITEMS, greedy_sql
 from ownerlens.plans.registry import query
 from ownerlens.plans.text_queries import AS_OF, COUNTRY_SQL, STAMP_SQL, TITLE_KEY_SQL, _SUFFIX_V, _with_suffix, stamp
 
@@ -215,14 +216,21 @@ def agg19(t):
 
 _FUNNEL = f"""f AS (SELECT *, lower(concat_ws(chr(10), title, raw_text)) AS low, {Q.fold("lower(concat_ws(chr(10), title, raw_text))")} AS folded,
    lower({Q.squeeze('title')}) AS nt, lower({Q.squeeze('source')}) AS ns, CASE WHEN seq % 10 = 0 THEN NULL ELSE published_at END AS pub FROM articles_v),
- g AS (SELECT NOT {Q.stub('nt', 'ns')} AS live, {COUNTRY_SQL.format(low='low', fold='folded')} AS is_local, pub FROM f)"""
+ g AS (SELECT NOT {Q.stub('nt', 'ns')} AS live, {COUNTRY_SQL.format(low='low', fold='folded')} AS is_local, pub, seq, title FROM f)"""
 
 
-@query("agg20_funnel", f"""WITH {_FUNNEL} SELECT count(*) AS "raw", count(*) FILTER (NOT live) AS stubs, count(*) FILTER (live AND is_local) AS country,
-  count(*) FILTER (live AND is_local AND pub IS NULL) AS undated, count(*) FILTER (live AND is_local AND pub >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOURS) AS fresh FROM g""")
+_STORIES = greedy_sql(f"""{_FUNNEL}, ok_v AS (SELECT seq, title FROM g WHERE live AND is_local AND pub >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOURS),
+ {WORD_ITEMS.replace('articles_v', 'ok_v')}""", WORD_CLOSE)
+
+
+@query("agg20_funnel", _STORIES + f""" SELECT count(*) AS "raw", count(*) FILTER (NOT live) AS stubs, count(*) FILTER (live AND is_local) AS country,
+  count(*) FILTER (live AND is_local AND pub IS NULL) AS undated, count(*) FILTER (live AND is_local AND pub >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOURS) AS fresh,
+  (SELECT count(*) FROM kept_v) AS distinct_stories FROM g""")
 def agg20(t):
+    """The whole funnel of a run, to its distinct stories by the words of their titles."""
     rows = t.articles_v.withColumn("published_at", F.when(c("seq") % 10 != 0, c("published_at")))
-    return gates.funnel(rows, AS_OF)
+    fresh = rows.join(gates.gate_flags(rows, AS_OF).filter("fresh").select("seq"), "seq", "left_semi")
+    return gates.funnel(rows, AS_OF, dedup.word_set_titles(fresh.select("seq", "title")))
 
 
 # ------------------------------------------------------------------ sources, sinks
