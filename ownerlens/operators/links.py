@@ -4,8 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ownerlens.operators.keys import first_per_key, top_per_key
+from ownerlens.operators.resolve import resolve
+from ownerlens.session import materialise
 
 c = F.col
+#: Confidence of every event record.
+CONFIDENCE = 0.9
 
 
 def endpoint_types(predicate: Column) -> tuple[Column, Column]:
@@ -24,25 +28,33 @@ def endpoint_types(predicate: Column) -> tuple[Column, Column]:
 def resolved_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations with entity ids at both ends, one per (article, subject, predicate, object).
 
-    Copies are dropped before the two joins, so they never reach the shuffle.
+    The ends' distinct (type, name) pairs go through the resolver as one batch, in other
+    spellings too, and its answers are joined back at both ends; unknown ends become new
+    entities.  Copies are dropped before anything is joined.  An empty end stays without.
     """
     subject_type, object_type = endpoint_types(c("predicate"))
     rows = first_per_key(relations, ["article_id", "subject", "predicate", "object"]).withColumns(
         {"subject_type": subject_type, "object_type": object_type})
-    dim = entities.select("entity_id", "type", "name")
-    s = dim.select(c("entity_id").alias("subject_id"), c("type").alias("subject_type"), c("name").alias("subject"))
-    o = dim.select(c("entity_id").alias("object_id"), c("type").alias("object_type"), c("name").alias("object"))
-    return rows.join(s, ["subject_type", "subject"], "left").join(o, ["object_type", "object"], "left")
+    ends = rows.select("seq", c("subject_type").alias("type"), c("subject").alias("name")).unionAll(
+        rows.select("seq", c("object_type").alias("type"), c("object").alias("name")))
+    found = materialise(resolve(ends, entities), "relation-ends")
+    for end in ("subject", "object"):
+        answer = found.select(c("type").alias(f"{end}_type"), c("name").alias("_name"), c("entity_id").alias(f"{end}_id"), c("stage").alias(f"{end}_stage"))
+        rows = rows.withColumn("_name", F.trim(end)).join(answer, [f"{end}_type", "_name"], "left").drop("_name")
+    return rows
 
 
 def event_bridge(mentions: DataFrame) -> DataFrame:
     """Distinct (event, entity) pairs with the fixed confidence of the event record."""
     return mentions.select(c("seq").alias("event_id"), c("entity_seq").alias("entity_id"), "type").distinct().withColumn(
-        "confidence", F.lit(0.9))
+        "confidence", F.lit(CONFIDENCE))
 
 
-def event_location(locations: Column) -> Column:
-    return F.get(locations, F.lit(0))
+def events(articles: DataFrame) -> DataFrame:
+    """The event record of every enriched article ``(seq, title, summaries, event_type, published_at, entities)``; its place is the first one named."""
+    return articles.select(
+        c("seq").alias("event_id"), "title", c("summaries.executive").alias("description"), "event_type", F.lit(CONFIDENCE).alias("confidence"),
+        "published_at", F.get("entities.locations", F.lit(0)).alias("location"))
 
 
 def entities_of(articles: DataFrame, bridge: DataFrame, entities: DataFrame) -> DataFrame:

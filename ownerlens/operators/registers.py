@@ -85,6 +85,12 @@ def read_snapshot(spark: SparkSession, root: str, before: int | None = None) ->
     return spark.read.parquet(_version_path(root, known[-1])) if known else None
 
 
+def snapshots(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    """The rows of all finished versions older than ``before``."""
+    known = [v for v in _versions(spark, root) if v < before]
+    return spark.read.parquet(*[_version_path(root, v) for v in known]) if known else None
+
+
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
     """Write one version.  Replaying the same version rewrites the same rows from
     the same predecessor, so a retried batch changes nothing."""

@@ -1,6 +1,7 @@
 """Entity resolution: exact name, alias, best fuzzy match, else a new entity."""
 from __future__ import annotations
 
+import os
 import sys
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from ownerlens.functions.similarity import TextMatcher, ratio
 from ownerlens.operators.dedup import greedy_sweep
 from ownerlens.operators.keys import first_per_key, global_rank, top_per_key
+from ownerlens.operators.registers import snapshots, write_snapshot
 from ownerlens.session import materialise
 
 c = F.col
@@ -114,12 +116,12 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def with_new_aliases(entities: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The dimension rows to add: one alias row per mention that resolved to another spelling.
+    """``(entity_id, type, name)`` to add: one row per mention that resolved to another spelling.
 
     Kept as rows, so an entity with very many spellings is not gathered into one value.
     """
     known = entities.select("entity_id", c("name")).unionByName(entities.select("entity_id", F.explode("aliases").alias("name")))
-    found = resolved.filter(c("stage").isin("fuzzy", "joined new")).select("entity_id", "name").distinct()
+    found = resolved.filter(c("stage").isin("fuzzy", "joined new")).select("entity_id", "type", "name").distinct()
     return found.join(known, ["entity_id", "name"], "left_anti")
 
 
@@ -133,3 +135,32 @@ def entity_defaults(new: DataFrame) -> DataFrame:
         "status": F.when(t == "company", "Active"),
         "jurisdiction": F.when(t == "agency", "National"),
     })
+
+
+_KNOWN = "entity_id bigint, type string, name string, aliases array<string>"
+
+
+def known_before(entities: DataFrame, root: str, version: int) -> DataFrame:
+    """The dimension with all that earlier batches added: new entities, and one row per accepted spelling."""
+    spark = entities.sparkSession
+    out = entities.select(*[c(name).cast(kind) for name, kind in (part.rsplit(" ", 1) for part in _KNOWN.split(", "))])
+    for part in ("created", "spelling"):
+        added = snapshots(spark, os.path.join(root, part), version)
+        if added is not None:
+            out = out.unionByName(added.select("entity_id", "type", "name", F.array("name").alias("aliases")))
+    return out
+
+
+def resolve_batch(mentions: DataFrame, entities: DataFrame, root: str, version: int) -> DataFrame:
+    """Resolve one batch against the dimension and what batches before ``version`` have learnt.
+
+    New entities and accepted spellings are written as rows of this version, which later
+    batches read; earlier ones are not touched, and a replayed batch reads the same and
+    writes the same again.
+    """
+    known = known_before(entities, root, version)
+    found = materialise(resolve(mentions, known), "resolved-batch")
+    created = entity_defaults(found.filter(c("stage") == "new").select("entity_id", "type", "name"))
+    write_snapshot(created, os.path.join(root, "created"), version)
+    write_snapshot(with_new_aliases(known, found), os.path.join(root, "spelling"), version)
+    return found

@@ -112,12 +112,15 @@ def gr05(t):
 
 # ------------------------------------------------------------------ links
 
+# Ends of relations in several spellings; some subjects are known to nobody.
 _REL = """rel_v AS (SELECT seq, article_id, predicate, CASE predicate WHEN 'resigned from' THEN person WHEN 'investigating' THEN concat('Agency ', CAST(seq % 12 AS STRING)) ELSE company END AS subject,
    CASE predicate WHEN 'appointed' THEN person WHEN 'acquired' THEN concat('Company ', CAST(seq % 31 AS STRING)) WHEN 'partnered with' THEN concat('Company ', CAST(seq % 31 AS STRING)) ELSE company END AS object FROM relations_v),
  typed_v AS (SELECT *, CASE predicate WHEN 'resigned from' THEN 'person' WHEN 'investigating' THEN 'agency' ELSE 'company' END AS st,
    CASE WHEN predicate = 'appointed' THEN 'person' ELSE 'company' END AS ot FROM rel_v),
- dim_v AS (SELECT type, name, min(seq) AS entity_id FROM (SELECT st AS type, subject AS name, seq FROM typed_v WHERE seq % 50 <> 0 UNION ALL SELECT ot, object, seq FROM typed_v WHERE seq % 50 <> 0) d GROUP BY 1, 2),
- one_v AS (SELECT * FROM typed_v QUALIFY row_number() OVER (PARTITION BY article_id, subject, predicate, object ORDER BY seq) = 1)"""
+ dim_v AS (SELECT type, name, min(seq) AS entity_id FROM (SELECT st AS type, subject AS name, seq FROM typed_v UNION ALL SELECT ot, object, seq FROM typed_v) d GROUP BY 1, 2),
+ spelt_v AS (SELECT seq, article_id, predicate, st, ot, CASE WHEN seq % 400 = 7 THEN md5(CAST(seq % 2800 AS STRING)) WHEN seq % 4 = 1 THEN upper(subject) WHEN seq % 4 = 2 THEN concat('The ', subject) WHEN seq % 4 = 3 THEN concat(' ', subject, ' ') ELSE subject END AS subject,
+   CASE seq % 3 WHEN 1 THEN lower(object) WHEN 2 THEN concat('THE ', object) ELSE object END AS object FROM typed_v),
+ one_v AS (SELECT * FROM spelt_v QUALIFY row_number() OVER (PARTITION BY article_id, subject, predicate, object ORDER BY seq) = 1)"""
 
 
 def relation_rows(t):
@@ -129,17 +132,31 @@ def relation_rows(t):
         F.when(p == "appointed", c("person")).when(p.isin("acquired", "partnered with"), other).otherwise(c("company")).alias("object"))
 
 
+def spelt_relations(t):
+    k = c("seq")
+    subject = (F.when(k % 400 == 7, F.md5((k % 2800).cast("string"))).when(k % 4 == 1, F.upper("subject"))
+               .when(k % 4 == 2, F.concat(F.lit("The "), c("subject"))).when(k % 4 == 3, F.concat(F.lit(" "), c("subject"), F.lit(" "))).otherwise(c("subject")))
+    obj = F.when(k % 3 == 1, F.lower("object")).when(k % 3 == 2, F.concat(F.lit("THE "), c("object"))).otherwise(c("object"))
+    return relation_rows(t).withColumns({"subject": subject, "object": obj})
+
+
 def entity_dim(t):
     s, o = L.endpoint_types(c("predicate"))
-    rows = relation_rows(t).filter("seq % 50 <> 0")
+    rows = relation_rows(t)
     ends = rows.select(s.alias("type"), c("subject").alias("name"), "seq").unionAll(rows.select(o.alias("type"), c("object").alias("name"), "seq"))
-    return ends.groupBy("type", "name").agg(F.min("seq").alias("entity_id"))
+    return ends.groupBy("type", "name").agg(F.min("seq").alias("entity_id")).withColumn("aliases", F.array("name", F.concat(F.lit("The "), c("name"))))
 
 
-@query("jn05_relation_endpoints", f"""WITH {_REL} SELECT o.seq, o.subject, o.predicate, o.object, s.entity_id AS subject_id, b.entity_id AS object_id FROM one_v o
-  LEFT JOIN dim_v s ON s.type = o.st AND s.name = o.subject LEFT JOIN dim_v b ON b.type = o.ot AND b.name = o.object""")
+@query("jn05_relation_endpoints", f"""WITH {_REL}, alias_v AS (SELECT type, lower(name) AS key, min(entity_id) AS entity_id FROM (SELECT type, name, entity_id FROM dim_v UNION ALL SELECT type, concat('The ', name), entity_id FROM dim_v) a GROUP BY 1, 2),
+ end_v AS (SELECT st AS type, trim(subject) AS name, seq FROM one_v UNION ALL SELECT ot, trim(object), seq FROM one_v),
+ new_v AS (SELECT type, name, (SELECT max(entity_id) FROM dim_v) + row_number() OVER (ORDER BY min(seq), type, name) AS entity_id
+   FROM end_v e WHERE NOT EXISTS (SELECT 1 FROM alias_v a WHERE a.type = e.type AND a.key = lower(e.name)) GROUP BY 1, 2),
+ all_v AS (SELECT e.type, e.name, coalesce(d.entity_id, a.entity_id, n.entity_id) AS entity_id, CASE WHEN d.entity_id IS NOT NULL THEN 'exact' WHEN a.entity_id IS NOT NULL THEN 'alias' ELSE 'new' END AS stage
+   FROM (SELECT DISTINCT type, name FROM end_v) e LEFT JOIN dim_v d ON d.type = e.type AND d.name = e.name LEFT JOIN alias_v a ON a.type = e.type AND a.key = lower(e.name) LEFT JOIN new_v n ON n.type = e.type AND n.name = e.name)
+ SELECT o.seq, o.subject, o.predicate, o.object, s.entity_id AS subject_id, s.stage AS subject_stage, b.entity_id AS object_id, b.stage AS object_stage FROM one_v o
+  LEFT JOIN all_v s ON s.type = o.st AND s.name = trim(o.subject) LEFT JOIN all_v b ON b.type = o.ot AND b.name = trim(o.object)""")
 def jn05(t):
-    return L.resolved_relations(relation_rows(t), entity_dim(t)).select("seq", "subject", "predicate", "object", "subject_id", "object_id")
+    return L.resolved_relations(spelt_relations(t), entity_dim(t)).select("seq", "subject", "predicate", "object", "subject_id", "subject_stage", "object_id", "object_stage")
 
 
 @query("jn06_event_bridge", f"WITH {MENTIONS_SQL} SELECT seq AS event_id, entity_seq AS entity_id, type, CAST(0.9 AS DOUBLE) AS confidence FROM mention_v")
