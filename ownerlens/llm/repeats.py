@@ -9,7 +9,8 @@ sorts or collects the corpus:
    with an anchor that occurs twice can be repeats. Anchors are counted by partial
    aggregates and joined back, one row per anchor on the one side.
 2. A stretch of text around such an anchor holds all strings that have it. Stretches
-   that are equal (by two hashes of 64 bits) go on as one, at their first place.
+   that are equal (by two hashes of 64 bits) go on as one, at their first place. If
+   an anchor has one stretch only, that place keeps its strings: nothing is left to merge.
 3. Anchors are dealt into buckets, and a bucket's stretches into shards. One task a
    shard builds its transform (``bwt.transform``); one task a bucket merges the
    shards' transforms by interleave refinement until rows have ``LENGTH`` bytes in
@@ -51,6 +52,8 @@ HOT = 2048
 SPANS = (8, 1)
 #: Rows per record batch that a task returns, and bytes of text hashed at once.
 BATCH = 1 << 14
+#: Bits of the filter that spares most anchors met once the shuffle; the join after it decides.
+FILTER_BITS = 1 << 27
 SLICE = 1 << 15
 
 _BASE = 0x9E3779B97F4A7C15
@@ -146,34 +149,62 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["_doc"]) & (a["tid"] == b["_tid"])
 
 
-def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """(_doc, _tid, no, marks, lone, crowd): documents with anchors that occur twice, numbered in order.
+def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(FILTER_BITS - 1)
+    return (h >> np.uint64(5)) & mask, (h >> np.uint64(35)) & mask
 
-    A mark packs first, n and off of an anchor's strings. ``lone`` are those marks
-    whose stretch stands here first, ``crowd`` those of anchors with over ``hot`` stretches.
-    """
+
+def _filter(often: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of the anchors in ``_a``, put together in Spark; its size does not depend on theirs."""
+    probes = [F.shiftrightunsigned("_a", s).bitwiseAND(FILTER_BITS - 1) for s in (5, 35)]
+    places = often.select(F.explode(F.array(*probes)).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return bits.view(np.uint64)
+
+
+def found_anchors(rows: DataFrame, length: int, gram: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(anchor, doc_id, tid, mark, whole) of all anchors that pass the filter; a mark packs first, n and off."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tid = batch.column(1).to_numpy()
             for text, h, first, n, off, whole in all_anchors([_bytes(batch.column(2), k) for k in range(batch.num_rows)], length, gram):
+                if bits is not None:
+                    p, q = _probes(h.view(np.uint64))
+                    one, six = np.uint64(1), np.uint64(6)
+                    use = np.flatnonzero((bits[p >> six] >> (p & np.uint64(63))) & (bits[q >> six] >> (q & np.uint64(63))) & one)
+                    text, h, first, n, off, whole = (x[use] for x in (text, h, first, n, off, whole))
                 columns = [pa.array(h), batch.column(0).take(pa.array(text)), pa.array(tid[text]), pa.array(first << 32 | n << 16 | off), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tid", "mark", "whole"])
 
-    found = rows.mapInArrow(find, "anchor bigint, doc_id bigint, tid int, mark bigint, whole bigint")
-    often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
+    return rows.mapInArrow(find, "anchor bigint, doc_id bigint, tid int, mark bigint, whole bigint")
+
+
+def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """(_doc, _tid, no, marks, sole, lone, crowd): documents with anchors that occur twice, numbered in order.
+
+    A mark packs first, n and off of an anchor's strings. The other columns hold the
+    marks whose stretch stands here first: ``sole`` those of anchors with no other
+    stretch, ``crowd`` those of anchors with over ``hot`` stretches, ``lone`` the rest.
+    """
+    often = found_anchors(rows, length, gram).groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
+    often = materialise(often, "anchors")
+    found = found_anchors(rows, length, gram, _filter(often))
     met = materialise(found.join(often, F.col("anchor") == F.col("_a"), "left_semi"), "marks")
     # One row per stretch, at its first place. Grouped by a mix of both hashes so that equal stretches meet on the map side first.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "mark")
     lone = met.groupBy(F.col("anchor").bitwiseXOR(F.col("whole")).alias("x"), F.col("whole").alias("y")).agg(F.min(place).alias("p"))
     lone = materialise(lone.select(F.col("x").bitwiseXOR(F.col("y")).alias("anchor"), F.col("p.doc_id").alias("doc_id"), F.col("p.tid").alias("tid"), F.col("p.mark").alias("mark")), "stretches")
-    crowded = lone.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("_a", F.lit(True).alias("crowd"))
-    split = lone.join(crowded, F.col("anchor") == F.col("_a"), "left")
+    several = lone.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    split = lone.join(several, F.col("anchor") == F.col("_a"), "left")
     document = [F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")]
-    own = split.groupBy(*document).agg(F.collect_set(F.when(F.col("crowd").isNull(), F.col("mark"))).alias("lone"), F.collect_set(F.when(F.col("crowd"), F.col("mark"))).alias("crowd"))
+    kinds = {"sole": F.col("c").isNull(), "lone": F.col("c") <= hot, "crowd": F.col("c") > hot}
+    own = split.groupBy(*document).agg(*[F.collect_set(F.when(use, F.col("mark"))).alias(name) for name, use in kinds.items()])
     grouped = met.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
     none = F.array().cast("array<bigint>")
-    both = grouped.join(own, _same(grouped, own), "left").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "marks", F.coalesce("lone", none).alias("lone"), F.coalesce("crowd", none).alias("crowd"))
+    both = grouped.join(own, _same(grouped, own), "left").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "marks", *[F.coalesce(name, none).alias(name) for name in kinds])
     return global_rank(both, [F.col("_doc").asc_nulls_last(), F.col("_tid").asc()], "no")
 
 
@@ -319,11 +350,12 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
         parts = parts.unionByName(split_crowds(stretches(rows.join(few, _same(rows, few)), "crowd", stride, length), buckets, spans, length, hot, bucket))
     runs = kept(transforms(parts), length).select(F.floor(F.col("at") / stride).alias("_no"), (F.col("at") % stride).cast("int").alias("start"), "n")
     runs = runs.groupBy("_no").agg(F.collect_list(F.struct("start", "n")).alias("keep"))
-    plan = found.join(runs, F.col("no") == F.col("_no"), "left").select("_doc", "_tid", "marks", "keep")
+    sole = F.transform("sole", lambda m: F.struct(F.shiftright(m, 32).cast("int").alias("start"), F.shiftright(m, 16).bitwiseAND(0xFFFF).cast("int").alias("n")))
+    plan = found.join(runs, F.col("no") == F.col("_no"), "left").select("_doc", "_tid", "marks", F.concat(F.coalesce("keep", F.array().cast("array<struct<start: int, n: int>>")), sole).alias("keep"))
 
     @F.pandas_udf("kept binary, spans array<struct<start: int, size: int>>")
     def cut(data: pd.Series, packed: pd.Series, keep: pd.Series) -> pd.DataFrame:
-        out = [(None, []) if p is None else without(d, np.asarray(p, np.int64), [] if k is None else list(k), length) for d, p, k in zip(data, packed, keep)]
+        out = [(None, []) if p is None else without(d, np.asarray(p, np.int64), list(k), length) for d, p, k in zip(data, packed, keep)]
         return pd.DataFrame({"kept": [o[0] for o in out], "spans": [o[1] for o in out]})
 
     # Texts without a mark stay in the JVM.
