@@ -1,13 +1,16 @@
 """Extraction operators as registered queries."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ownerlens import schemas, vocab as V
 from ownerlens.functions import scoring as S
-from ownerlens.operators import extract as X
+from ownerlens.operators import extract as X, publish as PB
 from ownerlens.plans import sqltext as Q
 from ownerlens.plans.registry import query
+from ownerlens.session import scratch_path
 from ownerlens.plans.text_queries import FURNITURE_SQL, FULL, IMPORTANCE_SQL, SUMMARY_SQL, full_text
 
 c = F.col
@@ -213,6 +216,33 @@ def ext05(t):
     return X.run_health(X.cascade(attempts(t), ["first", "second"]))
 
 
+_RUNS = """arr_v AS (SELECT url, min(seq) AS seq FROM articles_v GROUP BY url),
+ try_v AS (SELECT seq, url, 1 + CAST(seq % 3 AS INTEGER) AS arrives FROM arr_v),
+ end_v AS (SELECT seq, url, CASE WHEN arrives = 3 THEN 3 WHEN seq % 5 < 3 THEN 2 ELSE 3 END AS done FROM try_v)"""
+
+
+@query("ext05_publish_gate", f"""WITH {_RUNS}
+ SELECT 'health' AS part, CAST(run AS BIGINT) AS run, CASE run WHEN 1 THEN 'nothing published' WHEN 2 THEN 'degraded' ELSE 'ok' END AS what, CASE run WHEN 1 THEN (SELECT count(*) FROM try_v WHERE arrives = 1)
+   WHEN 2 THEN (SELECT count(*) FROM try_v WHERE arrives <= 2) ELSE (SELECT count(*) FROM end_v WHERE done = 3) END AS tried,
+   CASE run WHEN 1 THEN (SELECT count(*) FROM try_v WHERE arrives = 1) WHEN 2 THEN (SELECT count(*) FROM try_v WHERE arrives <= 2 AND seq % 5 >= 3) ELSE 0 END AS failed FROM (SELECT unnest(range(1, 4)) AS run) r
+ UNION ALL SELECT 'published', done, url, seq, 0 FROM end_v""")
+def ext05_gate(t):
+    """Three runs: all extractions fail, some fail, none fails; each tries the dead letters before it first."""
+    root = scratch_path(t.spark, "published")
+    rows = t.articles_v.select("seq", "url", "title")
+    # Copies of a URL arrive with its first one.
+    arrives = rows.groupBy("url").agg(F.min("seq").alias("_s")).select("url", (1 + c("_s") % 3).alias("arrives"))
+    rows = rows.join(arrives, "url")
+    health = []
+    for run in (1, 2, 3):
+        todo = PB.pending(rows.filter(c("arrives") == run).drop("arrives"), root, run)
+        fails = F.lit(True) if run == 1 else (c("seq") % 5 >= 3) if run == 2 else F.lit(False)
+        health.append(PB.publish(todo.withColumn("extraction", F.when(~fails, F.struct(F.lit(True).alias("relevant")))), root, run, rows.drop("arrives").columns))
+    told = reduce(DataFrame.unionAll, health).select(F.lit("health").alias("part"), c("run").cast("bigint").alias("run"), c("verdict").alias("what"), "tried", "failed")
+    seen = PB.published(t.spark, root).select(F.lit("published").alias("part"), c("run").cast("bigint").alias("run"), c("url").alias("what"), c("seq").alias("tried"), F.lit(0).cast("bigint").alias("failed"))
+    return told.unionAll(seen)
+
+
 _STORY_SCORES = f"""{_STORY}, low_v AS (SELECT *, lower(text) AS low, {Q.fold('lower(text)')} AS folded FROM ent_v),
  cat_v AS (SELECT * EXCLUDE (category), {Q.category('low')} AS category, {Q.risk_level('folded')} AS risk_level FROM low_v),
  imp_v AS (SELECT *, {IMPORTANCE_SQL.format(cat='category', low='low', pos='pos', people='len(people)', orgs='len(orgs)')} AS importance FROM cat_v)"""
