@@ -52,8 +52,6 @@ HOT = 2048
 SPANS = (8, 1)
 #: Rows per record batch that a task returns, and bytes of text hashed at once.
 BATCH = 1 << 14
-#: Bits of the filter that spares most anchors met once the shuffle; the join after it decides.
-FILTER_BITS = 1 << 27
 SLICE = 1 << 15
 
 _BASE = 0x9E3779B97F4A7C15
@@ -149,33 +147,13 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["_doc"]) & (a["tid"] == b["_tid"])
 
 
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(FILTER_BITS - 1)
-    return (h >> np.uint64(5)) & mask, (h >> np.uint64(35)) & mask
-
-
-def _filter(often: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of the anchors in ``_a``, put together in Spark; its size does not depend on theirs."""
-    probes = [F.shiftrightunsigned("_a", s).bitwiseAND(FILTER_BITS - 1) for s in (5, 35)]
-    places = often.select(F.explode(F.array(*probes)).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return bits.view(np.uint64)
-
-
-def found_anchors(rows: DataFrame, length: int, gram: int, bits: np.ndarray | None = None) -> DataFrame:
-    """(anchor, doc_id, tid, mark, whole) of all anchors that pass the filter; a mark packs first, n and off."""
+def found_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, doc_id, tid, mark, whole) of all anchors; a mark packs first, n and off."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tid = batch.column(1).to_numpy()
             for text, h, first, n, off, whole in all_anchors([_bytes(batch.column(2), k) for k in range(batch.num_rows)], length, gram):
-                if bits is not None:
-                    p, q = _probes(h.view(np.uint64))
-                    one, six = np.uint64(1), np.uint64(6)
-                    use = np.flatnonzero((bits[p >> six] >> (p & np.uint64(63))) & (bits[q >> six] >> (q & np.uint64(63))) & one)
-                    text, h, first, n, off, whole = (x[use] for x in (text, h, first, n, off, whole))
                 columns = [pa.array(h), batch.column(0).take(pa.array(text)), pa.array(tid[text]), pa.array(first << 32 | n << 16 | off), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "tid", "mark", "whole"])
 
@@ -189,9 +167,9 @@ def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     marks whose stretch stands here first: ``sole`` those of anchors with no other
     stretch, ``crowd`` those of anchors with over ``hot`` stretches, ``lone`` the rest.
     """
-    often = found_anchors(rows, length, gram).groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
-    often = materialise(often, "anchors")
-    found = found_anchors(rows, length, gram, _filter(often))
+    # Anchors are found twice rather than written: hashing is cheaper than the disk they would take.
+    found = found_anchors(rows, length, gram)
+    often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
     met = materialise(found.join(often, F.col("anchor") == F.col("_a"), "left_semi"), "marks")
     # One row per stretch, at its first place. Grouped by a mix of both hashes so that equal stretches meet on the map side first.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "mark")
