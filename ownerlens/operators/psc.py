@@ -12,10 +12,14 @@ from ownerlens.operators.keys import first_per_key, zero_filled
 c = F.col
 
 
+def identity() -> list[Column]:
+    """What makes a disclosure the same as another."""
+    return [F.lower(F.trim(F.coalesce(c(k).cast("string"), F.lit("")))) for k in V.PSC_IDENTITY]
+
+
 def deduplicate(records: DataFrame, order: str = "seq") -> DataFrame:
     """One row per disclosure; the same holding on a later date is a new one."""
-    keys = [F.lower(F.trim(F.coalesce(c(k).cast("string"), F.lit("")))) for k in V.PSC_IDENTITY]
-    return first_per_key(records, keys, (order,))
+    return first_per_key(records, identity(), (order,))
 
 
 def parsed(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ownerlens.functions import scoring as S
 from ownerlens.operators import registers as R
 from ownerlens.plans import sqltext as Q
 from ownerlens.plans.feed_queries import _MENTIONS, mentions
+from ownerlens.plans.psc_queries import PSC_FIRST_SQL
 from ownerlens.plans.registry import query
 from ownerlens.plans.text_queries import FEED_DATE_SQL, STAMP_SQL, stamp
 from ownerlens.session import scratch_path
@@ -139,10 +140,9 @@ def st02(t):
 
 @query("st03_undated_quarantine", f"SELECT CASE WHEN {FEED_DATE_SQL} IS NULL THEN 'undated' ELSE 'dated' END AS kind, count(*) AS n FROM dates_v GROUP BY 1")
 def st03(t):
-    good, bad = scratch_path(t.spark, "dated"), scratch_path(t.spark, "undated")
-    feed.route_dated(feed.landed_articles(t.spark, land_articles(t)), good, bad, scratch_path(t.spark, "route-state"))
-    n = lambda path, kind: t.spark.read.parquet(path).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
-    return n(good, "dated").unionAll(n(bad, "undated"))
+    path = scratch_path(t.spark, "routed")
+    feed.route_dated(feed.landed_articles(t.spark, land_articles(t)), path, scratch_path(t.spark, "route-state"))
+    return t.spark.read.parquet(path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st04_edition_windows", """WITH t AS (SELECT ts, ts - INTERVAL 2 HOURS AS s FROM events),
@@ -158,6 +158,24 @@ def st04(t):
     return show("edition", feed.EDITION).unionAll(show("look back", feed.LOOK_BACK))
 
 
+_LATE = "event_id % 10 = 0"
+
+
+@query("st04_stream_windows", f"""WITH t AS (SELECT ts, {_LATE} AS late, time_bucket(INTERVAL 4 HOURS, ts - INTERVAL 2 HOURS, TIMESTAMP '2000-01-01') + INTERVAL 6 HOURS AS e FROM events),
+ m AS (SELECT max(ts) FILTER (NOT late) - INTERVAL 4 HOURS AS one, max(ts) - INTERVAL 4 HOURS AS two FROM t)
+ SELECT strftime(e - INTERVAL 4 HOURS, '%Y-%m-%d %H:%M:%S') AS starts, count(*) AS n FROM t, m WHERE e <= two AND (NOT late OR e > one) GROUP BY 1""")
+def st04_stream(t):
+    """Editions told by a stream: nine tenths of the events land first, the rest when the watermark has passed most of them."""
+    landing, told, state = (scratch_path(t.spark, n) for n in ("events", "editions", "edition-state"))
+    rows = t.events.select(c("ts").cast("timestamp").alias("ts"), "event_id")
+    stream = None
+    for part in (f"NOT {_LATE}", _LATE):
+        rows.filter(part).write.mode("append").parquet(landing)
+        stream = feed.windowed_counts(t.spark.readStream.schema(rows.schema).parquet(landing), "ts", feed.EDITION, "4 hours")
+        feed.run_available(stream, told, state)
+    return t.spark.read.schema(stream.schema).parquet(told).select(stamp(c("w.start")).alias("starts"), "n")
+
+
 @query("st05_register_upsert", f"""WITH {_MENTIONS} SELECT arg_min(trim(company), seq) AS company, count(*) AS mention_count,
    coalesce(arg_max(industry, seq) FILTER (industry IS NOT NULL), 'General') AS industry, coalesce(arg_max(risk_level, seq) FILTER (risk_level IS NOT NULL), 'Low') AS risk_level
    FROM mentions_v WHERE trim(company) <> '' GROUP BY lower(trim(company))""")
@@ -168,7 +186,18 @@ def st05(t):
     for part in ("seq < 10000", "seq >= 10000"):
         rows.filter(part).write.mode("append").parquet(landing)
         feed.upsert_companies(t.spark.readStream.schema(rows.schema).parquet(landing), root, state)
-    return R.read_snapshot(t.spark, root).select("company", "mention_count", "industry", "risk_level")
+    return R.read_buckets(t.spark, root).select("company", "mention_count", "industry", "risk_level")
+
+
+@query("st05_holdings_upsert", PSC_FIRST_SQL)
+def st05_holdings(t):
+    """Disclosures in three landings, the last one a copy of the first."""
+    landing, root, state = (scratch_path(t.spark, n) for n in ("disclosures", "holdings", "holding-state"))
+    rows = t.psc_v
+    for part in ("seq % 2 = 0", "seq % 2 = 1", "seq % 2 = 0"):
+        rows.filter(part).write.mode("append").parquet(landing)
+        feed.upsert_holdings(t.spark.readStream.schema(rows.schema).parquet(landing), root, state)
+    return R.read_buckets(t.spark, root).select("seq")
 
 
 @query("st06_alert_stream", f"""SELECT seq, CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'Warning' ELSE 'Info' END AS severity FROM articles_v WHERE risk_score >= 50 OR seq % 50 = 0""")

@@ -68,6 +68,9 @@ def rf20(t):
 _KEYS = ", ".join(f"lower(trim(coalesce({k}, '')))" for k in V.PSC_IDENTITY)
 
 
+PSC_FIRST_SQL = f"SELECT seq FROM psc_v QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY seq) = 1"
+
+
 @query("agg05_psc_dedup", f"SELECT seq, person_name, company FROM psc_v QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY seq) = 1")
 def agg05(t):
     return psc.deduplicate(t.psc_v).select("seq", "person_name", "company")

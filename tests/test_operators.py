@@ -315,7 +315,50 @@ def test_streams_resume_and_replay(spark, tmp_path):
         spark.createDataFrame([(k, "Hill", f"2024-01-0{k + 1}", "", "")], cols).write.mode("append").parquet(landing)
         feed.upsert_companies(spark.readStream.schema(cols).parquet(landing), root, state)
     feed.upsert_companies(spark.readStream.schema(cols).parquet(landing), root, state)
-    assert registers.read_snapshot(spark, root).first()["mention_count"] == 2
+    assert registers.read_buckets(spark, root).first()["mention_count"] == 2
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    root, cols = str(tmp_path / "reg"), "seq bigint, company string, seen_at string, industry string, risk_level string"
+    key = F.lower(F.trim("company"))
+    batch = lambda names, start: spark.createDataFrame([(start + i, n, "2024-01-01", "", "") for i, n in enumerate(names)], cols)
+    names = [f"Company {i}" for i in range(100)]
+    assert len(registers.merge_buckets(batch(names, 0), root, 0, key, registers.upsert_companies, 16)) == 16
+    for _ in range(2):  # the second time as a replay
+        touched = registers.merge_buckets(batch(["company 7", " COMPANY 7"], 100), root, 1, key, registers.upsert_companies, 16)
+        assert len(touched) == 1
+        held = {r["company"]: r["mention_count"] for r in registers.read_buckets(spark, root).collect()}
+        assert held == {n: 3 if n == "Company 7" else 1 for n in names}
+    written = lambda v: {p.name for p in (tmp_path / "reg" / "rows" / f"version={v:012d}").glob("bucket=*")}
+    assert written(1) == {f"bucket={touched[0]}"} and len(written(0)) == 16
+    again = registers.merge_buckets(batch(["Company 7"], 200), root, 2, key, registers.upsert_companies, 16)
+    # What neither of the last two pointers names is gone.
+    assert again == touched and len(written(0)) == 15 and len(written(1)) == 1
+    assert registers.read_buckets(spark, root).filter("company = 'Company 7'").first()["mention_count"] == 4
+    assert registers.merge_buckets(batch([], 0), root, 3, key, registers.upsert_companies, 16) == []
+
+
+def test_routing_counts_what_it_writes(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    stamps = ["2024-01-01T00:00:00", "", "2024-01-02T00:00:00", None, "soon"]
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"title": str(i), "url": str(i), "published_at_raw": s}) for i, s in enumerate(stamps)))
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    assert feed.route_dated(feed.landed_articles(spark, str(tmp_path / "in")), path, state) == {"dated": 2, "undated": 3}
+    assert {(r["kind"], r["count"]) for r in spark.read.parquet(path).groupBy("kind").count().collect()} == {("dated", 2), ("undated", 3)}
+    assert feed.route_dated(feed.landed_articles(spark, str(tmp_path / "in")), path, state) in ({}, {"dated": 0, "undated": 0})
+
+
+def test_editions_on_a_stream_leave_out_and_count_late_rows(spark, tmp_path):
+    landing, told, state = (str(tmp_path / n) for n in ("in", "told", "state"))
+    late = 0
+    for stamps in (["2024-01-01 03:00:00", "2024-01-01 12:00:00"], ["2024-01-01 03:30:00", "2024-01-01 13:00:00", "2024-01-02 00:00:00"]):
+        spark.createDataFrame([(s,) for s in stamps], "s string").select(F.col("s").cast("timestamp").alias("ts")).write.mode("append").parquet(landing)
+        stream = feed.windowed_counts(spark.readStream.schema("ts timestamp").parquet(landing), "ts", feed.EDITION, "4 hours")
+        late = feed.late_rows(feed.run_available(stream, told, state))
+    got = {(str(r["w"]["start"]), r["n"]) for r in spark.read.parquet(told).collect()}
+    assert got == {("2024-01-01 02:00:00", 1), ("2024-01-01 10:00:00", 2)} and late == 1
 
 
 def test_concept_and_trace(spark):
