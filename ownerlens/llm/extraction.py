@@ -3,9 +3,14 @@
 A page is cut into blocks of running text. A linear classifier over a block's
 ancestors, class names, length and links gives two costs: of calling the block
 content and of calling it boilerplate. They are the capacities of its edges to the
-two terminals. Blocks next to each other, and blocks under one parent, are joined
-by smoothness edges. A maximum flow separates content from boilerplate at least
-total cost; blocks on the content side make the text.
+two terminals. Smoothness edges join blocks next to each other, and more strongly
+blocks of one parent that bear the same tag and class. A maximum flow separates
+content from boilerplate at least total cost; blocks on the content side make the
+text. No single sign outweighs a block's edges to two neighbours of its kind, so
+blocks with weak signs follow those around them.
+
+A class that says what a page has or lacks (``has-sidebar``, ``ad-free``) names no
+boilerplate, and neither does a class of the page's outer elements.
 
 Defined cases: a null or empty page, or one without content, gives the empty text;
 a page that breaks off is read to its end; repeated rows are extracted each; an
@@ -27,7 +32,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    # A quote that is never closed ends with its tag.
+    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>",
     re.S | re.I,
 )
 _CLASS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -47,16 +54,24 @@ BOILER_WORDS = frozenset("""ad ads advert advertisement advertising sponsor spon
 aside widget related recommended share sharing social comment comments reply replies discussion disqus cookie cookies consent notice notices alert popup modal
 newsletter subscribe subscription signup login search form toolbar pagination pager copyright legal disclaimer masthead hidden""".split())
 
+#: Parts of a class name that speak of the rest of it instead of naming the element.
+MODIFIERS = frozenset("has with without no not free is js".split())
+#: Elements whose classes describe the page.
+OUTER = frozenset("html body main".split())
+
 #: Cost weights of the classifier.
-TAG_COST = 6.0
-WORD_COST = 8.0
-LINK_COST = 4.0
-SHORT_COST = 1.0
-LONG_GAIN = 3.0
+TAG_COST = 3.5
+WORD_COST = 3.5
+LINK_COST = 2.5
+SHORT_COST = 0.8
+LONG_GAIN = 2.5
+#: What a paragraph without any sign is worth as content.
+PARAGRAPH_GAIN = 0.1
 LONG = 80
-#: Capacities of the edges between adjacent blocks and between blocks of one parent.
+#: Capacities of the edges between adjacent blocks and between successive blocks of one parent, alike in tag and class or not.
 ADJACENT = 0.4
-SIBLING = 0.6
+ALIKE = 1.5
+SIBLING = 0.2
 
 
 @dataclass
@@ -66,6 +81,7 @@ class Block:
     parent: int  # number of the enclosing element
     tag: str
     evidence: float  # cost of calling the block content, from its ancestors; negative for content
+    kind: tuple = ()  # tag and classes of the element
 
 
 def _own_evidence(tag: str, attrs: str, inside_content: bool) -> float | None:
@@ -75,8 +91,11 @@ def _own_evidence(tag: str, attrs: str, inside_content: bool) -> float | None:
             if m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and (m[2] or m[3] or m[4] or "").lower() == "true"):
                 words.add("hidden")
             elif m[1].lower() != "aria-hidden":
-                words.update(_WORD.findall((m[2] or m[3] or m[4] or "").lower()))
-    if words & BOILER_WORDS:
+                for name in (m[2] or m[3] or m[4] or "").lower().split():
+                    parts = _WORD.findall(name)
+                    if not MODIFIERS.intersection(parts):
+                        words.update(parts)
+    if words & BOILER_WORDS and (tag not in OUTER or "hidden" in words):
         return WORD_COST
     if tag in BOILER_TAGS or (tag == "header" and not inside_content):
         return TAG_COST
@@ -90,7 +109,7 @@ def _own_evidence(tag: str, attrs: str, inside_content: bool) -> float | None:
 def blocks(page: str) -> list[Block]:
     """Blocks in page order; white space inside a block is one space, empty blocks are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, evidence in force
+    stack: list[tuple[str, int, float, tuple]] = [("", 0, 0.0, ())]  # tag, number, evidence in force, kind
     number, parts, linked, links = 0, [], 0, 0
 
     def flush() -> None:
@@ -98,10 +117,10 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, parent, evidence = stack[-1]
+                tag, parent, evidence, kind = stack[-1]
                 # A block's parent is the element around it, so paragraphs of one section are siblings.
                 around = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd") else parent
-                out.append(Block(text, linked, around, tag, evidence))
+                out.append(Block(text, linked, around, tag, evidence, kind))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -115,16 +134,17 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        if m["tag"] is None:
+        tag = m["tag"] or m["tag2"]
+        if tag is None:
             continue
-        tag = m["tag"].lower()
+        tag, closes, attrs = tag.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if closes else 1
         elif tag not in BLOCKS:
             continue
-        elif m["close"]:
+        elif closes:
             flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -142,8 +162,9 @@ def blocks(page: str) -> list[Block]:
                     break
             if tag not in VOID:
                 number += 1
-                own = _own_evidence(tag, m["attrs"], stack[-1][2] < 0)
-                stack.append((tag, number, stack[-1][2] if own is None else own))
+                own = _own_evidence(tag, attrs, stack[-1][2] < 0)
+                classes = tuple(x[2] or x[3] or x[4] or "" for x in _CLASS.finditer(attrs) if x[1].lower() == "class") if attrs else ()
+                stack.append((tag, number, stack[-1][2] if own is None else own, (tag, classes)))
     add(page[at:])
     flush()
     return out
@@ -156,6 +177,8 @@ def costs(b: Block) -> tuple[float, float]:
         score += LINK_COST
     if len(b.text) >= LONG:
         score -= LONG_GAIN
+    elif b.tag == "p" and b.evidence == 0:
+        score -= PARAGRAPH_GAIN
     elif b.tag[:1] != "h" and b.evidence == 0:
         score += SHORT_COST
     return max(0.0, score), max(0.0, -score)
@@ -233,14 +256,16 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between adjacent blocks, and between successive blocks of one parent."""
-    edges, last = [], {}
+    """Edges between adjacent blocks, and between successive blocks of one parent, strong where they are alike."""
+    edges, last, alike = [], {}, {}
     for k, b in enumerate(found):
         if k:
             edges.append((k - 1, k, ADJACENT))
         if b.parent in last:
             edges.append((last[b.parent], k, SIBLING))
-        last[b.parent] = k
+        if (b.parent, b.kind) in alike:
+            edges.append((alike[b.parent, b.kind], k, ALIKE))
+        last[b.parent] = alike[b.parent, b.kind] = k
     return edges
 
 

@@ -54,3 +54,39 @@ def test_edges(spark):
     assert by[1]["text"] == "" and by[1]["n_chars"] == 0 and by[2]["text"] == ""
     assert by[None]["text"] == f"é {LONG}" and by[3]["text"].count("\n\n") == 4999
     assert x.main_text(pages.limit(0)).count() == 0
+
+
+TEXT = "A sentence of the article that is long enough to be told from a label or a link by its length alone. "
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<body class="has-sidebar"><div><p>{TEXT}</p></div></body>', TEXT),
+    (f'<main class="content with-sidebar"><p>{TEXT}</p><p>Short.</p></main>', TEXT.strip() + "\n\nShort."),
+    (f'<article class="post ad-free"><p>{TEXT}</p></article>', TEXT),
+    (f'<html class="no-js menu"><body class="nav-open"><p>{TEXT}</p></body></html>', TEXT),
+    ("<body><div><p>One.</p><p>Two words.</p><p>And three.</p></div></body>", "One.\n\nTwo words.\n\nAnd three."),
+    (f"<article><p title=\"it>{TEXT}</p><p>End.</p></article>", TEXT.strip() + "\n\nEnd."),
+    (f"<article><p title='it>{TEXT}</p></article>", TEXT),
+    (f'<article><p>{TEXT}</p><p class="ad">Buy now</p><p>{TEXT}</p></article>', TEXT.strip() + "\n\n" + TEXT.strip()),
+    (f'<article><p>{TEXT}</p><section class="comments"><p>{TEXT}</p></section></article>', TEXT),
+])
+def test_one_class_word_does_not_take_a_page(page, text):
+    assert x.extract(page) == text.strip()
+
+
+def test_the_cut_decides_where_signs_are_weak():
+    """Short lines among long ones of their kind are content; a long line among linked ones of their kind is not."""
+    article = "".join(f'<li class="t">{TEXT if k % 2 else f"Line {k}."}</li>' for k in range(9))
+    links = "".join(f'<li class="r"><a href="#">Story {k}</a></li>' for k in range(4))
+    menu = f'<div>{links}<li class="r"><a href="#">{TEXT}</a></li>{links}</div>'
+    found = x.blocks(f"<body><ul>{article}</ul><hr>{menu}</body>")
+    pairs = [x.costs(b) for b in found]
+    alone = [no > yes for yes, no in pairs]
+    cut = x.min_cut([no for _, no in pairs], [yes for yes, _ in pairs], x.smoothness(found))
+    right = [b.kind[1] == ("t",) for b in found]
+    assert cut == right and sum(a != r for a, r in zip(alone, right)) >= 4
+
+
+def test_no_single_sign_outweighs_the_edges_to_two_neighbours():
+    edges = 2 * (x.ADJACENT + x.SIBLING + x.ALIKE)
+    assert max(x.TAG_COST, x.WORD_COST, x.LINK_COST, x.LONG_GAIN, x.SHORT_COST) < edges
