@@ -38,7 +38,7 @@ def sentiment(text: Column) -> Column:
 def risk_in(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for tier in reversed(list(V.RISK_TIERS)):
-        out = F.when(F.rlike(low, F.lit(T.whole_words(V.RISK_TIERS[tier], plural=True))), tier).otherwise(out)
+        out = F.when(T.has_word(low, V.RISK_TIERS[tier], plural=True), tier).otherwise(out)
     return F.coalesce(out, F.lit("Low"))
 
 
@@ -142,13 +142,11 @@ _SPORT, _FUN = T.whole_words(V.SPORT_TERMS), T.whole_words(V.ENTERTAINMENT_TERMS
 
 def off_topic_in(t: Column) -> Column:
     """:func:`off_topic` over normalised text."""
-    owned = F.rlike(t, F.lit(T.whole_words(V.OWNERSHIP_STRONG_TERMS))) | (
-        F.rlike(t, F.lit(T.whole_words(V.OWNERSHIP_WEAK_TERMS)))
-        & F.rlike(t, F.lit("(?U)" + V.PERCENTAGE_PATTERN))
-    )
+    owned = F.rlike(t, F.lit(T.whole_words(V.OWNERSHIP_STRONG_TERMS))) | (T.has_word(t, V.OWNERSHIP_WEAK_TERMS) & F.rlike(t, F.lit("(?U)" + V.PERCENTAGE_PATTERN)))
     sport, fun = F.rlike(t, F.lit(_SPORT)), F.rlike(t, F.lit(_FUN))
+    # A scoreline alone decides nothing, and digits are rarer than verbs of result.
     score = F.rlike(t, F.lit("(?U)" + V.SCORELINE_PATTERN))
-    verb = F.rlike(t, F.lit(T.whole_words(V.RESULT_VERBS)))
+    verb = T.has_word(t, V.RESULT_VERBS)
 
     def matched(pattern: str) -> Column:
         return F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
@@ -168,7 +166,8 @@ def off_topic_in(t: Column) -> Column:
         )
         .when(fun, F.struct(F.lit("entertainment").alias("topic"), F.array_sort(matched(_FUN)).alias("matched")))
     )
-    return F.when(~owned, reason)
+    # Most texts are on neither topic, so ownership is asked for last.
+    return T.let(reason, lambda r: F.when(r.isNotNull() & ~owned, r))
 
 
 def is_off_topic(title: Column, summary: Column | None = None) -> Column:

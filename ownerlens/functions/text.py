@@ -39,6 +39,12 @@ def whole_words(terms: Iterable[str], plural: bool = False) -> str:
     return WORD_START + any_of(terms) + ("s?" if plural else "") + WORD_END
 
 
+def has_word(text: Column, terms: Iterable[str], plural: bool = False) -> Column:
+    """True when any term occurs as a whole word: the pattern is tried only on texts that hold one of the terms at all."""
+    terms = list(terms)
+    return has_any(text, terms) & F.rlike(text, F.lit(whole_words(terms, plural)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` by name.
 
@@ -87,8 +93,13 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", " "))
 
 
+#: Unicode white space.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at either end; only the ends are looked at."""
+    return F.trim(col, F.lit(WHITE_SPACE))
 
 
 def _tie_points(ties_up: bool) -> list[float]:
