@@ -37,13 +37,15 @@ RATIO = 10
 GARBLE = 31
 #: Letters a node knows of what follows it.
 AHEAD = 4
+#: States (of twenty letters) up to which they are sent to the edges instead of being dealt with them.
+FEW = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(docs: DataFrame, text: str = "text", garble: int = GARBLE, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n): words of ``min_length`` letters or more that occur ``min_count`` times or more."""
-    # Greedy, so each match is a maximal run; shorter runs give no word.
-    runs = F.regexp_extract_all(F.col(text), F.lit(rf"[A-Za-zÀ-ÿ]{{{min_length},}}"), 0)
+    # Begun at its first letter and greedy, each match is a maximal run; shorter runs give no word.
+    runs = F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-zÀ-ÿ])[A-Za-zÀ-ÿ]{{{min_length},}}+"), 0)
     found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
     found = found.select("id", F.translate("run", UPPER, LOWER).alias("run"))
     word = F.col("run")
@@ -132,7 +134,13 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     states = readings.select("way", "t", "size", half.alias("pos"), _node(F.col("way"), F.col("t"), half).alias("node"), F.lit(0).alias("edits"), F.substr("t", F.lit(1), half).alias("read"))
     met = []
     while True:
-        steps = states.withColumnRenamed("node", "_n").join(edges, F.col("_n") == F.col("node"))
+        size = states.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t") + F.length("read")).alias("letters")).first()
+        if not size["n"]:
+            break
+        here = states.withColumnRenamed("node", "_n")
+        if size["n"] <= FEW and size["letters"] <= 20 * FEW:
+            here = F.broadcast(here)
+        steps = here.join(edges, F.col("_n") == F.col("node"))
         steps = steps.select("way", "t", "size", F.concat("read", "label").alias("read"), F.col("child").alias("node"), F.explode(_moves()).alias("m"))
         steps = steps.filter("m IS NOT NULL").select("way", "t", "size", "read", "node", "m.pos", "m.edits")
         # An edited state without letters left is hopeful only where a word ends.
@@ -141,9 +149,9 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
         level = materialise(steps, "trie-level")
         met.append(level.filter(done).select("way", "t", "read"))
         states = level.filter(on).select("way", "t", "size", "pos", "node", "edits", "read")
-        if states.isEmpty():
-            break
     word = lambda c: F.when(F.col("way") == 0, F.col(c)).otherwise(F.reverse(c))
+    if not met:
+        return states.select(word("t").alias("word"), word("read").alias("near"))
     return reduce(DataFrame.unionByName, met).select(word("t").alias("word"), word("read").alias("near")).distinct()
 
 
