@@ -98,21 +98,18 @@ def rule_details() -> dict[str, Column]:
             F.concat(F.lit("Voting rights of "), _fixed(c("voting")), F.lit("% against an equity interest of "),
                      _fixed(_equity()), F.lit("% — a "), _fixed(gap), F.lit(V.DETAIL_GAP))),
         "R7_SECRECY_VEHICLE": F.when(
-            term.isNotNull(), F.concat(F.lit("Control is held through an entity connected to "), term, F.lit("."))),
-        "R4_NOMINEE": F.when(T.has_any(papers, V.NOMINEE_MARKERS), F.lit(
-            "A nominee, trustee or custodian appears in the control chain.")),
-        "R9_PEP": F.when(F.startswith(F.lower(c("pep_status")), F.lit("yes")), F.lit(
-            "The holder is recorded as politically exposed.")),
+            term.isNotNull(), F.concat(F.lit(V.DETAIL_SECRECY[0]), term, F.lit(V.DETAIL_SECRECY[1]))),
+        "R4_NOMINEE": F.when(T.has_any(papers, V.NOMINEE_MARKERS), F.lit(V.DETAIL_NOMINEE)),
+        "R9_PEP": F.when(F.startswith(F.lower(c("pep_status")), F.lit("yes")), F.lit(V.DETAIL_PEP)),
         "R8_RAPID_CHANGE": F.when(
             (F.contains(change, F.lit("increas")) | F.contains(change, F.lit("acquir"))) & replaced,
-            F.concat(F.lit("Control increased and transferred from "), c("previous_holder"), F.lit("."))),
+            F.concat(F.lit(V.DETAIL_CHANGE[0]), c("previous_holder"), F.lit(V.DETAIL_CHANGE[1]))),
         "R12_CROSS_ENTITY": F.when(
             c("n_companies") >= 2,
-            F.concat(F.lit("Holds significant control in "), c("n_companies").cast("string"),
-                     F.lit(" tracked companies."))),
+            F.concat(F.lit(V.DETAIL_PORTFOLIO[0]), c("n_companies").cast("string"), F.lit(V.DETAIL_PORTFOLIO[1]))),
         "R6_UNKNOWN_OWNER": F.when(
             c("pct").isNull() & (T.strip(F.coalesce(c("nature_of_control"), F.lit(""))) == ""),
-            F.lit("Neither a percentage nor a nature of control was disclosed for this holder.")),
+            F.lit(V.DETAIL_UNKNOWN)),
     }
 
 

@@ -69,15 +69,6 @@ def _figure(label: str, name: str) -> Column:
     return F.concat(F.lit(f"- **{label}:** "), c(name).cast("string"))
 
 
-HEADINGS = [
-    ("appointments", "## Appointments", "*No new executive or civil service appointments logged in this window.*"),
-    ("company_changes", "## Company Changes", "*No major corporate restructuring, acquisitions, or IPOs logged.*"),
-    ("procurement", "## Procurement", "*No government tenders or contract awards registered.*"),
-    ("regulation", "## Regulation", "*No new regulatory directives logged.*"),
-    ("financial", "## Financial Updates", "*No corporate financial statements or audit updates registered.*"),
-]
-
-
 def daily_report(articles: DataFrame, new_entities: DataFrame, trending: DataFrame, edition: str) -> DataFrame:
     """The sectioned report over the articles of one window.
 
@@ -100,9 +91,9 @@ def daily_report(articles: DataFrame, new_entities: DataFrame, trending: DataFra
         _line(0, 7, _figure("Company and board changes", "company_changes")), _line(0, 8, _figure("Procurement and tenders", "procurement")),
         _line(0, 9, _figure("High risk and corruption alerts", "corruption")),
         _line(1, 0, "## High Priority Events"),
-        F.when(empty("high"), _line(1, 1, "*No high priority alerts triggered in this window.*")),
+        F.when(empty("high"), _line(1, 1, V.REPORT_NO_ALERTS)),
         _line(7, 0, "## Corruption Risk Alerts"),
-        F.when(empty("corruption"), _line(7, 1, "*No corruption risk signals flagged.*")),
+        F.when(empty("corruption"), _line(7, 1, V.REPORT_NO_CORRUPTION)),
         _line(8, 0, "## Trending Entities"), _line(9, 0, "## Sources"),
     ]
     item = c("seq")
@@ -111,7 +102,7 @@ def daily_report(articles: DataFrame, new_entities: DataFrame, trending: DataFra
         F.concat(F.lit("### "), c("title")), F.concat(F.lit("- **Category:** "), F.coalesce("category", F.lit("Other"))),
         F.concat(F.lit("- **Risk score:** "), T.fixed1(c("importance") * 0.8), F.lit(" ("), c("risk_level"), F.lit(")")),
         F.concat(F.lit("- **Summary:** "), c("executive")), F.concat(F.lit("- **Source:** "), c("source"))))]
-    for i, (name, heading, none) in enumerate(HEADINGS, start=2):
+    for i, (name, heading, none) in enumerate(V.REPORT_HEADINGS, start=2):
         head += [_line(i, 0, heading), F.when(empty(name), _line(i, 1, none))]
         body.append(F.when(c("section") == name, _line(i, 0, entry, item)))
     body += [
@@ -152,16 +143,16 @@ def brief(records: DataFrame, generated: str, key_items: int = 8) -> DataFrame:
         _line(0, 3, _figure("Total Articles Processed", "total")), _line(0, 4, _figure("High Risk Signals", "high_risk")),
         _line(0, 5, _figure("Appointments Logged", "appointments")), _line(0, 6, _figure("Procurement Awards", "procurement")),
         _line(1, 0, "### Key Developments"),
-        F.when(c("other") == 0, _line(1, 1, "*   *Routine market intelligence signals monitored across counterparties.*")),
+        F.when(c("other") == 0, _line(1, 1, V.BRIEF_NO_EVENTS)),
         _line(2, 0, "### High Risk Alerts"),
-        F.when(c("high_risk") == 0, _line(2, 1, "*   *No critical risk threshold breaches recorded in this run window.*")),
+        F.when(c("high_risk") == 0, _line(2, 1, V.BRIEF_NO_RISKS)),
         _line(3, 0, "### Procurement & Board Changes"),
         F.when((c("appointments") == 0) & (c("procurement") == 0),
-               _line(3, 1, "*   *No new public procurement or executive board changes logged in this window.*")),
+               _line(3, 1, V.BRIEF_NO_CHANGES)),
     ]
     seq = c("seq")
     body = [
-        F.when(risky, _line(2, 0, item("Risk Alert", "Elevated risk indicator detected."), seq)),
+        F.when(risky, _line(2, 0, item("Risk Alert", V.BRIEF_RISK_SUMMARY), seq)),
         F.when(appointed, _line(3, 0, F.concat(
             F.lit("*   **Key Appointment**: "), F.coalesce("person", F.lit("Executive")), F.lit(" logged under "),
             F.coalesce("organization", F.lit("Counterparty")), F.lit(".")), seq)),
@@ -170,7 +161,7 @@ def brief(records: DataFrame, generated: str, key_items: int = 8) -> DataFrame:
     key = records.filter(~risky).orderBy("seq").limit(key_items)
     return (
         _lines(counts, head)
-        .unionByName(_lines(key, [_line(1, 0, item("Corporate Event", "Key corporate update recorded."), seq)]))
+        .unionByName(_lines(key, [_line(1, 0, item("Corporate Event", V.BRIEF_EVENT_SUMMARY), seq)]))
         .unionByName(_lines(records, body))
     )
 

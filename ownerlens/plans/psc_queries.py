@@ -29,14 +29,14 @@ RULES = {
         f"concat(CAST(n_parked AS STRING), {Q.lit(V.DETAIL_PARKED)})"),
     "R3_VOTING_MISMATCH": ("voting - equity >= 20",
         f"concat('Voting rights of ', printf('%.1f', voting), '% against an equity interest of ', printf('%.1f', equity), '% — a ', printf('%.1f', voting - equity), {Q.lit(V.DETAIL_GAP)})"),
-    "R7_SECRECY_VEHICLE": ("term IS NOT NULL", "concat('Control is held through an entity connected to ', term, '.')"),
-    "R9_PEP": ("starts_with(lower(pep_status), 'yes')", "'The holder is recorded as politically exposed.'"),
-    "R4_NOMINEE": (Q.has_any(_PAPERS, V.NOMINEE_MARKERS), "'A nominee, trustee or custodian appears in the control chain.'"),
+    "R7_SECRECY_VEHICLE": ("term IS NOT NULL", f"concat({Q.lit(V.DETAIL_SECRECY[0])}, term, {Q.lit(V.DETAIL_SECRECY[1])})"),
+    "R9_PEP": ("starts_with(lower(pep_status), 'yes')", Q.lit(V.DETAIL_PEP)),
+    "R4_NOMINEE": (Q.has_any(_PAPERS, V.NOMINEE_MARKERS), Q.lit(V.DETAIL_NOMINEE)),
     "R8_RAPID_CHANGE": ("(contains(lower(change_type), 'increas') OR contains(lower(change_type), 'acquir')) AND trim(previous_holder) <> ''",
-        "concat('Control increased and transferred from ', previous_holder, '.')"),
-    "R12_CROSS_ENTITY": ("n_companies >= 2", "concat('Holds significant control in ', CAST(n_companies AS STRING), ' tracked companies.')"),
+        f"concat({Q.lit(V.DETAIL_CHANGE[0])}, previous_holder, {Q.lit(V.DETAIL_CHANGE[1])})"),
+    "R12_CROSS_ENTITY": ("n_companies >= 2", f"concat({Q.lit(V.DETAIL_PORTFOLIO[0])}, CAST(n_companies AS STRING), {Q.lit(V.DETAIL_PORTFOLIO[1])})"),
     "R6_UNKNOWN_OWNER": ("pct IS NULL AND trim(nature_of_control) = ''",
-        "'Neither a percentage nor a nature of control was disclosed for this holder.'"),
+        Q.lit(V.DETAIL_UNKNOWN)),
 }
 _ORDER = {r: i for i, r in enumerate(
     [r for r in V.FLAG_TITLES if V.FLAG_TITLES[r][0] == "high"] + [r for r in V.FLAG_TITLES if V.FLAG_TITLES[r][0] == "medium"])}

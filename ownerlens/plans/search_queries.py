@@ -197,7 +197,7 @@ def rep01(t):
 
 
 _ENTRY = "concat('- **', title, '** (', source, ') - *', one_line, '*')"
-_HEAD_TEXT = {n: (h, none) for n, h, none in P.HEADINGS}
+_HEAD_TEXT = {n: (h, none) for n, h, none in V.REPORT_HEADINGS}
 _DAILY = f"""{LINKED_SQL}, {_SECTIONED}, day_v AS (SELECT * FROM sec_v WHERE seq IN (SELECT seq FROM win_v)),
  tot_v AS (SELECT count(*) AS total, count(*) FILTER (high_priority) AS high, count(*) FILTER (corruption) AS corruption, {', '.join(f"count(*) FILTER (section = '{n}') AS {n}" for n in P.EVENT_SECTIONS)},
    (SELECT count(DISTINCT entity_id) FILTER (type = 'company') FROM linked_v) AS new_companies, (SELECT count(DISTINCT entity_id) FILTER (type = 'agency') FROM linked_v) AS new_agencies FROM day_v),
@@ -210,8 +210,8 @@ _DAILY = f"""{LINKED_SQL}, {_SECTIONED}, day_v AS (SELECT * FROM sec_v WHERE seq
      concat('- **High risk and corruption alerts:** ', corruption)]) AS x, unnest(range(10)) AS i FROM tot_v)
   UNION ALL SELECT * FROM (VALUES (1, -1, 0, '## High Priority Events'), (7, -1, 0, '## Corruption Risk Alerts'), (8, -1, 0, '## Trending Entities'), (9, -1, 0, '## Sources'),
      {', '.join(f"({i}, -1, 0, {Q.lit(_HEAD_TEXT[n][0])})" for i, n in enumerate(P.EVENT_SECTIONS, 2))}) v
-  UNION ALL SELECT 1, -1, 1, '*No high priority alerts triggered in this window.*' FROM tot_v WHERE high = 0
-  UNION ALL SELECT 7, -1, 1, '*No corruption risk signals flagged.*' FROM tot_v WHERE corruption = 0
+  UNION ALL SELECT 1, -1, 1, {Q.lit(V.REPORT_NO_ALERTS)} FROM tot_v WHERE high = 0
+  UNION ALL SELECT 7, -1, 1, {Q.lit(V.REPORT_NO_CORRUPTION)} FROM tot_v WHERE corruption = 0
   {' '.join(f"UNION ALL SELECT {i}, -1, 1, {Q.lit(_HEAD_TEXT[n][1])} FROM tot_v WHERE {n} = 0 UNION ALL SELECT {i}, seq, 0, {_ENTRY} FROM day_v WHERE section = '{n}'" for i, n in enumerate(P.EVENT_SECTIONS, 2))}
   UNION ALL SELECT 1, seq, i, x FROM (SELECT seq, unnest(range(5)) AS i, unnest([concat('### ', title), concat('- **Category:** ', coalesce(category, 'Other')), concat('- **Risk score:** ', printf('%.1f', importance * 0.8), ' (', risk_level, ')'),
      concat('- **Summary:** ', executive), concat('- **Source:** ', source)]) AS x FROM day_v WHERE high_priority)
@@ -248,8 +248,8 @@ _BRIEF = f"""{_SCORED}, rec_v AS (SELECT *, risk_level IN ('High', 'Critical') A
 @query("rep03_run_brief", f"""WITH {_BRIEF} SELECT * FROM fix_v
  UNION ALL SELECT 0, -1, 3, concat('- **Total Articles Processed:** ', total) FROM num_v UNION ALL SELECT 0, -1, 4, concat('- **High Risk Signals:** ', high) FROM num_v
  UNION ALL SELECT 0, -1, 5, concat('- **Appointments Logged:** ', app) FROM num_v UNION ALL SELECT 0, -1, 6, concat('- **Procurement Awards:** ', proc) FROM num_v
- UNION ALL SELECT 1, seq, 0, replace(item, '{{}}', 'Key corporate update recorded.') FROM oth_v
- UNION ALL SELECT 2, seq, 0, replace(item, '{{}}', 'Elevated risk indicator detected.') FROM rec_v WHERE risky
+ UNION ALL SELECT 1, seq, 0, replace(item, '{{}}', {Q.lit(V.BRIEF_EVENT_SUMMARY)}) FROM oth_v
+ UNION ALL SELECT 2, seq, 0, replace(item, '{{}}', {Q.lit(V.BRIEF_RISK_SUMMARY)}) FROM rec_v WHERE risky
  UNION ALL SELECT 3, seq, 0, concat('*   **Key Appointment**: Executive logged under ', CASE WHEN seq % 2 = 0 THEN concat('Company ', CAST(seq % 50 AS STRING)) ELSE 'Counterparty' END, '.') FROM rec_v WHERE event_type = 'Appointment'
  UNION ALL SELECT 4, seq, 0, concat('*   **Procurement**: ', title) FROM rec_v WHERE bought""")
 def rep03(t):

@@ -233,3 +233,27 @@ PSC_IDENTITY = ["person_name", "company", "nature_of_control", "percentage", "da
 # Fixed sentences of the flags' details.
 DETAIL_PARKED = " holders in this company sit between 3.5% and 5%, just under the CAMA 2020 s.868 disclosure threshold."
 DETAIL_GAP = " point gap, meaning control materially exceeds ownership."
+DETAIL_SECRECY = ("Control is held through an entity connected to ", ", a jurisdiction commonly used to obscure beneficial ownership.")
+DETAIL_NOMINEE = "A nominee, trustee or custodian appears in the control chain, which can stand between the register and the real owner."
+DETAIL_PEP = "The holder is recorded as politically exposed, which calls for enhanced due diligence on the source of funds and on any related public contracts."
+DETAIL_CHANGE = ("Control increased and transferred from ", ", so the register reflects a recent restructuring.")
+DETAIL_PORTFOLIO = ("Holds significant control in ", " tracked companies, so influence is understated by any single row.")
+DETAIL_UNKNOWN = "Neither a percentage nor a nature of control was disclosed for this holder."
+
+# Fixed sentences of the daily report: section, heading and what stands where a section is empty.
+REPORT_HEADINGS = [
+    ("appointments", "## Appointments", "*No new executive or civil service appointments logged in this window.*"),
+    ("company_changes", "## Company Changes", "*No major corporate restructuring, acquisitions, or IPOs logged.*"),
+    ("procurement", "## Procurement", "*No government tenders or contract awards registered.*"),
+    ("regulation", "## Regulation", "*No new CBN, SEC, FCCPC, or NERC regulatory directives logged.*"),
+    ("financial", "## Financial Updates", "*No corporate financial statements or audit updates registered.*"),
+]
+REPORT_NO_ALERTS = "*No high priority critical risk alerts triggered in this window.*"
+REPORT_NO_CORRUPTION = "*No corruption or embezzlement risk signals flagged.*"
+
+# Fixed sentences of the brief of a run.
+BRIEF_NO_EVENTS = "*   *Routine market intelligence signals monitored across counterparties.*"
+BRIEF_NO_RISKS = "*   *No critical risk threshold breaches recorded in this run window.*"
+BRIEF_NO_CHANGES = "*   *No new public procurement or executive board changes logged in this window.*"
+BRIEF_RISK_SUMMARY = "Elevated risk indicator detected."
+BRIEF_EVENT_SUMMARY = "Key corporate update recorded."
