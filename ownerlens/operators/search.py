@@ -9,6 +9,7 @@ from ownerlens import vocab as V
 from ownerlens.functions import text as T
 from ownerlens.operators.extract import contained_keys, match_entities
 from ownerlens.operators.keys import top_per_key
+from ownerlens.operators.vectors import block_products, nearest
 
 c = F.col
 RRF_K = 60
@@ -111,44 +112,6 @@ def batch_keyword(articles: DataFrame, queries: DataFrame, text: Column, limit:
     return best.join(ids, "id").select("query_id", "seq", "rank")
 
 
-#: Queries and vectors multiplied at once.
-BLOCK = 2048
-
-
-def _dealt(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-    """``rows`` with the number of their block, and how many blocks of about ``BLOCK`` rows there are."""
-    blocks = max(1, -(-rows.count() // BLOCK))
-    return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks
-
-
-def _nearest(limit: int):
-    """The ``limit`` nearest vectors of every query in one pair of blocks, with all that tie with the last."""
-    import numpy as np
-    import pandas as pd
-
-    def unit(column) -> tuple[np.ndarray, np.ndarray]:
-        matrix = np.array(column.tolist(), np.float64)
-        norm = np.sqrt((matrix * matrix).sum(axis=1))
-        # A vector without direction is near to nothing.
-        return np.divide(matrix, norm[:, None], out=np.full_like(matrix, np.nan), where=norm[:, None] > 0), norm > 0
-
-    def multiply(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "seq": np.zeros(0, np.int64), "distance": np.zeros(0)})
-        if not len(queries) or not len(vectors):
-            return none
-        (q, some), (v, use) = unit(queries["embedding"]), unit(vectors["embedding"])
-        q, v = q[some], v[use]
-        ids, seqs = queries["query_id"].to_numpy(np.int64)[some], vectors["seq"].to_numpy(np.int64)[use]
-        if not len(q) or not len(v):
-            return none
-        distance = np.round(1.0 - q @ v.T, 9) + 0.0
-        last = np.partition(distance, min(limit, len(v)) - 1, axis=1)[:, min(limit, len(v)) - 1]
-        i, j = np.nonzero(distance <= last[:, None])
-        return pd.DataFrame({"query_id": ids[i], "seq": seqs[j], "distance": distance[i, j]})
-
-    return multiply
-
-
 def batch_vector(vectors: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Nearest vectors ``(query_id, seq, distance, rank)`` of every row of ``queries(query_id, embedding)``.
 
@@ -157,11 +120,7 @@ def batch_vector(vectors: DataFrame, queries: DataFrame, limit: int = 20) -> Dat
     side passes the driver.  Distances are rounded to nine digits, ties go by ``seq``;
     vectors without direction, on either side, are left out.
     """
-    v, v_blocks = _dealt(vectors.filter(c("embedding").isNotNull()).select("seq", "embedding"), "seq", "v")
-    q, q_blocks = _dealt(queries.filter(c("embedding").isNotNull()).select("query_id", "embedding"), "query_id", "q")
-    v = v.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    q = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    near = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInPandas(_nearest(limit), "query_id bigint, seq bigint, distance double")
+    near = block_products(vectors, queries, nearest(limit), "query_id bigint, seq bigint, distance double")
     return top_per_key(near, ["query_id"], [c("distance"), c("seq")], limit, "rank").select("query_id", "seq", "distance", "rank")
 
 

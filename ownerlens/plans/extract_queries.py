@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ownerlens import schemas, vocab as V
 from ownerlens.functions import scoring as S
-from ownerlens.operators import extract as X, publish as PB
+from ownerlens.operators import extract as X, ingest as IG, publish as PB
 from ownerlens.plans import sqltext as Q
 from ownerlens.plans.registry import query
 from ownerlens.session import scratch_path
@@ -267,6 +267,23 @@ def ext08(t):
     return X.enrich(rows, english_only=False).select("seq", "sentiment", "risk_level", "category", "importance")
 
 
+@query("ext08_stored_records", f"""WITH {_STORY_SCORES}, {_RELATIONS},
+ en_v AS (SELECT * FROM (SELECT *, len(regexp_extract_all(folded, '\\b[a-z]+\\b')) AS words, len(regexp_extract_all(folded, {Q.words(V.ENGLISH_STOPWORDS)})) AS en FROM imp_v) x WHERE words > 0 AND en / words > 0.10),
+ t_v AS (SELECT seq, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM low_v),
+ n_v AS (SELECT seq, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM t_v GROUP BY 1, 2),
+ vec_v AS (SELECT l.seq, list(coalesce(n, 0) ORDER BY i) AS v FROM low_v l CROSS JOIN (SELECT unnest(range(64)) AS i) r LEFT JOIN n_v ON n_v.seq = l.seq AND bucket = i GROUP BY 1),
+ old_v AS (SELECT DISTINCT e.seq FROM vec_v e JOIN vec_v s ON s.seq % 50 = 0 AND e.seq % 50 <> 0 AND 1.0 - list_cosine_similarity(e.v, s.v) < {IG.REPEATS}),
+ pred_v AS (SELECT seq, arg_min(predicate, sentence_no) AS p FROM relation_v GROUP BY seq)
+ SELECT e.seq, e.url, {Q.sentiment('low')} AS sentiment, e.risk_level, e.category, e.importance AS importance_score, coalesce(upper(left(p, 1)) || substr(p, 2), 'Policy announcement') AS event_type, 64 AS dims
+ FROM en_v e LEFT JOIN pred_v USING (seq) WHERE e.seq % 50 <> 0 AND e.seq NOT IN (SELECT seq FROM old_v)""")
+def ext08_stored(t):
+    """Records of the new articles; every fiftieth article is stored already, with its vector."""
+    rows = t.articles_v.withColumn("raw_text", story_text())
+    stored = X.hashed_embedding(IG.cleaned(rows.filter("seq % 50 = 0")), "seq", "cleaned_text")
+    records = IG.store_records(rows.filter("seq % 50 <> 0"), stored)
+    return records.select("seq", "url", "sentiment", "risk_level", "category", "importance_score", "event_type", F.size("vector_embedding").alias("dims"))
+
+
 _LOWF = f"lower({FULL})"
 
 
