@@ -170,7 +170,8 @@ def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     # Anchors are found twice rather than written: hashing is cheaper than the disk they would take.
     found = found_anchors(rows, length, gram)
     often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_a")
-    met = materialise(found.join(often, F.col("anchor") == F.col("_a"), "left_semi"), "marks")
+    # Joined the same way at every size, so that small runs tell of large ones.
+    met = materialise(found.join(often.hint("merge"), F.col("anchor") == F.col("_a"), "left_semi"), "marks")
     # One row per stretch, at its first place. Grouped by a mix of both hashes so that equal stretches meet on the map side first.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "mark")
     lone = met.groupBy(F.col("anchor").bitwiseXOR(F.col("whole")).alias("x"), F.col("whole").alias("y")).agg(F.min(place).alias("p"))
@@ -321,7 +322,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     lone, crowd = found.agg(F.sum(F.size("lone")), F.sum(F.size("crowd"))).first()
     # A stretch has about this many bytes.
     buckets = max(1, -(-(lone or 0) * (3 * length - gram) // (2 * bucket)))
-    met = rows.join(found, _same(rows, found))
+    met = rows.join(found.hint("merge"), _same(rows, found))
     parts = _bucketed(by_core(stretches(met, "lone", stride, length), length - gram + 1, length), 0, buckets)
     if crowd:
         few = found.filter(F.size("crowd") > 0)
@@ -337,7 +338,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
         return pd.DataFrame({"kept": [o[0] for o in out], "spans": [o[1] for o in out]})
 
     # Texts without a mark stay in the JVM.
-    whole = rows.join(plan, _same(rows, plan), "left")
+    whole = rows.join(plan.hint("merge"), _same(rows, plan), "left")
     whole = whole.select("doc_id", "data", cut.asNondeterministic()(F.when(F.col("marks").isNotNull(), F.col("data")), "marks", "keep").alias("r"))
     return whole.select("doc_id", F.length("data").cast("bigint").alias("n_bytes"), "r.spans", F.coalesce("r.kept", "data").alias("kept"))
 
