@@ -58,6 +58,12 @@ def publish(rows: DataFrame, root: str, run: int, columns: list[str]) -> DataFra
     return health
 
 
+def finished(spark: SparkSession, root: str) -> set[int]:
+    """Numbers of the runs that have a pointer."""
+    pointers = snapshots(spark, os.path.join(root, "pointer"), 1 << 62)
+    return set() if pointers is None else {r["run"] for r in pointers.select("run").collect()}
+
+
 def published(spark: SparkSession, root: str) -> DataFrame | None:
     """Articles of every run that has a pointer."""
     everything, pointers = snapshots(spark, os.path.join(root, "articles"), 1 << 62), snapshots(spark, os.path.join(root, "pointer"), 1 << 62)

@@ -10,10 +10,10 @@ from ownerlens.plans.fixtures import BASE_TABLES
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 # These write or stream while the plan is built.
-EAGER = ("agg20", "jn05", "jn02", "jn03", "jn04", "st0", "snk01", "snk08", "run01", "win01", "win12", "src02", "src03", "src04", "src05", "src08", "rep02")
+EAGER = ("agg20", "jn05", "ext05_publish", "ext08_stored", "run02", "jn02", "jn03", "jn04", "st0", "snk01", "snk08", "run01", "win01", "win12", "src02", "src03", "src04", "src05", "src08", "rep02")
 COMPARED = ["fn01_feed_date", "fn03_navigation_stub", "flt04_off_topic", "rf20_annotate", "agg05_psc_dedup", "win01_article_ids",
             "gr01_vertices", "agg15_extraction_score", "srh03_hybrid", "fn30_article_entities", "st05_register_upsert", "run01_end_to_end", "jn03_vector_dedup", "jn05_relation_endpoints", "srh05_batch_hybrid", "srh05_batch_concept",
-            "ext06_fan_out", "ext09_embedding", "agg20_funnel"]
+            "ext06_fan_out", "ext09_embedding", "agg20_funnel", "ext05_publish_gate", "ext08_stored_records", "run02_complete", "st04_stream_windows", "st05_holdings_upsert"]
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(EAGER)])
