@@ -93,13 +93,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("rid")
 
 
-@_query("op9_sharding", f"""
+def sharding_sql(limit: int) -> str:
+    """Shards by the first 36 bits, which part rows with different ids."""
+    return f"""
 WITH r AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 9))::BIGINT AS h, strlen(coalesce(text, '')) + {shards.ROW_BYTES} AS n_bytes FROM documents),
 d AS (SELECT doc_id, h, n_bytes, d, sum(n_bytes) OVER (PARTITION BY d, h >> (36 - d)) AS b, count(*) OVER (PARTITION BY d, h >> (36 - d)) AS n
       FROM r, unnest(range(0, 37)) u(d))
 SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE right(lpad(bin(h >> (36 - d)), 36, '0'), d::INT) END AS shard, d::INT AS depth, n_bytes::BIGINT AS n_bytes,
-       b::BIGINT AS shard_bytes, n::BIGINT AS shard_rows, b <= {shards.LIMIT_BYTES} AS fits
-FROM d WHERE b <= {shards.LIMIT_BYTES} OR d = 36 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1""")
+       b::BIGINT AS shard_bytes, n::BIGINT AS shard_rows, b <= {limit} AS fits
+FROM d WHERE b <= {limit} OR d = 36 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1"""
+
+
+@_query("op9_sharding", sharding_sql(shards.LIMIT_BYTES))
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Shard of every document."""
     return shards.shard(_table(spark, folder, "documents"))

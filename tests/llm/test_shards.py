@@ -1,10 +1,12 @@
 """Extendible hashing against a plain recursive split."""
 import hashlib
+import os
 import random
 
+import duckdb
 import pytest
 
-from ownerlens.llm import shards
+from ownerlens.llm import queries, shards
 
 
 def plain(rows, limit):
@@ -61,3 +63,18 @@ def test_files_with_a_column_named_shard(spark, tmp_path):
     shards.write_shards(docs, str(tmp_path / "out"), 1_000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and "x" not in {str(r["shard"]) for r in back.select("shard").distinct().collect()} and {r["_id"] for r in back.select("_id").collect()} == {"y"}
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
+def test_check_sql_with_a_limit_that_splits(spark):
+    """The registered limit holds all rows of the small tables in one shard; this one does not."""
+    limit = 8 * 2**10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    cur = con.execute(queries.sharding_sql(limit))
+    names = [d[0] for d in cur.description]
+    got = shards.shard(spark.read.parquet(f"{FOLDER}/documents.parquet"), limit).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall()) and len({r["shard"] for r in got}) > 20

@@ -1,4 +1,7 @@
 """URL filter: parsing and rules by case, tree verdicts, edges."""
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,79 @@ def test_no_python(spark, n):
     pages = spark.createDataFrame([(1, "http://a/b")], "page_id bigint, url string")
     plan = urls.judge(pages, spark.createDataFrame([], "page_id bigint, bad int"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def plain_judge(rows, labels):
+    """(page_id, template, branch, purity) by nested dictionaries."""
+    bad = {}
+    for i, b in labels:
+        bad[i] = max(bad.get(i, 0), b)
+    total = sum(bad.values()) / len(bad) if bad else 0.0
+    hosts = {}
+    for i, url in rows:
+        rest = url.split("://", 1)[1]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        parts = [p for p in path.strip("/").split("/") if p] or [""]
+        parts = parts[: urls.LEVELS - 1] + ["/".join(parts[urls.LEVELS - 1 :])]
+        parts += [""] * (urls.LEVELS - len(parts))
+        g = tuple(re.sub(r"[^/]*\d[^/.]*|[^/.]{25,}", "*", p) for p in parts)
+        hosts.setdefault(host.lower(), []).append((i, g))
+    out = {}
+    for host, pages in hosts.items():
+        names = {g: () for _, g in pages}
+        for level in range(urls.LEVELS):
+            below = {}
+            for g, t in names.items():
+                if g[level]:
+                    below.setdefault(t, set()).add(g[level])
+            names = {g: t + ("*" if g[level] and len(below.get(t, ())) > urls.FANOUT else g[level],) for g, t in names.items()}
+        count = {}
+        for i, g in pages:
+            n, b = count.get(names[g], (0, 0))
+            count[names[g]] = (n + (i in bad), b + bad.get(i, 0))
+        group = dict.fromkeys(count, ())
+        for level in range(urls.LEVELS):
+            def tally(keep):
+                return [sum(count[t][k] for t in count if keep(t)) for k in (0, 1)]
+
+            now = {}
+            for t, at in group.items():
+                bn, bb = tally(lambda o: group[o] == at and o[level] == t[level])
+                pn, pb = tally(lambda o: group[o] == at)
+                pooled = (pb + 0.5) / (pn + 1)
+                gap = (bb + 0.5) / (bn + 1) - (pb - bb + 0.5) / (pn - bn + 1)
+                same = gap * gap <= urls.Z**2 * pooled * (1 - pooled) * (1 / (bn + 1) + 1 / (pn - bn + 1))
+                now[t] = at + ("~" if same else t[level],)
+            group = now
+        hn, hb = (sum(c[k] for c in count.values()) for k in (0, 1))
+        for i, g in pages:
+            t = names[g]
+            gn, gb = (sum(count[o][k] for o in count if group[o] == group[t]) for k in (0, 1))
+            pure = 1 - (hb + urls.PRIOR * total) / (hn + urls.PRIOR)
+            out[i] = ("/" + "/".join(t), "/" + "/".join(group[t]), (gn - gb + urls.PRIOR * pure) / (gn + urls.PRIOR))
+    return out
+
+
+@pytest.mark.parametrize("fanout", [3, 32])
+def test_tree_equals_nested_dictionaries(spark, monkeypatch, fanout):
+    monkeypatch.setattr(urls, "FANOUT", fanout)
+    rnd = random.Random(fanout)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    rows, labels = [], []
+    for i in range(600):
+        host = rnd.choice(["one.com", "one.com", "Two.com", "three.com"])
+        depth = rnd.randint(0, 6)
+        path = "/".join(rnd.choice([rnd.choice(words[:4]), rnd.choice(words), f"p{rnd.randint(0, 99)}", "x" * 30]) for _ in range(depth))
+        rows.append((i, f"http://{host}/{path}"))
+        if rnd.random() < 0.7:
+            labels.append((i, int(rnd.random() < (0.9 if path.startswith(("ax", "ay")) else 0.1))))
+    want = plain_judge(rows, labels)
+    got = verdicts(spark, [(i, u, None) for i, u in rows], labels)
+    assert len(got) == len(rows)
+    for r in got:
+        template, branch, pure = want[r["page_id"]]
+        assert (r["template"], r["branch"]) == (template, branch) and r["purity"] == pytest.approx(pure, abs=1e-6)
+        assert r["verdict"] == ("block" if round(pure, 6) < urls.MIN_PURITY else "allow")
+    assert any("~" in r["branch"] for r in got)
+    # With a small fan-out the bad branches vanish in wildcards.
+    assert {r["verdict"] for r in got} == ({"allow"} if fanout == 3 else {"block", "allow"})
