@@ -87,7 +87,7 @@ def branches(tree: DataFrame) -> DataFrame:
     """
     t = tree.groupBy("host", "t").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("group", F.lit(""))
     for level in range(LEVELS):
-        t = t.withColumn("seg", F.get(F.split("t", "/"), F.lit(level + 1)))
+        t = t.withColumn("seg", F.get(F.split("t", "/", LEVELS + 1), F.lit(level + 1)))
         branch, parent = Window.partitionBy("host", "group", "seg"), Window.partitionBy("host", "group")
         t = t.withColumn("bn", F.sum("n").over(branch)).withColumn("bb", F.sum("b").over(branch))
         t = t.withColumn("pn", F.sum("n").over(parent)).withColumn("pb", F.sum("b").over(parent))
