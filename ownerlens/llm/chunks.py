@@ -160,10 +160,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_
     # Found twice rather than written: hashing is cheaper than the disk they would take.
     marked = _windows(rows, ANCHOR, lambda words, _: anchors(words, min_words))
     often = marked.groupBy(F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_d")
-    marks = marked.join(often, F.col("digest") == F.col("_d"), "left_semi").groupBy(F.col("doc_id").alias("_m"), F.col("rid").alias("_r")).agg(F.collect_set("first").alias("marks"))
-    met = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("_m")) & (rows["rid"] == F.col("_r"))).select("doc_id", "rid", "text", "marks")
+    # Joined the same way at every size, so that small runs tell of large ones.
+    marks = marked.join(often.hint("merge"), F.col("digest") == F.col("_d"), "left_semi").groupBy(F.col("doc_id").alias("_m"), F.col("rid").alias("_r")).agg(F.collect_set("first").alias("marks"))
+    met = rows.join(marks.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_m")) & (rows["rid"] == F.col("_r"))).select("doc_id", "rid", "text", "marks")
     found = materialise(_windows(met, min_words, around), "passage-windows")
-    again = found.join(_shared(found), F.col("digest") == F.col("_d")).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("holder")))
+    again = found.join(_shared(found).hint("merge"), F.col("digest") == F.col("_d")).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("holder")))
     # Equal rows bring a window more than once.
     document = Window.partitionBy("doc_id", "rid").orderBy("first")
     again = again.withColumn("new", F.coalesce(F.col("first") > F.lag("first").over(document) + min_words, F.lit(True)).cast("int"))
@@ -188,7 +189,7 @@ def remove(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFram
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8").rstrip())
         return pd.Series(out, dtype=object)
 
-    met = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_span_doc"]) & (F.hash(docs[text]) == spans["_span_rid"]), "left")
+    met = docs.join(spans.hint("merge"), docs["doc_id"].eqNullSafe(spans["_span_doc"]) & (F.hash(docs[text]) == spans["_span_rid"]), "left")
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("d")
     # Marked so that the filter on the result does not make Spark run the function twice.
     cut = met.filter(spans["_spans"].isNotNull()).select(whole, without.asNondeterministic()(docs[text], spans["_spans"]).alias("left"))

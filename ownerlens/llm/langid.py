@@ -36,6 +36,8 @@ BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 #: Bytes whose n-grams are scored at once, in a model of eight bits.
 SLICE = 1 << 16
+#: Languages up to which their shares go to every task.
+FEW = 50_000
 #: Languages whose counts a task holds at once, and numbers a task decodes at once.
 HELD = 256
 DECODED = 1 << 22
@@ -131,6 +133,9 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """(lang, text): about ``per_language`` different rows of every language, those whose hash is below its share."""
     known = bounded(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     share = known.groupBy(F.col("lang").alias("_l")).agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("_s"))
+    share = materialise(share, "languages")
+    if share.count() <= FEW:
+        share = F.broadcast(share)  # so that no text moves
     key = F.xxhash64("doc_id", "text")
     # Hashes are uniform, so a share of their range is that share of the rows and no language is sorted or collected.
     rows = known.join(share, F.col("lang") == F.col("_l")).filter(key / F.lit(2.0**64) + 0.5 <= F.col("_s"))
@@ -221,6 +226,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
                 part = slice(s, s + SLICE // bits + 1)
                 np.add.at(sums, lang[part], share[part, None] * weights[buckets[part]])
         met = np.flatnonzero(sums.any(axis=1))
+        if not len(met):
+            return
         yield pd.DataFrame({"lang": [languages[k] for k in met], "mean": [sums[k].tolist() for k in met]})
 
     met = counted.repartition("lang").mapInPandas(separate, "lang string, mean array<double>").select(
