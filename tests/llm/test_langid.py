@@ -105,6 +105,19 @@ def test_training_and_decoding_equal_plain_loops(spark, monkeypatch):
         assert best.tolist() == [w[0] for w in want] and np.allclose(score, [w[1] for w in want]) and tied.tolist() == [w[2] for w in want]
 
 
+def test_partitions_without_rows(spark):
+    """More partitions than languages and buckets met: tasks without rows add nothing."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        docs = spark.createDataFrame(corpus(60), "doc_id bigint, text string, lang string")
+        assert langid.train(docs).languages == sorted(WORDS)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_more_languages_than_a_task_holds_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(langid, "HELD", 3)
     langs = {f"l{k}": ["".join(random.Random(100 * k + j).choices("abcdefgh", k=4)) for j in range(6)] for k in range(12)}
