@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ownerlens import schemas, vocab as V
-from ownerlens.operators import dedup, evals, extract, graph, psc, registers, resolve, search, stats
+from ownerlens.operators import dedup, evals, extract, graph, psc, publish, registers, resolve, search, stats
 from ownerlens.operators.keys import first_per_key, global_rank, top_per_key
 from ownerlens.sources import feeds, jsonl
 from ownerlens.streaming import feed
@@ -361,6 +361,43 @@ def test_editions_on_a_stream_leave_out_and_count_late_rows(spark, tmp_path):
     assert got == {("2024-01-01 02:00:00", 1), ("2024-01-01 10:00:00", 2)} and late == 1
 
 
+def test_batch_vector_equals_all_distances_over_any_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    stored = [rng.normal(size=5).round(1).tolist() for _ in range(60)] + [[0.0] * 5, None, []]
+    stored[7] = stored[3]
+    asked = [stored[3], rng.normal(size=5).tolist(), [0.0] * 5, None, [2 * x for x in stored[9]]]
+    v = spark.createDataFrame(list(enumerate(stored)), "seq bigint, embedding array<double>")
+    q = spark.createDataFrame([(100 + i, x) for i, x in enumerate(asked)], "query_id bigint, embedding array<double>")
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    want = set()
+    for i, x in enumerate(asked):
+        if x and any(x):
+            near = sorted((round(1 - float(unit(x) @ unit(y)), 9) + 0.0, k) for k, y in enumerate(stored) if y and any(y))
+            want |= {(100 + i, k, rank) for rank, (_, k) in enumerate(near[:4], 1)}
+    for block in (2048, 7):
+        monkeypatch.setattr("ownerlens.operators.vectors.BLOCK", block)
+        assert {(r["query_id"], r["seq"], r["rank"]) for r in search.batch_vector(v, q, 4).collect()} == want
+    assert search.batch_vector(v.limit(0), q, 4).collect() == []
+
+
+def test_publish_shows_nothing_of_a_failed_run_and_replays(spark, tmp_path):
+    root, cols = str(tmp_path), "seq bigint, url string"
+    rows = lambda *r: spark.createDataFrame(list(r), cols)
+
+    def run(number, articles, fails):
+        todo = publish.pending(articles, root, number)
+        done = todo.withColumn("extraction", F.when(~c("url").isin(fails), F.struct(F.lit(True).alias("relevant"))))
+        return publish.publish(done, root, number, ["seq", "url"]).first()["verdict"]
+
+    shown = lambda: None if (p := publish.published(spark, root)) is None else sorted(r["url"] for r in p.collect())
+    assert run(1, rows((1, "a"), (2, "b")), ["a", "b"]) == "nothing published" and shown() is None
+    for _ in range(2):  # the second time as a replay
+        assert run(2, rows((3, "a"), (4, "c")), ["b"]) == "degraded" and shown() == ["a", "c"]
+    # A seen URL is not tried again, a dead letter is.
+    assert run(3, rows((5, "c"), (6, "d")), []) == "ok" and shown() == ["a", "b", "c", "d"]
+    assert publish.finished(spark, root) == {2, 3}
+
+
 def test_concept_and_trace(spark):
     a = spark.createDataFrame([(1, "Hill merger", "x", "High", 60), (2, "x", "merger", "Low", 10)], "seq bigint, title string, summary string, risk_level string, risk_score int")
     assert [(r["seq"], r["score"]) for r in search.concept(a, "high merger of").collect()] == [(1, 5), (2, 1)]
