@@ -1,7 +1,7 @@
 """Knowledge graph: vertices, edges, degrees, neighbourhoods, employment state."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ownerlens.functions import text as T
 from ownerlens.operators.keys import first_per_key, latest_per_key
@@ -62,19 +62,33 @@ def edges(people: DataFrame, holdings: DataFrame, procurement: DataFrame) -> Dat
     return first_per_key(rows, ["id"], ("priority", "seq", "label")).select("id", "src", "dst", "label")
 
 
+def _ends(edge_rows: DataFrame) -> DataFrame:
+    """Each edge once per different end, and how many different ends it has."""
+    both = F.array_distinct(F.array("src", "dst"))
+    return edge_rows.select(c("id").alias("edge"), "src", "dst", c("label").alias("edge_label"), F.size(both).alias("needed"), F.explode(both).alias("end"))
+
+
 def valid_edges(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
-    return edge_rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    """Edges whose ends are all nodes; ends meet the nodes in one join, so nodes are worked out once."""
+    met = _ends(edge_rows).join(nodes.select(c("id").alias("end")), "end")
+    whole = met.groupBy("edge", "src", "dst", "edge_label", "needed").agg(F.count(F.lit(1)).alias("n")).filter("n = needed")
+    return whole.select(c("edge").alias("id"), "src", "dst", c("edge_label").alias("label"))
 
 
 def degrees(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Degree over valid edges and the display size; endpoints are counted map-side."""
-    ok = valid_edges(edge_rows, nodes)
-    ends = ok.select(c("src").alias("id")).unionAll(ok.select(c("dst").alias("id")))
-    counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return nodes.join(counts, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint")).withColumn(
-        "size", F.lit(12) + F.least(c("degree") * 3, F.lit(16)))
+    """Degree over valid edges and the display size.
+
+    Nodes are joined with the ends of edges once; an edge counts where all its ends
+    have been met, which its one or two rows tell each other.
+    """
+    met = nodes.join(_ends(edge_rows).drop("src", "dst", "edge_label"), c("id") == c("end"), "left")
+    # Nodes without an edge stand by themselves.
+    edge = Window.partitionBy(F.coalesce("edge", "id"))
+    met = met.withColumn("n", F.count("end").over(edge))
+    # A loop has both its ends at one node.
+    weight = F.when(c("n") == c("needed"), F.when(c("needed") == 1, 2).otherwise(1)).otherwise(0)
+    counted = met.groupBy(*nodes.columns).agg(F.sum(weight).cast("bigint").alias("degree"))
+    return counted.withColumn("size", F.lit(12) + F.least(c("degree") * 3, F.lit(16)))
 
 
 def neighbours(edge_rows: DataFrame, node: Column) -> DataFrame:
