@@ -1,7 +1,7 @@
 """Text to structured rows: mentions, relations, extraction records, enrichment."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,7 +79,7 @@ LOCATION_PATTERN = r"\b(?:in|at|near) ([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"
 def named_entities(text: Column) -> Column:
     """STRUCT<people, organizations, locations, positions> by written patterns.
 
-    Stands in for a trained entity model; :func:`with_entity_model` plugs one in.
+    Stands in for a trained entity model; ``mapInPandas`` is the way to plug one in.
     """
 
     def found(pattern: str, hint: list[str]) -> Column:
@@ -95,11 +95,6 @@ def named_entities(text: Column) -> Column:
     )
 
 
-def with_entity_model(rows: DataFrame, model: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """Replace the pattern extractor by any Arrow-batched model."""
-    return rows.mapInPandas(model, schema)
-
-
 # ------------------------------------------------------------- relations
 
 
