@@ -177,13 +177,13 @@ def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     lone = met.groupBy(F.col("anchor").bitwiseXOR(F.col("whole")).alias("x"), F.col("whole").alias("y")).agg(F.min(place).alias("p"))
     lone = materialise(lone.select(F.col("x").bitwiseXOR(F.col("y")).alias("anchor"), F.col("p.doc_id").alias("doc_id"), F.col("p.tid").alias("tid"), F.col("p.mark").alias("mark")), "stretches")
     several = lone.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    split = lone.join(several, F.col("anchor") == F.col("_a"), "left")
+    split = lone.join(several.hint("merge"), F.col("anchor") == F.col("_a"), "left")
     document = [F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")]
     kinds = {"sole": F.col("c").isNull(), "lone": F.col("c") <= hot, "crowd": F.col("c") > hot}
     own = split.groupBy(*document).agg(*[F.collect_set(F.when(use, F.col("mark"))).alias(name) for name, use in kinds.items()])
     grouped = met.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
     none = F.array().cast("array<bigint>")
-    both = grouped.join(own, _same(grouped, own), "left").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "marks", *[F.coalesce(name, none).alias(name) for name in kinds])
+    both = grouped.join(own.hint("merge"), _same(grouped, own), "left").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "marks", *[F.coalesce(name, none).alias(name) for name in kinds])
     return global_rank(both, [F.col("_doc").asc_nulls_last(), F.col("_tid").asc()], "no")
 
 
@@ -330,7 +330,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     runs = kept(transforms(parts), length).select(F.floor(F.col("at") / stride).alias("_no"), (F.col("at") % stride).cast("int").alias("start"), "n")
     runs = runs.groupBy("_no").agg(F.collect_list(F.struct("start", "n")).alias("keep"))
     sole = F.transform("sole", lambda m: F.struct(F.shiftright(m, 32).cast("int").alias("start"), F.shiftright(m, 16).bitwiseAND(0xFFFF).cast("int").alias("n")))
-    plan = found.join(runs, F.col("no") == F.col("_no"), "left").select("_doc", "_tid", "marks", F.concat(F.coalesce("keep", F.array().cast("array<struct<start: int, n: int>>")), sole).alias("keep"))
+    plan = found.join(runs.hint("merge"), F.col("no") == F.col("_no"), "left").select("_doc", "_tid", "marks", F.concat(F.coalesce("keep", F.array().cast("array<struct<start: int, n: int>>")), sole).alias("keep"))
 
     @F.pandas_udf("kept binary, spans array<struct<start: int, size: int>>")
     def cut(data: pd.Series, packed: pd.Series, keep: pd.Series) -> pd.DataFrame:
