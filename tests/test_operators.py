@@ -476,3 +476,30 @@ def test_extraction_rows_fit_the_registers(spark):
     register = registers.upsert_companies(extract.company_rows(ex)).first()
     assert (register["company"], register["last_seen"], register["risk_level"]) == ("Lagoon Holdings", "2024-01-02", "High")
     assert extract.agency_rows(ex).first()["date"] == "2024-01-02" == extract.people_rows(ex).first()["date"]
+
+
+@pytest.mark.parametrize("window,piece", [(32, 16384), (5, 11)])
+def test_keys_in_words_of_texts_equal_a_plain_scan(spark, monkeypatch, window, piece):
+    """No key held against every text: words, parts of words, several words, separators; and the first ids only."""
+    for name, n in (("FEW", 0), ("WINDOW", window), ("PIECE", piece), ("STRIP", 4)):
+        monkeypatch.setattr(extract, name, n)
+    rnd = random.Random(3)
+    texts = [(i, "".join(rnd.choices("abcé. -", (4, 4, 4, 1, 1, 1, 1), k=rnd.randint(0, 90)))) for i in range(60)] + [(60, "a" * 300), (61, None), (7, "abc abc"), (7, "abc abc")]
+    held = {t[1][j : j + rnd.choice((1, 3, 7, 12, 40))] for t in texts[:60] for j in (rnd.randrange(60),)} | {"a" * 299, "a" * 301, "cab", ".", " . ", "zz", "b zz"}
+    keys = [(i, k) for i, k in enumerate(sorted(held - {""}))]
+    want = {(s, i) for s, t in texts for i, k in keys if t and k in t}
+    arts, asked = spark.createDataFrame(texts, "seq bigint, t string"), spark.createDataFrame(keys, "id bigint, key string")
+    got = [tuple(r) for r in extract.contained_keys(arts, c("t"), asked).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    first = {tuple(r) for r in extract.contained_keys(arts, c("t"), asked, 3).collect()}
+    assert first == {(s, i) for s, i in want if sum(x == s and j < i for x, j in want) < 3}
+
+
+def test_texts_are_taken_apart_by_words(spark, monkeypatch):
+    """Rows between texts and keys follow the words of the texts, not their characters."""
+    made, write = [], extract.materialise
+    monkeypatch.setattr(extract, "materialise", lambda df, name: made.append((name, out := write(df, name))) or out)
+    arts = spark.createDataFrame([(i, "Thentioned barrelful of it " * 50) for i in range(40)], "seq bigint, t string")
+    names = spark.createDataFrame([(i, f"{'barrel' if i else 'thention'}{'x' * i}", "company") for i in range(20)], "entity_seq bigint, name string, type string")
+    assert {r["seq"] for r in extract.match_entities(arts, names, c("t")).collect()} == set(range(40))
+    assert {name: df.count() for name, df in made}["words"] == 80
