@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ownerlens import vocab as V
 from ownerlens.functions import text as T
-from ownerlens.operators.extract import contained_keys, match_entities
+from ownerlens.operators.extract import Keys, contained_keys, match_entities, pieces_in, words_of
 from ownerlens.operators.keys import top_per_key
 from ownerlens.operators.vectors import block_products, nearest
+from ownerlens.session import materialise
 
 c = F.col
 RRF_K = 60
@@ -99,16 +100,30 @@ def concept(articles: DataFrame, text: str) -> DataFrame:
 def batch_keyword(articles: DataFrame, queries: DataFrame, text: Column, limit: int = 20) -> DataFrame:
     """Top articles of every query in a table ``(query_id, query)``, most recent first.
 
-    Distinct queries are joined with the places of the texts (``extract.contained_keys``).
-    The per-query cut is applied map-side, so a query matching a third of all articles
-    stays cheap.
+    Distinct queries of one word are looked up in the words of all texts: a query's best
+    articles are among the best of each word that contains it, so every word is cut first
+    and a query contained in most articles stays cheap.  Other queries go
+    through ``extract.contained_keys``.
     """
-    asked = queries.select(F.lower("query").alias("key"), "query_id").filter(F.length("key") > 0)
-    keys = asked.groupBy("key").agg(F.min("query_id").cast("bigint").alias("id"))
-    hits = contained_keys(articles, F.lower(text), keys).join(articles.select("seq", "published_at"), "seq")
+    asked = materialise(queries.select(F.lower("query").alias("key"), "query_id").filter(F.length("key") > 0), "asked")
+    keys = Keys(asked.groupBy("key").agg(F.min("query_id").cast("bigint").alias("id")))
+    dated = articles.select("seq", "published_at")
+    recent = [c("published_at").desc_nulls_last(), c("seq")]
+    if keys.few:
+        hits = contained_keys(articles, F.lower(text), keys.all)
+    else:
+        texts = articles.select(c("seq").cast("bigint").alias("seq"), "published_at", F.lower(text).alias("hay")).filter(c("hay") != "")
+        # Equal rows of an article share a rank.
+        ranked = words_of(texts, keys.least, "seq", "published_at").withColumn("_rank", F.dense_rank().over(Window.partitionBy("word").orderBy(*recent)))
+        newest = materialise(ranked.filter(c("_rank") <= limit).drop("_rank").distinct(), "newest")
+        met = pieces_in(newest.select("word").distinct(), keys.word.select(c("key").alias("piece")))
+        hits = newest.join(met, "word").join(keys.word.select("id", c("key").alias("piece")), "piece").select("seq", "id", "published_at").distinct()
+        hits = top_per_key(hits, ["id"], recent, limit).select("seq", "id").distinct()
+        if keys.some_words or keys.some_none:
+            hits = hits.unionByName(contained_keys(articles, F.lower(text), keys.words.unionByName(keys.none)))
     # Cut once per distinct query, so equal queries do not multiply the hits.
-    best = top_per_key(hits, ["id"], [c("published_at").desc_nulls_last(), c("seq")], limit, "rank")
-    ids = asked.join(keys, "key").select("query_id", "id")
+    best = top_per_key(hits.join(dated, "seq"), ["id"], recent, limit, "rank")
+    ids = asked.join(keys.all.select("id", "key"), "key").select("query_id", "id")
     return best.join(ids, "id").select("query_id", "seq", "rank")
 
 

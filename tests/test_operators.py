@@ -503,3 +503,13 @@ def test_texts_are_taken_apart_by_words(spark, monkeypatch):
     names = spark.createDataFrame([(i, f"{'barrel' if i else 'thention'}{'x' * i}", "company") for i in range(20)], "entity_seq bigint, name string, type string")
     assert {r["seq"] for r in extract.match_entities(arts, names, c("t")).collect()} == set(range(40))
     assert {name: df.count() for name, df in made}["words"] == 80
+
+
+def test_batch_search_looks_up_the_best_of_each_word(spark, monkeypatch):
+    monkeypatch.setattr(extract, "FEW", 0)
+    rows = [(i, f"abcd{i % 5} common x{i}", f"2024-01-{1 + i % 28:02d}") for i in range(200)] + [(5, "abcd0 common x5", "2024-01-06")]
+    asked = [(0, "COMMON"), (1, "abcd"), (2, "cd3"), (3, "x19"), (4, "mmon x17"), (5, " "), (6, "none"), (7, "common")]
+    arts, queries = spark.createDataFrame(rows, "seq bigint, t string, published_at string"), spark.createDataFrame(asked, "query_id bigint, query string")
+    got = sorted((r["query_id"], r["rank"], r["seq"]) for r in search.batch_keyword(arts, queries, c("t"), 8).collect())
+    want = [(q, k + 1, t[0]) for q, w in asked for k, t in enumerate(sorted((t for t in rows if w.lower() in t[1]), key=lambda t: (-int(t[2][-2:]), t[0]))[:8])]
+    assert got == sorted(want)
