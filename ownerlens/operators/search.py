@@ -14,6 +14,8 @@ from ownerlens.session import materialise
 
 c = F.col
 RRF_K = 60
+#: Queries that a word may have before the best articles are found once for all of them.
+OWN = 8
 
 
 # ------------------------------------------------------------- one query
@@ -158,21 +160,43 @@ def batch_concept(articles: DataFrame, queries: DataFrame, limit: int = 20) -> D
     Words of all queries are looked up in titles and summaries at once; a word counts as
     often as the query has it, three in a title, else one in the summary, and a level of
     risk two where the article has that level.
+
+    Words of over ``OWN`` queries are shared.  Queries with the same shared words, as often,
+    are one group: the best articles by these words alone are found once per group, and
+    besides them only articles with another word of a query can be among its best.
     """
     levels = [level.lower() for level in V.RISK_LEVELS]
     words = F.filter(F.split(F.lower("query"), "[^a-z0-9']+"), lambda w: F.length(w) > 2)
     tokens = queries.select("query_id", F.explode(words).alias("token")).filter("token <> 'risk'")
     tokens = tokens.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    is_level = c("token").isin(levels)
-    terms = tokens.filter(~is_level)
-    keys = terms.select(c("token").alias("key")).distinct().withColumn("id", F.xxhash64("key"))
-    in_title = contained_keys(articles, F.lower("title"), keys).withColumn("weight", F.lit(3))
-    in_summary = contained_keys(articles, F.lower("summary"), keys).withColumn("weight", F.lit(1))
-    weights = in_title.unionByName(in_summary).groupBy("seq", "id").agg(F.max("weight").alias("weight"))
-    by_word = weights.join(terms.withColumn("id", F.xxhash64("token")), "id").select("query_id", "seq", (c("weight") * c("times")).alias("score"))
-    held = articles.select(c("seq").cast("bigint").alias("seq"), F.lower("risk_level").alias("token"))
-    by_level = held.join(tokens.filter(is_level), "token").select("query_id", "seq", (2 * c("times")).alias("score"))
-    scored = by_word.unionByName(by_level).groupBy("query_id", "seq").agg(F.sum("score").alias("score"))
+    tokens = materialise(tokens.withColumn("id", F.xxhash64("token")), "tokens")
+    keys = tokens.groupBy("id").agg(F.first("token").alias("key"), F.count(F.lit(1)).alias("asking"))
+    keys = materialise(keys.withColumns({"shared": c("asking") > OWN, "is_level": c("key").isin(levels)}), "concept-keys")
+    terms = keys.filter(~c("is_level")).select("id", "key")
+    in_title = contained_keys(articles, F.lower("title"), terms).withColumn("weight", F.lit(3))
+    in_summary = contained_keys(articles, F.lower("summary"), terms).withColumn("weight", F.lit(1))
+    by_word = in_title.unionByName(in_summary).groupBy("seq", "id").agg(F.max("weight").cast("bigint").alias("weight"))
+    held = articles.select(c("seq").cast("bigint").alias("seq"), F.xxhash64(F.lower("risk_level")).alias("id"))
+    by_level = held.join(keys.filter("is_level").select("id"), "id").groupBy("seq", "id").agg((2 * F.count(F.lit(1))).alias("weight"))
+    hits = by_word.unionByName(by_level).join(keys.select("id", "shared"), "id")
+    hits = materialise(hits.select("seq", "id", "weight", "shared"), "concept-hits")
+
+    tokens = tokens.join(keys.select("id", "shared"), "id")
+    # A query's own words may be many or none; its shared ones are few, as they come from its text.
+    groups = tokens.filter("shared").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("id", "times"))).alias("group"))
+    groups = materialise(groups.withColumn("group_id", F.to_json(c("group"))), "concept-groups")
+    of_group = groups.select("query_id", "group_id")
+    parts = groups.select("group_id", "group").distinct().select("group_id", F.explode("group").alias("g")).select("group_id", "g.id", "g.times")
+    by_group = hits.filter("shared").join(parts, "id").groupBy("group_id", "seq").agg(F.sum(c("weight") * c("times")).alias("score"))
+    by_group = materialise(by_group, "concept-by-group")
+    best = top_per_key(by_group, ["group_id"], [c("score").desc(), c("seq")], limit)
+    alone = of_group.join(best, "group_id").select("query_id", "seq", "score")
+    own = hits.filter(~c("shared")).join(tokens.filter(~c("shared")).select("id", "query_id", "times"), "id")
+    own = own.groupBy("query_id", "seq").agg(F.sum(c("weight") * c("times")).alias("score")).join(of_group, "query_id", "left")
+    full = own.join(by_group.withColumnRenamed("score", "more"), ["group_id", "seq"], "left")
+    full = full.select("query_id", "seq", (c("score") + F.coalesce("more", F.lit(0))).alias("score"))
+    # An article found both ways has its whole score from its own words.
+    scored = full.unionByName(alone).groupBy("query_id", "seq").agg(F.max("score").alias("score"))
     return top_per_key(scored, ["query_id"], [c("score").desc(), c("seq")], limit, "rank")
 
 

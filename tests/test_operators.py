@@ -1,4 +1,5 @@
 """Operators on small fixtures, against brute force where the result depends on order."""
+import collections
 import random
 import re
 from difflib import SequenceMatcher
@@ -513,3 +514,30 @@ def test_batch_search_looks_up_the_best_of_each_word(spark, monkeypatch):
     got = sorted((r["query_id"], r["rank"], r["seq"]) for r in search.batch_keyword(arts, queries, c("t"), 8).collect())
     want = [(q, k + 1, t[0]) for q, w in asked for k, t in enumerate(sorted((t for t in rows if w.lower() in t[1]), key=lambda t: (-int(t[2][-2:]), t[0]))[:8])]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("own", [8, 1, 0])
+def test_batch_concept_equals_scores_of_all_pairs(spark, monkeypatch, own):
+    """Words of many queries, of few, both; levels of risk; articles that come twice; the shared words multiply no queries by articles."""
+    for module, name, n in ((search, "OWN", own), (extract, "FEW", 0)):
+        monkeypatch.setattr(module, name, n)
+    made, write = [], search.materialise
+    monkeypatch.setattr(search, "materialise", lambda df, name: made.append((name, out := write(df, name))) or out)
+    rnd = random.Random(4)
+    words = ["company", "merger", "stake", "board", "bank", "lagoon", "hill", "obi"]
+    arts = [(i, " ".join(rnd.choices(words, k=2)), " ".join(rnd.choices(words, k=4)), rnd.choice(["Low", "High", None])) for i in range(60)]
+    arts += [arts[3], arts[8]]
+    asked = [(i, f"{rnd.choice(words[4:])} {rnd.choice(words)} company{' HIGH risk, high' if i % 2 else ' of'}") for i in range(30)] + [(30, "risk of"), (31, None), (32, "obi unheard")]
+    rows = spark.createDataFrame(arts, "seq bigint, title string, summary string, risk_level string")
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    got = sorted((r["query_id"], r["rank"], r["seq"], r["score"]) for r in search.batch_concept(rows, queries, 5).collect())
+    want = []
+    for q, text in asked:
+        score = collections.Counter()
+        for token in [w for w in re.split(r"[^a-z0-9']+", (text or "").lower()) if len(w) > 2 and w != "risk"]:
+            for a in arts if token in ("low", "medium", "high", "critical") else set(arts):
+                score[a[0]] += (2 * ((a[3] or "").lower() == token) if token in ("low", "medium", "high", "critical") else 3 if token in a[1] else int(token in a[2]))
+        best = sorted((-n, s) for s, n in score.items() if n)[:5]
+        want += [(q, k + 1, s, -n) for k, (n, s) in enumerate(best)]
+    assert got == sorted(want)
+    assert own != 8 or {name: df.count() for name, df in made}["concept-by-group"] <= 60 * len({frozenset(a[1].split()) for a in asked if a[1]})
