@@ -87,10 +87,6 @@ class Keys:
         return self.all.select(F.explode("pieces").alias("piece")).distinct()
 
 
-def _in_text(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(keys.select("id", "key")), F.contains("hay", "key")).select("seq", "id")
-
-
 def contained_keys(articles: DataFrame, hay: Column, keys: DataFrame, first: int | None = None) -> DataFrame:
     """``(seq, id)`` of the keys contained in each text, or only a text's ``first`` ids; ``keys(id, key)`` holds each non-empty key once.
 
@@ -102,7 +98,8 @@ def contained_keys(articles: DataFrame, hay: Column, keys: DataFrame, first: int
     keys = Keys(keys)
     texts = articles.select(c("seq").cast("bigint").alias("seq"), hay.alias("hay")).filter(c("hay") != "")
     if keys.few:
-        found = _in_text(texts, keys.all).distinct()
+        held = [F.when(F.contains("hay", F.lit(k["key"])), F.lit(k["id"])) for k in keys.all.select("id", "key").collect()]
+        found = texts.select("seq", F.explode_outer(F.array(*held).cast("array<bigint>")).alias("id")).filter("id IS NOT NULL").distinct()
         return found if first is None else top_per_key(found, ["seq"], [c("id")], first)
     held = materialise(words_of(texts, keys.least, "seq"), "words")
     vocabulary = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -117,7 +114,7 @@ def contained_keys(articles: DataFrame, hay: Column, keys: DataFrame, first: int
     if keys.some_words:
         found = found.unionByName(_of_words(texts, held, vocabulary, met, keys.words))
     if keys.some_none:
-        found = found.unionByName(_in_text(texts, keys.none))
+        found = found.unionByName(texts.join(keys.none.select("id", "key"), F.contains("hay", "key")).select("seq", "id"))
     found = found.distinct()
     return found if first is None else top_per_key(found, ["seq"], [c("id")], first)
 
