@@ -142,8 +142,12 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return rows.select("lang", "text", key.alias("_k")).dropDuplicates(["lang", "_k"]).select("lang", "text")
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, bucket, n) over the n-grams of (lang, text)."""
+def task_counts(rows: DataFrame) -> DataFrame:
+    """(lang, bucket, n) over the n-grams of (lang, text), for each task.
+
+    The sample of a language, about ``SAMPLE`` texts, is counted in one task: dealt over
+    many tasks, nearly every n-gram of every text would be a row of its own.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -165,7 +169,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.repartition("lang").mapInArrow(count, "lang string, bucket int, n bigint")
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(lang, bucket, n) over the n-grams of (lang, text)."""
+    return task_counts(rows).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:

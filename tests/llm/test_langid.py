@@ -118,6 +118,15 @@ def test_partitions_without_rows(spark):
             spark.conf.set(k, v)
 
 
+def test_counts_do_not_grow_with_tasks(spark):
+    """One row for each language and n-gram, over however many tasks the texts lie."""
+    rows = spark.createDataFrame([(x, t) for _, t, x in corpus(120)], "lang string, text string")
+    few, many = (langid.task_counts(rows.repartition(n)) for n in (1, 40))
+    counted = many.collect()
+    assert len(counted) == few.count() == len({(r["lang"], r["bucket"]) for r in counted})
+    assert sum(r["n"] for r in counted) == sum(max(0, len(t.encode()) - n + 1) for _, t, _ in corpus(120) for n in langid.GRAMS)
+
+
 def test_more_languages_than_a_task_holds_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(langid, "HELD", 3)
     langs = {f"l{k}": ["".join(random.Random(100 * k + j).choices("abcdefgh", k=4)) for j in range(6)] for k in range(12)}
