@@ -4,12 +4,12 @@ from __future__ import annotations
 import os
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
-from ownerlens.functions.similarity import TextMatcher, ratio
+from ownerlens.functions.similarity import TextMatcher
 from ownerlens.operators.dedup import greedy_sweep
 from ownerlens.operators.keys import first_per_key, global_rank, top_per_key
 from ownerlens.operators.registers import snapshots, write_snapshot
@@ -20,62 +20,51 @@ LEAST = 0.80
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf(DoubleType())
-def name_ratio(candidate: pd.Series, existing: pd.Series) -> pd.Series:
-    return pd.Series([ratio(a, b) for a, b in zip(candidate, existing)], dtype="float64")
+#: Different names of one type in a cell; a pair of cells is compared in one task.
+CELL = 1 << 15
+#: Unresolved names of one type that a round of the sweep settles: names are short, and rounds cost more than they do.
+ROUND = 1 << 13
 
 
-def _bigrams(name):
-    """Bigrams of a name, the k-th repeat of one marked with k, so sets behave like bags."""
-    grams = F.regexp_extract_all(name, F.lit(r"(?s)(?=(..))"), F.lit(1))
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+def _best_of_cells(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """The best known name above ``LEAST`` for every name asked, of those of two cells."""
+    found = []
+    if len(asked) and len(known):
+        found = list(TextMatcher(LEAST, strict=True).best(asked["low"].tolist(), known["low"].tolist(), known["entity_id"].to_numpy()))
+    rows, others = [i for i, _, _ in found], [j for _, j, _ in found]
+    best = asked[["type", "low"]].iloc[rows].reset_index(drop=True)
+    return best.assign(entity_id=known["entity_id"].to_numpy()[others] if found else [], score=np.array([s for _, _, s in found], dtype="float64")).astype({"type": object, "low": object})
 
 
-def _band(size):
-    """Lengths in steps of a half: close names are in one band or in neighbouring ones."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1.5)) + 1e-9).cast("int")
+def _celled(names: DataFrame, mine: str, other: str, sizes: DataFrame) -> DataFrame:
+    """``names(type, low, ...)`` dealt into the cells of their type, once for each cell of the other side."""
+    rows = names.join(sizes, "type").withColumn(mine, F.pmod(F.xxhash64("low"), c(f"{mine}s")).cast("int"))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), c(f"{other}s") - 1))).drop(f"{mine}s", f"{other}s")
 
 
-def _probe_rows(names: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """The rarest bigrams of each name that a close match cannot avoid, with its type and band of length.
-
-    More than 0.8 similarity of lengths a and b leaves over 0.4(a+b) matched
-    characters in at most 0.2(a+b)+1 runs, hence more than 0.2(a+b)-1 shared
-    bigrams; b is at least two thirds of a.  All but that many of a name's
-    bigrams, rarest first, must contain a shared one.
-    """
-    pairs = names.select(key, "low", "type", F.explode(_bigrams(c("low"))).alias("gram"))
-    ordered = pairs.join(counts, ["type", "gram"], "left").groupBy(key).agg(
-        F.first("low").alias("low"), F.first("type").alias("type"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("o"))
-    size = F.length("low")
-    needed = F.greatest(F.lit(1), F.floor(size / 3.0 - 1.0 + 1e-9).cast("int") + 1)
-    keep = F.greatest(F.lit(1), F.size("o") - needed + 1)
-    return ordered.select(key, "type", _band(size).alias("band"), F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(key, "type", "band", c("x.gram").alias("gram"))
-
-
-def fuzzy_best(mentions: DataFrame, known: DataFrame) -> DataFrame:
+def fuzzy_best(mentions: DataFrame, known: DataFrame, cell: int | None = None) -> DataFrame:
     """Best known entity above 0.8 per mention; ties go to the lowest id.
 
     ``mentions(mention_id, type, name)``, ``known(entity_id, type, name)`` with one
-    row per name or alias.  Candidates come from an equi-join on type, band of length and
-    rare bigrams (or type and equal lower-case names); lengths and shared bigrams are
-    checked before the exact similarity is computed.
+    row per name or alias.  The different lower-case names of a type are dealt into cells, and
+    each pair of cells is compared in a task, by exact bounds before the similarity.
+    A task hands on the best match of a name, never pairs.
     """
+    cell = cell or CELL
     m = mentions.select("mention_id", "type", F.lower("name").alias("low"))
-    k = known.select("entity_id", "type", F.lower("name").alias("low")).distinct().withColumn("known_id", F.struct("entity_id", "type", "low"))
-    counts = k.select("type", F.explode(_bigrams(c("low"))).alias("gram")).groupBy("type", "gram").agg(F.count(F.lit(1)).alias("n"))
-    left, right = _probe_rows(m, counts, "mention_id"), _probe_rows(k, counts, "known_id")
-    left = left.withColumn("band", F.explode(F.array(c("band") - 1, c("band"), c("band") + 1)))
-    ids = left.join(right, ["type", "band", "gram"]).select("mention_id", "known_id")
-    same = m.join(k.select("known_id", "type", c("low").alias("klow")), (m["type"] == k["type"]) & (c("low") == c("klow"))).select("mention_id", "known_id")
-    pairs = ids.unionAll(same).distinct()
-    pairs = pairs.join(m.select("mention_id", "low"), "mention_id").select("mention_id", "low", c("known_id.entity_id").alias("entity_id"), c("known_id.low").alias("klow"))
-    a, b = F.length("low"), F.length("klow")
-    shared = F.size(F.array_intersect(_bigrams(c("low")), _bigrams(c("klow"))))
-    pairs = pairs.filter((2.0 * F.least(a, b) > LEAST * (a + b)) & ((shared > 0.2 * (a + b) - 1.0 - 1e-9) | (c("low") == c("klow"))))
-    scored = pairs.withColumn("score", name_ratio(c("low"), c("klow"))).filter(c("score") > LEAST)
-    return top_per_key(scored, ["mention_id"], [c("score").desc(), c("entity_id")], 1).select("mention_id", "entity_id", "score")
+    asked = m.filter("type IS NOT NULL AND low IS NOT NULL").select("type", "low").distinct()
+    # Of equal names only the lowest id can be the best.
+    k = known.select("entity_id", "type", F.lower("name").alias("low")).filter("type IS NOT NULL AND low IS NOT NULL")
+    k = k.groupBy("type", "low").agg(F.min("entity_id").alias("entity_id"))
+    asked, k = materialise(asked, "names-asked"), materialise(k, "names-known")
+    count = lambda names, as_: names.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias(as_))
+    sizes = count(asked, "as").join(count(k, "ks"), "type")
+    left, right = _celled(asked, "a", "k", sizes), _celled(k, "k", "a", sizes)
+    types = {f.name: f.dataType.simpleString() for f in k.schema.fields}
+    cells = left.groupBy("type", "a", "k").cogroup(right.groupBy("type", "a", "k"))
+    found = cells.applyInPandas(_best_of_cells, f"type string, low string, entity_id {types['entity_id']}, score double")
+    best = top_per_key(found, ["type", "low"], [c("score").desc(), c("entity_id")], 1)
+    return m.join(best, ["type", "low"]).select("mention_id", "entity_id", "score")
 
 
 def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -103,7 +92,7 @@ def resolve(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     rest = materialise(rest.join(fuzzy, "mention_id", "left_anti"), "unresolved")
 
     items = rest.select(c("type").alias("group"), c("mention_id").alias("seq"), F.lower("name").alias("value"))
-    founders = greedy_sweep(items, TextMatcher(LEAST, strict=True)).withColumnRenamed("seq", "mention_id")
+    founders = greedy_sweep(items, TextMatcher(LEAST, strict=True), ROUND).withColumnRenamed("seq", "mention_id")
     highest = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).scalar()
     new = materialise(
         global_rank(rest.join(founders, "mention_id", "left_semi"), c("mention_id"), "_n")

@@ -116,6 +116,33 @@ def test_fuzzy_best_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("cell", [7, 1000])
+def test_fuzzy_best_hands_on_one_row_a_name(spark, cell):
+    """Cells of any size give the best of all; ties, copies, long and empty names, and rows without a type or a name."""
+    rng = random.Random(11)
+    known = [(i, rng.choice("pq"), "".join(rng.choices("abcAB é", k=rng.randint(0, 9)))) for i in range(150)] + [(150, "p", "x" * 200 + "y" * 90), (151, None, "ab"), (152, "p", None)]
+    known += [(i + 200, t, n) for i, t, n in known]
+    asked = [(i, rng.choice("pqr"), "".join(rng.choices("abcAB é", k=rng.randint(0, 9)))) for i in range(150)] + [(150, "p", "x" * 190 + "y" * 85), (151, None, "ab"), (152, "p", None), (153, "p", "ab"), (154, "p", "AB")]
+    k = spark.createDataFrame(known, "entity_id bigint, type string, name string")
+    m = spark.createDataFrame(asked, "mention_id bigint, type string, name string")
+    want = {}
+    for i, t, a in asked:
+        scores = [(SequenceMatcher(None, a.lower(), n.lower()).ratio(), -j) for j, u, n in known if a is not None and n is not None and t is not None and u == t]
+        if scores and max(scores)[0] > 0.8:
+            want[i] = (-max(scores)[1], max(scores)[0])
+    got = resolve.fuzzy_best(m, k, cell).collect()
+    assert len(got) == len(want) > 20 and {r["mention_id"]: (r["entity_id"], r["score"]) for r in got} == want
+
+
+def test_fuzzy_best_shuffles_no_candidate_pairs(spark):
+    """All names share their beginning; the rows handed on are matches, not pairs."""
+    k = spark.createDataFrame([(i, "p", f"alias {x}") for i, x in enumerate("".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(300))], "entity_id bigint, type string, name string")
+    m = k.select(c("entity_id").alias("mention_id"), "type", "name")
+    plan = resolve.fuzzy_best(m, k)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "mention_id" in plan
+    assert sorted((r["mention_id"], r["entity_id"]) for r in resolve.fuzzy_best(m, k).collect()) == [(i, i) for i in range(300)]
+
+
 def test_global_rank_counts_every_row(spark):
     df = spark.range(0, 5000, 7).repartition(5).withColumn("seq", c("id") * c("id"))
     ranks = [r["rank"] for r in global_rank(df, c("seq")).orderBy("seq").collect()]
