@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ownerlens import schemas, vocab as V
-from ownerlens.operators import dedup, evals, extract, graph, psc, publish, registers, resolve, search, stats
+from ownerlens.functions import similarity
+from ownerlens.operators import dedup, evals, extract, graph, psc, publish, registers, resolve, search, stats, vectors
 from ownerlens.operators.keys import first_per_key, global_rank, top_per_key
 from ownerlens.sources import feeds, jsonl
 from ownerlens.streaming import feed
@@ -86,6 +87,20 @@ def test_vectors_equal_the_sequential_pass(spark):
     assert sorted(r["seq"] for r in fresh.collect()) == want + [100, 101, 102]
 
 
+def test_blocks_of_vectors_are_few_and_multiplied_in_slices(spark, monkeypatch):
+    """5,000 vectors are one block, met once by every query; what a task holds at once changes nothing."""
+    df = spark.range(5000).select(c("id").alias("seq"), F.array(F.cos(c("id")), F.sin(c("id"))).alias("embedding"))
+    asked = df.limit(3).select(c("seq").alias("query_id"), "embedding")
+    calls = vectors.block_products(df, asked, lambda q, v: q[["query_id"]].assign(n=len(v)), "query_id bigint, n bigint").collect()
+    assert sorted(map(tuple, calls)) == [(0, 5000), (1, 5000), (2, 5000)]
+    rng = np.random.default_rng(4)
+    new, kept = rng.normal(size=(70, 4)), rng.normal(size=(30, 4))
+    want = (1 - (new / np.linalg.norm(new, axis=1)[:, None]) @ (kept / np.linalg.norm(kept, axis=1)[:, None]).T < 0.15).any(axis=1)
+    for product in (1, 64, 1 << 22):
+        monkeypatch.setattr(similarity, "_PRODUCT", product)
+        assert (similarity.VectorMatcher(0.15).any_close(list(new), list(kept)) == want).all()
+
+
 def test_entity_resolution_stages(spark):
     entities = spark.createDataFrame(
         [(1, "company", "Lagoon Holdings", ["Lagoon Hldgs"]), (2, "company", "Hill Bank", ["HB"]), (3, "person", "Ada Obi", [])],
