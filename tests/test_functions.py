@@ -1,5 +1,6 @@
 """Truth tables of the scalar operators (names invented)."""
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -147,3 +148,31 @@ def test_csv_guard(value):
 def test_all_named_references(value):
     rows = [("&aacute;&Eacute; &euml;&igrave;&#233;&#xE9;",), ("&amp;lt; &nosuch; &lt;b&gt; a & b &copy",), (None,), ("&NotEqualTilde;&fjlig;",)]
     assert value(T.decode_entities(F.col("x")), rows, "x string") == ["áÉ ëìéé", "&lt; &nosuch; <b> a & b &copy", None, "≂̸fj"]
+
+
+def test_literals_are_counted_one_by_one(value):
+    terms = ["sue", "fine", "success", "loss", "record profit"]
+    texts = ["sue successuccess pursued", "fine  finefine losslosss", "record profit record  profit", "", None]
+    assert value(T.count_substrings(c("t"), terms), [(t,) for t in texts], "t string") == [None if t is None else sum(t.count(x) for x in terms) for t in texts]
+
+
+def test_strip_looks_at_both_ends(value):
+    texts = ["", " ", "a", " a", "a　", "  a b \t", "é", None]
+    assert value(T.strip(c("t")), [(t,) for t in texts], "t string") == [None if t is None else t.strip() for t in texts]
+
+
+def test_phrases_end_at_line_ends_and_pairs_of_spaces(value):
+    texts = ["a\r\nb\rc\nd  e   f", "  a \r\r\n\n b    ", "a b", "x\r \ry"]
+    assert value(T.clean_html(c("t")), [(t,) for t in texts], "t string") == [
+        "\n".join(p.strip() for p in re.split(r"\r\n|\r|\n|  ", t) if p.strip()) for t in texts]
+
+
+def test_whole_words_need_their_borders(value):
+    texts = ["a fine", "fines, refine", "éfine", "tax dispute", "tax disputed", "_fine", "offine fine"]
+    got = value(T.has_word(c("t"), ["fine", "tax dispute"], plural=True), [(t,) for t in texts], "t string")
+    assert got == [bool(re.search(r"(?<!\w)(?:fine|tax dispute)s?(?!\w)", t)) for t in texts] == [True, True, False, True, False, False, True]
+
+
+def test_named_summaries_alone(value):
+    got = value(S.summaries(c("t"), c("x"), "executive"), [("T", "One. Two today. Three.")], "t string, x string")
+    assert [r.asDict() for r in got] == [{"executive": "One. Two today."}]

@@ -583,3 +583,44 @@ def test_batch_concept_equals_scores_of_all_pairs(spark, monkeypatch, own):
         want += [(q, k + 1, s, -n) for k, (n, s) in enumerate(best)]
     assert got == sorted(want)
     assert own != 8 or {name: df.count() for name, df in made}["concept-by-group"] <= 60 * len({frozenset(a[1].split()) for a in asked if a[1]})
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_defaults_evaluate_a_record_once(spark):
+    rows = spark.createDataFrame([(1, '{"category": "Legal"}'), (2, None)], "seq long, reply string")
+    read = F.from_json(F.concat(c("reply"), F.lit(" ")), schemas.EXTRACTION)
+    out = rows.select("seq", extract.with_defaults(read).alias("e"))
+    assert optimized(out).count("from_json") == 1
+    assert [(r["e"] and (r["e"]["category"], r["e"]["relevant"], r["e"]["people"])) for r in out.orderBy("seq").collect()] == [("Legal", False, []), None]
+
+
+def test_enrich_looks_for_what_is_read_only(spark):
+    text = "Director Musa Bello resigns from Hill Bank in Abuja. The board met at Port Harcourt on Monday."
+    rows = spark.createDataFrame([(1, "T", text), (2, "T", "")], "seq long, title string, raw_text string")
+    out = extract.enrich(rows, english_only=False)
+    assert "in|at|near" not in optimized(out.select("seq", "sentiment", "risk_level", "category", "importance"))
+    e = out.filter("seq = 1").first()["entities"]
+    assert (e["people"], e["organizations"], e["locations"], e["positions"]) == (["Musa Bello"], ["Hill Bank"], ["Abuja", "Port Harcourt"], ["Director"])
+    assert out.select("seq", extract.named_entities(c("text")).alias("n"), "entities").filter("n <> entities").count() == 0
+
+
+def test_first_verb_is_the_first_of_the_list(spark):
+    texts = ["He will buy, then hire", "no verb here", "HIRED", "reſigned", "rebuy", "Suede shoes", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r["v"] for r in rows.select("i", extract.first_verb(c("t")).alias("v")).orderBy("i").collect()] == ["hire", None, "hire", "resign", None, "sue", None]
+
+
+def test_titles_are_cut_before_the_join(spark, tmp_path):
+    from ownerlens.plans.fixtures import Tables
+
+    spark.createDataFrame([(i, f"Text {i} " * 200, "en", "s", 1) for i in range(60)] + [(60, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(70).selectExpr("id AS event_id", "timestamp_ntz'2024-01-03 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    whole = t.articles_v.drop("raw_text")
+    assert t.headlines().columns == whole.columns
+    assert t.headlines().exceptAll(whole).count() == whole.exceptAll(t.headlines()).count() == 0
+    plan = optimized(t.headlines().select("seq", "title"))
+    assert "180" in plan[plan.index("Join"):]
