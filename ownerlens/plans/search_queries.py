@@ -172,7 +172,7 @@ def scored(t, rows=None):
     rows = (rows if rows is not None else t.articles_v).withColumn("text", full_text())
     low = c("_low")
     rows = rows.withColumn("_low", S.lowered(c("text"))).withColumns({
-        "risk_level": S.risk_in(low), "summaries": S.summaries(c("title"), c("raw_text")),
+        "risk_level": S.risk_in(low), "summaries": S.summaries(c("title"), c("raw_text"), "one_line", "executive"),
         "importance": S.importance_in(low, X.T.job_titles_in(low), c("seq") % 7, c("seq") % 6, F.coalesce("category", F.lit("")))})
     return rows.withColumns({
         "one_line": c("summaries.one_line"), "executive": c("summaries.executive"),
@@ -253,7 +253,8 @@ _BRIEF = f"""{_SCORED}, rec_v AS (SELECT *, risk_level IN ('High', 'Critical') A
  UNION ALL SELECT 3, seq, 0, concat('*   **Key Appointment**: Executive logged under ', CASE WHEN seq % 2 = 0 THEN concat('Company ', CAST(seq % 50 AS STRING)) ELSE 'Counterparty' END, '.') FROM rec_v WHERE event_type = 'Appointment'
  UNION ALL SELECT 4, seq, 0, concat('*   **Procurement**: ', title) FROM rec_v WHERE bought""")
 def rep03(t):
-    return P.brief(run_records(t), "2024-01-04 10:00:00")
+    # Counted, listed and searched for the first few: scored and written once.
+    return P.brief(materialise(run_records(t), "run-records"), "2024-01-04 10:00:00")
 
 
 _TITLES = "(SELECT string_agg(f.title, ', ' ORDER BY f.ord) FROM flag_v f WHERE f.seq = a.seq)"
