@@ -624,3 +624,21 @@ def test_titles_are_cut_before_the_join(spark, tmp_path):
     assert t.headlines().exceptAll(whole).count() == whole.exceptAll(t.headlines()).count() == 0
     plan = optimized(t.headlines().select("seq", "title"))
     assert "180" in plan[plan.index("Join"):]
+
+
+@pytest.mark.parametrize("hours", [1, 30])
+def test_report_window_joins_few_texts(spark, tmp_path, hours):
+    from ownerlens.plans.feed_queries import report_articles
+    from ownerlens.plans.fixtures import Tables
+
+    spark.createDataFrame([(i, f"Text {i}", "en", "s", 6) for i in [*range(60), 59, 40]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    # Id 59 has a second row outside the window; hours apart by 30, the window holds too few and the latest 25 count.
+    spark.range(60).unionAll(spark.sql("SELECT 59L AS id")).selectExpr(
+        "id AS event_id", f"timestamp_ntz'2024-01-03 00:00:00' + make_dt_interval(0, CAST(id * {hours} AS INT)) - IF(monotonically_increasing_id() > 1L << 40, INTERVAL '90' DAY, INTERVAL '0' DAY) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    rows = t.articles_v
+    whole = stats.report_window(rows, rows.agg(F.max("published_at")).scalar()).select("seq", "raw_text", "published_at")
+    got = report_articles(t)
+    assert "LeftSemi" in optimized(got)
+    got = got.select("seq", "raw_text", "published_at")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and 20 < got.count() < 35
