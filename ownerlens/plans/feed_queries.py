@@ -10,6 +10,7 @@ from ownerlens.operators.keys import first_per_key, known_anti_join, new_by_key,
 from ownerlens.plans import sqltext as Q
 from ownerlens.plans.greedy import WORD_CLOSE, WORD_ITEMS, greedy_sql
 from ownerlens.plans.registry import query
+from ownerlens.session import materialise
 from ownerlens.plans.text_queries import AS_OF, COUNTRY_SQL, STAMP_SQL, TITLE_KEY_SQL, _SUFFIX_V, _with_suffix, stamp
 
 c = F.col
@@ -82,9 +83,15 @@ REPORT_WINDOW_SQL = _window_sql(_MAX_TS)
 
 
 def report_articles(t):
-    """Articles of the day before the newest article."""
-    rows = t.articles_v
-    return stats.report_window(rows, rows.agg(F.max("published_at")).scalar())
+    """Articles of the day before the newest article.
+
+    Their ids are found first, without texts; only their documents are joined whole.
+    """
+    heads = t.headlines()
+    last = heads.agg(F.max("published_at")).scalar()
+    ids = materialise(stats.report_window(heads, last).select(c("seq").alias("doc_id")).distinct(), "window")
+    # An id may have rows outside the window, so the window is cut again.
+    return stats.report_window(t.view("articles_v", documents=t.documents.join(ids, "doc_id", "left_semi")), last)
 
 
 @query("win08_report_window", f"""WITH w AS ({REPORT_WINDOW_SQL}), late AS ({_window_sql(f"({_MAX_TS} + INTERVAL 10 DAYS)")})
