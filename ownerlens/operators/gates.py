@@ -104,12 +104,13 @@ def feed_filter(articles: DataFrame, category: str = "", risk: str = "", text: s
     return out
 
 
-def funnel(articles: DataFrame, as_of, distinct: DataFrame | None = None) -> DataFrame:
+def funnel(articles: DataFrame, as_of, distinct: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
     """How many rows survive each gate, in one pass over the articles.
 
-    ``distinct`` holds the distinct stories among the fresh ones, where these were looked for.
+    ``distinct`` holds the distinct stories among the fresh ones, where these were looked for;
+    ``flags`` the articles' ``gate_flags``, where these are written already.
     """
-    flags = gate_flags(articles, as_of)
+    flags = gate_flags(articles, as_of) if flags is None else flags
     counts = flags.agg(
         F.count(F.lit(1)).alias("raw"), F.count_if(~c("live")).alias("stubs"),
         F.count_if(c("local")).alias("country"), F.count_if(c("local") & ~c("dated")).alias("undated"),

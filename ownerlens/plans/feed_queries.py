@@ -236,8 +236,10 @@ _STORIES = greedy_sql(f"""{_FUNNEL}, ok_v AS (SELECT seq, title FROM g WHERE liv
 def agg20(t):
     """The whole funnel of a run, to its distinct stories by the words of their titles."""
     rows = t.articles_v.withColumn("published_at", F.when(c("seq") % 10 != 0, c("published_at")))
-    fresh = rows.join(gates.gate_flags(rows, AS_OF).filter("fresh").select("seq"), "seq", "left_semi")
-    return gates.funnel(rows, AS_OF, dedup.word_set_titles(fresh.select("seq", "title")))
+    # Whole texts are joined and searched once; the titles of what is fresh are read twice.
+    flags = materialise(gates.gate_flags(rows, AS_OF), "gate-flags")
+    fresh = t.headlines().select("seq", "title").join(flags.filter("fresh").select("seq"), "seq", "left_semi")
+    return gates.funnel(rows, AS_OF, dedup.word_set_titles(materialise(fresh, "fresh-titles")), flags)
 
 
 # ------------------------------------------------------------------ sources, sinks
