@@ -187,22 +187,24 @@ def marks(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     return global_rank(both, [F.col("_doc").asc_nulls_last(), F.col("_tid").asc()], "no")
 
 
-def stretches(met: DataFrame, which: str, stride: int, length: int) -> DataFrame:
-    """(seg, off, at): the text of the strings of every mark in the column ``which``; ``at`` is its place in the whole corpus."""
+def stretches(met: DataFrame, which: list[str], stride: int, length: int) -> DataFrame:
+    """(kind, seg, off, at): the text of the strings of every mark in the columns ``which``, the kind; ``at`` is its place in the whole corpus."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            no, data, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            no, data = batch.column(0).to_numpy(), batch.column(1)
             for k in range(batch.num_rows):
-                packed = lists[k].values.to_numpy()
-                text = data[k].as_buffer().to_pybytes() if len(packed) else b""
-                first, n, off = packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
-                for s in range(0, len(packed), BATCH):
-                    part = slice(s, s + BATCH)
-                    segs = [text[a:b] for a, b in zip(first[part].tolist(), (first + n + length - 1)[part].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(off[part].astype(np.int32)), pa.array(no[k] * stride + first[part])], ["seg", "off", "at"])
+                for j, kind in enumerate(which):
+                    packed = batch.column(2 + j)[k].values.to_numpy()
+                    text = data[k].as_buffer().to_pybytes() if len(packed) else b""
+                    first, n, off = packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
+                    for s in range(0, len(packed), BATCH):
+                        part = slice(s, s + BATCH)
+                        segs = [text[a:b] for a, b in zip(first[part].tolist(), (first + n + length - 1)[part].tolist())]
+                        columns = [pa.array([kind] * len(segs)), pa.array(segs, pa.binary()), pa.array(off[part].astype(np.int32)), pa.array(no[k] * stride + first[part])]
+                        yield pa.RecordBatch.from_arrays(columns, ["kind", "seg", "off", "at"])
 
-    return met.select("no", "data", which).mapInArrow(cut, "seg binary, off int, at bigint")
+    return met.select("no", "data", *which).mapInArrow(cut, "kind string, seg binary, off int, at bigint")
 
 
 def by_core(segs: DataFrame, span: int, length: int) -> DataFrame:
@@ -323,10 +325,13 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     # A stretch has about this many bytes.
     buckets = max(1, -(-(lone or 0) * (3 * length - gram) // (2 * bucket)))
     met = rows.join(found.hint("merge"), _same(rows, found))
-    parts = _bucketed(by_core(stretches(met, "lone", stride, length), length - gram + 1, length), 0, buckets)
+    cut_out = stretches(met, ["lone", "crowd"] if crowd else ["lone"], stride, length)
     if crowd:
-        few = found.filter(F.size("crowd") > 0)
-        parts = parts.unionByName(split_crowds(stretches(rows.join(few, _same(rows, few)), "crowd", stride, length), buckets, spans, length, hot, bucket))
+        # Two jobs read them: what is cut out is less than the texts, which would be dealt to their marks for each.
+        cut_out = materialise(cut_out, "cut-out")
+    parts = _bucketed(by_core(cut_out.filter(F.col("kind") == "lone"), length - gram + 1, length), 0, buckets)
+    if crowd:
+        parts = parts.unionByName(split_crowds(cut_out.filter(F.col("kind") == "crowd"), buckets, spans, length, hot, bucket))
     runs = kept(transforms(parts), length).select(F.floor(F.col("at") / stride).alias("_no"), (F.col("at") % stride).cast("int").alias("start"), "n")
     runs = runs.groupBy("_no").agg(F.collect_list(F.struct("start", "n")).alias("keep"))
     sole = F.transform("sole", lambda m: F.struct(F.shiftright(m, 32).cast("int").alias("start"), F.shiftright(m, 16).bitwiseAND(0xFFFF).cast("int").alias("n")))
