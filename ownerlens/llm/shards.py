@@ -6,8 +6,8 @@ keep their depth. The hash is 36 bits of the id's digest, then 12 of the text's,
 then 12 dealt by row: rows of one id part by text, and equal rows by the last bits.
 
 Defined cases: a null text or id counts as empty; a bucket that is still too large
-at 60 bits, as with one text above the limit, is kept and marked ``fits = false``;
-an empty table gives an empty result; extra columns are ignored.
+at 60 bits is kept and marked ``fits = false``, and so is one row above the limit
+at the 36 bits of its id, since no further bit parts it; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from pyspark.sql import Window
 from ownerlens.session import materialise
 
 BITS = 60
+#: Bits of the id's digest; what follows parts rows of one digest.
+ID_BITS = 36
 STEP = 6
 #: Bytes of a row besides its text (two 64-bit numbers).
 ROW_BYTES = 16
@@ -53,8 +55,9 @@ def _cells(alive: DataFrame, base: int, limit: int) -> DataFrame:
     at = F.coalesce("fit", F.lit(deep))
     pick = lambda k: reduce(lambda rest, d: F.when(at == d, F.col(f"{k}{d}")).otherwise(rest), range(base, deep + 1), F.lit(None))
     prefix = reduce(lambda rest, d: F.when(at == d, F.shiftright("cell", deep - d)).otherwise(rest), range(base, deep + 1), F.lit(None))
-    return cells.select("cell", F.col("fit").isNotNull().alias("fits"), at.alias("depth"), prefix.alias("prefix"),
-                        pick("b").alias("shard_bytes"), pick("n").alias("shard_rows"))
+    alone = F.lit(deep >= ID_BITS) & (pick("n") == 1)
+    return cells.select("cell", F.col("fit").isNotNull().alias("fits"), (F.col("fit").isNotNull() | alone).alias("settled"), at.alias("depth"),
+                        prefix.alias("prefix"), pick("b").alias("shard_bytes"), pick("n").alias("shard_rows"))
 
 
 def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[DataFrame]:
@@ -65,9 +68,9 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[DataFrame]:
         cells = materialise(_cells(alive, base, limit), f"directory-{base}")
         base += STEP
         rounds.append(cells)
-        if base == BITS or cells.filter(~F.col("fits")).isEmpty():
+        if base == BITS or cells.filter(~F.col("settled")).isEmpty():
             return rounds
-        alive = alive.join(cells.filter(~F.col("fits")).select(F.col("cell").alias("_c")), F.shiftright("h", BITS - base) == F.col("_c"), "left_semi")
+        alive = alive.join(cells.filter(~F.col("settled")).select(F.col("cell").alias("_c")), F.shiftright("h", BITS - base) == F.col("_c"), "left_semi")
 
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -78,8 +81,8 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     for k, cells in enumerate(rounds):
         last = k == len(rounds) - 1
         met = rest.join(cells, F.shiftright("h", BITS - STEP * (k + 1)) == F.col("cell"))
-        parts.append(met if last else met.filter("fits"))
-        rest = met.filter("not fits").select(*rows.columns)
+        parts.append(met if last else met.filter("settled"))
+        rest = met.filter("not settled").select(*rows.columns)
     out = reduce(DataFrame.unionByName, parts)
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
     return out.select("doc_id", bits.alias("shard"), "depth", "n_bytes", "shard_bytes", "shard_rows", "fits")
